@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import byte_bpe, chat_format, exact_dedup, quality_rules, url_filter
+from gantry.llm import byte_bpe, chat_format, exact_dedup, mixing, quality_classifier, quality_rules, sharding, url_filter
 from gantry.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -31,10 +31,26 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.segments(rows.unionByName(hostile)))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+# The hot source is held down to a fifth; the others share the rest evenly.
+WEIGHTS = {"src0": 19} | {f"src{k}": 4 for k in range(1, 20)}
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), WEIGHTS)
+
+
 # What op10's contract fixes.
 RULES = [
     url_filter.Rule("com", "/en/", "block"),
@@ -58,9 +74,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_format": op3_chat_format,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_sharding": op8_sharding,
+    "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_sharding": sharding.ORACLE_SQL,
+    "op9_mixing": mixing.oracle_sql(WEIGHTS),
 }
