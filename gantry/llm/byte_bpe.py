@@ -10,7 +10,7 @@ that made them (ranks are the order of merges, so a part has a lower rank than w
 becomes).  So the transducer keeps a register of the last token of each prefix that is
 still within reach, that is of as many bytes as the longest token has.  Tokens on which all prefixes within reach
 agree are final and are emitted (`SETTLE_BYTES` apart, else at the piece's end).
-Encodings of frequent pieces are also kept in a bounded dictionary of two generations.
+Encodings of frequent pieces and words are also kept in bounded dictionaries of two generations.
 
 Decoding.  Token bytes go through an incremental UTF-8 state machine whose state is carried
 from token to token, so ids can be decoded as they stream in; sequences that are no UTF-8
@@ -121,11 +121,12 @@ class Transducer:
         return found
 
     def follows(self, left: int, right: int) -> bool:
-        known = not any(
-            (rank := self.ranks.get(a + b)) is not None and rank < a_until and rank <= b_until
-            for a, a_until in self.edge(left, 1)
-            for b, b_until in self.edge(right, 0)
-        )
+        known, ranks, starts = True, self.ranks, self.edge(right, 0)
+        for a, a_until in self.edge(left, 1):
+            for b, b_until in starts:
+                rank = ranks.get(a + b)
+                if rank is not None and rank < a_until and rank <= b_until:
+                    known = False
         if len(self.pairs) >= MAX_PAIRS:
             self.pairs.clear()
         self.pairs[left << 20 | right] = known
@@ -169,16 +170,23 @@ class Transducer:
 
 
 class Encoder:
+    """Texts in, ids out.
+
+    No piece of the pattern has white space after another character.  So a text can be cut before every single
+    space that stands between two other characters, and what lies between two cuts
+    (a word with its marks) is split by the pattern on its own, once for all its copies.
+    """
+
     def __init__(self, path: str, pattern: str) -> None:
         self.transducer = Transducer(load_ranks(path))
         self.split = compile_pattern(pattern).findall
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.pieces, self.old_pieces = {}, {}
+        self.chunks, self.old_chunks = {}, {}
 
-    def ids(self, text: str) -> list[int]:
-        if len(self.known) > MAX_PIECES:
-            self.known, self.older = {}, self.known
-        known, older, found = self.known, self.older, []
+    def _split_ids(self, text: str) -> list[int]:
+        if len(self.pieces) > MAX_PIECES:
+            self.pieces, self.old_pieces = {}, self.pieces
+        known, older, found = self.pieces, self.old_pieces, []
         for piece in self.split(text):
             ids = known.get(piece)
             if ids is None:
@@ -188,29 +196,34 @@ class Encoder:
             found += ids
         return found
 
+    def ids(self, text: str) -> list[int]:
+        if len(self.chunks) > MAX_PIECES:
+            self.chunks, self.old_chunks = {}, self.chunks
+        first, *chunks = text.split(" ")
+        if not first or first[-1].isspace():
+            return self._split_ids(text)
+        known, older, found = self.chunks, self.old_chunks, self._split_ids(first)
+        for chunk in chunks:
+            ids = known.get(chunk)
+            if ids is None:
+                if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                    return self._split_ids(text)
+                ids = older.get(chunk) or self._split_ids(" " + chunk)
+                if len(chunk) < 64:
+                    known[chunk] = ids
+            found += ids
+        return found
+
 
 class Decoder:
-    """Ids in, text out, with a UTF-8 state carried between calls of ``feed``."""
+    """Ids in, text out; the state of the UTF-8 machine is carried between calls of ``feed``."""
 
     def __init__(self, tokens: dict[int, bytes]) -> None:
         self.tokens = tokens
-        self.whole: dict[int, str] = {}
-        for token, content in tokens.items():
-            try:
-                self.whole[token] = content.decode()
-            except UnicodeDecodeError:
-                pass
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int], last: bool = True) -> str:
-        ids = list(ids)
-        try:
-            if not self.machine.getstate()[0]:
-                return "".join([self.whole[token] for token in ids])
-        except KeyError:  # some token ends inside a character
-            pass
-        decode, tokens = self.machine.decode, self.tokens
-        text = "".join([decode(tokens[token]) for token in ids]) + decode(b"", last)
+        text = self.machine.decode(b"".join(map(self.tokens.__getitem__, ids)), last)
         if last:
             self.machine.reset()
         return text
@@ -226,43 +239,54 @@ def _decoder(path: str) -> Decoder:
     return Decoder({rank: token for token, rank in load_ranks(path).items()})
 
 
-def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``doc_id`` and the array ``ids`` of each text, by the ranks in the file ``path``."""
+Batches = Iterator[pa.RecordBatch]
+ROWS = 500
+
+
+def _encoded(batches: Batches, path: str, pattern: str) -> Batches:
+    encoder = _encoder(path, pattern)
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            part = batch.slice(k, ROWS)
+            flat, ends = [], [0]
+            for text in part.column("text").to_pylist():
+                flat += encoder.ids(text or "")
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": ids})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                flat, ends = [], [0]
-                for text in part.column("text").to_pylist():
-                    flat += encoder.ids(text or "")
-                    ends.append(len(flat))
-                ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": ids})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+def _decoded(batches: Batches, path: str) -> Batches:
+    decoder = _decoder(path)
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            part = batch.slice(k, ROWS)
+            ids = part.column("ids")
+            flat, ends = ids.flatten().to_pylist(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).tolist()
+            texts = [decoder.feed(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": ids, "text": pa.array(texts, pa.string())})
+
+
+def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``doc_id`` and the array ``ids`` of each text, by the ranks in the file ``path``."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return texts.mapInArrow(lambda batches: _encoded(batches, path, pattern), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``doc_id, ids`` and the decoded ``text``."""
+    return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), "doc_id long, ids array<int>, text string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = _decoder(path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                ids = part.column("ids")
-                flat, ends = ids.flatten().to_pylist(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy())))
-                texts = [decoder.feed(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": ids, "text": pa.array(texts, pa.string())})
 
-    return encoded.mapInArrow(run, "doc_id long, ids array<int>, text string")
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """``decode(encode(docs))`` in one pass of each task: ``doc_id, ids, text``."""
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    return texts.mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern), path), "doc_id long, ids array<int>, text string")
 
 
 def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Encode, decode, and digest both results: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    return decode(encode(docs, path, pattern), path).select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
