@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import byte_bpe, chat_format, exact_dedup, mixing, ngram_join, quality_classifier, quality_rules, sharding, url_filter
+from gantry.llm import byte_bpe, chat_format, exact_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, sharding, url_filter
 from gantry.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -35,6 +35,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_chat_format": op3_chat_format,
     "op4_ngram_join": op4_ngram_join,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_sharding": op8_sharding,
