@@ -2,7 +2,7 @@
 
 Each round joins every node's larger neighbours, then its smaller ones, to the smallest node it knows (large and small
 star); edges end up pointing from every node to the smallest of its component after about log(n)
-rounds.  Tasks first replace the edges they hold by a spanning forest.  Every round is
+rounds.  Tasks first replace the edges they hold by a spanning forest.  Every star is
 checkpointed to the shared folder; no edges reach the driver.
 """
 
@@ -82,7 +82,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = edges.mapInArrow(_forests, "a long, b long").distinct().checkpoint()
     before = None
     while True:
-        edges = _star(_star(edges, larger=True), larger=False).checkpoint()
+        edges = _star(edges, larger=True).checkpoint()  # each star reads its edges three times
+        edges = _star(edges, larger=False).checkpoint()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
