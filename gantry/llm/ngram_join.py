@@ -42,7 +42,7 @@ WORDS = 5
 COUNTER_BITS = 22
 COUNTER_PARTS = 64
 MAX_LIGHT = 12
-BLOCK_SHINGLES = 256_000
+BLOCK_SHINGLES = 2_000_000
 BROADCAST_NODES = 2_000_000
 Batches = Iterator[pa.RecordBatch]
 
