@@ -102,8 +102,8 @@ def url_filter(pages: DataFrame, listed_urls: DataFrame, rules: list[Rule], broa
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
     listed = listed_urls.select(canonical(F.col("url")).alias("canonical")).filter("canonical IS NOT NULL").distinct()
-    blocks = 1
-    while blocks * BLOCK_BITS < listed.count() * BITS_PER_URL:
+    blocks, wanted = 1, listed.count() * BITS_PER_URL
+    while blocks * BLOCK_BITS < wanted:
         blocks *= 2
     filter_rows = bloom(listed, blocks)
     if blocks * BLOCK_BYTES <= broadcast_bytes:
