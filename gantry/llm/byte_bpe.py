@@ -26,16 +26,19 @@ import base64
 import codecs
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_MOVES = 300_000
-MAX_PIECES = 200_000
+MAX_STATES = 40_000
+MAX_PIECES = 400_000
+MAX_CHUNKS = 100_000
 MAX_PAIRS = 400_000
 SETTLE_BYTES = 4096
 # White space that the pattern's \s means (Unicode White_Space), for the regex module.
@@ -82,8 +85,8 @@ class Transducer:
     def _forget(self) -> None:
         self.numbers: dict[tuple[int, ...], int] = {(): 0}
         self.states: list[tuple[int, ...]] = [()]
-        self.ends: list[tuple[int, ...]] = [()]
-        self.moves: dict[int, int] = {}
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]  # by state the tokens that end, and where they start
+        self.moves: list[dict[int, int]] = [{}]
 
     def _move(self, state: int, byte: int) -> int:
         """The state after one more byte; starts that no token continues are dropped."""
@@ -93,8 +96,10 @@ class Transducer:
         if number is None:
             number = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.ends.append(tuple(self.token_at[node] for node in key if node in self.token_at))
-        self.moves[state << 8 | byte] = number
+            tokens = [self.token_at[node] for node in key if node in self.token_at]
+            self.ends.append(tuple((token, -self.size[token]) for token in tokens))
+            self.moves.append({})
+        self.moves[state][byte] = number
         return number
 
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -152,17 +157,21 @@ class Transducer:
     def encode(self, piece: bytes) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        if len(self.moves) > MAX_MOVES:
+        if len(self.states) > MAX_STATES:
             self._forget()
-        state, ids, last = 0, [], [-1]
-        moves, ends, pairs, size = self.moves, self.ends, self.pairs, self.size
+        ids, last = [], [-1]
+        moves, ends, pairs = self.moves, self.ends, self.pairs
+        state = 0
         for byte in piece:
-            state = moves.get(state << 8 | byte) or self._move(state, byte)
-            for token in ends[state]:
-                before = last[-size[token]]
-                if before < 0 or ((fits := pairs.get(before << 20 | token)) is None and self.follows(before, token)) or fits:
-                    last.append(token)
+            state = moves[state].get(byte) or self._move(state, byte)
+            for token, start in ends[state]:
+                before = last[start]
+                if before < 0:
                     break
+                fits = pairs.get(before << 20 | token)
+                if fits or (fits is None and self.follows(before, token)):
+                    break
+            last.append(token)
             if len(last) > SETTLE_BYTES:
                 settled, last = self._settle(last)
                 ids += settled
@@ -196,34 +205,69 @@ class Encoder:
             found += ids
         return found
 
-    def ids(self, text: str) -> list[int]:
-        if len(self.chunks) > MAX_PIECES:
+    def _chunk_ids(self, chunk: str) -> list[int] | None:
+        """Of a space and the chunk; None where the text cannot be cut around it."""
+        ids = self.chunks.get(chunk)
+        if ids is None:
+            if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                return None
+            ids = self.old_chunks.get(chunk) or self._split_ids(" " + chunk)
+            if len(chunk) < 64:
+                self.chunks[chunk] = ids
+        return ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and each text's number of ids.
+
+        Each distinct chunk of the batch is encoded once; the rest is put together by whole arrays.
+        """
+        if len(self.chunks) > MAX_CHUNKS:
             self.chunks, self.old_chunks = {}, self.chunks
-        first, *chunks = text.split(" ")
-        if not first or first[-1].isspace():
-            return self._split_ids(text)
-        known, older, found = self.chunks, self.old_chunks, self._split_ids(first)
-        for chunk in chunks:
-            ids = known.get(chunk)
-            if ids is None:
-                if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                    return self._split_ids(text)
-                ids = older.get(chunk) or self._split_ids(" " + chunk)
-                if len(chunk) < 64:
-                    known[chunk] = ids
-            found += ids
-        return found
+        texts = pc.fill_null(texts, "")
+        parts = pc.split_pattern(texts, " ")
+        starts = np.concatenate(([0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        units = [self._chunk_ids(chunk) for chunk in coded.dictionary.to_pylist()]
+        uncut = np.array([unit is None for unit in units], bool)
+        units = [unit or [] for unit in units]
+        nothing, first = len(units), starts[:-1]
+        units.append([])
+        # The first chunk of a text has no space before it.  A text with a chunk that cannot be cut off is split as a whole.
+        whole = np.add.reduceat(uncut[codes], first) > 0 if len(texts) else np.empty(0, bool)
+        codes[np.repeat(whole, np.diff(starts))] = nothing
+        for k in range(len(texts)):
+            text = texts[k].as_py()
+            codes[first[k]] = len(units)
+            units.append(self._split_ids(text if whole[k] else text.split(" ", 1)[0]))
+        sizes = np.array([len(unit) for unit in units], np.int64)
+        flat = np.fromiter(chain.from_iterable(units), np.int32, int(sizes.sum()))
+        lengths = sizes[codes]
+        counts = np.add.reduceat(lengths, first) if len(texts) else np.empty(0, np.int64)
+        return flat[spread((np.cumsum(sizes) - sizes)[codes], lengths)], counts
+
+    def ids(self, text: str) -> list[int]:
+        return self.encode(pa.array([text], pa.string()))[0].tolist()
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places starts[0], starts[0] + 1, ... of each run in turn."""
+    before = np.cumsum(lengths) - lengths
+    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
 class Decoder:
     """Ids in, text out; the state of the UTF-8 machine is carried between calls of ``feed``."""
 
     def __init__(self, tokens: dict[int, bytes]) -> None:
-        self.tokens = tokens
+        self.sizes = np.array([len(tokens.get(k, b"")) for k in range(max(tokens) + 1)], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.content = np.frombuffer(b"".join(tokens.get(k, b"") for k in range(len(self.sizes))), np.uint8)
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int], last: bool = True) -> str:
-        text = self.machine.decode(b"".join(map(self.tokens.__getitem__, ids)), last)
+        ids = np.asarray(ids, np.int64)
+        text = self.machine.decode(self.content[spread(self.starts[ids], self.sizes[ids])].tobytes(), last)
         if last:
             self.machine.reset()
         return text
@@ -240,29 +284,36 @@ def _decoder(path: str) -> Decoder:
 
 
 Batches = Iterator[pa.RecordBatch]
-ROWS = 500
+BATCH_BYTES = 12 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Batches:
+    """Parts of about ``BATCH_BYTES`` of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        limit = (ends[at - 1] if at else 0) + BATCH_BYTES
+        after = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
+        yield batch.slice(at, after - at)
+        at = after
 
 
 def _encoded(batches: Batches, path: str, pattern: str) -> Batches:
     encoder = _encoder(path, pattern)
     for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            part = batch.slice(k, ROWS)
-            flat, ends = [], [0]
-            for text in part.column("text").to_pylist():
-                flat += encoder.ids(text or "")
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.array(flat, np.int32)))
+        for part in _slices(batch):
+            flat, counts = encoder.encode(part.column("text"))
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": ids})
 
 
 def _decoded(batches: Batches, path: str) -> Batches:
     decoder = _decoder(path)
     for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            part = batch.slice(k, ROWS)
+        for k in range(0, batch.num_rows, 1000):
+            part = batch.slice(k, 1000)
             ids = part.column("ids")
-            flat, ends = ids.flatten().to_pylist(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).tolist()
+            flat, ends = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).tolist()
             texts = [decoder.feed(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": ids, "text": pa.array(texts, pa.string())})
 
