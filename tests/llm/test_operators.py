@@ -1,0 +1,317 @@
+"""Each operator against a brute-force version or exact round trip, with nulls, empties, ties and odd columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from gantry.llm import byte_bpe, catalog, chat_format, components, exact_dedup, lm_scoring, mixing, ngram_join
+from gantry.llm import quality_classifier, quality_rules, sharding, url_filter
+
+tiktoken = pytest.importorskip("tiktoken")
+public_tokenizers = pytest.importorskip("public_tokenizers")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, digest int, keep_id int, block int, score int, n int, label int"
+WORDS = [f"w{k}" for k in range(40)]
+
+
+def corpus(n=60, seed=1):
+    """Random texts with exact and near copies, nulls, blanks, repeated rows, a null id and a long text."""
+    r = random.Random(seed)
+    texts = [" ".join(r.choices(WORDS, k=r.choice((3, 8, 12, 60, 90)))) for _ in range(n)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    for k in range(0, n, 5):
+        rows.append((1000 + k, texts[k].upper()))
+        near = texts[k].split()
+        near[r.randrange(len(near))] = "changed"
+        rows.append((2000 + k, " ".join(near)))
+    rows += [(3000, None), (3001, ""), (3002, " \n\t"), (3003, "one"), (3004, "ONE"), (3005, "\x0bone\x1ctwo"), (3006, "Ä ä \u00a0x"), (3007, "x " * 30_000)]
+    r.shuffle(rows)
+    return rows
+
+
+def table(spark, rows):
+    full = [(i, t, (None, "en", "de")[k % 3], (None, "a", "b")[k % 3], None if t is None else len(t), 1, 2, 3, 4, 5, 6) for k, (i, t) in enumerate(rows)]
+    return spark.createDataFrame(full, DOCS).repartition(3)
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def counts_of(text):
+    w, text = WORD.findall(text or ""), text or ""
+    windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark):
+    rows = corpus() + [(4000, "a b c a b c\nx\ny\nx\n x\n" * 3), (4001, "### $$$ <b> | é" * 20), (None, "a b")]
+    found = quality_rules.quality_rules(table(spark, rows), spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert len(found) == len(rows)
+    want = {i: counts_of(t) for i, t in rows}
+    for r in found:
+        n, repeated = want[r["doc_id"]][0], want[r["doc_id"]][4]
+        assert (n, *want[r["doc_id"]][1:]) == (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], repeated), r
+        assert repeated == r["n_repeat_words"] and r["base_failed"] == (n < 50 or 100 * repeated > 50 * n) == (not r["kept"])
+
+
+def test_cutoffs_hold_their_risk(spark):
+    r = random.Random(3)
+    rows = [("en", r.random() * (0.1 if q else 1), q) for q in [1] * 3000 + [0] * 500]
+    features = spark.createDataFrame([(k, s, v, 0.0, 0.0, 0.0, 0.0) for k, (s, v, _) in enumerate(rows)], "doc_id long, stratum string, symbols double, dup_lines double, repeats double, capitals double, shouts double")
+    labels = spark.createDataFrame([(k, q) for k, (_, _, q) in enumerate(rows)], "doc_id long, quality int")
+    (found,) = quality_rules.cutoffs(features, labels, risk=0.05, delta=0.05).collect()
+
+    def cdf(k, n, p):
+        return sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(p) + (n - j) * math.log(1 - p)) for j in range(k + 1))
+
+    level = 0.05 / (len(quality_rules.RULES) * len(quality_rules.GRID))
+    held = [c for c in quality_rules.GRID if cdf(sum(v > c and q for _, v, q in rows), 3000, 0.01) <= level]
+    assert found["max_symbols"] == min(held) and found["max_repeats"] == quality_rules.GRID[0]
+    p = spark.range(1).select(quality_rules.binomial_cdf(F.lit(12), F.lit(900), 0.02)).first()[0]
+    assert p == pytest.approx(cdf(12, 900, 0.02))
+
+
+PATH = public_tokenizers.path(catalog.VOCABULARY)
+
+
+def test_byte_bpe(spark):
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(PATH), special_tokens={})
+    r = random.Random(5)
+    alphabet = [chr(c) for c in [*range(1, 256), 0x1680, 0x180E, 0x2000, 0x200B, 0x2028, 0x3000, 0x4E2D, 0x1F600, 0x301, 0x660]] + [" "] * 40 + list("the tion'sllre") * 4
+    rows = corpus() + [(5000 + k, "".join(r.choices(alphabet, k=r.randrange(60)))) for k in range(300)] + [(6000, "a" * 9000), (6001, "<|endoftext|>"), (None, "x")]
+    found = {r["doc_id"]: r for r in byte_bpe.round_trip(table(spark, rows), PATH).collect()}
+    digests = {r["doc_id"]: r for r in byte_bpe.digests(table(spark, rows), PATH).collect()}
+    for i, text in rows:
+        ids = own.encode_ordinary(text or "")
+        assert found[i]["ids"] == ids and found[i]["text"] == (text or "")
+        assert digests[i]["n_tokens"] == len(ids)
+        assert digests[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert digests[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+    apart = byte_bpe.decode(byte_bpe.encode(table(spark, rows), PATH), PATH)
+    assert {r["doc_id"]: r["text"] for r in apart.collect()} == {i: t or "" for i, t in rows}
+
+
+def test_streaming_decoder():
+    decoder = byte_bpe.Decoder({0: b"\xe2", 1: b"\x82\xac", 2: b"a"})
+    assert [decoder.feed([0], last=False), decoder.feed([1, 2], last=False), decoder.feed([0])] == ["", "€a", "\ufffd"]
+
+
+def test_chat_format(spark):
+    texts = ["hi", "</s>[INST] ok [/INST]", "\\a\\\\[<", None, "", "[ROLE x[:]", " [/INST]", "<s>" * 50]
+    r = random.Random(2)
+    turns = [(c, t, r.choice(("user", "assistant", "system", "tool<", None)), r.choice(texts), "x") for c in range(30) for t in range(r.randrange(1, 7))]
+    turns += [(None, 0, "user", "a", "x"), (90, 0, "user", "q", "x"), (90, 1, "assistant", "r", "x"), (91, 0, "assistant", "r", "x")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, loss string").repartition(3)
+    formatted = chat_format.segments(df)
+    found = {r["conv_id"]: r for r in chat_format.read_back(formatted).collect()}
+    assert len(found) == len({t[0] for t in turns})
+    for conv, r in found.items():
+        mine = sorted((t for t in turns if t[0] == conv), key=lambda t: t[1])
+        digest = hashlib.sha256("".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in mine).encode()).hexdigest()
+        loss = "".join(t[3] or "" for t in mine if t[2] == "assistant")
+        assert (r["n_turns"], r["turns_sha256"]) == (len(mine), digest)
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert found[90]["valid"] and not found[91]["valid"]
+    chars = {r["conv_id"]: r["n"] for r in formatted.groupBy("conv_id").agg(F.sum(F.length("segment")).alias("n")).collect()}
+    assert chars == {c: r["formatted_chars"] for c, r in found.items()}
+    assert chat_format.read_back(chat_format.segments(df.limit(0))).count() == 0
+
+
+def brute_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            o = len(sets[a] & sets[b])
+            if a < b and o and 100 * o >= 80 * (len(sets[a]) + len(sets[b]) - o):
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join(spark, small):
+    base = " ".join(random.Random(9).choices(WORDS, k=80)).split()
+    rows = corpus(80, seed=4) + [(7000 + k, " ".join(base[:k] + [f"z{k}"] + base[k + 1 :])) for k in range(40)]
+    options = {"block_shingles": 300, "broadcast_nodes": 0} if small else {}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, rows), **options).collect()}
+    assert found == brute_components(rows)
+
+
+def test_ngram_join_light_sets(spark):
+    """Many small sets, so that subsets are enumerated."""
+    r = random.Random(8)
+    rows = [(k, " ".join(r.choices("abc", k=r.randrange(1, 14)))) for k in range(250)]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, rows)).collect()} == brute_components(rows)
+    keys = list(ngram_join._keys(12)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "n": pa.array([10], pa.int32()), "first": [list(range(10))]})])))[0]
+    assert keys.num_rows == 45 + 10 + 1  # for larger sets of 10, 11 and 12 shingles; 13 are too many to link with
+
+
+def test_components(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
+    forest = components.Forest()
+    for a, b in edges:
+        forest.join(a, b)
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()}
+    assert found == {n: c for n, c in zip(*forest.edges(), strict=True) if n != c}
+
+
+def test_lm_scoring(spark):
+    rows = corpus(150, seed=6) + [(3001, "twice given w1")]
+    found = lm_scoring.lm_scores(table(spark, rows)).collect()
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    tokens = [(i, [*words(t), None]) for i, t in rows]
+    c = Counter(x for i, w in tokens if not held(i) for x in w)
+    n, v = sum(c.values()), len(c)
+    want = sorted((i, held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for i, w in tokens)
+    assert sorted((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in found) == want
+    out = [r for r in found if r["held_out"]]
+    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    assert all(r["score"] < 0 for r in found)
+
+
+def test_lm_probabilities_sum_to_one():
+    """Over all known words and the unknown one, in every context."""
+    r = np.random.default_rng(1)
+    hashes = np.sort(r.integers(1, 2**62, 20).astype(np.uint64))
+    place, context = np.divmod(np.arange(20 * 3), 3)
+    count = r.integers(0, 6, 60)
+    some = count > 0
+    payload = lm_scoring.pack(hashes, place[some].astype(np.uint32), (context[some] - 1).astype(np.int16), count[some].astype(np.int64))
+    customers = np.array([count[context == 1].sum(), count[context == 2].sum(), 0])
+    settings = lm_scoring.Settings(int(count.sum()), 20, 0.5, 0.4, [lm_scoring.Totals(customers, customers) for _ in range(lm_scoring.SWEEPS + 1)])
+    bucket = lm_scoring.Bucket(0, payload, settings)
+    for k, (tables, at, at_root) in enumerate(bucket.sweep(lm_scoring.SWEEPS)):  # totals as a full sweep would gather them
+        inside = [tables[(bucket.context == c)].sum() for c in (0, 1)]
+        settings.after[k + 1] = lm_scoring.Totals(np.array([customers[0], customers[1], at.sum()]), np.array([*inside, at_root.sum()]))
+    model = lm_scoring.Model(lm_scoring.Bucket(0, payload, settings))
+    unknown = np.append(hashes, np.uint64(2**63))
+    for c in (-1, 0, 1):
+        _, logs = model.answer(unknown, np.arange(21), np.full(21, c, np.int16))
+        assert (10.0 ** logs.astype(float)).sum() == pytest.approx(1.0, abs=0.05 if c >= 0 else 1e-5)
+
+
+def test_quality_classifier(spark):
+    r = random.Random(4)
+    good = [(k, " ".join(r.choices(WORDS, k=80))) for k in range(200)]
+    bad = [(1000 + k, " | ".join(r.choices(WORDS, k=80))) for k in range(100)]
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i, _ in good + bad], "doc_id long, quality int")
+    rows = good + bad + [(5000, None), (5001, ""), (None, "w1 w2")]
+    found = quality_classifier.quality_classifier(table(spark, rows), labels).collect()
+    assert len(found) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in found)
+    out = [r for r in found if r["held_out"] and r["doc_id"] < 5000]
+    assert sum(r["predicted"] == int(r["doc_id"] < 1000) for r in out) > 0.95 * len(out)
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found if r["doc_id"] is not None)
+    without = quality_classifier.quality_classifier(table(spark, rows[:3]), labels.limit(0)).collect()
+    assert {r["score"] for r in without} == {0.5}
+
+
+def test_factorisation_identity():
+    m = quality_classifier.FactorisationMachine.start()
+    index, x = np.array([1, 5, 9]), np.array([0.5, 2.0, -1.0])
+    pairs = sum(float(m.factors[i] @ m.factors[j]) * a * b for k, (i, a) in enumerate(zip(index, x)) for j, b in list(zip(index, x))[k + 1 :])
+    assert m.raw(index, x) == pytest.approx(pairs)
+
+
+@pytest.mark.parametrize("memory", [exact_dedup.MEMORY_BYTES, 2000])
+def test_exact_dedup(spark, memory):
+    rows = corpus() + [(3001, ""), (None, "one"), (8000, "one")]
+    found = exact_dedup.exact_dedup(table(spark, rows), memory).collect()
+    key = lambda t: (t or "").translate(LOWER)
+    group = {}
+    for i, t in rows:
+        group.setdefault(key(t), []).append(i)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in group.items()}
+    want = [(i, best[key(t)], len(group[key(t)]), i == best[key(t)], hashlib.sha256(key(t).encode()).hexdigest()) for i, t in rows]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
+def test_sharding(spark):
+    rows = [(k, "x" * (k % 97) * 20) for k in range(500)] + [(9000, "y" * 6000), (9001, None), (None, "")] + [(9002, "z" * 900)] * 9
+    found = sharding.shards(table(spark, rows), 4000).collect()
+    sizes = Counter()
+    by_key = {}
+    for r in found:
+        by_key.setdefault(r["shard"], r)
+    assert len(found) == len(rows)
+    plain = dict(rows)
+    for r in found:
+        sizes[r["shard"]] += len(plain[r["doc_id"]] or "")
+    for shard, r in by_key.items():
+        assert sizes[shard] == r["shard_bytes"] and (r["oversized"] or r["shard_bytes"] <= 4000) and len(shard) == r["depth"]
+    assert sum(r["oversized"] for r in found) == 1 + 9
+    names = sorted(by_key)
+    assert not any(b.startswith(a) for a, b in zip(names, names[1:]))
+    assert sharding.shards(table(spark, []), 4000).count() == 0
+
+
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 5, "b": 3, "c": 3, "d": 1, "*": 1}, {"a": 1}])
+def test_pfair_deviation(weights):
+    order, total, given = mixing.earliest_deadline_first(weights), sum(weights.values()), Counter()
+    for slot, (c, k) in enumerate(order, 1):
+        assert k == given[c]
+        given[c] += 1
+        assert all(abs(given[x] - slot * q / total) < 1 for x, q in weights.items())
+    assert given == weights
+
+
+def test_mixing(spark):
+    rows = [(k, "x" * 100) for k in range(600)] + [(None, None), (700, "")]
+    found = mixing.mixed(table(spark, rows), {"a": 2, "b": 1}, 500).collect()
+    assert len(found) == len(rows)
+    slots = {}
+    for r in found:
+        assert slots.setdefault(r["slot"], (r["class"], r["block"])) == (r["class"], r["block"])
+    assert mixing.mixed(table(spark, []), {"a": 1}).count() == 0
+    with pytest.raises(ValueError):
+        mixing.mixed(table(spark, rows), {"a": 0})
+
+
+def test_url_filter(spark):
+    urls = [None, "", "no scheme", "http://X.example.COM/en/7/a?b#c", "http://example.com/en/8", "ftp://a.net/de/1", "http://example.net/de/80", "http://example.net/de/7",
+            "https://www.bad.io:443/p/?utm_source=x&id=3#f", "http://bad.io/p?id=3", "http://bad.io/p?id=4", "http://com/en/", "http://notcom/en/", "http://a.org/es/", "a://b://c/d", "http://bad.io/p?ref=1&id=3"]
+    pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls)], "page_id long, url string, html string, rule string")
+    listed = spark.createDataFrame([("https://bad.io/p?id=3",), (None,), ("https://bad.io/p?id=3",)], "url string")
+    for limit in (url_filter.BROADCAST_BYTES, 0):
+        found = {r["page_id"]: r for r in url_filter.url_filter(pages, listed, catalog.RULES, limit).collect()}
+        want = {3: ("example.com/en/7", "allow"), 4: ("com/en/", "block"), 5: ("net/de/", "allow"), 6: ("example.net/de/8", "block"), 7: ("net/de/", "allow"), 8: (None, "block"), 9: (None, "block"), 11: ("com/en/", "block"), 13: ("org/es/", "block"), 15: (None, "block")}
+        assert {k: (r["rule"], r["verdict"]) for k, r in found.items()} == {k: want.get(k, (None, "allow")) for k in range(len(urls))}
+        assert (found[3]["host"], found[3]["path"], found[0]["host"], found[14]["host"], found[14]["path"]) == ("x.example.com", "/en/7/a", "", "b:", "//c/d")
+    assert url_filter.url_filter(pages, listed.limit(0), catalog.RULES).filter("listed").count() == 0
+
+
+def test_bloom_has_no_false_negatives(spark):
+    many = spark.range(3000).select(F.concat(F.lit("http://h/"), F.col("id").cast("string")).alias("url"), F.col("id").alias("page_id"))
+    found = url_filter.url_filter(many, many.filter("page_id % 3 = 0").select("url"), [url_filter.Rule("z", "/", "block")])
+    assert found.filter("listed").count() == 1000 and found.filter("listed and page_id % 3 <> 0").count() == 0
+
+
+def test_empty_tables(spark):
+    docs = table(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for df in (
+        quality_rules.quality_rules(docs, labels), byte_bpe.digests(docs, PATH), ngram_join.ngram_join(docs), lm_scoring.lm_scores(docs),
+        quality_classifier.quality_classifier(docs, labels), exact_dedup.exact_dedup(docs),
+    ):
+        assert df.count() == 0
