@@ -6,48 +6,51 @@ and light ones against heavy ones, meet in inverted lists; a set of n need only
 its n/5 + 1 first shingles in one order common to all.  The boundary x is chosen by cost: numbers of
 subsets against lengths of list scans, from the sets' actual sizes and lists.
 
-The common order puts frequent shingles last, by a table of counters over all shingles of all documents
-(a fixed number of counters, so the table is bounded; how exact they are decides how many
-candidates there are, never which links are found).  So passages that many documents share drop out of the lists.
+The common order is by document frequency, counted over all documents: tasks gather their documents in chunks, send
+the distinct shingles of each chunk to the task that counts that part of the hash space, and get back those that
+other sets have too.  Shingles of one set alone come first in the order and lie in no list but their own, so
+they are never listed: a set with more than n/5 of them links with nothing and is done with.
 
-Lists are scanned in order of set size; neighbours of compatible sizes are candidates, which
-is linear in a list's length, and every pair that can link lies in one connected block of candidates.
-Each block's whole sets meet in one task, or, if they exceed ``BLOCK_SHINGLES``, in one task per
-pair of chunks.  There an exact search walks from set to set over shared shingles and counts overlaps
-with sets not reached yet, so a group of g near copies costs about g, not g squared, comparisons.  Sets that
-link are joined; components follow from those links.
+Lists hold, per chunk and run of compatible sizes, one entry; entries of a list whose sizes are compatible are
+candidates, which is linear in a list's length however many sets it has, and every pair that can link lies in one
+connected block of candidates.  Equal sets are one.  Each block's whole sets meet in one task, or, if they
+exceed ``BLOCK_SHINGLES``, in one task per pair of its parts.  There an exact search walks from set to set
+over shared shingles and counts overlaps with sets not reached yet, so a group of g near copies costs
+about g, not g squared, comparisons.  Sets that link are joined; components follow from those links.
 
-Shingles are 64-bit hashes of word sequences (lower-cased A-Z).  Copies within one task enter once.
+Shingles are 64-bit hashes of word sequences (lower-cased A-Z).
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing.  Rows
-with one ``doc_id`` are one document.  A null ``doc_id`` is linked with nothing and is its own (null) component.  Other columns are not read.
+repeated with one ``doc_id`` get a row each.  A null ``doc_id`` is linked with nothing and is its own (null) component.  Other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 from math import ceil, comb
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gantry.llm.common import partitions_for, written
 from gantry.llm.components import Forest, components
+from gantry.llm.payloads import pack, rows_of, unpack
 from gantry.llm.textbytes import MIX, U64, lowered_bytes, mixed, word_hashes
 
 WORDS = 5
-COUNTER_BITS = 22
-COUNTER_PARTS = 64
 MAX_LIGHT = 12
+CHUNK_SHINGLES = 3_000_000
 BLOCK_SHINGLES = 2_000_000
 BROADCAST_NODES = 2_000_000
 Batches = Iterator[pa.RecordBatch]
 
 
-def shingles(text: np.ndarray, distinct: bool = True) -> np.ndarray:
+def shingles(text: np.ndarray) -> np.ndarray:
     """Sorted distinct hashes of the 5-word sequences; of the whole sequence if there are fewer words."""
     words = word_hashes(text)
     n = max(1, len(words) - WORDS + 1)
@@ -56,8 +59,7 @@ def shingles(text: np.ndarray, distinct: bool = True) -> np.ndarray:
     found = words[:n].copy()
     for k in range(1, min(len(words), WORDS)):
         found = (found ^ (found >> U64(29))) * MIX[k] + words[k : k + n]
-    found = mixed(found)
-    return np.unique(found) if distinct else found
+    return np.unique(mixed(found))
 
 
 def links(o: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
@@ -65,92 +67,181 @@ def links(o: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
     return 100 * o >= 80 * (a + b - o)
 
 
-def _counted(batches: Batches) -> Batches:
-    counters, held, size = np.zeros(1 << COUNTER_BITS, np.int64), [], 0
+# Steps 1 to 3: document frequencies.  Rows of chunks go to parts of the hash space and back.
 
-    def add() -> None:
-        nonlocal counters, held, size
-        if held:
-            counters += np.bincount((np.concatenate(held) >> U64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counters))
-        held, size = [], 0
+ROW = "chunk long, part int, payload binary"
 
-    for batch in batches:
-        for text in lowered_bytes(batch.column("text")):
-            found = shingles(text, distinct=False)
-            held.append(found)
-            size += len(found)
-            if size > 1_000_000:
-                add()
-    add()
-    yield from _parts({k: part for k, part in enumerate(counters.reshape(COUNTER_PARTS, -1)) if part.any()})
-
-
-def _parts(parts: dict[int, np.ndarray]) -> Batches:
-    for number, part in parts.items():
-        narrow = part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part
-        yield pa.RecordBatch.from_pydict({
-            "part": pa.array([number], pa.int32()), "wide": pa.array([narrow is part]), "counts": pa.array([narrow.tobytes()], pa.binary()),
-        })
-
-
-def _summed(batches: Batches) -> Batches:
-    parts: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for number, wide, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "wide", "counts")), strict=True):
-            counts = np.frombuffer(counts, np.int64 if wide else np.uint16).astype(np.int64)
-            parts[number] = parts[number] + counts if number in parts else counts
-    yield from _parts(parts)
 
+def _batched(rows: Iterator[tuple[int, int, bytes]], limit: int = 2 << 20) -> Batches:
+    held, size = [], 0
 
-PART_SCHEMA = "part int, wide boolean, counts binary"
+    def out() -> pa.RecordBatch:
+        chunk, part, payload = zip(*held, strict=True)
+        return pa.RecordBatch.from_pydict({"chunk": pa.array(chunk, pa.int64()), "part": pa.array(part, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size > limit or len(held) >= 1000:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
 
-def frequency_levels(docs: DataFrame) -> np.ndarray:
-    """How common the shingles of each counter are: 0 up to about the mean load, then one level per doubling.
 
-    Sums of all tasks' counters meet in two steps; what the driver gets is the fixed table.
-    """
-    counted = docs.select("text").mapInArrow(_counted, PART_SCHEMA).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(8)))
-    n = partitions_for(docs)
-    halfway = counted.repartition(n, "part", "salt").select("part", "wide", "counts").mapInArrow(_summed, PART_SCHEMA)
-    counters = np.zeros((COUNTER_PARTS, (1 << COUNTER_BITS) // COUNTER_PARTS), np.int64)
-    for row in halfway.repartition(min(n, COUNTER_PARTS), "part").mapInArrow(_summed, PART_SCHEMA).toLocalIterator():
-        counters[row["part"]] += np.frombuffer(row["counts"], np.int64 if row["wide"] else np.uint16)
-    mean = max(counters.mean(), 1.0)
-    usual = mean + 4 * np.sqrt(mean)
-    return np.ceil(np.log2(np.maximum(counters.reshape(-1) / usual, 1.0))).astype(np.uint8)
+def _chunks(parts: int):
+    """Per chunk its documents (in a part below 0), and per part the distinct shingles with the sets that have them.
 
+    Equal sets of a chunk enter once.  Within a part shingles are known by 32 of their bits; sets that
+    meet by chance in those become candidates and no more.
+    """
 
-def _sets(levels) -> callable:
-    """Per document its set's size and first shingles; of sets met again in the task, only a reference."""
-
-    def run(batches: Batches) -> Batches:
-        table, seen = levels.value, {}
+    def chunk(number: int, ids: list, sizes: list[int], keys: list, same: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
+        known = [i is not None for i in ids]
+        yield number, -1 - (number >> 32), pack(
+            np.array([i or 0 for i in ids], np.int64), np.array(known, np.uint8), np.array(sizes, np.int32),
+            np.array(same, np.int32), np.array(keys, U64).reshape(-1, 2).T.copy().reshape(-1),
+        )
+        if not sets:
+            return
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+        part_of = ((flat >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+        # By part, then by the other 32 bits, then by set: the stable sort keeps sets in order.
+        order = np.argsort(part_of.astype(np.int64) << 32 | (flat & U64(0xFFFFFFFF)).astype(np.int64), kind="stable")
+        part_of, low, owner = part_of[order], flat[order].astype(np.uint32), owner[order]
+        cuts = np.searchsorted(part_of, np.arange(parts + 1))
+        for part in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b = cuts[part], cuts[part + 1]
+            starts = np.flatnonzero(np.concatenate(([True], low[a + 1 : b] != low[a : b - 1])))
+            yield number, part, pack(low[a:b][starts], np.diff(starts, append=b - a).astype(np.uint32), owner[a:b], np.array([len(sets)]))
+
+    def rows(batches: Batches) -> Iterator[tuple]:
+        number, total = TaskContext.get().partitionId() << 32, 0
+        ids, sizes, keys, same, sets, seen = [], [], [], [], [], {}
         for batch in batches:
-            sizes, same_as, first = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), lowered_bytes(batch.column("text")), strict=True):
                 found = shingles(text)
-                n = len(found)
-                key = (n, *mixed(np.array([np.bitwise_xor.reduce(found), found.sum()], U64)).tolist()) if n else None
-                if n == 0 or doc_id is None:
-                    sizes.append(n), same_as.append(doc_id), first.append(None)
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                known = seen.setdefault(key, doc_id)
-                sizes.append(n)
-                same_as.append(known)
-                if known != doc_id:
-                    first.append(None)
+                ids.append(doc_id)
+                sizes.append(len(found))
+                key = (int(np.bitwise_xor.reduce(mixed(found))), int(found.sum())) if len(found) else (0, 0)
+                keys.append(key)
+                if doc_id is None or not len(found):
+                    same.append(-1)
                     continue
-                order = np.argsort(table[(found >> U64(64 - COUNTER_BITS)).astype(np.int64)], kind="stable")
-                first.append(found[order[: n if n <= MAX_LIGHT else n // 5 + 1]].view(np.int64))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"), "n": pa.array(sizes, pa.int32()),
-                "same_as": pa.array(same_as, pa.int64()), "first": pa.array(first, pa.list_(pa.int64())),
-            })
+                place = seen.setdefault((len(found), *key), len(sets))
+                same.append(place)
+                if place == len(sets):
+                    sets.append(found)
+                    total += len(found)
+                if total >= CHUNK_SHINGLES or len(ids) >= CHUNK_SHINGLES // 8:
+                    yield from chunk(number, ids, sizes, keys, same, sets)
+                    number, total = number + 1, 0
+                    ids, sizes, keys, same, sets, seen = [], [], [], [], [], {}
+        if ids:
+            yield from chunk(number, ids, sizes, keys, same, sets)
+
+    return lambda batches: _batched(rows(batches))
 
-    return run
+
+def _frequencies(batches: Batches) -> Iterator[tuple]:
+    """Of each chunk's shingles of a part: those of other sets too, with the level of their frequency; and how many are not."""
+    for part, rows in groupby(rows_of(batches, "part", "chunk", "payload"), itemgetter(0)):
+        if part < 0:
+            for _, chunk, payload in rows:
+                yield chunk, part, payload
+            continue
+        held = [(chunk, payload) for _, chunk, payload in rows]
+        first = [unpack(payload)[:2] for _, payload in held]
+        values, place = np.unique(np.concatenate([low for low, _ in first]), return_inverse=True)
+        frequency = np.bincount(place, np.concatenate([counts for _, counts in first]), len(values))
+        at = 0
+        for chunk, payload in held:
+            low, counts, owner, n_sets = unpack(payload)
+            df = frequency[place[at : at + len(low)]]
+            at += len(low)
+            common = df > 1
+            alone = np.bincount(owner[np.repeat(~common, counts)], minlength=int(n_sets[0])).astype(np.uint32)
+            levels = np.minimum(np.ceil(np.log2(df[common])), 255).astype(np.uint8)
+            yield chunk, part, pack(low[common], levels, counts[common], owner[np.repeat(common, counts)], alone)
+
+
+def _runs(key: np.ndarray, n: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of compatible sizes in lists: key, least size, largest size, one owner; and the pairs that tie owners together."""
+    order = np.lexsort((who, n, key))
+    key, n, who = key[order], n[order], who[order]
+    near = (key[1:] == key[:-1]) & (5 * n[:-1] >= 4 * n[1:])
+    starts = np.flatnonzero(np.concatenate(([True], ~near)))
+    ends = np.append(starts[1:], len(key)) - 1
+    return key[starts], n[starts], n[ends], who[starts], who[:-1][near], who[1:][near]
+
+
+DOCUMENT, LISTED, TIED, SMALL = range(4)
+GATHERED = "kind int, a long, b long, c long, d long, e long"
+
+
+def _gathered(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
+    size = len(columns["a"])
+    arrays = {"kind": pa.array(np.full(size, kind, np.int32))}
+    for name in "abcde":
+        arrays[name] = columns.get(name, pa.nulls(size, pa.int64()))
+    return pa.RecordBatch.from_pydict({k: x if isinstance(x, pa.Array) else pa.array(x) for k, x in arrays.items()})
+
+
+def _together(batches: Batches) -> Batches:
+    """Of each chunk: documents (id, n, the set's key in two parts, smallest document of the chunk with this set), list
+    entries (key, least and largest n, document), tied documents, and small sets by shingle (id, n, key, place in the order)."""
+    for _, rows in groupby(rows_of(batches, "chunk", "part", "payload"), itemgetter(0)):
+        _, _, payload = next(rows)
+        ids, known, sizes, same, keys = unpack(payload)
+        keys = keys.view(np.int64).reshape(2, -1)
+        mine = np.flatnonzero(same >= 0)
+        first = mine[np.unique(same[mine], return_index=True)[1]]  # of each set the first document that has it
+        lowest = np.full(len(first), np.iinfo(np.int64).max)
+        np.minimum.at(lowest, same[mine], ids[mine])
+        yield _gathered(
+            DOCUMENT, a=pa.array(ids, mask=known == 0), b=sizes.astype(np.int64), c=keys[0], d=keys[1],
+            e=pa.array(np.where(same >= 0, lowest[same] if len(lowest) else 0, 0), mask=same < 0),
+        )
+        if not len(first):
+            continue
+        alone, low, level, owner = np.zeros(len(first), np.int64), [], [], []
+        for _, part, payload in rows:
+            own_low, own_level, counts, own, own_alone = unpack(payload)
+            alone += own_alone
+            low.append(np.repeat(own_low.astype(np.int64) | part << 32, counts))
+            level.append(np.repeat(own_level, counts))
+            owner.append(own.astype(np.int64))
+        low, level, owner = (np.concatenate(x) for x in (low, level, owner))
+        n = sizes[first].astype(np.int64)
+        # Places in the order: those of one set alone come first.
+        order = np.lexsort((low, level, owner))
+        low, owner = low[order], owner[order]
+        begins = np.searchsorted(owner, np.arange(len(first)))
+        place = np.arange(len(owner)) - begins[owner] + alone[owner]
+        small = n[owner] <= MAX_LIGHT
+        early = place <= n[owner] // 5
+        rest = (alone <= n // 5)[owner]
+        yield from _listings(low, owner, early & rest & ~small, n, lowest)
+        at = np.flatnonzero(small & rest)
+        if len(at):
+            # Small sets whole, in order: how they are listed depends on the boundary.
+            yield _gathered(SMALL, a=lowest[owner[at]], b=n[owner[at]], c=low[at], d=place[at])
+
+
+def _listings(low: np.ndarray, owner: np.ndarray, chosen: np.ndarray, n: np.ndarray, ids: np.ndarray) -> Batches:
+    key, who = low[chosen], owner[chosen]
+    if len(key):
+        key, least, largest, one, left, right = _runs(key, n[who], ids[who])
+        yield _gathered(LISTED, a=key, b=least, c=largest, d=one)
+        forest = Forest()
+        for a, b in set(zip(left.tolist(), right.tolist(), strict=True)):
+            forest.join(a, b)
+        nodes, roots = forest.edges()
+        yield _gathered(TIED, a=np.array(nodes, np.int64), b=np.array(roots, np.int64))
+
+
+# Step 4: small sets, by the boundary that costs least.
 
 
 def subset_sizes(n: int, light: int) -> list[tuple[int, int]]:
@@ -158,11 +249,10 @@ def subset_sizes(n: int, light: int) -> list[tuple[int, int]]:
     return [(b, ceil(4 * b / 5)) for b in range(n, min(5 * n // 4, light) + 1)]
 
 
-def boundary(sets: DataFrame) -> int:
-    """The size up to which enumerating subsets costs less than scanning lists."""
-    small = sets.filter(F.col("first").isNotNull() & (F.col("n") <= MAX_LIGHT))
-    counts = {r["n"]: r["c"] for r in small.groupBy("n").agg(F.count("*").alias("c")).collect()}
-    keys = small.select("n", F.explode(F.expr("slice(first, 1, n div 5 + 1)")).alias("key"))
+def boundary(small: DataFrame) -> int:
+    """The size up to which enumerating subsets costs less than scanning lists; ``small`` has a row for each set and shingle."""
+    counts = {r["n"]: r["c"] for r in small.groupBy("n").agg(F.count_distinct("doc_id").alias("c")).collect()}
+    keys = small.filter(F.col("place") <= F.expr("n div 5"))
     lists = keys.groupBy("key").agg(*(F.count_if(F.col("n") <= x).alias(f"c{x}") for x in range(1, MAX_LIGHT + 1)))
     scans = lists.agg(*(F.sum(F.col(f"c{x}").cast("double") * F.col(f"c{x}")).alias(f"c{x}") for x in range(1, MAX_LIGHT + 1))).first()
     cost = {0: 0.0}
@@ -172,55 +262,61 @@ def boundary(sets: DataFrame) -> int:
     return min(cost, key=lambda x: (cost[x], x))
 
 
-def _keys(light: int) -> callable:
+def _small_keys(light: int):
+    """List entries of small sets: of subsets up to the boundary, of first shingles beyond it or against sets beyond it."""
+
+    def entries(rows: Iterator[tuple]) -> Iterator[tuple[int, int, int]]:
+        for (doc_id, n), own in groupby(rows, itemgetter(0, 1)):
+            found = [(key, place) for _, _, key, place in own]
+            if n <= light:
+                each = mixed(np.array([key for key, _ in found], np.int64).view(U64)).tolist()
+                for b, size in subset_sizes(n, light):
+                    for subset in combinations(each, size):
+                        yield (sum(subset) + b & (1 << 64) - 1) - (1 << 63), n, doc_id
+            if n > light or 5 * n >= 4 * (light + 1):
+                yield from ((key, n, doc_id) for key, place in found if place <= n // 5)
+
     def run(batches: Batches) -> Batches:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                keys, owners, sizes = [], [], []
-                for doc_id, n, first in zip(part.column("doc_id").to_pylist(), part.column("n").to_pylist(), part.column("first"), strict=True):
-                    found = first.values.to_numpy().view(U64)
-                    if n <= light:
-                        own = [
-                            mixed(np.array([sum(s) + b & (1 << 64) - 1], U64))
-                            for b, size in subset_sizes(n, light)
-                            for s in combinations(found.tolist(), size)
-                        ]
-                        if 5 * n >= 4 * (light + 1):
-                            own.append(found[: n // 5 + 1])
-                    else:
-                        own = [found[: n // 5 + 1]]
-                    keys += own
-                    length = sum(map(len, own))
-                    owners.append(np.full(length, doc_id, np.int64))
-                    sizes.append(np.full(length, n, np.int32))
-                if keys:
-                    yield pa.RecordBatch.from_pydict({
-                        "key": pa.array(np.concatenate(keys).view(np.int64)), "n": pa.array(np.concatenate(sizes)), "doc_id": pa.array(np.concatenate(owners)),
-                    })
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "key", "place")), strict=True))
+        held = []
+        for entry in entries(rows):
+            held.append(entry)
+            if len(held) >= 50_000:
+                yield _entry_batch(held)
+                held = []
+        if held:
+            yield _entry_batch(held)
 
     return run
 
 
+def _entry_batch(entries: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    key, n, doc_id = zip(*entries, strict=True)
+    return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "least": pa.array(n, pa.int64()), "largest": pa.array(n, pa.int64()), "doc_id": pa.array(doc_id, pa.int64())})
+
+
 def _neighbours(batches: Batches) -> Batches:
-    """Neighbours of compatible sizes in lists that come sorted by key and size."""
-    last = np.zeros((3, 1), np.int64)
-    known: set[tuple[int, int]] = set()
-    fresh = True
+    """Of lists sorted by key and least size: neighbours that hold compatible sizes."""
+    last, forest = None, Forest()
     for batch in batches:
-        now = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "n", "doc_id")])
-        if not fresh:
-            now = np.concatenate([last, now], axis=1)
-        fresh, last = False, now[:, -1:]
-        key, n, doc = now
-        near = (key[1:] == key[:-1]) & (5 * n[:-1] >= 4 * n[1:]) & (doc[1:] != doc[:-1])
-        pairs = set(zip(doc[:-1][near].tolist(), doc[1:][near].tolist(), strict=True)) - known
-        if len(known) > 200_000:
-            known = set()
-        known |= pairs
-        if pairs:
-            a, b = zip(*pairs, strict=True)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        for key, least, largest, doc_id in zip(*(batch.column(c).to_pylist() for c in ("key", "least", "largest", "doc_id")), strict=True):
+            if last is not None and last[0] == key and 5 * last[1] >= 4 * least:
+                forest.join(last[2], doc_id)
+                last = key, max(largest, last[1]), doc_id
+            else:
+                last = key, largest, doc_id
+        if len(forest.parent) > 200_000:
+            yield _edge_batch(forest)
+            forest = Forest()
+    yield _edge_batch(forest)
+
+
+def _edge_batch(forest: Forest) -> pa.RecordBatch:
+    a, b = forest.edges()
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+# Step 5: whole sets of blocks.
 
 
 def walk(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -294,49 +390,53 @@ def _linked(batches: Batches) -> Batches:
         if ids:
             yield ids, sets
 
-    forest_rows: list[tuple[int, int]] = []
+    forest = Forest()
     for ids, sets in groups():
-        forest = Forest()
         for a, b in walk(ids, sets):
             forest.join(a, b)
-        forest_rows += zip(*forest.edges(), strict=True)
-        if len(forest_rows) > 10_000:
-            yield _edge_batch(forest_rows)
-            forest_rows = []
-    if forest_rows:
-        yield _edge_batch(forest_rows)
+        if len(forest.parent) > 10_000:
+            yield _edge_batch(forest)
+            forest = Forest()
+    yield _edge_batch(forest)
 
 
-def _edge_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def gathered(docs: DataFrame) -> DataFrame:
+    """Documents, list entries and ties of all chunks, once written."""
+    n = partitions_for(docs)
+    counted = docs.mapInArrow(_chunks(n), ROW).repartition(n, "part").sortWithinPartitions("part", "chunk").mapInArrow(lambda batches: _batched(_frequencies(batches)), ROW)
+    return written(counted.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_together, GATHERED), "sets")
 
 
 def ngram_join(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
-    spark, n = docs.sparkSession, partitions_for(docs)
+    n = partitions_for(docs)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    levels = spark.sparkContext.broadcast(frequency_levels(docs))
-    sets = written(docs.mapInArrow(_sets(levels), "doc_id long, n int, same_as long, first array<long>"), "sets")
-    keys = sets.filter("first IS NOT NULL").select("doc_id", "n", "first").mapInArrow(_keys(boundary(sets)), "key long, n int, doc_id long")
-    lists = keys.repartition(n, "key").sortWithinPartitions("key", "n", "doc_id")
-    candidates = lists.mapInArrow(_neighbours, "a long, b long").distinct()
-    blocks = components(candidates)
-    # The smallest node of each block belongs to it too.
-    nodes = written(blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct()), "blocks")
-    weights = nodes.join(sets.filter("first IS NOT NULL").select(F.col("doc_id").alias("node"), "n"), "node").groupBy("component")
-    chunks = weights.agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks")).filter("chunks > 1")
-    dealt = nodes.join(chunks, "component", "left").select(
-        F.col("node").alias("doc_id"), F.col("component").alias("block"), F.coalesce("chunks", F.lit(1)).alias("chunks")
-    )
-    dealt = written(dealt, "dealt")
+    table = gathered(docs)
+    rows = lambda kind, **names: table.filter(F.col("kind") == kind).select(*(F.col(c).alias(name) for c, name in names.items()))
+    documents = rows(DOCUMENT, a="doc_id", b="n", c="xored", d="added", e="same_as")
+    # Equal sets of different chunks: the smallest document stands for all.
+    chunk_sets = documents.filter("doc_id = same_as").distinct()
+    least = chunk_sets.groupBy("n", "xored", "added").agg(F.min("doc_id").alias("stands"))
+    standing = written(chunk_sets.join(least, ["n", "xored", "added"]).select("doc_id", "n", "stands"), "standing")
+    small = rows(SMALL, a="doc_id", b="n", c="key", d="place").repartition(n, "doc_id").distinct().sortWithinPartitions("doc_id", "n", "key", "place")
+    entries = "key long, least long, largest long, doc_id long"
+    lists = rows(LISTED, a="key", b="least", c="largest", d="doc_id").unionByName(small.mapInArrow(_small_keys(boundary(small)), entries))
+    lists = lists.repartition(n, "key").sortWithinPartitions("key", "least", "doc_id")
+    same = standing.filter("doc_id > stands").select(F.col("doc_id").alias("a"), F.col("stands").alias("b"))
+    ties = lists.mapInArrow(_neighbours, "a long, b long").unionByName(rows(TIED, a="a", b="b")).unionByName(same)
+    blocks = components(ties)
+    # The smallest node of each block belongs to it too; then only what stands for others, in blocks that have two or more.
+    nodes = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
+    nodes = nodes.join(standing.filter("doc_id = stands").select(F.col("doc_id").alias("node"), "n"), "node")
+    weights = nodes.groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks"), F.count("*").alias("sets")).filter("sets > 1")
+    dealt = written(nodes.join(weights, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "chunks"), "dealt")
     texts = docs.join(F.broadcast(dealt) if dealt.count() <= broadcast_nodes else dealt, "doc_id")
     chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
     pairs = texts.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     grouped = pairs.select("block", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "doc_id", "text")
     grouped = grouped.repartition(n, "block", "low", "high").sortWithinPartitions("block", "low", "high", "doc_id")
     found = components(grouped.mapInArrow(_linked, "a long, b long"))
-    labelled = sets.join(found.withColumnRenamed("node", "same_as"), "same_as", "left")
-    labelled = written(labelled.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "same_as").alias("label")), "labels")
-    least = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return labelled.join(least, "label", "left").select("doc_id", "n_shingles", "component_id")
+    labels = standing.join(found.withColumnRenamed("node", "stands"), "stands", "left")
+    labels = labels.groupBy(F.col("doc_id").alias("same_as")).agg(F.min(F.coalesce("component", "stands")).alias("label"))
+    labelled = documents.join(labels, "same_as", "left")
+    return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))

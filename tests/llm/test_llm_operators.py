@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gantry.llm import byte_bpe, catalog, chat_format, components, exact_dedup, lm_scoring, mixing, ngram_join
+from gantry.llm import byte_bpe, catalog, chat_format, components, exact_dedup, lm_scoring, mixing, ngram_join, payloads
 from gantry.llm import quality_classifier, quality_rules, sharding, url_filter
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -163,10 +163,22 @@ def test_ngram_join_light_sets(spark):
     r = random.Random(8)
     rows = [(k, " ".join(r.choices("abc", k=r.randrange(1, 14)))) for k in range(250)]
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, rows)).collect()} == brute_components(rows)
-    keys = list(ngram_join._keys(12)(iter([pa.RecordBatch.from_pydict({"doc_id": [1], "n": pa.array([10], pa.int32()), "first": [list(range(10))]})])))[0]
+    rows = {"doc_id": [1] * 10, "n": [10] * 10, "key": list(range(10)), "place": list(range(10))}
+    keys = next(ngram_join._small_keys(12)(iter([pa.RecordBatch.from_pydict(rows)])))
     assert keys.num_rows == 45 + 10 + 1  # for larger sets of 10, 11 and 12 shingles; 13 are too many to link with
 
 
+@pytest.mark.parametrize("size", [40, 700])
+def test_ngram_join_in_many_chunks(spark, size, monkeypatch):
+    """Equal and similar sets that lie in different chunks, with few shingles of their own."""
+    r = random.Random(10)
+    pool = [" ".join(r.choices(WORDS, k=30)) for _ in range(12)]
+    rows = [(k, " ".join(r.sample(pool, 4))) for k in range(150)] + [(500 + k, " ".join([*pool[:5], f"y{k % 20}"])) for k in range(40)]
+    rows += [(900 + k, rows[k][1]) for k in range(0, 150, 3)]
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", size * 8)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, rows)).collect()} == brute_components(rows)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
@@ -198,13 +210,14 @@ def test_lm_probabilities_sum_to_one():
     place, context = np.divmod(np.arange(20 * 3), 3)
     count = r.integers(0, 6, 60)
     some = count > 0
-    payload = lm_scoring.pack(hashes, place[some].astype(np.uint32), (context[some] - 1).astype(np.int16), count[some].astype(np.int64))
+    payload = payloads.pack(hashes, place[some].astype(np.uint32), (context[some] - 1).astype(np.int16), count[some].astype(np.int64))
     customers = np.array([count[context == 1].sum(), count[context == 2].sum(), 0])
-    settings = lm_scoring.Settings(int(count.sum()), 20, 0.5, 0.4, [lm_scoring.Totals(customers, customers) for _ in range(lm_scoring.SWEEPS + 1)])
+    settings = lm_scoring.Settings(int(count.sum()), 20, 0.5, 0.4, [lm_scoring.Totals(customers, customers)])
     bucket = lm_scoring.Bucket(0, payload, settings)
-    for k, (tables, at, at_root) in enumerate(bucket.sweep(lm_scoring.SWEEPS)):  # totals as a full sweep would gather them
+    for k in range(lm_scoring.SWEEPS):  # totals as they are gathered after each sweep
+        *_, (tables, at, at_root) = bucket.sweep(k + 1)
         inside = [tables[(bucket.context == c)].sum() for c in (0, 1)]
-        settings.after[k + 1] = lm_scoring.Totals(np.array([customers[0], customers[1], at.sum()]), np.array([*inside, at_root.sum()]))
+        settings.after.append(lm_scoring.Totals(np.array([customers[0], customers[1], at.sum()]), np.array([*inside, at_root.sum()])))
     model = lm_scoring.Model(lm_scoring.Bucket(0, payload, settings))
     unknown = np.append(hashes, np.uint64(2**63))
     for c in (-1, 0, 1):
