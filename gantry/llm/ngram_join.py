@@ -44,7 +44,7 @@ from gantry.llm.textbytes import MIX, U64, lowered_bytes, mixed, word_hashes
 
 WORDS = 5
 MAX_LIGHT = 12
-CHUNK_SHINGLES = 3_000_000
+CHUNK_SHINGLES = 1_000_000
 BLOCK_SHINGLES = 2_000_000
 BROADCAST_NODES = 2_000_000
 Batches = Iterator[pa.RecordBatch]
