@@ -238,6 +238,10 @@ def test_quality_classifier(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in found if r["doc_id"] is not None)
     without = quality_classifier.quality_classifier(table(spark, rows[:3]), labels.limit(0)).collect()
     assert {r["score"] for r in without} == {0.5}
+    docs = table(spark, rows)
+    kept = quality_classifier.accepted(docs, quality_classifier.train(docs, labels))
+    assert kept.schema == docs.schema
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in found if r["predicted"])
 
 
 def test_factorisation_identity():
