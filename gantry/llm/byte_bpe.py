@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_STATES = 40_000
-MAX_PIECES = 400_000
+MAX_PIECES = 100_000
 MAX_CHUNKS = 100_000
 MAX_PAIRS = 400_000
 SETTLE_BYTES = 4096
@@ -284,7 +284,7 @@ def _decoder(path: str) -> Decoder:
 
 
 Batches = Iterator[pa.RecordBatch]
-BATCH_BYTES = 12 << 20
+BATCH_BYTES = 5 << 20
 
 
 def _slices(batch: pa.RecordBatch) -> Batches:
