@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_STATES = 40_000
-MAX_PIECES = 100_000
-MAX_CHUNKS = 100_000
+MAX_PIECES = 50_000
+MAX_CHUNKS = 30_000
 MAX_PAIRS = 400_000
 SETTLE_BYTES = 4096
 # White space that the pattern's \s means (Unicode White_Space), for the regex module.
