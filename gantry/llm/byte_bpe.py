@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 MAX_STATES = 40_000
 MAX_PIECES = 50_000
-MAX_CHUNKS = 30_000
+MAX_CHUNKS = 60_000
 MAX_PAIRS = 400_000
 SETTLE_BYTES = 4096
 # White space that the pattern's \s means (Unicode White_Space), for the regex module.
@@ -212,7 +212,7 @@ class Encoder:
             if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                 return None
             ids = self.old_chunks.get(chunk) or self._split_ids(" " + chunk)
-            if len(chunk) < 64:
+            if len(chunk) < 64 and len(self.chunks) < MAX_CHUNKS:
                 self.chunks[chunk] = ids
         return ids
 
@@ -221,7 +221,7 @@ class Encoder:
 
         Each distinct chunk of the batch is encoded once; the rest is put together by whole arrays.
         """
-        if len(self.chunks) > MAX_CHUNKS:
+        if len(self.chunks) >= MAX_CHUNKS:
             self.chunks, self.old_chunks = {}, self.chunks
         texts = pc.fill_null(texts, "")
         parts = pc.split_pattern(texts, " ")
