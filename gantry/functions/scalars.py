@@ -109,4 +109,9 @@ def sigmoid(x: Column) -> Column:
 
 
 def log_loss(label: Column, p: Column) -> Column:
-    return -(label * F.log(p) + (1 - label) * F.log(1 - p))
+    """Infinite where the label's class has probability 0; a class without weight adds nothing."""
+
+    def term(weight: Column, q: Column) -> Column:
+        return F.when(weight == 0, 0.0).when(q == 0, float("-inf")).otherwise(weight * F.log(q))
+
+    return -(term(label, p) + term(1 - label, 1 - p))
