@@ -1,15 +1,18 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
 Every text gets fixed measurements.  A rule rejects texts whose measurement is above a
-cutoff.  Per stratum (language) and rule, each cutoff of a grid fixed in advance is tested on
-the labelled rows: with n good ones of which k lie above the cutoff, "it rejects more than
-``risk`` of the good" is refuted if P(Binomial(n, risk) <= k) is at most the error level, which
-is the exact (Clopper-Pearson) bound.  The levels are corrected for all tests made (Bonferroni over
-strata, rules and cutoffs), and each rule gets an equal share of the total risk, so with
-probability 1 - ``delta`` no stratum loses more than ``risk`` of its good texts to the
-rules.  The lowest refuted cutoff is taken; where none is, the rule does not apply.
-
-The grid being fixed, nothing is fitted on the labelled rows, so all of them serve as the holdout.
+cutoff from a grid fixed in advance.  Cutoffs are set per stratum (language) on its n good labelled rows, as
+a tolerance region of statistically equivalent blocks (Tukey): whatever the distribution, the share of good texts
+beyond k successive cuts, each at the largest remaining value of a measurement, has the law Beta(k, n - k + 1).  So k cuts
+reject more than ``risk`` of the good with probability P(Binomial(n, risk) <= k - 1), the exact
+(Clopper-Pearson) bound, for all rules together and without a correction for rules or cutoffs; the largest k for which it
+is at most ``delta`` over the number of strata is taken.  So with probability 1 - ``delta`` no stratum loses more
+than ``risk`` of its good texts to the rules.
+
+The first cut is at the largest of all measurements and holds for every rule; the others are dealt to the rules in turn, so that a
+rule with m of them has the lowest cutoff that fewer than m good rows exceed.  Ties, rounding
+up to the grid and counting rows that other rules have cut already only make cutoffs higher than the bound asks for.
+A stratum with too few good rows for one cut gets no cutoffs.
 
 Defined cases: null text has no words.  A null language is a stratum of its own, and one
 without labels gets no cutoffs.  Of contradicting labels of a ``doc_id`` the lowest counts.
@@ -32,6 +35,7 @@ MAX_REPEAT_PERCENT = 50
 GRID = (0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.8)
 RISK = 0.02
 DELTA = 0.05
+CANDIDATES = 64
 # Strata whose cutoffs are sent to all executors; with more, they are joined by a shuffle.
 BROADCAST_STRATA = 5_000
 
@@ -124,23 +128,31 @@ def _ratio(k: Column, n: Column, j: Column, p: float, within) -> Column:
     return F.when(within(j), at / (n - at + 1) * ((1 - p) / p)).otherwise(0.0)
 
 
+def allowed_cuts(counts: DataFrame, risk: float, delta: float) -> DataFrame:
+    """``counts`` with the largest number of cuts that holds the risk (of ``CANDIDATES`` near the bound); strata with none go."""
+    strata = counts.agg(F.count("*").alias("strata"))
+    most = F.floor(F.col("n") * risk)
+    least = F.floor(F.greatest(F.lit(0.0), F.col("n") * risk - 8 * F.sqrt(F.col("n") * risk)))
+    tried = F.sequence(least, most, F.greatest(F.lit(1).cast("long"), F.floor((most - least) / CANDIDATES)))
+    tests = counts.select("stratum", "n").join(F.broadcast(strata)).select("stratum", "strata", "n", F.explode(tried).alias("k"))
+    held = tests.filter(binomial_cdf(F.col("k"), F.col("n"), risk) <= F.lit(delta) / F.col("strata"))
+    return counts.join(held.groupBy("stratum").agg((F.max("k") + 1).alias("cuts")), "stratum")
+
+
 def cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Per stratum the lowest cutoff of each rule that holds the risk; null where none does."""
+    """Per stratum the lowest cutoff of each rule that holds the risk of all; null where none does."""
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    good = features.select("doc_id", "stratum", *RULES).join(labels.filter("quality = 1"), "doc_id")
+    good = features.select("doc_id", "stratum", *RULES, F.greatest(*RULES).alias("any")).join(labels.filter("quality = 1"), "doc_id")
     counts = good.groupBy("stratum").agg(
         F.count("*").alias("n"),
-        *(F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)),
+        *(F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in (*RULES, "any") for i, c in enumerate(GRID)),
     )
-    per_rule = risk / len(RULES)
-    strata = counts.agg(F.count("*").alias("strata"))
-    each = F.explode(
-        F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff"), F.col(f"{r}_{i}").alias("k")) for r in RULES for i, c in enumerate(GRID)))
+    lowest = lambda r, m: F.coalesce(*(F.when(F.col(f"{r}_{i}") < m, F.lit(c)) for i, c in enumerate(GRID)))
+    own = F.col("cuts") - 1
+    dealt = [F.floor((own + len(RULES) - 1 - k) / len(RULES)) for k in range(len(RULES))]
+    return allowed_cuts(counts, risk, delta).select(
+        "stratum", *(F.least(lowest("any", 1), lowest(r, m)).alias(f"max_{r}") for r, m in zip(RULES, dealt, strict=True))
     )
-    tests = counts.join(F.broadcast(strata)).select("stratum", "strata", "n", each.alias("test")).select("stratum", "strata", "n", "test.*")
-    level = F.lit(delta) / (F.col("strata") * len(RULES) * len(GRID))
-    held = tests.filter(F.col("k") <= F.col("n") * per_rule).filter(binomial_cdf(F.col("k"), F.col("n"), per_rule) <= level)
-    return held.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"max_{r}") for r in RULES))
 
 
 def judge(features: DataFrame, limits: DataFrame) -> DataFrame:

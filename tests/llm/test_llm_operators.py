@@ -83,6 +83,29 @@ def test_cutoffs_hold_their_risk(spark):
     assert p == pytest.approx(cdf(12, 900, 0.02))
 
 
+def test_small_strata_get_cutoffs(spark):
+    """With 321 good rows two cuts hold a risk of 0.02 for one of four strata: one for all rules, one for the first."""
+    r = random.Random(7)
+    rows = [(s, 0.015, r.choice((0.0, 0.03, 0.14))) for s in ("de", "en", "es") for _ in range(321)] + [("xx", 0.0, 0.0)] * 200
+    features = spark.createDataFrame([(k, s, v, 0.0, 0.0, c, 0.0) for k, (s, v, c) in enumerate(rows)], "doc_id long, stratum string, symbols double, dup_lines double, repeats double, capitals double, shouts double")
+    labels = spark.createDataFrame([(k, 1) for k in range(len(rows))], "doc_id long, quality int")
+    found = {r["stratum"]: tuple(r)[1:] for r in quality_rules.cutoffs(features, labels, risk=0.02, delta=0.05).collect()}
+    assert found == {s: (0.02, 0.15, 0.15, 0.15, 0.15) for s in ("de", "en", "es")}
+
+
+def test_cutoffs_hold_the_joint_risk(spark):
+    """Rows rejected by any rule are fewer than the cuts allowed, which the exact bound gives; and bad texts are rejected."""
+    r = random.Random(11)
+    good = [" ".join(r.choices(WORDS, k=60)) + "!" * r.choice((0, 0, 1, 5)) + "#" * (k % 40 == 0) for k in range(400)]
+    bad = [" # ".join(r.choices(WORDS, k=60)) for _ in range(60)]
+    labels = spark.createDataFrame([(k, int(k < 400)) for k in range(460)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(good + bad)], "doc_id long, text string, lang string")
+    found = quality_rules.quality_rules(docs, labels).collect()
+    allowed = sum(sum(math.comb(400, j) * 0.02**j * 0.98 ** (400 - j) for j in range(k + 1)) <= 0.05 for k in range(9))
+    assert sum(not r["kept"] and not r["base_failed"] for r in found if r["doc_id"] < 400) < allowed
+    assert not any(r["kept"] for r in found if r["doc_id"] >= 400)
+
+
 PATH = public_tokenizers.path(catalog.VOCABULARY)
 
 
