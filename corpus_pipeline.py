@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages, each one operator of ``gantry.llm``, from documents to token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All but the
-last return the columns of ``documents``; extra columns of ``docs`` pass through.  ``doc_id``
+last return the columns of ``documents``, and from the mix on its decisions (``MIX``), which the result carries
+beside the digests; extra columns of ``docs`` pass through.  ``doc_id``
 is taken to be a document's key: rows that repeat one are kept or dropped together, until
 exact deduplication leaves one of them.
 """
@@ -18,6 +19,8 @@ from gantry.llm.common import table, written
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Target weights of the mix; sources without an entry share the last one.
 WEIGHTS = {"src0": 1, mixing.OTHER: 3}
+# What the mix decides, in the rows of the result.
+MIX = ("class", "block", "slot", "in_mix")
 
 
 def kept_only(docs: DataFrame, kept: DataFrame) -> DataFrame:
@@ -45,16 +48,16 @@ def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the mix: part files in turn and rows within them follow the schedule."""
-    slots = mixing.mixed(docs, WEIGHTS).select(F.col("doc_id").alias("slot_id"), "slot").distinct()
-    ordered = docs.join(slots, F.col("doc_id").eqNullSafe(F.col("slot_id")), "left")
-    return ordered.repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id").drop("slot_id", "slot")
+    """All documents with their places in the mix: ``class, block, slot``, and ``in_mix``, false once it cannot be held.
+
+    Rows are written in this order, but only ``slot`` keeps it: files are not read back in turn.
+    """
+    return mixing.placed(docs, WEIGHTS).repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether decoding them gives back its text."""
-    path = public_tokenizers.path(VOCABULARY)
-    return byte_bpe.digests(docs, path)
+    """Digests of the token ids of every document and of the text they decode to, with its place in the mix."""
+    return byte_bpe.digests(docs, public_tokenizers.path(VOCABULARY), carried=MIX)
 
 
 STAGES = [

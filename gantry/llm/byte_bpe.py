@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import base64
 import codecs
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -304,7 +304,7 @@ def _encoded(batches: Batches, path: str, pattern: str) -> Batches:
         for part in _slices(batch):
             flat, counts = encoder.encode(part.column("text"))
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": ids})
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in part.schema.names if c != "text"} | {"ids": ids})
 
 
 def _decoded(batches: Batches, path: str) -> Batches:
@@ -315,7 +315,7 @@ def _decoded(batches: Batches, path: str) -> Batches:
             ids = part.column("ids")
             flat, ends = ids.flatten().to_numpy(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).tolist()
             texts = [decoder.feed(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": ids, "text": pa.array(texts, pa.string())})
+            yield pa.RecordBatch.from_pydict({c: part.column(c) for c in part.schema.names} | {"text": pa.array(texts, pa.string())})
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -329,17 +329,19 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(lambda batches: _decoded(batches, path), "doc_id long, ids array<int>, text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """``decode(encode(docs))`` in one pass of each task: ``doc_id, ids, text``."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    return texts.mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern), path), "doc_id long, ids array<int>, text string")
+def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, carried: Sequence[str] = ()) -> DataFrame:
+    """``decode(encode(docs))`` in one pass of each task: ``doc_id``, the columns ``carried`` along, ``ids, text``."""
+    texts = docs.select(F.col("doc_id").cast("long"), *carried, "text")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in carried)
+    return texts.mapInArrow(lambda batches: _decoded(_encoded(batches, path, pattern), path), f"doc_id long, {kinds}ids array<int>, text string")
 
 
-def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """Encode, decode, and digest both results: ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    return round_trip(docs, path, pattern).select(
+def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, carried: Sequence[str] = ()) -> DataFrame:
+    """Encode, decode, and digest both results: ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and the columns ``carried``."""
+    return round_trip(docs, path, pattern, carried).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        *carried,
     )

@@ -57,20 +57,17 @@ def dealt(doc_id: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
 
 
-def mixed(docs: DataFrame, weights: dict[str, int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``doc_id, class, block, slot, in_mix`` for every row of ``docs``."""
+def placed(docs: DataFrame, weights: dict[str, int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows and columns of ``docs`` with ``class, block, slot, in_mix`` added."""
     spark = docs.sparkSession
     weights = {OTHER: 1} | weights
     if min(weights.values()) < 1 or sum(weights.values()) > MAX_SLOTS:
         raise ValueError(f"weights must be whole numbers from 1 on, {MAX_SLOTS} at most in all")
-    rows = docs.select(
-        F.col("doc_id").cast("long"),
-        class_of(F.col("source"), weights).alias("class"),
-        dealt(F.col("doc_id").cast("long")).alias("h"),
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"),
-    )
+    kind = class_of(F.col("source"), weights).alias("class")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")
     # One row per class, of which there are no more than weights.
-    blocks = {r["class"]: max(1, ceil((r["bytes"] or 0) / block_bytes)) for r in rows.groupBy("class").agg(F.sum("bytes").alias("bytes")).collect()}
+    sizes = docs.select(kind, size).groupBy("class").agg(F.sum("bytes").alias("bytes")).collect()
+    blocks = {r["class"]: max(1, ceil((r["bytes"] or 0) / block_bytes)) for r in sizes}
     present = {c: q for c, q in weights.items() if c in blocks} or {OTHER: 1}
     order = earliest_deadline_first(present)
     period = spark.sql(f"SELECT * FROM VALUES {values(order, present)} AS t(class, nth, at, q)")
@@ -80,9 +77,13 @@ def mixed(docs: DataFrame, weights: dict[str, int], block_bytes: int = BLOCK_BYT
     horizon = min((n // present[c] * slots + place[c, n % present[c]] for c, n in blocks.items()), default=0)
     count = F.coalesce(*(F.when(F.col("class") == c, F.lit(n)) for c, n in blocks.items()), F.lit(1))
     share = F.coalesce(*(F.when(F.col("class") == c, F.lit(q)) for c, q in present.items()))
-    numbered = rows.withColumn("block", F.pmod(F.col("h"), count.cast("long"))).withColumn("nth", F.pmod(F.col("block"), share.cast("long")).cast("int"))
+    numbered = (
+        docs.withColumn("class", class_of(F.col("source"), weights))
+        .withColumn("block", F.pmod(dealt(F.col("doc_id").cast("long")), count.cast("long")))
+        .withColumn("nth", F.pmod(F.col("block"), share.cast("long")).cast("int"))
+    )
     return numbered.join(F.broadcast(period), ["class", "nth"]).select(
-        "doc_id",
+        *docs.columns,
         "class",
         "block",
         (F.expr("block div q") * slots + F.col("at")).cast("long").alias("slot"),
@@ -90,6 +91,12 @@ def mixed(docs: DataFrame, weights: dict[str, int], block_bytes: int = BLOCK_BYT
     )
 
 
+def mixed(docs: DataFrame, weights: dict[str, int], block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id, class, block, slot, in_mix`` for every row of ``docs``."""
+    rows = docs.select(F.col("doc_id").cast("long"), "source", "text")
+    return placed(rows, weights, block_bytes).drop("source", "text")
+
+
 def oracle_sql(weights: dict[str, int], block_bytes: int = BLOCK_BYTES) -> str:
     """For tables in which every class of ``weights`` but ``OTHER`` has rows, and no other source has."""
     order = earliest_deadline_first(weights)
