@@ -1,22 +1,23 @@
 """LM scoring: a hierarchical Pitman-Yor model of words, learnt from all training documents.
 
-The root restaurant holds every word; each frequent word (and a text's start) has a context
+The root restaurant holds every word; each word that is followed by another in training (and a text's start) has a context
 restaurant whose parent is the root, so all contexts share it.  A context restaurant's customers are the
-words seen after its word; its tables are customers of the root, as are words after
-infrequent words.  Seating is drawn by Gibbs sweeps: each dish of each restaurant is
+words seen after its word; its tables are customers of the root.  After a word that is not in training the root
+answers.  Seating is drawn by Gibbs sweeps: each dish of each restaurant is
 seated anew by the Chinese-restaurant process, given the root's probabilities and the restaurants'
 table totals after the sweep before.  Predictive probabilities are averaged over the sweeps after
 ``BURN_IN``; the score of a text is the sum of their log10 over its tokens.
 
 How it is spread:
 
-1. One pass finds the context words: those with at least one in ``CONTEXT_SHARE`` of all training tokens, so their
-   number is bounded whatever the corpus.
+1. One pass counts the training tokens.
 2. One pass turns texts into chunks: the documents as numbers of the chunk's own vocabulary, and per bucket of the
    hash space the chunk's distinct (word, context) pairs with training counts.  The chunks are written to the
    shared folder.
 3. Per bucket, the counts of all chunks are summed.  A bucket holds all restaurants' dishes of its words, so a
-   sweep is a pass over the buckets; between sweeps only the totals of each context restaurant are exchanged.
+   sweep is a pass over the buckets.  Between sweeps each bucket's customers and tables of its contexts are summed
+   over the buckets by ranges of the contexts' hashes and go back to the buckets that have these contexts, as
+   shuffled tables; only the root's totals go through the driver.
    The draws of earlier sweeps are repeated from their seeds instead of being stored.
 4. Per bucket, each chunk's pairs are answered with probabilities and counts; per chunk, these are put together
    and summed by document.
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import groupby
 from operator import itemgetter
 
@@ -47,7 +48,6 @@ from gantry.llm.payloads import pack, rows_of, unpack
 from gantry.llm.textbytes import U64, lowered_bytes, word_hashes
 
 HELD_OUT = (7, 2)  # held out where crc32(doc_id) mod 7 is 2
-CONTEXT_SHARE = 256
 CHUNK_TOKENS = 4_000_000
 BUCKET_TOKENS = 2_000_000
 SWEEPS = 4
@@ -55,7 +55,8 @@ BURN_IN = 1
 STRENGTH = 1.0
 ROOT_STRENGTH = 10.0
 END = U64(0x5DEECE66D1234567)
-START, NONE = 0, -1  # contexts: the text's start, and none; words count from 1
+START = U64(0x2545F4914F6CDD1D)  # the context at a text's start
+NONE = -1  # no context, so the root answers
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -67,36 +68,10 @@ def tokens(text: np.ndarray) -> np.ndarray:
     return np.append(word_hashes(text), END)
 
 
-def _frequent(batches: Batches) -> Batches:
-    """Training words with a fair share of what the task has read so far; and the number of tokens (as word 0)."""
-
-    def out(held: list[np.ndarray]) -> pa.RecordBatch:
-        words, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts * CONTEXT_SHARE * 2 >= counts.sum()
-        return pa.RecordBatch.from_pydict({
-            "word": pa.array(np.append(words[often], U64(0)).view(np.int64)), "n": pa.array(np.append(counts[often], counts.sum()).astype(np.int64)),
-        })
-
-    held, size = [], 0
+def _training(batches: Batches) -> Batches:
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), lowered_bytes(batch.column("text")), strict=True):
-            if not held_out(doc_id):
-                held.append(tokens(text))
-                size += len(held[-1])
-                if size >= CHUNK_TOKENS:
-                    yield out(held)
-                    held, size = [], 0
-    if held:
-        yield out(held)
-
-
-def contexts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted hashes of the context words, at most 2 * CONTEXT_SHARE; and the number of training tokens."""
-    counts = docs.mapInArrow(_frequent, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = written(counts, "frequent")
-    total = (counts.filter("word = 0").first() or {"n": 0})["n"]
-    often = counts.filter((F.col("word") != 0) & (F.col("n") * 2 * CONTEXT_SHARE >= total))
-    return np.sort(np.array([r["word"] for r in often.collect()], np.int64).view(U64)), total
+        pairs = zip(batch.column("doc_id").to_pylist(), lowered_bytes(batch.column("text")), strict=True)
+        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(tokens(t)) for i, t in pairs if not held_out(i))], pa.int64())})
 
 
 def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
@@ -104,22 +79,14 @@ def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
     return ((words >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
 
 
-def context_of(words: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """Of each word the context it makes for the next: its place in ``after`` from 1 on, or NONE."""
-    if not len(after):
-        return np.full(len(words), NONE, np.int16)
-    at = np.minimum(np.searchsorted(after, words), len(after) - 1)
-    return np.where(after[at] == words, at + 1, NONE).astype(np.int16)
-
-
-def _chunks(after, buckets: int):
+def _chunks(buckets: int):
     def chunk(ids: list[int | None], texts: list[np.ndarray], number: int) -> Batches:
         flat = np.concatenate(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
         words, place = np.unique(flat, return_inverse=True)
-        contexts_of_flat = preceding(context_of(words, after.value)[place], lengths)
+        contexts = np.append(words, START)
         training = np.repeat(np.array([not held_out(i) for i in ids]), lengths)
-        pairs, where = np.unique(place.astype(np.int64) << 16 | (contexts_of_flat.astype(np.int64) + 1), return_inverse=True)
+        pairs, where = np.unique(pairs_of(place, len(words), lengths), return_inverse=True)
         counts = np.bincount(where, training, len(pairs)).astype(np.int64)
         # Frequent words get small numbers, which compress well.
         order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
@@ -127,11 +94,12 @@ def _chunks(after, buckets: int):
         rank[order] = np.arange(len(words), dtype=np.uint32)
         yield _row(number, -1, pack(rank[place], lengths, order.astype(np.uint32), words), ids)
         of_word = bucket_of(words, buckets)
-        of_pair = of_word[pairs >> 16]
+        of_pair = of_word[pairs >> 32]
         for bucket in np.unique(of_word).tolist():
             a, b = np.searchsorted(of_word, [bucket, bucket + 1])
             c, d = np.searchsorted(of_pair, [bucket, bucket + 1])
-            yield _row(number, bucket, pack(words[a:b], ((pairs[c:d] >> 16) - a).astype(np.uint32), ((pairs[c:d] & 0xFFFF) - 1).astype(np.int16), counts[c:d].astype(np.uint32)), None)
+            own, context = np.unique(contexts[pairs[c:d] & 0xFFFFFFFF], return_inverse=True)
+            yield _row(number, bucket, pack(words[a:b], ((pairs[c:d] >> 32) - a).astype(np.uint32), context.astype(np.int32), counts[c:d].astype(np.uint32), own), None)
 
     def run(batches: Batches) -> Batches:
         ids, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 32
@@ -149,15 +117,18 @@ def _chunks(after, buckets: int):
     return run
 
 
-def preceding(makes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The context of each token, from what the token before it makes."""
-    out = np.empty_like(makes)
-    out[1:] = makes[:-1]
-    out[np.cumsum(lengths) - lengths] = START
-    return out
+def pairs_of(place: np.ndarray, start: int, lengths: np.ndarray) -> np.ndarray:
+    """Of each token its word (high half) and the word before it (low half), ``start`` at the start of a text."""
+    before = np.empty(len(place), np.int64)
+    before[1:] = place[:-1]
+    before[np.cumsum(lengths) - lengths] = start
+    return place.astype(np.int64) << 32 | before
 
 
 ROW = "chunk long, bucket long, payload binary, ids array<long>"
+# Of a bucket: its pairs (step -1), totals after each sweep by range of contexts, and at last what chunks ask.
+STATE = "bucket long, step long, part long, payload binary"
+PARTIAL = STATE + ", sums array<long>"
 
 
 def _row(chunk: int, bucket: int, payload: bytes, ids: list | None) -> pa.RecordBatch:
@@ -167,25 +138,32 @@ def _row(chunk: int, bucket: int, payload: bytes, ids: list | None) -> pa.Record
     })
 
 
+def _state(bucket: int, step: int, part: int, payload: bytes | None, *sums: list) -> pa.RecordBatch:
+    columns = {"bucket": pa.array([bucket], pa.int64()), "step": pa.array([step], pa.int64()), "part": pa.array([part], pa.int64()), "payload": pa.array([payload], pa.binary())}
+    return pa.RecordBatch.from_pydict(columns | {"sums": pa.array([x], pa.list_(pa.int64())) for x in sums})
+
+
 def _summed(batches: Batches) -> Batches:
-    """Per bucket its words, and its pairs with a training count over all chunks."""
+    """Per bucket its words, its pairs with a training count over all chunks, and all contexts it is asked for."""
     for bucket, rows in groupby(rows_of(batches, "bucket", "payload"), itemgetter(0)):
-        words, contexts_, counts = [], [], []
+        words, hashes, counts, asked = [], [], [], []
         for _, payload in rows:
-            own, place, context, count = unpack(payload)
+            own, place, context, count, contexts = unpack(payload)
             some = count > 0
             words.append(own[place[some]])
-            contexts_.append(context[some])
+            hashes.append(contexts[context[some]])
             counts.append(count[some].astype(np.int64))
+            asked.append(contexts)
+        contexts = np.unique(np.concatenate(asked))
         flat, place = np.unique(np.concatenate(words), return_inverse=True)
-        pairs, where = np.unique(place.astype(np.int64) << 16 | (np.concatenate(contexts_).astype(np.int64) + 1), return_inverse=True)
+        pairs, where = np.unique(place.astype(np.int64) << 32 | np.searchsorted(contexts, np.concatenate(hashes)), return_inverse=True)
         total = np.bincount(where, np.concatenate(counts), len(pairs)).astype(np.int64)
-        yield _row(-1, bucket, pack(flat, (pairs >> 16).astype(np.uint32), ((pairs & 0xFFFF) - 1).astype(np.int16), total), None)
+        yield _state(bucket, -1, -1, pack(flat, (pairs >> 32).astype(np.uint32), (pairs & 0xFFFFFFFF).astype(np.int32), total, contexts))
 
 
 @dataclass
 class Totals:
-    """After a sweep, by context (from START on; the root last): customers and tables."""
+    """After a sweep, by context of a bucket (the root last): customers and tables."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -220,7 +198,7 @@ class Bucket:
     """All restaurants' dishes of some of the words, seated sweep after sweep."""
 
     def __init__(self, number: int, payload: bytes, settings: Settings) -> None:
-        self.words, self.place, self.context, self.count = unpack(payload)
+        self.words, self.place, self.context, self.count = unpack(payload)[:4]
         self.number, self.settings = number, settings
         self.inside = self.context != NONE
         self.counts = np.bincount(self.place, self.count, len(self.words)).astype(np.int64)
@@ -253,33 +231,68 @@ class Bucket:
             yield tables, customers, at_root
 
 
-def _totals(settings, contexts_: int, sweeps: int):
-    """By context the customers and tables of the last sweep (0 sweeps: one table per dish); also counts of counts."""
+def _restored(rows: Iterator[tuple], number: int, settings: Settings) -> tuple[Bucket, np.ndarray, Iterator[tuple]]:
+    """A bucket with the totals of its own contexts, the hashes of these, and the rows of chunks that follow."""
+    _, _, _, payload = next(rows)
+    contexts = unpack(payload)[4]
+    after, steps = [], groupby(rows, itemgetter(1))
+    asked: Iterator[tuple] = iter(())
+    for step, group in steps:
+        if step > SWEEPS:
+            asked = group
+            break
+        customers, tables = (np.concatenate(x) for x in zip(*(unpack(p) for *_, p in group), strict=True))
+        root = settings.after[step]
+        after.append(Totals(np.append(customers, root.customers), np.append(tables, root.tables)))
+    return Bucket(number, payload, replace(settings, after=after)), contexts, asked
+
+
+def _totals(settings, step: int, parts: int):
+    """By range of contexts each bucket's customers and tables after sweep ``step`` (0: one table per dish); and in a
+    row of part -1 sums of the root and counts of counts."""
 
     def run(batches: Batches) -> Batches:
-        sums = np.zeros((4, contexts_ + 1), np.int64)
-        for bucket, payload in rows_of(batches, "bucket", "payload"):
-            b = Bucket(bucket, payload, settings.value)
-            tables, customers, at_root = np.where(b.inside, np.minimum(b.count, 1), b.count), b.counts, np.minimum(b.counts, 1)
-            for tables, customers, at_root in b.sweep(sweeps):
+        for number, rows in groupby(rows_of(batches, "bucket", "step", "part", "payload"), itemgetter(0)):
+            b, contexts, _ = _restored(rows, number, settings.value)
+            tables, customers, at_root = np.minimum(b.count, 1), b.counts, np.minimum(b.counts, 1)
+            for tables, customers, at_root in b.sweep(step):
                 pass
-            at, inside = b.context[b.inside], b.inside
-            for row, weight in enumerate((b.count, tables, b.count == 1, b.count == 2)):
-                sums[row, :-1] += np.bincount(at, weight[inside], contexts_).astype(np.int64)
-            for row, weight in enumerate((customers, at_root, b.counts == 1, b.counts == 2)):
-                sums[row, -1] += int(weight.sum())
-        yield pa.RecordBatch.from_pydict({"context": pa.array(range(contexts_ + 1), pa.int64())} | {f"s{k}": pa.array(row) for k, row in enumerate(sums)})
+            sums = [customers.sum(), at_root.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (b.counts == 1).sum(), (b.counts == 2).sum()]
+            yield _state(number, step, -1, None, [int(x) for x in sums])
+            inside = [np.bincount(b.context, w, len(contexts)).astype(np.int64) for w in (b.count, tables)]
+            of = bucket_of(contexts, parts)
+            for part in np.unique(of).tolist():
+                i, j = np.searchsorted(of, [part, part + 1])
+                yield _state(number, step, part, pack(contexts[i:j], *(x[i:j] for x in inside)), None)
 
     return run
 
 
-def _gathered(model: DataFrame, settings: Settings, n_contexts: int, sweeps: int) -> np.ndarray:
-    spark = model.sparkSession
-    parts = model.select("bucket", "payload").mapInArrow(_totals(spark.sparkContext.broadcast(settings), n_contexts, sweeps), "context long, s0 long, s1 long, s2 long, s3 long")
-    sums = np.zeros((4, n_contexts + 1), np.int64)
-    for r in parts.groupBy("context").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(4))).collect():  # one row per context
-        sums[:, r["context"]] = [r[f"s{k}"] for k in range(4)]
-    return sums
+def _exchanged(batches: Batches) -> Batches:
+    """Of a range of contexts the sums over all buckets, for each bucket in the order of its contexts."""
+    for part, rows in groupby(rows_of(batches, "part", "step", "bucket", "payload"), itemgetter(0)):
+        rows = [(step, bucket, *unpack(payload)) for _, step, bucket, payload in rows]
+        all_contexts, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([r[k] for r in rows]), len(all_contexts)).astype(np.int64) for k in (3, 4)]
+        start = 0
+        for step, bucket, contexts, *_ in rows:
+            mine = at[start : start + len(contexts)]
+            start += len(contexts)
+            yield _state(bucket, step, part, pack(*(x[mine] for x in sums)))
+
+
+def _gathered(model: DataFrame, totals: DataFrame | None, settings: Settings, step: int, buckets: int) -> tuple[list[int], DataFrame]:
+    """The sums over all buckets, and the totals of contexts for each bucket with those of the sweeps before."""
+    known = model if totals is None else by_bucket(model.unionByName(totals), buckets)
+    partial = written(known.mapInArrow(_totals(model.sparkSession.sparkContext.broadcast(settings), step, buckets), PARTIAL), "partial")
+    sums = partial.filter("part < 0").agg(*(F.sum(F.col("sums")[k]) for k in range(6))).first()
+    ranges = partial.filter("part >= 0").drop("sums").repartition(buckets, "part").sortWithinPartitions("part", "bucket")
+    found = written(ranges.mapInArrow(_exchanged, STATE), "totals")
+    return [int(x or 0) for x in sums], found if totals is None else totals.unionByName(found)
+
+
+def by_bucket(states: DataFrame, buckets: int) -> DataFrame:
+    return states.repartition(buckets, "bucket").sortWithinPartitions("bucket", "step", "part")
 
 
 def _discount(once: int, twice: int) -> float:
@@ -287,21 +300,16 @@ def _discount(once: int, twice: int) -> float:
 
 
 def _answered(settings):
-    """Rows of a bucket, its summed row first: each chunk's pairs with their log10 probability, and words with counts."""
+    """Rows of a bucket, its state first: each chunk's pairs with their log10 probability, and words with counts."""
 
     def run(batches: Batches) -> Batches:
-        s: Settings = settings.value
-        for bucket, rows in groupby(rows_of(batches, "bucket", "chunk", "payload"), itemgetter(0)):
-            model = None
-            for _, chunk, payload in rows:
-                if chunk < 0:
-                    model = Model(Bucket(bucket, payload, s))
-                    continue
-                if model is None:  # words of held-out documents alone
-                    model = Model(Bucket(bucket, pack(np.empty(0, U64), np.empty(0, np.uint32), np.empty(0, np.int16), np.empty(0, np.int64)), s))
-                words, place, context, _ = unpack(payload)
-                counts, logs = model.answer(words, place, context)
-                yield _row(chunk, bucket, pack(counts, logs), None)
+        for number, rows in groupby(rows_of(batches, "bucket", "step", "part", "payload"), itemgetter(0)):
+            bucket, contexts, asked = _restored(rows, number, settings.value)
+            model = Model(bucket)
+            for _, _, chunk, payload in asked:
+                words, place, context, _, own = unpack(payload)
+                counts, logs = model.answer(words, place, np.searchsorted(contexts, own)[context])
+                yield _row(chunk, number, pack(counts, logs), None)
 
     return run
 
@@ -312,7 +320,7 @@ class Model:
     def __init__(self, bucket: Bucket) -> None:
         s = bucket.settings
         self.bucket, self.samples = bucket, []
-        self.pairs = bucket.place.astype(np.int64) << 16 | (bucket.context.astype(np.int64) + 1)
+        self.pairs = bucket.place.astype(np.int64) << 32 | (bucket.context.astype(np.int64) + 1)
         for k, (tables, customers, at_root) in enumerate(bucket.sweep(SWEEPS)):
             if k >= BURN_IN:
                 totals = s.after[k + 1]
@@ -324,7 +332,7 @@ class Model:
         known = b.words[at] == words if len(b.words) else np.zeros(len(words), bool)
         counts = np.where(known, b.counts[at], 0) if len(b.words) else np.zeros(len(words), np.int64)
         mine = np.where(known, at, 0)[place]
-        keys = mine.astype(np.int64) << 16 | (context.astype(np.int64) + 1)
+        keys = mine.astype(np.int64) << 32 | (context.astype(np.int64) + 1)
         pair = np.minimum(np.searchsorted(self.pairs, keys), max(len(self.pairs) - 1, 0))
         seen = (self.pairs[pair] == keys) & known[place] if len(self.pairs) else np.zeros(len(keys), bool)
         inside = context != NONE
@@ -341,7 +349,7 @@ class Model:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scored(settings, after):
+def _scored(settings):
     """Rows of a chunk, its documents first, then its buckets in order."""
 
     def run(batches: Batches) -> Batches:
@@ -352,9 +360,7 @@ def _scored(settings, after):
             answers = [unpack(p) for _, _, p, _ in rows]
             counts, logs = (np.concatenate(x) for x in zip(*answers, strict=True))
             place = order[ranks].astype(np.int64)
-            context = preceding(context_of(words, after.value)[place], lengths)
-            pairs = place << 16 | (context.astype(np.int64) + 1)
-            each = np.unique(pairs, return_inverse=True)[1]  # in the order in which the pairs were asked
+            each = np.unique(pairs_of(place, len(words), lengths), return_inverse=True)[1]  # in the order in which the pairs were asked
             starts = np.cumsum(lengths) - lengths
             base = np.log10((counts + 1) / (s.training + s.types + 1))
             yield pa.RecordBatch.from_pydict({
@@ -370,26 +376,21 @@ def _scored(settings, after):
 def lm_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``."""
     spark, n = docs.sparkSession, partitions_for(docs)
-    share = spark.sparkContext.broadcast
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    context_words, training = contexts(docs)
-    after, n_contexts = share(context_words), len(context_words) + 1
+    training = docs.mapInArrow(_training, "n long").agg(F.sum("n")).first()[0] or 0
     buckets = max(n, training // BUCKET_TOKENS + 1)
-    chunks = written(docs.mapInArrow(_chunks(after, buckets), ROW), "chunks")
+    chunks = written(docs.mapInArrow(_chunks(buckets), ROW), "chunks")
     asked, documents = chunks.filter("bucket >= 0"), chunks.filter("bucket < 0")
-    model = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_summed, ROW)
+    model = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_summed, STATE)
     model = written(model, "counts")
-    nothing = Totals(np.zeros(n_contexts + 1), np.zeros(n_contexts + 1))
-    sums = _gathered(model, Settings(training, 0, 0.5, 0.5, [nothing]), n_contexts, 0)
-    settings = Settings(
-        training, int(sums[1, -1]), _discount(int(sums[2, :-1].sum()), int(sums[3, :-1].sum())), _discount(int(sums[2, -1]), int(sums[3, -1])), [Totals(sums[0], sums[1])]
-    )
-    for k in range(SWEEPS):
-        sums = _gathered(model, settings, n_contexts, k + 1)
-        settings.after.append(Totals(sums[0], sums[1]))
-    final = share(settings)
-    answered = (
-        model.unionByName(asked).repartition(buckets, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answered(final), ROW)
-    )
+    sums, totals = _gathered(model, None, Settings(training, 0, 0.5, 0.5, []), 0, buckets)
+    # At first every customer counts at the root, each dish at one table.
+    settings = Settings(training, sums[1], _discount(*sums[2:4]), _discount(*sums[4:6]), [Totals(*sums[:2])])
+    for k in range(1, SWEEPS + 1):
+        sums, totals = _gathered(model, totals, settings, k, buckets)
+        settings.after.append(Totals(*sums[:2]))
+    final = spark.sparkContext.broadcast(settings)
+    questions = asked.select("bucket", F.lit(SWEEPS + 1).cast("long").alias("step"), F.col("chunk").alias("part"), "payload")
+    answered = by_bucket(model.unionByName(totals).unionByName(questions), buckets).mapInArrow(_answered(final), ROW)
     together = documents.unionByName(answered).repartition(n, "chunk").sortWithinPartitions("chunk", "bucket")
-    return together.mapInArrow(_scored(final, after), SCORES)
+    return together.mapInArrow(_scored(final), SCORES)

@@ -228,6 +228,17 @@ def test_lm_scoring(spark):
     assert all(r["score"] < 0 for r in found)
 
 
+def test_lm_rare_words_are_contexts(spark):
+    """900 words, each after one other word alone: none has 1/512 of the tokens, yet each foretells the next."""
+    r = random.Random(12)
+    pairs = [f"a{k} b{k}" for k in range(900)]
+    rows = [(k, " ".join(r.sample(pairs, 60))) for k in range(150)]
+    out = [r for r in lm_scoring.lm_scores(table(spark, rows)).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in out)
+    # Half of the tokens are certain, the other half one of 900.
+    assert sum(r["score"] for r in out) / tokens > 0.65 * sum(r["base_score"] for r in out) / tokens
+
+
 def test_lm_probabilities_sum_to_one():
     """Over all known words and the unknown one, in every context."""
     r = np.random.default_rng(1)
