@@ -133,6 +133,26 @@ def test_streaming_decoder():
     assert [decoder.feed([0], last=False), decoder.feed([1, 2], last=False), decoder.feed([0])] == ["", "€a", "\ufffd"]
 
 
+def test_utf8_machine():
+    """Any bytes, cut anywhere, against Python's own decoder."""
+    r = random.Random(3)
+    for _ in range(2000):
+        content = bytes(r.choices([0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xFF, 0xC0, 0xF4, 0x90, 0xE0], k=r.randrange(12)))
+        machine, cut = byte_bpe.Utf8Machine(), r.randrange(len(content) + 1)
+        assert machine.feed(content[:cut]) + machine.feed(content[cut:]) + machine.end() == content.decode(errors="replace")
+        decoder = byte_bpe.Decoder({k: bytes([k]) for k in range(256)})
+        assert decoder.feed(content[:cut], last=False) + decoder.feed(content[cut:]) == content.decode(errors="replace")
+
+
+def test_long_pieces():
+    """Longer than the lock-step takes, so that tokens are emitted while the piece goes on."""
+    ranks = byte_bpe.load_ranks(PATH)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder, r = byte_bpe.Encoder(PATH, public_tokenizers.PATTERN), random.Random(4)
+    for text in ("ab" * 4000, "a" * 20_000, "".join(r.choices("etaoinshr", k=20_000)), "\u4e2d\u6587\u5b57" * 3000, "x" * (byte_bpe.LOCKSTEP_BYTES + 1), "=" * 5000):
+        assert encoder.ids(text) == own.encode_ordinary(text)
+
+
 def test_chat_format(spark):
     texts = ["hi", "</s>[INST] ok [/INST]", "\\a\\\\[<", None, "", "[ROLE x[:]", " [/INST]", "<s>" * 50]
     r = random.Random(2)
