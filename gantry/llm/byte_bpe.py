@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gantry.llm.common import memory_returned
+from gantry.llm.textbytes import slices
 
 MAX_STATES = 20_000
 PAIR_BITS = 20  # the table of tested pairs has so many index bits
@@ -460,21 +461,9 @@ class Decoder:
 
 
 Batches = Iterator[pa.RecordBatch]
-BATCH_BYTES = 5 << 20
 FEED_IDS = 1 << 14
 
 
-def slices(batch: pa.RecordBatch, limit_bytes: int = BATCH_BYTES) -> Batches:
-    """Parts of about ``limit_bytes`` of text, one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    at = 0
-    while at < batch.num_rows:
-        limit = (ends[at - 1] if at else 0) + limit_bytes
-        after = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
-        yield batch.slice(at, after - at)
-        at = after
-
-
 def _encoded(batches: Batches, path: str, pattern: str) -> Batches:
     """The transducer lives as long as the task, so that waiting workers hold no memory."""
     with memory_returned():

@@ -32,10 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from gantry.llm.common import partitions_for
+from gantry.llm.common import ascii_lower, fresh, memory_returned, named, partitions_for
+from gantry.llm.textbytes import slices
 
 MEMORY_BYTES = 96 << 20
 FAN_OUT_BITS = 4
@@ -50,6 +52,7 @@ class ContentTable:
         self.texts: list[bytes] = []
         self.largest: list[int | None] = []
         self.counts: list[int] = []
+        self.times: list[int] = []  # rows with the largest id
         self.bytes = 0
 
     def _slot(self, digest: bytes, text: bytes | None) -> int:
@@ -63,13 +66,15 @@ class ContentTable:
             at = (at + 1) & mask
         return at
 
-    def add(self, digest: bytes, text: bytes, doc_id: int | None, count: int) -> None:
+    def add(self, digest: bytes, text: bytes, doc_id: int | None, count: int, times: int) -> None:
         at = self._slot(digest, text)
         entry = self.slots[at]
         if entry >= 0:
             best = self.largest[entry]
-            if best is None or (doc_id is not None and doc_id > best):
-                self.largest[entry] = doc_id
+            if doc_id == best:
+                self.times[entry] += times
+            elif best is None or (doc_id is not None and doc_id > best):
+                self.largest[entry], self.times[entry] = doc_id, times
             self.counts[entry] += count
             return
         self.slots[at] = len(self.digests)
@@ -77,14 +82,15 @@ class ContentTable:
         self.texts.append(text)
         self.largest.append(doc_id)
         self.counts.append(count)
+        self.times.append(times)
         self.bytes += len(text) + 300
         if 2 * len(self.digests) > len(self.slots):
             self.slots = np.full(2 * len(self.slots), -1, np.int64)
             for number, known in enumerate(self.digests):
                 self.slots[self._slot(known, None)] = number
 
-    def rows(self) -> Iterator[tuple[bytes, bytes, int | None, int]]:
-        return zip(self.digests, self.texts, self.largest, self.counts, strict=True)
+    def rows(self) -> Iterator[tuple[bytes, bytes, int | None, int, int]]:
+        return zip(self.digests, self.texts, self.largest, self.counts, self.times, strict=True)
 
     def batch(self, with_text: bool) -> Iterator[pa.RecordBatch]:
         step = 2000
@@ -94,6 +100,7 @@ class ContentTable:
                 columns["content"] = pa.array(self.texts[k : k + step], pa.binary())
             columns["keep_id"] = pa.array(self.largest[k : k + step], pa.int64())
             columns["group_size"] = pa.array(self.counts[k : k + step], pa.int64())
+            columns["keep_rows"] = pa.array(self.times[k : k + step], pa.int64())
             yield pa.RecordBatch.from_pydict(columns)
 
 
@@ -104,14 +111,17 @@ def _normalised(batch: pa.RecordBatch) -> list[bytes]:
 
 def _fold(memory_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ContentTable()
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), _normalised(batch), strict=True):
-                table.add(hashlib.sha256(text).digest(), text, doc_id, 1)
-                if table.bytes > memory_bytes:
-                    yield from table.batch(with_text=True)
-                    table = ContentTable()
-        yield from table.batch(with_text=True)
+        with memory_returned():
+            table = ContentTable()
+            for batch in batches:
+                for part in slices(batch):
+                    for doc_id, text in zip(part.column("doc_id").to_pylist(), _normalised(part), strict=True):
+                        table.add(hashlib.sha256(text).digest(), text, doc_id, 1, 1)
+                        if table.bytes > memory_bytes:
+                            yield from table.batch(with_text=True)
+                            table = ContentTable()
+            yield from table.batch(with_text=True)
+            del table
 
     return run
 
@@ -165,35 +175,36 @@ def _groups(memory_bytes: int):
         rows = (
             row
             for batch in batches
-            for row in zip(*(batch.column(c).to_pylist() for c in ("digest", "content", "keep_id", "group_size")), strict=True)
+            for k in range(0, batch.num_rows, 500)
+            for row in zip(*(batch.slice(k, 500).column(c).to_pylist() for c in ("digest", "content", "keep_id", "group_size", "keep_rows")), strict=True)
         )
         try:
-            yield from _grace(rows, memory_bytes, 0, folder)
+            with memory_returned():
+                yield from _grace(rows, memory_bytes, 0, folder)
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
     return run
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        digests = [hashlib.sha256(text).digest() for text in _normalised(batch)]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "digest": pa.array(digests, pa.binary())})
+def digest_of(text: Column) -> Column:
+    """SHA-256 of the normalised text."""
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(text, F.lit(""))).cast("binary"), 256))
 
 
 def groups(docs: DataFrame, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
-    """One row per distinct text: ``digest``, ``keep_id``, ``group_size``."""
+    """One row per distinct text: ``digest``, ``keep_id``, ``group_size``, and ``keep_rows``, how many rows with this text have that id."""
     folded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        _fold(memory_bytes // 2), "digest binary, content binary, keep_id long, group_size long"
+        _fold(memory_bytes // 2), "digest binary, content binary, keep_id long, group_size long, keep_rows long"
     )
     return folded.repartition(partitions_for(docs), "digest").mapInArrow(
-        _groups(memory_bytes), "digest binary, keep_id long, group_size long"
+        _groups(memory_bytes), "digest binary, keep_id long, group_size long, keep_rows long"
     )
 
 
 def exact_dedup(docs: DataFrame, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
     """A row per row of ``docs``: ``doc_id, keep_id, group_size, kept, text_sha256``."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_digests, "doc_id long, digest binary")
+    rows = docs.select(F.col("doc_id").cast("long"), digest_of(F.col("text")).alias("digest"))
     return rows.join(groups(docs, memory_bytes), "digest").select(
         "doc_id",
         "keep_id",
@@ -203,6 +214,23 @@ def exact_dedup(docs: DataFrame, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame, memory_bytes: int = MEMORY_BYTES) -> DataFrame:
+    """The rows of ``docs``, all their columns: of equal texts one row, of those with the largest ``doc_id`` the least one.
+
+    Rows are matched by their text's digest, so ids need not be a key.
+    """
+    columns = docs.columns
+    digest, found = fresh("digest", columns), fresh("found", columns)
+    kept = groups(docs, memory_bytes).select(F.col("digest").alias(digest), F.struct("keep_id", "keep_rows").alias(found))
+    rows = docs.withColumn(digest, digest_of(F.col("text"))).join(kept, digest)
+    rows = rows.filter(F.col("doc_id").cast("long").eqNullSafe(F.col(found)["keep_id"]))
+    once = rows.filter(F.col(found)["keep_rows"] == 1).select(*map(named, columns))
+    orderable = [named(f.name) for f in docs.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    again = rows.filter(F.col(found)["keep_rows"] > 1).groupBy(digest)
+    again = again.agg(F.min_by(F.struct(*map(named, columns)), F.struct(*orderable)).alias(found)).select(f"{found}.*")
+    return once.unionByName(again)
+
+
 ORACLE_SQL = """
 WITH t AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''),

@@ -7,10 +7,12 @@ terms), so a score costs time linear in the text.
 
 The model is fitted on a bounded sample of the labelled rows (``SAMPLE`` rows, those with the
 smallest hash of their id; the bound is a parameter), by Adam on log loss.  Texts of the sample are turned into inputs on
-the executors; only these inputs reach the driver.  Every text is scored whole.
+the executors; only these inputs reach the driver.  Every text is scored whole, by an Arrow UDF that sees the
+text and its stated size; all other columns stay on the JVM's side.
 
 Defined cases: null or empty text has no words and gets the score of its structure.  Without labelled rows
-the score is 0.5.  Contradicting labels of one id: the lowest counts.  Repeated rows are scored
+the score is 0.5.  Contradicting labels of one id: the lowest counts.  Of rows with one id one is learnt from, that
+with the smallest hash of its text, then the smallest stated size and text.  Repeated rows are scored
 alike; null ids are scored too.  Other columns are not read.
 """
 
@@ -24,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.textbytes import lowered_bytes, word_hashes, word_spans
+from gantry.llm.common import memory_returned
+from gantry.llm.textbytes import lowered_bytes, slices, word_hashes, word_spans
 
 BUCKETS = 1 << 14
 RANK = 8
@@ -115,21 +118,16 @@ def _joined(buckets: np.ndarray, weights: np.ndarray, structure: np.ndarray) ->
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index and x of each row of a batch."""
-    texts, stated = batch.column("text"), batch.column("n_chars").to_pylist()
-    plain = texts.to_pylist()
-    for text, lowered, said in zip(plain, lowered_bytes(texts), stated, strict=True):
-        yield _joined(*inputs(np.frombuffer((text or "").encode(), np.uint8), lowered, said))
+    for part in slices(batch):
+        texts, stated = part.column("text"), part.column("n_chars").to_pylist()
+        for text, lowered, said in zip(texts.to_pylist(), lowered_bytes(texts), stated, strict=True):
+            yield _joined(*inputs(np.frombuffer((text or "").encode(), np.uint8), lowered, said))
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _read(docs: DataFrame) -> DataFrame:
-    n_chars = F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), "text", n_chars.alias("n_chars"))
-
-
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> FactorisationMachine | None:
     """Fit on the labelled rows that are not held out; None without any."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").filter("doc_id IS NOT NULL AND quality IS NOT NULL")
@@ -137,22 +135,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = list(_rows(batch))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
-                "quality": batch.column("quality"),
-                "at": pa.array([i.tolist() for i, _ in both], pa.list_(pa.int32())),
-                "x": pa.array([x.tolist() for _, x in both], pa.list_(pa.float32())),
-            })
-
-    sampled = _read(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "n_chars", F.col("quality").cast("int"))
+        with memory_returned():
+            for batch in batches:
+                both = list(_rows(batch))
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id"),
+                    "quality": batch.column("quality"),
+                    "at": pa.array([i.astype(np.int32) for i, _ in both], pa.list_(pa.int32())),
+                    "x": pa.array([x.astype(np.float32) for _, x in both], pa.list_(pa.float32())),
+                })
+
+    sampled = _read(docs).join(F.broadcast(chosen), "doc_id")
+    # One row of each id, before anything reaches the driver.
+    row = F.struct(F.xxhash64("text").alias("hash"), "n_chars", "text")
+    sampled = sampled.groupBy("doc_id", F.col("quality").cast("int").alias("quality")).agg(F.min(row).alias("row")).select("doc_id", "quality", "row.text", "row.n_chars")
     found = sampled.mapInArrow(run, "doc_id long, quality int, at array<int>, x array<float>").toArrow().sort_by([("doc_id", "ascending")])
-    rows, seen = [], set()
-    for doc_id, quality, at, x in zip(*(found.column(c) for c in ("doc_id", "quality", "at", "x")), strict=True):
-        if doc_id.as_py() not in seen:  # repeated rows of one id count once, which keeps the bound
-            seen.add(doc_id.as_py())
-            rows.append((at.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float64), int(quality.as_py() == 1)))
+    rows = [
+        (at.values.to_numpy().astype(np.int64), x.values.to_numpy().astype(np.float64), int(quality.as_py() == 1))
+        for quality, at, x in zip(*(found.column(c) for c in ("quality", "at", "x")), strict=True)
+    ]
     if not rows:
         return None
     machine = FactorisationMachine.start()
@@ -160,32 +161,37 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Factorisa
     return machine
 
 
-def score(docs: DataFrame, machine: FactorisationMachine | None, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, score, predicted`` for every row."""
+def score_of(machine: FactorisationMachine | None, text: Column, n_chars: Column) -> Column:
+    """The score of a row; 0.5 without a machine."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [0.0 if machine is None else machine.raw(index, x) for index, x in _rows(batch)]
-            scores = 1 / (1 + np.exp(-np.clip(np.array(raw), -30, 30)))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(scores, pa.float64())})
+    @F.arrow_udf("double")
+    def scores(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        with memory_returned():
+            for texts, stated in columns:
+                batch = pa.RecordBatch.from_pydict({"text": texts, "n_chars": stated})
+                raw = np.array([0.0 if machine is None else machine.raw(index, x) for index, x in _rows(batch)])
+                yield pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))), pa.float64())
+
+    return scores(text, n_chars)
+
+
+def _stated(docs: DataFrame) -> Column:
+    return F.col("n_chars").cast("long") if "n_chars" in docs.columns else F.lit(None).cast("long")
 
-    scored = _read(docs).mapInArrow(run, "doc_id long, score double")
+
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), "text", _stated(docs).alias("n_chars"))
+
+
+def score(docs: DataFrame, machine: FactorisationMachine | None, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, score, predicted`` for every row."""
+    scored = docs.select(F.col("doc_id").cast("long"), score_of(machine, F.col("text"), _stated(docs)).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def accepted(docs: DataFrame, machine: FactorisationMachine | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs``, all their columns, that score ``threshold`` or more; in one pass without a join."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = pa.RecordBatch.from_struct_array(batch.column("row"))
-            if "n_chars" not in rows.schema.names:
-                rows = rows.append_column("n_chars", pa.nulls(rows.num_rows, pa.int64()))
-            raw = np.array([0.0 if machine is None else machine.raw(index, x) for index, x in _rows(rows)])
-            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(raw, -30, 30))) >= threshold))
-
-    packed = docs.select(F.struct("*").alias("row"))
-    return packed.mapInArrow(run, packed.schema).select("row.*")
+    return docs.filter(score_of(machine, F.col("text"), _stated(docs)) >= threshold)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -63,6 +63,20 @@ def word_hashes(text: np.ndarray) -> np.ndarray:
     return mixed((sums[after] - sums[first]) * powers(INVERSE, len(text))[first])
 
 
+BATCH_BYTES = 5 << 20
+
+
+def slices(batch: pa.RecordBatch, limit_bytes: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of about ``limit_bytes`` of text, one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        limit = (ends[at - 1] if at else 0) + limit_bytes
+        after = max(at + 1, int(np.searchsorted(ends, limit, side="right")))
+        yield batch.slice(at, after - at)
+        at = after
+
+
 def lowered_bytes(texts: pa.Array) -> Iterator[np.ndarray]:
     """Each text with A-Z in lower case, as bytes; null is empty."""
     lowered = pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_binary())
