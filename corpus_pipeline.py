@@ -2,9 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept.  All but the
 last return the columns of ``documents``, and from the mix on its decisions (``MIX``), which the result carries
-beside the digests; extra columns of ``docs`` pass through.  ``doc_id``
-is taken to be a document's key: rows that repeat one are kept or dropped together, until
-exact deduplication leaves one of them.
+beside the digests; extra columns of ``docs`` pass through.  Stages tell rows apart by their texts or by
+numbers of their own, so a ``doc_id`` may repeat or be null: only copies of a text go.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_classifier
-from gantry.llm.common import table, written
+from gantry.llm.common import fresh, named, table, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Target weights of the mix; sources without an entry share the last one.
@@ -23,28 +22,24 @@ WEIGHTS = {"src0": 1, mixing.OTHER: 3}
 MIX = ("class", "block", "slot", "in_mix")
 
 
-def kept_only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is in ``kept``; a null id matches a null id."""
-    return docs.join(kept.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
-
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality_classifier.accepted(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays, once."""
-    kept = exact_dedup.exact_dedup(docs).filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("kept_rows"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id"))).drop("kept_id")
-    repeated = rows.filter("kept_rows > 1").dropDuplicates(["doc_id"])  # no more than a few rows: ids are a key
-    return rows.filter("kept_rows = 1").unionByName(repeated).drop("kept_rows")
+    """Of equal texts one row stays, of those with the largest id."""
+    return exact_dedup.deduplicated(docs)
 
 
 def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    groups = ngram_join.ngram_join(docs)
-    return kept_only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of near copies the document with the smallest id stays; rows have numbers here, as ids may repeat."""
+    row = fresh("row", docs.columns)
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = ngram_join.ngram_join(numbered.select(F.col(row).alias("doc_id"), "text"))
+    members = numbered.select(F.col(row).alias("member"), F.col("doc_id").cast("long").alias("known_as")).join(groups.withColumnRenamed("doc_id", "member"), "member")
+    least = members.groupBy("component_id").agg(F.min(F.struct(F.col("known_as").isNull(), "known_as", "member")).alias("least"))
+    return numbered.join(least.select(F.col("least.member").alias(row)), row, "left_semi").select(*map(named, docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
