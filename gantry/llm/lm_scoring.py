@@ -3,37 +3,41 @@
 The root restaurant holds every word; each word that is followed by another in training (and a text's start) has a context
 restaurant whose parent is the root, so all contexts share it.  A context restaurant's customers are the
 words seen after its word; its tables are customers of the root.  After a word that is not in training the root
-answers.  Seating is drawn by Gibbs sweeps: each dish of each restaurant is
-seated anew by the Chinese-restaurant process, given the root's probabilities and the restaurants'
-table totals after the sweep before.  Predictive probabilities are averaged over the sweeps after
-``BURN_IN``; the score of a text is the sum of their log10 over its tokens.
+answers.  Seating is sampled by Gibbs sweeps over the numbers of tables: the customers of a dish are taken out of their
+restaurant and seated again given all the rest.  The law of their number of tables then is
+S(n, t) p^t (strength + discount T) ... (strength + discount (T + t - 1)), where S are the generalised Stirling numbers of the discount,
+T the restaurant's other tables and p the parent's probability without them; it is drawn from exactly for the first ``EXACT``
+customers of a dish, and those beyond are added in blocks of an eighth.  All dishes of a sweep are reseated at once, given the seating after
+the sweep before.  Predictive probabilities are averaged over the sweeps after ``BURN_IN``; the
+score of a text is the sum of their log10 over its tokens.
 
 How it is spread:
 
 1. One pass counts the training tokens.
 2. One pass turns texts into chunks: the documents as numbers of the chunk's own vocabulary, and per bucket of the
-   hash space the chunk's distinct (word, context) pairs with training counts.  The chunks are written to the
-   shared folder.
-3. Per bucket, the counts of all chunks are summed.  A bucket holds all restaurants' dishes of its words, so a
-   sweep is a pass over the buckets.  Between sweeps each bucket's customers and tables of its contexts are summed
-   over the buckets by ranges of the contexts' hashes and go back to the buckets that have these contexts, as
-   shuffled tables; only the root's totals go through the driver.
-   The draws of earlier sweeps are repeated from their seeds instead of being stored.
-4. Per bucket, each chunk's pairs are answered with probabilities and counts; per chunk, these are put together
-   and summed by document.
-
-Buckets and chunks have bounded sizes; their number grows with the corpus.  Words are known by
-64-bit hashes.  Many customers at once are seated by binomial draws once a dish has more than eight.
-
-Defined cases: null or empty text has one token, the end.  A null ``doc_id`` is in training.  Repeated rows each count and
-are each scored.  Without training tokens every score is 0.  Other columns are not read.
+   hash space the chunk's distinct (word, context) pairs with training counts.  Per bucket the counts of all chunks are summed.
+   A dish with one customer has one table for good, so only pairs met more often are kept as such; each chunk's pairs
+   are marked as unseen, single, or the number of such a pair.
+3. A context's restaurant is owned by its word's bucket.  Owners sum customers and tables over all buckets and tell those that
+   have repeated pairs.  So a sweep is a pass over the buckets and one over the owners, over repeated pairs alone; seatings
+   are written, not drawn again.  Only the root's totals go through the driver.
+4. Per bucket, each chunk's words are answered with counts, root probabilities and restaurants' totals, and its repeated pairs with their
+   tables; per chunk, these are put together and summed by document.
+
+Buckets and chunks have bounded sizes; their number grows with the corpus.  Words are known by 64-bit hashes, contexts by 40 bits of
+these.  The number of buckets and all random numbers follow from the corpus alone, so neither the layout of the files nor the
+number of partitions changes a score.  Jobs run while the query is built, as each sweep needs the root's totals.
+
+Defined cases: a null or empty text is the end token alone.  Rows repeated with one ``doc_id`` all count and
+are scored alike.  A null ``doc_id`` is not held out.  Other columns are not read.  Without
+training tokens every word has the same probability.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from itertools import groupby
 from operator import itemgetter
 
@@ -43,20 +47,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import partitions_for, written
+from gantry.llm.common import discarded, memory_returned, partitions_for, written
 from gantry.llm.payloads import pack, rows_of, unpack
-from gantry.llm.textbytes import U64, lowered_bytes, word_hashes
+from gantry.llm.textbytes import U64, lowered_bytes, slices, word_hashes
 
 HELD_OUT = (7, 2)  # held out where crc32(doc_id) mod 7 is 2
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 2_500_000
 BUCKET_TOKENS = 2_000_000
+LEAST_BUCKETS = 64
 SWEEPS = 4
 BURN_IN = 1
 STRENGTH = 1.0
 ROOT_STRENGTH = 10.0
+EXACT = 32
 END = U64(0x5DEECE66D1234567)
 START = U64(0x2545F4914F6CDD1D)  # the context at a text's start
-NONE = -1  # no context, so the root answers
+CONTEXT_BITS = 40
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -68,125 +74,238 @@ def tokens(text: np.ndarray) -> np.ndarray:
     return np.append(word_hashes(text), END)
 
 
+def context_of(words: np.ndarray) -> np.ndarray:
+    return words >> U64(64 - CONTEXT_BITS)
+
+
+def bucket_of(contexts: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, so that they follow each other in sorted words; a context has its word's bucket."""
+    return ((contexts >> U64(CONTEXT_BITS - 32)) * U64(buckets) >> U64(32)).astype(np.int64)
+
+
+def buckets_for(training: int) -> int:
+    """A power of two, so that it follows from the corpus alone."""
+    return max(LEAST_BUCKETS, 1 << max(0, training // BUCKET_TOKENS).bit_length())
+
+
 def _training(batches: Batches) -> Batches:
     for batch in batches:
         pairs = zip(batch.column("doc_id").to_pylist(), lowered_bytes(batch.column("text")), strict=True)
         yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(tokens(t)) for i, t in pairs if not held_out(i))], pa.int64())})
 
 
-def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of hashes, so that they follow each other in sorted words."""
-    return ((words >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+# Rows of all steps: ``bucket`` says who gets them, ``kind`` and ``other`` in which order.
+DOCUMENTS, BUCKET, PARTIAL, OWNED, TOLD, SEATED, EXTRA, ANSWER = range(8)
+ROW = "bucket long, kind int, other long, payload binary, pairs binary, ids array<long>, chunks array<long>, marks array<binary>, sums array<long>"
+TYPES = {"payload": pa.binary(), "pairs": pa.binary(), "ids": pa.list_(pa.int64()), "chunks": pa.list_(pa.int64()), "marks": pa.list_(pa.binary()), "sums": pa.list_(pa.int64())}
+
+
+def _row(bucket: int, kind: int, other: int, **columns) -> pa.RecordBatch:
+    own = {"bucket": pa.array([bucket], pa.int64()), "kind": pa.array([kind], pa.int32()), "other": pa.array([other], pa.int64())}
+    return pa.RecordBatch.from_pydict(own | {name: pa.array([columns.get(name)], kind) for name, kind in TYPES.items()})
+
+
+def _grouped(run):
+    """``run`` over each bucket's rows, sorted by kind and other, as (kind, other, payload, pairs, ids, chunks, marks)."""
+
+    def over(batches: Batches) -> Batches:
+        with memory_returned():
+            names = ["bucket", "kind", "other", "payload", "pairs", "ids", "chunks", "marks"]
+            for bucket, rows in groupby(rows_of(batches, *names), itemgetter(0)):
+                yield from run(bucket, (r[1:] for r in rows))
+
+    return over
+
+
+# Step 2: chunks, and their sums.
+
+
+def pairs_of(place: np.ndarray, start: int, lengths: np.ndarray) -> np.ndarray:
+    """Of each token its word (high half) and the word before it (low half), ``start`` at the start of a text."""
+    before = np.empty(len(place), np.int64)
+    before[1:] = place[:-1]
+    before[np.cumsum(lengths) - lengths] = start
+    return place.astype(np.int64) << 32 | before
 
 
 def _chunks(buckets: int):
     def chunk(ids: list[int | None], texts: list[np.ndarray], number: int) -> Batches:
-        flat = np.concatenate(texts)
         lengths = np.array([len(t) for t in texts], np.int64)
-        words, place = np.unique(flat, return_inverse=True)
-        contexts = np.append(words, START)
-        training = np.repeat(np.array([not held_out(i) for i in ids]), lengths)
-        pairs, where = np.unique(pairs_of(place, len(words), lengths), return_inverse=True)
-        counts = np.bincount(where, training, len(pairs)).astype(np.int64)
+        words, place = np.unique(np.concatenate([*texts, [START]]), return_inverse=True)
+        start, place = int(place[-1]), place[:-1]
+        pairs, where = np.unique(pairs_of(place, start, lengths), return_inverse=True)
+        counts = np.bincount(where, np.repeat(np.array([not held_out(i) for i in ids]), lengths), len(pairs)).astype(np.uint32)
+        del where
         # Frequent words get small numbers, which compress well.
         order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        yield _row(number, -1, pack(rank[place], lengths, order.astype(np.uint32), words), ids)
-        of_word = bucket_of(words, buckets)
+        yield _row(-1 - number, DOCUMENTS, number, payload=pack(rank[place], lengths, order.astype(np.uint32), np.array([len(words), start])), ids=ids)
+        del rank, place
+        contexts = context_of(words)
+        of_word = bucket_of(contexts, buckets)
         of_pair = of_word[pairs >> 32]
         for bucket in np.unique(of_word).tolist():
             a, b = np.searchsorted(of_word, [bucket, bucket + 1])
             c, d = np.searchsorted(of_pair, [bucket, bucket + 1])
-            own, context = np.unique(contexts[pairs[c:d] & 0xFFFFFFFF], return_inverse=True)
-            yield _row(number, bucket, pack(words[a:b], ((pairs[c:d] >> 32) - a).astype(np.uint32), context.astype(np.int32), counts[c:d].astype(np.uint32), own), None)
+            each = np.bincount((pairs[c:d] >> 32) - a, minlength=b - a).astype(np.uint32)
+            yield _row(bucket, BUCKET, number, payload=pack(words[a:b], each, contexts[pairs[c:d] & 0xFFFFFFFF], counts[c:d]))
 
     def run(batches: Batches) -> Batches:
-        ids, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), lowered_bytes(batch.column("text")), strict=True):
-                ids.append(doc_id)
-                texts.append(tokens(text))
-                size += len(texts[-1])
-                if size >= CHUNK_TOKENS:
-                    yield from chunk(ids, texts, number)
-                    ids, texts, size, number = [], [], 0, number + 1
-        if ids:
-            yield from chunk(ids, texts, number)
+        with memory_returned():
+            ids, texts, size, number = [], [], 0, TaskContext.get().partitionId() << 32
+            for batch in batches:
+                for part in slices(batch):
+                    for doc_id, text in zip(part.column("doc_id").to_pylist(), lowered_bytes(part.column("text")), strict=True):
+                        ids.append(doc_id)
+                        texts.append(tokens(text))
+                        size += len(texts[-1])
+                        if size >= CHUNK_TOKENS:
+                            yield from chunk(ids, texts, number)
+                            ids, texts, size, number = [], [], 0, number + 1
+            if ids:
+                yield from chunk(ids, texts, number)
 
     return run
 
 
-def pairs_of(place: np.ndarray, start: int, lengths: np.ndarray) -> np.ndarray:
-    """Of each token its word (high half) and the word before it (low half), ``start`` at the start of a text."""
-    before = np.empty(len(place), np.int64)
-    before[1:] = place[:-1]
-    before[np.cumsum(lengths) - lengths] = start
-    return place.astype(np.int64) << 32 | before
-
-
-ROW = "chunk long, bucket long, payload binary, ids array<long>"
-# Of a bucket: its pairs (step -1), totals after each sweep by range of contexts, and at last what chunks ask.
-STATE = "bucket long, step long, part long, payload binary"
-PARTIAL = STATE + ", sums array<long>"
-
-
-def _row(chunk: int, bucket: int, payload: bytes, ids: list | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({
-        "chunk": pa.array([chunk], pa.int64()), "bucket": pa.array([bucket], pa.int64()),
-        "payload": pa.array([payload], pa.binary()), "ids": pa.array([ids], pa.list_(pa.int64())),
-    })
-
-
-def _state(bucket: int, step: int, part: int, payload: bytes | None, *sums: list) -> pa.RecordBatch:
-    columns = {"bucket": pa.array([bucket], pa.int64()), "step": pa.array([step], pa.int64()), "part": pa.array([part], pa.int64()), "payload": pa.array([payload], pa.binary())}
-    return pa.RecordBatch.from_pydict(columns | {"sums": pa.array([x], pa.list_(pa.int64())) for x in sums})
-
-
-def _summed(batches: Batches) -> Batches:
-    """Per bucket its words, its pairs with a training count over all chunks, and all contexts it is asked for."""
-    for bucket, rows in groupby(rows_of(batches, "bucket", "payload"), itemgetter(0)):
-        words, hashes, counts, asked = [], [], [], []
-        for _, payload in rows:
-            own, place, context, count, contexts = unpack(payload)
-            some = count > 0
-            words.append(own[place[some]])
-            hashes.append(contexts[context[some]])
-            counts.append(count[some].astype(np.int64))
-            asked.append(contexts)
-        contexts = np.unique(np.concatenate(asked))
-        flat, place = np.unique(np.concatenate(words), return_inverse=True)
-        pairs, where = np.unique(place.astype(np.int64) << 32 | np.searchsorted(contexts, np.concatenate(hashes)), return_inverse=True)
-        total = np.bincount(where, np.concatenate(counts), len(pairs)).astype(np.int64)
-        yield _state(bucket, -1, -1, pack(flat, (pairs >> 32).astype(np.uint32), (pairs & 0xFFFFFFFF).astype(np.int32), total, contexts))
-
-
-@dataclass
-class Totals:
-    """After a sweep, by context of a bucket (the root last): customers and tables."""
-
-    customers: np.ndarray
-    tables: np.ndarray
+UNSEEN, SINGLE, REPEATED = range(3)
+
+
+def _summed(buckets: int):
+    """Of each bucket: all words asked for, with counts and single pairs; repeated pairs; each chunk's marks; and, for their owners, customers and dishes by context."""
+
+    def run(bucket: int, rows: Iterator[tuple]) -> Batches:
+        if bucket < 0:  # documents of a chunk
+            for kind, other, payload, _, ids, *_ in rows:
+                yield _row(other, kind, other, payload=payload, ids=ids)
+            return
+        held = [(other, unpack(payload)) for _, other, payload, *_ in rows]
+        words = np.unique(np.concatenate([own for _, (own, *_) in held]))
+        if len(words) >> 63 - CONTEXT_BITS:
+            raise ValueError("a bucket has too many words")
+        places = [np.searchsorted(words, own) for _, (own, *_) in held]
+        keys = np.concatenate([np.repeat(at, each) << CONTEXT_BITS | ctx.astype(np.int64) for at, (_, (_, each, ctx, _)) in zip(places, held, strict=True)])
+        ends = np.cumsum([len(ctx) for _, (_, _, ctx, _) in held]).tolist()
+        pairs, where = np.unique(keys, return_inverse=True)
+        del keys
+        total = np.bincount(where, np.concatenate([count for _, (*_, count) in held]), len(pairs)).astype(np.int64)
+        chunks = [other for other, _ in held]
+        del held
+        mark = np.minimum(total, 2).astype(np.uint8)
+        number = np.cumsum(mark == REPEATED) - 1
+        marks = []
+        for at, a, b in zip(places, [0, *ends[:-1]], ends, strict=True):
+            own = where[a:b]
+            repeated = number[own[mark[own] == REPEATED]]
+            marks.append(pack(np.diff(at, prepend=0).astype(np.uint32), mark[own], np.diff(repeated, prepend=0).astype(np.int32)))
+        del where
+        word, context = pairs >> CONTEXT_BITS, (pairs & (1 << CONTEXT_BITS) - 1).astype(U64)
+        counts = np.bincount(word, total, len(words)).astype(np.int64)
+        single, repeated = mark == SINGLE, mark == REPEATED
+        singles = np.bincount(word[single], minlength=len(words))
+        sums = [total.sum(), len(pairs[total > 0]), (counts > 0).sum(), single.sum(), (total == 2).sum(), (counts == 1).sum(), (counts == 2).sum()]
+        here, at = np.unique(context[repeated], return_inverse=True)  # contexts of repeated pairs
+        kept = pack(word[repeated].astype(np.uint32), at.astype(np.uint32), total[repeated].astype(np.uint32), here, singles.astype(np.uint32))
+        yield _row(
+            bucket, BUCKET, 0, payload=pack(words, counts.astype(np.uint32), singles.astype(np.uint32)), pairs=kept,
+            chunks=chunks, marks=marks, sums=[int(x) for x in sums],
+        )
+        seen = total > 0
+        every, at = np.unique(context[seen], return_inverse=True)
+        customers, dishes = np.bincount(at, total[seen]).astype(np.int64), np.bincount(at)
+        yield from _to_owners(PARTIAL, bucket, buckets, every, customers.astype(np.uint32), dishes.astype(np.uint32), np.isin(every, here))
+
+    return _grouped(run)
+
+
+def _to_owners(kind: int, bucket: int, buckets: int, contexts: np.ndarray, *arrays: np.ndarray) -> Batches:
+    of = bucket_of(contexts, buckets)
+    for owner in np.unique(of).tolist():
+        a, b = np.searchsorted(of, [owner, owner + 1])
+        yield _row(owner, kind, bucket, payload=pack(contexts[a:b], *(x[a:b] for x in arrays)))
+
+
+# Step 3: sweeps.
+
+
+def _owners(bucket: int, rows: Iterator[tuple]) -> Batches:
+    """Of each context a bucket owns customers and dishes; and these to the buckets that have repeated pairs of it."""
+    held = [(other, *unpack(payload)) for _, other, payload, *_ in rows]
+    contexts, at = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+    customers, dishes = (np.bincount(at, np.concatenate([h[k] for h in held])).astype(np.int64) for k in (2, 3))
+    yield _row(bucket, OWNED, 0, payload=pack(contexts, customers, dishes))
+    for other, own, _, _, asks in held:
+        if asks.any():
+            mine = np.searchsorted(contexts, own[asks])
+            yield _row(other, TOLD, bucket, payload=pack(dishes[mine]))
+
+
+def _extras(step: int):
+    def run(bucket: int, rows: Iterator[tuple]) -> Batches:
+        """Of each context the tables beyond one a dish; to its owner itself, and to all buckets that have repeated pairs of it."""
+        held = [(other, *unpack(payload)) for _, other, payload, *_ in rows]
+        contexts, at = np.unique(np.concatenate([h[1] for h in held]), return_inverse=True)
+        more = np.bincount(at, np.concatenate([h[2] for h in held])).astype(np.int64)
+        yield _row(bucket, EXTRA, step, payload=pack(contexts, more))
+        for other, own, _ in held:
+            yield _row(other, TOLD, bucket, payload=pack(more[np.searchsorted(contexts, own)]))
+
+    return _grouped(run)
 
 
 @dataclass
 class Settings:
+    """``customers`` and ``tables`` are the root's, after each sweep."""
+
     training: int
     types: int
     discount: float
     root_discount: float
-    after: list[Totals]
+    customers: list[int]
+    tables: list[int]
 
-
-def seated(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with so many customers; ``pull`` is the weight of a new table."""
-    tables = np.minimum(customers, 1).astype(np.int64)
-    active = np.flatnonzero(customers > 1)
-    seen = np.ones(len(active), np.int64)
+    def base(self) -> float:
+        return 1.0 / (self.types + 1)
+
+    def root(self, customers, tables, step: int, out=0):
+        """The root's probability of a word with so many customers and tables; with ``out`` customers of it taken out."""
+        d, rest = self.root_discount, self.customers[step] - out
+        return (customers - d * tables + (ROOT_STRENGTH + d * self.tables[step]) * self.base()) / (ROOT_STRENGTH + rest)
+
+
+def stirling(discount: float, size: int = EXACT) -> np.ndarray:
+    """Logarithms of the generalised Stirling numbers S(n, t), n and t up to ``size``."""
+    out = np.full((size + 1, size + 2), -np.inf)
+    out[0, 0] = 0.0
+    t = np.arange(size + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for n in range(size):
+            stay = np.where(t <= n, out[n, :-1] + np.log(np.maximum(n - discount * t, 0.0)), -np.inf)
+            stay[0] = -np.inf
+            out[n + 1, 1:] = np.logaddexp(out[n, :-1], np.append(stay[1:], -np.inf))
+    return out[:, : size + 1]
+
+
+def reseated(customers: np.ndarray, p: np.ndarray, others: np.ndarray, strength: float, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with so many customers, given the parent's probabilities and the other tables of their restaurants."""
+    log_s, tables = stirling(discount), np.minimum(customers, 1).astype(np.int64)
+    exact = np.minimum(customers, EXACT)
+    order = np.argsort(exact, kind="stable")
+    cuts = np.searchsorted(exact[order], np.arange(2, EXACT + 2))
+    for n, a, b in zip(range(2, EXACT + 1), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        t = np.arange(1, n + 1)
+        for k in range(a, b, 50_000):
+            rows = order[k : min(b, k + 50_000)]
+            weight = log_s[n, 1 : n + 1] + np.log(p[rows])[:, None] * t + np.cumsum(np.log(strength + discount * (others[rows][:, None] + t - 1)), 1)
+            weight = np.cumsum(np.exp(weight - weight.max(1, keepdims=True)), 1)
+            tables[rows] = 1 + (rng.random(len(rows))[:, None] * weight[:, -1:] > weight).sum(1)
+    active = np.flatnonzero(customers > EXACT)
+    seen = np.full(len(active), EXACT)
     while len(active):
-        left = customers[active] - seen
-        more = np.minimum(left, np.maximum(1, seen >> 3))
-        new = pull[active] / (pull[active] + seen - discount * tables[active])
+        more = np.minimum(customers[active] - seen, seen >> 3)
+        pull = (strength + discount * (others[active] + tables[active])) * p[active]
+        new = pull / (pull + seen - discount * tables[active])
         tables[active] += rng.binomial(more, np.clip(new, 0.0, 1.0))
         seen = seen + more
         going = seen < customers[active]
@@ -194,203 +313,177 @@ def seated(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.ran
     return tables
 
 
-class Bucket:
-    """All restaurants' dishes of some of the words, seated sweep after sweep."""
-
-    def __init__(self, number: int, payload: bytes, settings: Settings) -> None:
-        self.words, self.place, self.context, self.count = unpack(payload)[:4]
-        self.number, self.settings = number, settings
-        self.inside = self.context != NONE
-        self.counts = np.bincount(self.place, self.count, len(self.words)).astype(np.int64)
-
-    def base(self) -> float:
-        return 1.0 / (self.settings.types + 1)
-
-    def root(self, customers: np.ndarray, tables: np.ndarray, totals: Totals) -> np.ndarray:
-        d, all_customers, all_tables = self.settings.root_discount, totals.customers[-1], totals.tables[-1]
-        return (customers - d * tables + (ROOT_STRENGTH + d * all_tables) * self.base()) / (ROOT_STRENGTH + all_customers)
-
-    def sweep(self, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Of the first n sweeps: tables of each pair, customers and tables of each word at the root."""
-        s = self.settings
-        rng = np.random.default_rng((self.number, 11))
-        root = None
-        for k in range(n):
-            before = s.after[k]
-            if root is None:
-                root = self.root(self.counts, np.minimum(self.counts, 1), before)
-            at = self.context[self.inside]
-            pull = (STRENGTH + s.discount * before.tables[at]) * root[self.place[self.inside]]
-            tables = self.count.copy()  # outside contexts every customer goes to the root
-            tables[self.inside] = seated(self.count[self.inside], pull, s.discount, rng)
-            customers = np.bincount(self.place, tables, len(self.words)).astype(np.int64)
-            pull = np.full(len(customers), (ROOT_STRENGTH + s.root_discount * before.tables[-1]) * self.base())
-            at_root = seated(customers, pull, s.root_discount, rng)
-            if k + 1 < len(s.after):
-                root = self.root(customers, at_root, s.after[k + 1])
-            yield tables, customers, at_root
-
-
-def _restored(rows: Iterator[tuple], number: int, settings: Settings) -> tuple[Bucket, np.ndarray, Iterator[tuple]]:
-    """A bucket with the totals of its own contexts, the hashes of these, and the rows of chunks that follow."""
-    _, _, _, payload = next(rows)
-    contexts = unpack(payload)[4]
-    after, steps = [], groupby(rows, itemgetter(1))
-    asked: Iterator[tuple] = iter(())
-    for step, group in steps:
-        if step > SWEEPS:
-            asked = group
-            break
-        customers, tables = (np.concatenate(x) for x in zip(*(unpack(p) for *_, p in group), strict=True))
-        root = settings.after[step]
-        after.append(Totals(np.append(customers, root.customers), np.append(tables, root.tables)))
-    return Bucket(number, payload, replace(settings, after=after)), contexts, asked
-
-
-def _totals(settings, step: int, parts: int):
-    """By range of contexts each bucket's customers and tables after sweep ``step`` (0: one table per dish); and in a
-    row of part -1 sums of the root and counts of counts."""
-
-    def run(batches: Batches) -> Batches:
-        for number, rows in groupby(rows_of(batches, "bucket", "step", "part", "payload"), itemgetter(0)):
-            b, contexts, _ = _restored(rows, number, settings.value)
-            tables, customers, at_root = np.minimum(b.count, 1), b.counts, np.minimum(b.counts, 1)
-            for tables, customers, at_root in b.sweep(step):
-                pass
-            sums = [customers.sum(), at_root.sum(), (b.count == 1).sum(), (b.count == 2).sum(), (b.counts == 1).sum(), (b.counts == 2).sum()]
-            yield _state(number, step, -1, None, [int(x) for x in sums])
-            inside = [np.bincount(b.context, w, len(contexts)).astype(np.int64) for w in (b.count, tables)]
-            of = bucket_of(contexts, parts)
-            for part in np.unique(of).tolist():
-                i, j = np.searchsorted(of, [part, part + 1])
-                yield _state(number, step, part, pack(contexts[i:j], *(x[i:j] for x in inside)), None)
-
-    return run
-
-
-def _exchanged(batches: Batches) -> Batches:
-    """Of a range of contexts the sums over all buckets, for each bucket in the order of its contexts."""
-    for part, rows in groupby(rows_of(batches, "part", "step", "bucket", "payload"), itemgetter(0)):
-        rows = [(step, bucket, *unpack(payload)) for _, step, bucket, payload in rows]
-        all_contexts, at = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([r[k] for r in rows]), len(all_contexts)).astype(np.int64) for k in (3, 4)]
-        start = 0
-        for step, bucket, contexts, *_ in rows:
-            mine = at[start : start + len(contexts)]
-            start += len(contexts)
-            yield _state(bucket, step, part, pack(*(x[mine] for x in sums)))
-
-
-def _gathered(model: DataFrame, totals: DataFrame | None, settings: Settings, step: int, buckets: int) -> tuple[list[int], DataFrame]:
-    """The sums over all buckets, and the totals of contexts for each bucket with those of the sweeps before."""
-    known = model if totals is None else by_bucket(model.unionByName(totals), buckets)
-    partial = written(known.mapInArrow(_totals(model.sparkSession.sparkContext.broadcast(settings), step, buckets), PARTIAL), "partial")
-    sums = partial.filter("part < 0").agg(*(F.sum(F.col("sums")[k]) for k in range(6))).first()
-    ranges = partial.filter("part >= 0").drop("sums").repartition(buckets, "part").sortWithinPartitions("part", "bucket")
-    found = written(ranges.mapInArrow(_exchanged, STATE), "totals")
-    return [int(x or 0) for x in sums], found if totals is None else totals.unionByName(found)
-
-
-def by_bucket(states: DataFrame, buckets: int) -> DataFrame:
-    return states.repartition(buckets, "bucket").sortWithinPartitions("bucket", "step", "part")
+class Seating:
+    """The repeated pairs of a bucket's words and its words at the root, with their tables."""
+
+    def __init__(self, payload: bytes) -> None:
+        self.word, self.at, self.customers, self.contexts, self.singles = (x.astype(np.int64) if x.dtype != U64 else x for x in unpack(payload))
+        self.tables = np.ones(len(self.word), np.int64)
+        self.root_tables = np.minimum(self.root_customers(), 1)
+
+    def root_customers(self) -> np.ndarray:
+        return self.singles + np.bincount(self.word, self.tables, len(self.singles)).astype(np.int64)
+
+    def sweep(self, settings: Settings, all_tables: np.ndarray, step: int, rng: np.random.Generator) -> None:
+        """Every dish taken out and seated again; ``all_tables`` of the restaurants ``contexts``, after sweep ``step``."""
+        out = self.tables
+        left = self.root_customers()[self.word] - out
+        p = settings.root(left, np.minimum(self.root_tables[self.word], left), step, out)
+        self.tables = reseated(self.customers, p, all_tables[self.at] - out, STRENGTH, settings.discount, rng)
+        others = settings.tables[step] - self.root_tables
+        customers = self.root_customers()
+        self.root_tables = reseated(customers, np.full(len(customers), settings.base()), others, ROOT_STRENGTH, settings.root_discount, rng)
+
+    def extras(self) -> np.ndarray:
+        return np.bincount(self.at, self.tables - 1, len(self.contexts)).astype(np.int64)
+
+
+def _swept(settings, step: int, buckets: int):
+    """Sweep ``step`` (from 1) of each bucket, from its pairs, what owners told, and its seating after the sweep before."""
+
+    def run(bucket: int, rows: Iterator[tuple]) -> Batches:
+        told: dict[int, list[np.ndarray]] = {0: [], 1: []}
+        seating = dishes = None
+        for kind, other, payload, pairs, *_ in rows:
+            if kind == BUCKET:
+                seating = Seating(pairs)
+            elif kind == SEATED:
+                seating.tables, seating.root_tables, dishes = (x.astype(np.int64) for x in unpack(payload))
+            else:
+                told[kind == TOLD].append(unpack(payload)[0])
+        if seating is None:
+            return
+        known = np.concatenate([*told[True], np.empty(0, np.int64)])
+        dishes, more = (known, 0) if dishes is None else (dishes, known)
+        seating.sweep(settings.value, dishes + more, step - 1, np.random.default_rng((bucket, step)))
+        sums = [int(seating.root_customers().sum()), int(seating.root_tables.sum())]
+        yield _row(bucket, SEATED, step, payload=pack(seating.tables.astype(np.uint32), seating.root_tables.astype(np.uint32), dishes.astype(np.uint32)), sums=sums)
+        yield from _to_owners(PARTIAL, bucket, buckets, seating.contexts, seating.extras().astype(np.uint32))
+
+    return _grouped(run)
 
 
 def _discount(once: int, twice: int) -> float:
     return min(0.95, max(0.05, once / max(1, once + 2 * twice)))
 
 
-def _answered(settings):
-    """Rows of a bucket, its state first: each chunk's pairs with their log10 probability, and words with counts."""
-
-    def run(batches: Batches) -> Batches:
-        for number, rows in groupby(rows_of(batches, "bucket", "step", "part", "payload"), itemgetter(0)):
-            bucket, contexts, asked = _restored(rows, number, settings.value)
-            model = Model(bucket)
-            for _, _, chunk, payload in asked:
-                words, place, context, _, own = unpack(payload)
-                counts, logs = model.answer(words, place, np.searchsorted(contexts, own)[context])
-                yield _row(chunk, number, pack(counts, logs), None)
+# Step 4: answers.
 
-    return run
 
+def _answered(settings):
+    """To each chunk: of its words the counts, the root's probabilities, the customers and tables of their restaurants; of its pairs the marks, customers and tables."""
 
-class Model:
-    """Averaged predictive probabilities of one bucket's words."""
-
-    def __init__(self, bucket: Bucket) -> None:
-        s = bucket.settings
-        self.bucket, self.samples = bucket, []
-        self.pairs = bucket.place.astype(np.int64) << 32 | (bucket.context.astype(np.int64) + 1)
-        for k, (tables, customers, at_root) in enumerate(bucket.sweep(SWEEPS)):
-            if k >= BURN_IN:
-                totals = s.after[k + 1]
-                self.samples.append((totals, tables, bucket.root(customers, at_root, totals), float(bucket.root(0, 0, totals))))
-
-    def answer(self, words: np.ndarray, place: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b, s = self.bucket, self.bucket.settings
-        at = np.minimum(np.searchsorted(b.words, words), max(len(b.words) - 1, 0))
-        known = b.words[at] == words if len(b.words) else np.zeros(len(words), bool)
-        counts = np.where(known, b.counts[at], 0) if len(b.words) else np.zeros(len(words), np.int64)
-        mine = np.where(known, at, 0)[place]
-        keys = mine.astype(np.int64) << 32 | (context.astype(np.int64) + 1)
-        pair = np.minimum(np.searchsorted(self.pairs, keys), max(len(self.pairs) - 1, 0))
-        seen = (self.pairs[pair] == keys) & known[place] if len(self.pairs) else np.zeros(len(keys), bool)
-        inside = context != NONE
-        total = np.zeros(len(keys))
-        for totals, tables, root, unknown in self.samples:
-            p = np.where(known[place], root[mine], unknown) if len(root) else np.full(len(keys), unknown)
-            customers, all_tables = totals.customers[context], totals.tables[context]
-            own = np.where(seen, b.count[pair] - s.discount * tables[pair], 0.0) if len(tables) else 0.0
-            within = (own + (STRENGTH + s.discount * all_tables) * p) / (STRENGTH + customers)
-            total += np.where(inside, within, p)
-        return counts, np.log10(total / len(self.samples)).astype(np.float32)
+    def run(bucket: int, rows: Iterator[tuple]) -> Batches:
+        s: Settings = settings.value
+        words = seating = None
+        owned = [np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64)]
+        tables, roots, totals = [], [], []
+        for kind, other, payload, pairs, _, own_chunks, own_marks in rows:
+            if kind == BUCKET:
+                words, counts, _ = unpack(payload)
+                seating, chunks, marks = Seating(pairs), own_chunks, own_marks
+            elif kind == OWNED:
+                owned = unpack(payload)
+            elif kind == SEATED and other > BURN_IN:
+                seating.tables, root_tables, _ = (x.astype(np.int64) for x in unpack(payload))
+                tables.append(seating.tables.astype(np.uint32))
+                roots.append(s.root(seating.root_customers(), root_tables, other).astype(np.float32))
+            elif kind == EXTRA and other > BURN_IN:
+                at, more = unpack(payload)
+                totals.append((other, np.searchsorted(owned[0], at), more))
+        if words is None:
+            return
+        place = np.minimum(np.searchsorted(owned[0], context_of(words)), max(len(owned[0]) - 1, 0))
+        has = owned[0][place] == context_of(words) if len(owned[0]) else np.zeros(len(words), bool)
+        of_word = lambda x: np.where(has, x[place], 0).astype(np.uint32) if len(x) else np.zeros(len(words), np.uint32)
+        each = {k: owned[2].copy() for k in range(BURN_IN + 1, SWEEPS + 1)}
+        for k, at, more in totals:
+            each[k][at] += more
+        customers, each = of_word(owned[1]), [of_word(each[k]) for k in sorted(each)]
+        for number, payload in zip(chunks, marks, strict=True):
+            own, mark, repeated = unpack(payload)
+            own, repeated = np.cumsum(own.astype(np.int64)), np.cumsum(repeated.astype(np.int64))
+            columns = [counts[own], customers[own], *(x[own] for x in each), *(r[own] for r in roots)]
+            yield _row(number, ANSWER, bucket, payload=pack(*columns, mark, seating.customers[repeated].astype(np.uint32), *(t[repeated] for t in tables)))
+
+    return _grouped(run)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SAMPLES = SWEEPS - BURN_IN
+
+
+def probabilities(s: Settings, word: np.ndarray, context: np.ndarray, columns: list[np.ndarray]) -> np.ndarray:
+    """Of pairs (word, context), as places in the columns of words: predictive probabilities, averaged over the samples."""
+    _, customers, *rest = columns
+    restaurants, roots = rest[:SAMPLES], rest[SAMPLES : 2 * SAMPLES]
+    mark, repeated, *tables = rest[2 * SAMPLES :]
+    total = np.zeros(len(word))
+    own = np.where(mark == SINGLE, 1 - s.discount, 0.0)
+    many = mark == REPEATED
+    for k in range(SAMPLES):
+        own[many] = repeated - s.discount * tables[k]
+        total += (own + (STRENGTH + s.discount * restaurants[k][context]) * roots[k][word]) / (STRENGTH + customers[context])
+    return total / SAMPLES
 
 
 def _scored(settings):
     """Rows of a chunk, its documents first, then its buckets in order."""
 
-    def run(batches: Batches) -> Batches:
+    def run(number: int, rows: Iterator[tuple]) -> Batches:
         s: Settings = settings.value
-        for _, rows in groupby(rows_of(batches, "chunk", "bucket", "payload", "ids"), itemgetter(0)):
-            _, _, payload, ids = next(rows)
-            ranks, lengths, order, words = unpack(payload)
-            answers = [unpack(p) for _, _, p, _ in rows]
-            counts, logs = (np.concatenate(x) for x in zip(*answers, strict=True))
-            place = order[ranks].astype(np.int64)
-            each = np.unique(pairs_of(place, len(words), lengths), return_inverse=True)[1]  # in the order in which the pairs were asked
-            starts = np.cumsum(lengths) - lengths
-            base = np.log10((counts + 1) / (s.training + s.types + 1))
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]), "n_tokens": pa.array(lengths),
-                "n_known": pa.array(np.add.reduceat((counts > 0)[place].astype(np.int64), starts)),
-                "train_tokens": pa.array(np.full(len(ids), s.training, np.int64)),
-                "base_score": pa.array(np.add.reduceat(base[place], starts)), "score": pa.array(np.add.reduceat(logs.astype(np.float64)[each], starts)),
-            })
-
-    return run
+        _, _, payload, _, ids, *_ = next(rows)
+        ranks, lengths, order, (_, start) = unpack(payload)
+        columns = [np.concatenate(x) for x in zip(*(unpack(p) for _, _, p, *_ in rows), strict=True)]
+        place = order[ranks].astype(np.int64)
+        pairs, each = np.unique(pairs_of(place, int(start), lengths), return_inverse=True)  # in the order in which the pairs were asked
+        logs = np.log10(probabilities(s, pairs >> 32, pairs & 0xFFFFFFFF, columns))
+        starts, counts = np.cumsum(lengths) - lengths, columns[0]
+        base = np.log10((counts.astype(np.int64) + 1) / (s.training + s.types + 1))
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]), "n_tokens": pa.array(lengths),
+            "n_known": pa.array(np.add.reduceat((counts > 0)[place].astype(np.int64), starts)),
+            "train_tokens": pa.array(np.full(len(ids), s.training, np.int64)),
+            "base_score": pa.array(np.add.reduceat(base[place], starts)), "score": pa.array(np.add.reduceat(logs[each], starts)),
+        })
+
+    return _grouped(run)
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``."""
-    spark, n = docs.sparkSession, partitions_for(docs)
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     training = docs.mapInArrow(_training, "n long").agg(F.sum("n")).first()[0] or 0
-    buckets = max(n, training // BUCKET_TOKENS + 1)
-    chunks = written(docs.mapInArrow(_chunks(buckets), ROW), "chunks")
-    asked, documents = chunks.filter("bucket >= 0"), chunks.filter("bucket < 0")
-    model = asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_summed, STATE)
-    model = written(model, "counts")
-    sums, totals = _gathered(model, None, Settings(training, 0, 0.5, 0.5, []), 0, buckets)
-    # At first every customer counts at the root, each dish at one table.
-    settings = Settings(training, sums[1], _discount(*sums[2:4]), _discount(*sums[4:6]), [Totals(*sums[:2])])
-    for k in range(1, SWEEPS + 1):
-        sums, totals = _gathered(model, totals, settings, k, buckets)
-        settings.after.append(Totals(*sums[:2]))
+    buckets = buckets_for(training)
+    parts = max(partitions_for(docs), training // BUCKET_TOKENS + 1)
+    dealt = lambda rows: rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "other")
+    only = lambda rows, *kinds: rows.filter(F.col("kind").isin(*kinds))
+    table = written(dealt(docs.mapInArrow(_chunks(buckets), ROW)).mapInArrow(_summed(buckets), ROW), "buckets")
+    names = ["training", "dishes", "types", "once", "twice", "word_once", "word_twice"]
+    sums = only(table, BUCKET).agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(n) for k, n in enumerate(names))).first()
+    settings = Settings(training, sums.types, _discount(sums.once, sums.twice), _discount(sums.word_once, sums.word_twice), [sums.dishes], [sums.types])
+    owned = written(dealt(only(table, PARTIAL)).mapInArrow(_grouped(_owners), ROW), "owned")
+    empty = F.lit(None)
+    pairs = only(table, BUCKET).select("bucket", "kind", "other", empty.cast("binary").alias("payload"), "pairs", *(empty.cast(t).alias(c) for c, t in (("ids", "array<long>"), ("chunks", "array<long>"), ("marks", "array<binary>"), ("sums", "array<long>"))))
+    told, seatings, extras = only(owned, TOLD), [], []
+    for step in range(1, SWEEPS + 1):
+        now = pairs.unionByName(told)
+        if seatings:
+            now = now.unionByName(only(seatings[-1], SEATED))
+        swept = written(dealt(now).mapInArrow(_swept(spark.sparkContext.broadcast(settings), step, buckets), ROW), "seated")
+        root = only(swept, SEATED).agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(2))).first()
+        settings.customers.append(root[0])
+        settings.tables.append(root[1])
+        told_by = written(dealt(only(swept, PARTIAL)).mapInArrow(_extras(step), ROW), "extras")
+        if step <= BURN_IN + 1 and seatings:  # not among the samples, and no sweep needs it any more
+            discarded(seatings.pop(), extras.pop())
+        seatings.append(swept)
+        extras.append(told_by)
+        told = only(told_by, TOLD)
     final = spark.sparkContext.broadcast(settings)
-    questions = asked.select("bucket", F.lit(SWEEPS + 1).cast("long").alias("step"), F.col("chunk").alias("part"), "payload")
-    answered = by_bucket(model.unionByName(totals).unionByName(questions), buckets).mapInArrow(_answered(final), ROW)
-    together = documents.unionByName(answered).repartition(n, "chunk").sortWithinPartitions("chunk", "bucket")
-    return together.mapInArrow(_scored(final), SCORES)
+    answering = only(table, BUCKET).unionByName(only(owned, OWNED))
+    for swept, told_by in zip(seatings, extras, strict=True):
+        answering = answering.unionByName(only(swept, SEATED)).unionByName(only(told_by, EXTRA))
+    answers = dealt(answering).mapInArrow(_answered(final), ROW)
+    return dealt(only(table, DOCUMENTS).unionByName(answers)).mapInArrow(_scored(final), SCORES)

@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 
+HEAD = struct.Struct("<8sI")  # of each array its type and the size of what follows
+
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays by byte planes, compressed."""
-    planes = [(a.dtype.str, zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes(), 1)) for a in arrays]
-    return pickle.dumps(planes)
+    out = []
+    for a in arrays:
+        planes = zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.dtype.itemsize).T).tobytes(), 1)
+        out += HEAD.pack(a.dtype.str.encode(), len(planes)), planes
+    return b"".join(out)
 
 
 def unpack(payload: bytes) -> list[np.ndarray]:
-    out = []
-    for kind, planes in pickle.loads(payload):
-        size = np.dtype(kind).itemsize
-        flat = np.frombuffer(zstandard.decompress(planes), np.uint8).reshape(size, -1)
-        out.append(np.ascontiguousarray(flat.T).view(kind).reshape(-1))
+    out, at = [], 0
+    while at < len(payload):
+        kind, size = HEAD.unpack_from(payload, at)
+        at += HEAD.size
+        dtype = np.dtype(kind.rstrip(b"\0").decode())
+        flat = np.frombuffer(zstandard.decompress(payload[at : at + size]), np.uint8).reshape(dtype.itemsize, -1)
+        out.append(np.ascontiguousarray(flat.T).view(dtype).reshape(-1))
+        at += size
     return out
 
 

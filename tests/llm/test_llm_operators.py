@@ -260,26 +260,83 @@ def test_lm_rare_words_are_contexts(spark):
     assert sum(r["score"] for r in out) / tokens > 0.65 * sum(r["base_score"] for r in out) / tokens
 
 
-def test_lm_probabilities_sum_to_one():
-    """Over all known words and the unknown one, in every context."""
-    r = np.random.default_rng(1)
-    hashes = np.sort(r.integers(1, 2**62, 20).astype(np.uint64))
-    place, context = np.divmod(np.arange(20 * 3), 3)
-    count = r.integers(0, 6, 60)
-    some = count > 0
-    payload = payloads.pack(hashes, place[some].astype(np.uint32), (context[some] - 1).astype(np.int16), count[some].astype(np.int64))
-    customers = np.array([count[context == 1].sum(), count[context == 2].sum(), 0])
-    settings = lm_scoring.Settings(int(count.sum()), 20, 0.5, 0.4, [lm_scoring.Totals(customers, customers)])
-    bucket = lm_scoring.Bucket(0, payload, settings)
-    for k in range(lm_scoring.SWEEPS):  # totals as they are gathered after each sweep
-        *_, (tables, at, at_root) = bucket.sweep(k + 1)
-        inside = [tables[(bucket.context == c)].sum() for c in (0, 1)]
-        settings.after.append(lm_scoring.Totals(np.array([customers[0], customers[1], at.sum()]), np.array([*inside, at_root.sum()])))
-    model = lm_scoring.Model(lm_scoring.Bucket(0, payload, settings))
-    unknown = np.append(hashes, np.uint64(2**63))
-    for c in (-1, 0, 1):
-        _, logs = model.answer(unknown, np.arange(21), np.full(21, c, np.int16))
-        assert (10.0 ** logs.astype(float)).sum() == pytest.approx(1.0, abs=0.05 if c >= 0 else 1e-5)
+def test_lm_scores_follow_from_the_corpus_alone(spark):
+    """Not from the layout of the rows, the number of partitions or the sizes of chunks."""
+    docs = table(spark, corpus(150, seed=6))
+    first = {(r["doc_id"], r["n_tokens"]): r["score"] for r in lm_scoring.lm_scores(docs).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = lm_scoring.lm_scores(docs.repartition(11)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert {(r["doc_id"], r["n_tokens"]): r["score"] for r in again} == pytest.approx(first, abs=1e-9)
+
+
+def dealt(batches):
+    """Rows as a shuffle would bring them, one batch each."""
+    return iter(sorted(batches, key=lambda b: tuple(b.column(c)[0].as_py() for c in ("bucket", "kind", "other"))))
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_lm_probabilities_sum_to_one(monkeypatch):
+    """Over all words of training and the unknown one, after every context; and tables never exceed customers."""
+    monkeypatch.setattr(lm_scoring, "TaskContext", type("Task", (), {"get": staticmethod(lambda: type("One", (), {"partitionId": lambda self: 0})())}))
+    r, buckets = random.Random(2), 4
+    texts = [" ".join(r.choices(WORDS, weights=range(1, 41), k=r.randrange(1, 60))) for _ in range(60)]
+    docs = pa.RecordBatch.from_pydict({"doc_id": pa.array([k for k in range(400) if not lm_scoring.held_out(k)][:60], pa.int64()), "text": texts})
+    kinds = lambda rows, *which: [b for b in rows if b.column("kind")[0].as_py() in which]
+    rows = list(lm_scoring._summed(buckets)(dealt(lm_scoring._chunks(buckets)(iter([docs])))))
+    added = lambda rows, n: [sum(x) for x in zip(*(b.column("sums")[0].as_py()[:n] for b in rows), strict=True)]
+    sums = added(kinds(rows, lm_scoring.BUCKET), 7)
+    s = lm_scoring.Settings(sums[0], sums[2], 0.6, 0.4, [sums[1]], [sums[2]])
+    owned = list(lm_scoring._grouped(lm_scoring._owners)(dealt(kinds(rows, lm_scoring.PARTIAL))))
+    told, all_rows, seated = kinds(owned, lm_scoring.TOLD), kinds(rows, lm_scoring.BUCKET) + kinds(owned, lm_scoring.OWNED), []
+    for step in range(1, lm_scoring.SWEEPS + 1):
+        swept = list(lm_scoring._swept(Held(s), step, buckets)(dealt(kinds(rows, lm_scoring.BUCKET) + told + seated)))
+        extras = list(lm_scoring._extras(step)(dealt(kinds(swept, lm_scoring.PARTIAL))))
+        told, seated = kinds(extras, lm_scoring.TOLD), kinds(swept, lm_scoring.SEATED)
+        root = added(seated, 2)
+        s.customers.append(root[0])
+        s.tables.append(root[1])
+        assert sums[2] <= root[1] <= root[0] <= sums[0]
+        all_rows += seated + kinds(extras, lm_scoring.EXTRA)
+    answers = sorted(lm_scoring._answered(Held(s))(dealt(all_rows)), key=lambda b: b.column("other")[0].as_py())
+    columns = [np.concatenate(x) for x in zip(*(payloads.unpack(b.column("payload")[0].as_py()) for b in answers), strict=True)]
+    _, lengths, order, (n_words, start) = payloads.unpack(kinds(rows, lm_scoring.DOCUMENTS)[0].column("payload")[0].as_py())
+    ranks = payloads.unpack(kinds(rows, lm_scoring.DOCUMENTS)[0].column("payload")[0].as_py())[0]
+    place = order[ranks].astype(np.int64)
+    pairs, counts = np.unique(lm_scoring.pairs_of(place, int(start), lengths), return_counts=True)
+    at = 2 + 2 * lm_scoring.SAMPLES
+    assert (columns[at] == np.minimum(counts, 2)).all() and (columns[at + 1] == counts[counts > 1]).all()
+    assert all(((t >= 1) & (t <= columns[at + 1])).all() for t in columns[at + 2 :])
+    unknown = np.mean([s.root(0, 0, k) for k in range(lm_scoring.BURN_IN + 1, lm_scoring.SWEEPS + 1)])
+    word, context = np.divmod(np.arange(n_words * n_words), n_words)
+    mark = np.zeros(n_words * n_words, np.uint8)
+    mark[(pairs >> 32) * n_words + (pairs & 0xFFFFFFFF)] = columns[at]
+    grid = lm_scoring.probabilities(s, word, context, [*columns[:at], mark, *columns[at + 1 :]]).reshape(n_words, n_words)
+    words = np.delete(np.arange(n_words), start)
+    for c in range(n_words):
+        rest = [(lm_scoring.STRENGTH + s.discount * columns[2 + k][c]) / (lm_scoring.STRENGTH + columns[1][c]) * s.root(0, 0, lm_scoring.BURN_IN + 1 + k) for k in range(lm_scoring.SAMPLES)]
+        assert grid[words, c].sum() + np.mean(rest) == pytest.approx(1.0, abs=1e-6)
+    assert 0 < unknown < 1
+
+
+def test_stirling_numbers():
+    """Against the recursion on plain numbers, and the draw against its law."""
+    d, s = 0.3, {(0, 0): 1.0}
+    for n in range(8):
+        for t in range(1, n + 2):
+            s[n + 1, t] = s.get((n, t - 1), 0.0) + (n - d * t) * s.get((n, t), 0.0)
+    found = np.exp(lm_scoring.stirling(d, 8))
+    assert all(found[n, t] == pytest.approx(v) for (n, t), v in s.items() if n)
+    p, others, many = 0.2, 5, 40_000
+    tables = lm_scoring.reseated(np.full(many, 6), np.full(many, p), np.full(many, others), 1.0, d, np.random.default_rng(1))
+    law = np.array([s[6, t] * p**t * np.prod([1.0 + d * (others + j) for j in range(t)]) for t in range(1, 7)])
+    assert np.bincount(tables, minlength=7)[1:] / many == pytest.approx(law / law.sum(), abs=0.01)
 
 
 def test_quality_classifier(spark):
