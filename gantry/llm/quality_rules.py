@@ -14,9 +14,13 @@ rule with m of them has the lowest cutoff that fewer than m good rows exceed.  T
 up to the grid and counting rows that other rules have cut already only make cutoffs higher than the bound asks for.
 A stratum with too few good rows for one cut gets no cutoffs.
 
+The law asks for independent rows, so a trial is a distinct text: copies, and rows of one id, count once.  Near copies still count
+one by one; where they abound, deduplicate first.
+
 Defined cases: null text has no words.  A null language is a stratum of its own, and one
-without labels gets no cutoffs.  Of contradicting labels of a ``doc_id`` the lowest counts.
-Repeated rows are judged alike.  Other columns are not read.
+without labels gets no cutoffs.  Of contradicting labels of a ``doc_id`` or a text the lowest counts.
+Repeated rows are judged alike.  Other columns are not read.  Measurements and cutoffs are
+computed and written while the query is built.
 """
 
 from __future__ import annotations
@@ -60,22 +64,38 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.length("text") - F.length(without(F.col("text"), SYMBOLS))).alias("n_symbols"),
         (F.length("text") - F.length(without(F.col("text"), ASCII_UPPER))).alias("n_upper"),
         (F.length("text") - F.length(without(F.col("text"), "!"))).alias("n_shouts"),
+        F.md5(F.col("text").cast("binary")).alias("digest"),
     )
-    # Three-word windows with their places, sorted so that equal ones meet; then the places of those met twice or more.
-    windows = split.withColumn(
-        "windows",
+    # Three-word windows as numbers, place in the low bits and hash in the others, sorted so that equal ones meet.
+    keys = split.withColumn("bits", F.length(F.bin(F.size("words").cast("long")))).withColumn("mask", F.expr("shiftleft(1L, bits) - 1"))
+    keys = keys.withColumn(
+        "keys",
         F.expr(
-            "array_sort(transform(sequence(0, greatest(size(words) - 3, 0)), i ->"
-            " struct(concat_ws(' ', get(words, i), get(words, i + 1), get(words, i + 2)) AS w, i AS i)))"
+            "CASE WHEN size(words) < 4 THEN array() ELSE sort_array(transform(sequence(0, size(words) - 3), i ->"
+            " shiftleft(shiftright(xxhash64(get(words, i), get(words, i + 1), get(words, i + 2)), bits), bits) | i)) END"
         ),
     )
-    places = windows.withColumn(
+    # Whether a window is that before it: 0 no, 1 yes by its words, 2 only by its hash.
+    same = " AND ".join(f"get(words, cast(x & mask AS int) + {k}) = get(words, cast(get(keys, j - 1) & mask AS int) + {k})" for k in range(3))
+    met = keys.withColumn(
+        "met",
+        F.expr(f"transform(keys, (x, j) -> CASE WHEN shiftright(x, bits) = shiftright(get(keys, j - 1), bits) THEN CASE WHEN {same} THEN 1 ELSE 2 END ELSE 0 END)"),
+    )
+    # Places of windows met twice or more.  Where different windows have met, windows are sorted as strings instead.
+    as_strings = (
+        "array_sort(transform(sequence(0, greatest(size(words) - 3, 0)), i ->"
+        " struct(concat_ws(' ', get(words, i), get(words, i + 1), get(words, i + 2)) AS w, i AS i)))"
+    )
+    places = met.withColumn(
         "places",
         F.expr(
-            "CASE WHEN size(words) < 4 THEN array() ELSE array_sort(array_compact(transform(windows, (x, j) ->"
-            " CASE WHEN x.w = get(windows, j - 1).w OR x.w = get(windows, j + 1).w THEN x.i END))) END"
+            "CASE WHEN coalesce(array_max(met), 0) = 0 THEN array()"
+            " WHEN array_max(met) = 1 THEN sort_array(array_compact(transform(keys, (x, j) ->"
+            " CASE WHEN get(met, j) = 1 OR get(met, j + 1) = 1 THEN cast(x & mask AS int) END)))"
+            f" ELSE sort_array(array_compact(aggregate(array({as_strings}), cast(array() AS array<int>), (a, windows) -> transform(windows, (x, j) ->"
+            " CASE WHEN x.w = get(windows, j - 1).w OR x.w = get(windows, j + 1).w THEN x.i END)))) END"
         ),
-    ).drop("windows")
+    )
     counted = places.select(
         "doc_id",
         "stratum",
@@ -89,10 +109,11 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size("lines").alias("n_lines"),
         "n_upper",
         "n_shouts",
+        "digest",
     )
     share = lambda part, of: F.col(part) / F.greatest(F.col(of), F.lit(1))
     return counted.select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "stratum", "digest", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("n_symbols", "word_chars").alias("symbols"),
         share("n_dup_lines", "n_lines").alias("dup_lines"),
         share("n_repeat_words", "n_words").alias("repeats"),
@@ -140,9 +161,15 @@ def allowed_cuts(counts: DataFrame, risk: float, delta: float) -> DataFrame:
 
 
 def cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Per stratum the lowest cutoff of each rule that holds the risk of all; null where none does."""
+    """Per stratum the lowest cutoff of each rule that holds the risk of all; null where none does.
+
+    ``digest`` tells distinct texts apart; without it each ``doc_id`` is a trial.
+    """
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    good = features.select("doc_id", "stratum", *RULES, F.greatest(*RULES).alias("any")).join(labels.filter("quality = 1"), "doc_id")
+    trial = F.col("digest" if "digest" in features.columns else "doc_id").alias("trial")
+    texts = features.select("doc_id", "stratum", trial, *RULES).join(labels, "doc_id").groupBy("stratum", "trial")
+    good = texts.agg(*(F.min(r).alias(r) for r in RULES), F.min("quality").alias("quality")).filter("quality = 1")
+    good = good.withColumn("any", F.greatest(*RULES))
     counts = good.groupBy("stratum").agg(
         F.count("*").alias("n"),
         *(F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in (*RULES, "any") for i, c in enumerate(GRID)),
@@ -175,3 +202,49 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     """
     features = written(measured(docs), "quality")
     return judge(features, written(cutoffs(features, labels, risk, delta), "cutoffs"))
+
+
+def oracle_sql(risk: float = RISK, delta: float = DELTA) -> str:
+    grid = ", ".join(f"({c}::DOUBLE)" for c in GRID)
+    limits = ", ".join(
+        f"least(min(c) FILTER (rule = 'any' AND above < 1), min(c) FILTER (rule = '{r}' AND above < (cuts - 1 + {len(RULES) - 1 - k}) // {len(RULES)})) AS max_{r}"
+        for k, r in enumerate(RULES)
+    )
+    return rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM t),
+g AS (SELECT r, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM w, unnest(range(1, len(words) - 1)) u(i)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, range(0, 3) o(k) GROUP BY r),
+c AS (
+  SELECT r, doc_id, stratum, text, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+         length(regexp_replace(text, '[^!]', '', 'g')) AS n_shouts
+  FROM w LEFT JOIN covered USING (r)),
+m AS (
+  SELECT *, n_symbols / greatest(word_chars, 1) AS symbols, n_dup_lines / greatest(n_lines, 1) AS dup_lines,
+         n_repeat_words / greatest(n_words, 1) AS repeats, n_upper / greatest(word_chars, 1) AS capitals, n_shouts / greatest(n_words, 1) AS shouts FROM c),
+l AS (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id),
+good AS (
+  SELECT stratum, text, {", ".join(f"min({r}) AS {r}" for r in RULES)} FROM m JOIN l USING (doc_id) GROUP BY stratum, text HAVING min(quality) = 1),
+n AS (SELECT stratum, count(*) AS n, count(*) OVER () AS strata FROM good GROUP BY stratum),
+tried AS (
+  SELECT stratum, strata, n, unnest(range(low, most + 1, greatest(1, (most - low) // {CANDIDATES}))) AS k
+  FROM (SELECT *, floor(n * {risk})::BIGINT AS most, floor(greatest(0, n * {risk} - 8 * sqrt(n * {risk})))::BIGINT AS low FROM n)),
+cdf AS (
+  SELECT stratum, strata, k, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({risk}) + (n - j) * ln(1 - {risk}))) AS p
+  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM tried) GROUP BY stratum, strata, k),
+cuts AS (SELECT stratum, max(k) + 1 AS cuts FROM cdf WHERE p <= {delta} / strata GROUP BY stratum),
+v AS (
+  SELECT stratum, unnest([{", ".join(f"'{r}'" for r in (*RULES, "any"))}]) AS rule, unnest([{", ".join(RULES)}, greatest({", ".join(RULES)})]) AS v FROM good),
+above AS (SELECT stratum, rule, c, count(*) FILTER (v > c) AS above FROM v, (VALUES {grid}) grid(c) GROUP BY stratum, rule, c),
+limits AS (SELECT stratum, {limits} FROM above JOIN cuts USING (stratum) GROUP BY stratum, cuts),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m LEFT JOIN limits USING (stratum))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT ({" OR ".join(f"coalesce({r} > max_{r}, false)" for r in RULES)}) AS kept, {", ".join(f"max_{r}" for r in RULES)}
+FROM judged
+"""
