@@ -67,15 +67,14 @@ RULES = [
     url_filter.Rule("example.net", "/de/8", "block"),
     url_filter.Rule("org", "/es/", "block"),
 ]
-# Host labels whose pages make up the list of URLs.
-LISTED_HOSTS = r"(?:^|\.)(?:spam-farm|cheap-pills)\."
+# The list, stood in for by a sixteenth of the crawl's canonical URLs, drawn by their MD5: no host or path tells which.
+LISTED = "substr(md5(canonical), 1, 1) = '7'"
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list: the URLs that the crawl has of hosts known for spam."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    host, _ = url_filter.parts(F.col("url"))
-    return url_filter.url_filter(pages, pages.filter(host.rlike(LISTED_HOSTS)).select("url"), RULES)
+    listed = pages.withColumn("canonical", url_filter.canonical(F.col("url"))).filter(LISTED).select("url")
+    return url_filter.url_filter(pages, listed, RULES)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -91,7 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.oracle_sql(),
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
     "op9_mixing": mixing.oracle_sql(WEIGHTS),
+    "op10_url_filter": url_filter.oracle_sql(RULES, LISTED),
 }

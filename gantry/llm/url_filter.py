@@ -6,12 +6,12 @@ within the block) is built by ``bit_or`` per block.  If the filter is within
 shuffle; else pages meet their block by an ordinary join.  Only possible hits go into
 the exact join with the listed URLs, which removes false positives.
 
-Canonical: scheme and fragment dropped, host in lower case without ``www.`` and default ports,
-tracking parameters and trailing slashes dropped.
+Canonical: scheme and fragment dropped, host in lower case without ``www.`` and default ports, trailing slashes and
+tracking parameters (``TRACKING``: those that never choose a page's content) dropped, empty parameters too.
 
 Defined cases: null, or no ``://``: host and path are empty, there is no canonical URL, no rule fits and
 the verdict is allow.  Repeated rows and equal ids are judged one by one.  Other columns
-are not read.  An empty list blocks nothing.
+are not read.  An empty list blocks nothing.  The list is counted, for the size of its filter, while the query is built.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from gantry.llm.common import ascii_lower
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
-TRACKING = r"(?<=[?&])(?:utm_[^=&]*|ref|page|fbclid|gclid)=[^&]*(?:&|$)"
+TRACKING = r"^(?:utm_[^=]*|ref|fbclid|gclid)="
 BLOCK_BITS = 256
 BITS = 8
 BITS_PER_URL = 16
@@ -59,7 +59,9 @@ def canonical(url: Column) -> Column:
     """Null where there is no ``://``."""
     host, path = parts(url)
     host = F.regexp_replace(F.regexp_replace(host, r":(?:80|443)$", ""), r"^www\.", "")
-    query = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, PARTS, 3), TRACKING, ""), r"[?&]$", "")
+    given = F.split(F.substring(F.regexp_extract(url, PARTS, 3), 2, 1 << 30), "&")
+    kept = F.array_join(F.filter(given, lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
+    query = F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))
     return F.when(F.coalesce(url, F.lit("")).contains("://"), F.concat(host, F.regexp_replace(path, "/+$", ""), query))
 
 
@@ -129,3 +131,27 @@ def url_filter(pages: DataFrame, listed_urls: DataFrame, rules: list[Rule], broa
         .unionByName(hits.select(columns))
         .withColumn("verdict", F.coalesce(by_rule, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow"))))
     )
+
+
+def oracle_sql(rules: list[Rule], listed: str) -> str:
+    """``listed`` is a condition on ``canonical`` that says which pages' URLs make up the list."""
+    ordered = sorted(rules, key=lambda r: (-len(str(r)), str(r)))
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    name = " ".join(f"WHEN {fits(r)} THEN '{r}'" for r in ordered)
+    verdict = " ".join(f"WHEN rule = '{r}' THEN '{r.verdict}'" for r in ordered)
+    return rf"""
+WITH p AS (
+  SELECT page_id, contains(coalesce(url, ''), '://') AS known, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', ['h', 'p', 'q']) AS x
+  FROM pages),
+h AS (
+  SELECT page_id, known, translate(x.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.p AS path,
+         list_filter(string_split(substr(x.q, 2), '&'), lambda a: a <> '' AND NOT regexp_matches(a, '{TRACKING}')) AS kept FROM p),
+c AS (
+  SELECT page_id, host, path, CASE {name} END AS rule,
+         CASE WHEN known THEN regexp_replace(regexp_replace(host, ':(?:80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
+           || CASE WHEN len(kept) = 0 THEN '' ELSE '?' || array_to_string(kept, '&') END END AS canonical FROM h),
+l AS (SELECT DISTINCT canonical FROM c WHERE canonical IS NOT NULL AND {listed})
+SELECT page_id, host, path, rule, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM l) AS listed,
+       CASE {verdict} WHEN canonical IN (SELECT canonical FROM l) THEN 'block' ELSE 'allow' END AS verdict
+FROM c
+"""

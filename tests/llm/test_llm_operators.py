@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from compare import same
 from gantry.llm import byte_bpe, catalog, chat_format, components, exact_dedup, lm_scoring, mixing, ngram_join, payloads
 from gantry.llm import quality_classifier, quality_rules, sharding, url_filter
 from gantry.llm.common import written
@@ -85,6 +86,24 @@ def test_cutoffs_hold_their_risk(spark):
     assert p == pytest.approx(cdf(12, 900, 0.02))
 
 
+def test_copies_are_one_trial(spark):
+    """200 good texts in 40 rows each don't make 8,000 trials; a text that any row of it calls bad isn't good."""
+    docs = spark.createDataFrame([(k, f"{'w ' * 60}{k % 200}", "en") for k in range(8000)], "doc_id long, text string, lang string")
+    features = written(quality_rules.measured(docs), "copies")
+    labels = spark.createDataFrame([(k, int(k % 200 > 0 or k > 0)) for k in range(8000)], "doc_id long, quality int")
+    (found,) = quality_rules.cutoffs(features, labels, risk=0.02, delta=0.05).collect()
+    (alone,) = quality_rules.cutoffs(features.filter("doc_id between 1 and 199"), labels, risk=0.02, delta=0.05).collect()
+    assert tuple(found) == tuple(alone)
+
+
+def test_windows_whose_hashes_meet(spark):
+    """Long repetitive texts, against brute force; with so many windows that hash bits are few."""
+    r = random.Random(13)
+    rows = [(k, " ".join(r.choices("abcdefghij", k=r.choice((4, 5, 30, 3000))))) for k in range(30)] + [(99, "a b c d " * 5000)]
+    found = {r["doc_id"]: r["n_repeat_words"] for r in quality_rules.measured(table(spark, rows)).collect()}
+    assert found == {i: counts_of(t)[4] for i, t in rows}
+
+
 def test_small_strata_get_cutoffs(spark):
     """With 321 good rows two cuts hold a risk of 0.02 for one of four strata: one for all rules, one for the first."""
     r = random.Random(7)
@@ -461,11 +480,39 @@ def test_bloom_has_no_false_negatives(spark):
     assert found.filter("listed").count() == 1000 and found.filter("listed and page_id % 3 <> 0").count() == 0
 
 
+def test_exact_join_removes_false_positives(spark, monkeypatch):
+    """A filter too small for its list lets pages through that aren't listed; the verdicts don't change."""
+    many = spark.range(3000).select(F.concat(F.lit("http://h/"), F.col("id").cast("string")).alias("url"), F.col("id").alias("page_id"))
+    monkeypatch.setattr(url_filter, "BITS_PER_URL", 2)
+    listed = many.filter("page_id % 3 = 0").select(url_filter.canonical(F.col("url")).alias("canonical"))
+    rest = many.filter("page_id % 3 <> 0").select(url_filter.canonical(F.col("url")).alias("canonical"))
+    blocks = 8  # as 1,000 URLs of 2 bits come to
+    words = url_filter._words(F.col("canonical"))
+    hits = rest.withColumn("block", url_filter._block(F.col("canonical"), blocks)).join(url_filter.bloom(listed, blocks), "block")
+    for k, w in enumerate(words):
+        hits = hits.filter(F.col(f"w{k}").bitwiseAND(w) == w)
+    assert hits.count() > 100
+    found = url_filter.url_filter(many, many.filter("page_id % 3 = 0").select("url"), [])
+    assert found.filter("listed").count() == 1000 and found.filter("verdict = 'block' and page_id % 3 <> 0").count() == 0
+
+
+def test_canonical_urls(spark):
+    urls = {"http://a.b/p?page=1": "a.b/p?page=1", "http://a.b/p/?ref=x&page=2&&utm_a=1": "a.b/p?page=2", "https://WWW.a.B:443//#x": "a.b", "a.b": None, "http://a.b/p?": "a.b/p"}
+    rows = spark.createDataFrame([(u,) for u in urls], "url string").select("url", url_filter.canonical(F.col("url")).alias("c")).collect()
+    assert {r["url"]: r["c"] for r in rows} == urls
+
+
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
+def test_against_sql(spark, sf_dir, name):
+    same(catalog.QUERIES[name](spark, sf_dir), sf_dir, catalog.ORACLE_SQL[name])
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     labels = spark.createDataFrame([], "doc_id long, quality int")
     for df in (
         quality_rules.quality_rules(docs, labels), byte_bpe.digests(docs, PATH), ngram_join.ngram_join(docs), lm_scoring.lm_scores(docs),
         quality_classifier.quality_classifier(docs, labels), exact_dedup.exact_dedup(docs),
+        url_filter.url_filter(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([], "url string"), catalog.RULES),
     ):
         assert df.count() == 0
