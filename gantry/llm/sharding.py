@@ -4,7 +4,9 @@ A row's key is hashed to 60 bits; the directory is indexed by the leading bits.
 than the limit splits on its next bit, and only such buckets do, so shards have
 different depths.  All splits are decided on sums of bytes per hash prefix: a round takes
 enough bits for nearly all buckets, and what is still too large goes to another round of more bits.
-Only ids, hashes and sizes are moved, never texts.
+From the finest prefixes sums go up ``SPAN`` levels at a time, and further only from prefixes that fit, so the work is
+in proportion to the finest prefixes, which number a few per shard.  The directory is joined by a shuffle, as it grows
+with the data.  Only ids, hashes and sizes are moved, never texts.  The rounds run while the query is built.
 
 Keys are hashed with the whole text, so that rows of one id do not pile up; rows equal in id and text are one
 unit.  A unit over the limit cannot be split: it becomes a shard of its own, marked ``oversized``.
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from gantry.llm.common import written
 
 HASH_BITS = 60
-SPARE_BITS = 5
+SPARE_BITS = 3
+SPAN = 6
 LIMIT_BYTES = 1 << 20
 
 
@@ -38,6 +41,22 @@ def prefix(hashed: Column, of: int, bits: Column | int) -> Column:
     return F.call_function("shiftright", hashed, drop.cast("int"))
 
 
+def leaves_of(fine: DataFrame, low: int, bits: int, limit: int) -> DataFrame:
+    """Of prefixes of ``bits`` bits (``fine, bytes``) the shortest prefix, from ``low`` bits on, within the limit; none where they exceed it."""
+    top = max(low, bits - SPAN)
+    levels = fine.select("fine", "bytes", F.explode(F.sequence(F.lit(top), F.lit(bits))).alias("depth"))
+    levels = levels.withColumn("bucket", prefix(F.col("fine"), bits, F.col("depth")))
+    sums = written(levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes")), "sums")
+    fits = levels.drop("bytes").join(sums.filter(F.col("shard_bytes") <= limit).hint("merge"), ["depth", "bucket"])
+    leaves = fits.groupBy("fine").agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("leaf"))
+    coarse = sums.filter(F.col("depth") == top).select(F.col("bucket").alias("fine"), F.col("shard_bytes").alias("bytes"))
+    if top == low or coarse.filter(F.col("bytes") <= limit).isEmpty():
+        return leaves.select("fine", "leaf.*")
+    above = leaves_of(coarse, low, top, limit).select(F.col("fine").alias("coarse"), F.struct("depth", "bucket", "shard_bytes").alias("higher"))
+    joined = leaves.withColumn("coarse", prefix(F.col("fine"), bits, top)).join(above.hint("merge"), "coarse", "left")
+    return joined.select("fine", F.coalesce("higher", "leaf").alias("leaf")).select("fine", "leaf.*")
+
+
 def assigned(rows: DataFrame, limit: int) -> DataFrame:
     """``rows`` (with ``h`` and ``bytes``) with ``depth, bucket, shard_bytes, oversized``."""
     total = rows.agg(F.sum("bytes")).first()[0] or 0
@@ -48,16 +67,11 @@ def assigned(rows: DataFrame, limit: int) -> DataFrame:
         fine = written(
             rows.groupBy("fine").agg(F.sum("bytes").alias("bytes"), (F.min("h") == F.max("h")).alias("unit")), "prefixes"
         )
-        levels = fine.select("fine", "bytes", F.explode(F.sequence(F.lit(low), F.lit(bits))).alias("depth"))
-        levels = levels.withColumn("bucket", prefix(F.col("fine"), bits, F.col("depth")))
-        sums = levels.groupBy("depth", "bucket").agg(F.sum("bytes").alias("shard_bytes"))
-        fits = levels.drop("bytes").join(sums.filter(F.col("shard_bytes") <= limit), ["depth", "bucket"])
-        leaves = fits.groupBy("fine").agg(F.min(F.struct("depth", "bucket", "shard_bytes")).alias("leaf"))
-        leaves = leaves.select("fine", "leaf.*", F.lit(False).alias("oversized"))
+        leaves = leaves_of(fine.select("fine", "bytes"), low, bits, limit).withColumn("oversized", F.lit(False))
         units = fine.filter((F.col("bytes") > limit) & F.col("unit")).select(
             "fine", F.lit(bits).alias("depth"), F.col("fine").alias("bucket"), F.col("bytes").alias("shard_bytes"), F.lit(True).alias("oversized")
         )
-        done.append(rows.join(leaves.unionByName(units), "fine"))
+        done.append(rows.join(leaves.unionByName(units).hint("merge"), "fine"))
         rest = fine.filter((F.col("bytes") > limit) & ~F.col("unit")).select("fine")
         if rest.isEmpty():
             break
