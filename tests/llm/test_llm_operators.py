@@ -12,7 +12,6 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from compare import same
 from gantry.llm import byte_bpe, catalog, chat_format, components, exact_dedup, lm_scoring, mixing, ngram_join, payloads
 from gantry.llm import quality_classifier, quality_rules, sharding, url_filter
@@ -426,41 +425,6 @@ def test_pfair_deviation(weights):
     assert given == weights
 
 
-def test_mixing(spark):
-    rows = [(k, "x" * 100) for k in range(600)] + [(None, None), (700, "")]
-    found = mixing.mixed(table(spark, rows), {"a": 2, "b": 1}, 500).collect()
-    assert len(found) == len(rows)
-    slots = {}
-    for r in found:
-        assert slots.setdefault(r["slot"], (r["class"], r["block"])) == (r["class"], r["block"])
-    assert mixing.mixed(table(spark, []), {"a": 1}).count() == 0
-    with pytest.raises(ValueError):
-        mixing.mixed(table(spark, rows), {"a": 0})
-
-
-def test_pipeline_mix_shows_in_its_result(spark, tmp_path):
-    """The last two stages against the schedule: all rows stay, with the class, slot and in_mix that mixing gives them."""
-    names = [name for name, _ in corpus_pipeline.STAGES]
-    assert names[3:] == ["mixing sources to target weights", "byte-level BPE encoding and decoding"]
-    rows = [(k, "x y " * 5000, "src0" if k % 3 == 0 else f"src{k % 7 + 1}") for k in range(120)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    kept = written(corpus_pipeline.mix(spark, docs, str(tmp_path)), "mixing")
-    found = corpus_pipeline.tokenize(spark, kept, str(tmp_path)).collect()
-    assert len(found) == len(rows) and all(r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest() for r, (_, t, _) in zip(sorted(found), rows, strict=True))
-    order, size = mixing.earliest_deadline_first({"src0": 1, "*": 3}), {"src0": 40 * 20_000, "*": 80 * 20_000}
-    blocks = {c: math.ceil(b / mixing.BLOCK_BYTES) for c, b in size.items()}
-    slots, k = [], Counter()
-    while k[order[len(slots) % 4][0]] < blocks[order[len(slots) % 4][0]]:
-        slots.append((order[len(slots) % 4][0], k[order[len(slots) % 4][0]]))
-        k[slots[-1][0]] += 1
-    for r in found:
-        kind = "src0" if r["doc_id"] % 3 == 0 else "*"
-        block = int(hashlib.md5(str(r["doc_id"]).encode()).hexdigest()[:12], 16) % blocks[kind]
-        assert (r["class"], r["block"], r["in_mix"]) == (kind, block, r["slot"] < len(slots))
-        assert not r["in_mix"] or slots[r["slot"]] == (kind, block)
-    assert {r["in_mix"] for r in found} == {True, False}
-
-
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://X.example.COM/en/7/a?b#c", "http://example.com/en/8", "ftp://a.net/de/1", "http://example.net/de/80", "http://example.net/de/7",
             "https://www.bad.io:443/p/?utm_source=x&id=3#f", "http://bad.io/p?id=3", "http://bad.io/p?id=4", "http://com/en/", "http://notcom/en/", "http://a.org/es/", "a://b://c/d", "http://bad.io/p?ref=1&id=3"]
