@@ -19,7 +19,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 # Target weights of the mix; sources without an entry share the last one.
 WEIGHTS = {"src0": 1, mixing.OTHER: 3}
 # What the mix decides, in the rows of the result.
-MIX = ("class", "block", "slot", "in_mix")
+MIX = ("class", "block", "phase", "slot", "in_mix")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their places in the mix: ``class, block, slot``, and ``in_mix``, false once it cannot be held.
+    """All documents with their places in the mix: ``class, block, phase, slot``, and ``in_mix``, false once a class has run out.
 
     Rows are written in this order, but only ``slot`` keeps it: files are not read back in turn.
     """
