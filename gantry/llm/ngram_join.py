@@ -13,15 +13,21 @@ they are never listed: a set with more than n/5 of them links with nothing and i
 
 Lists hold, per chunk and run of compatible sizes, one entry; entries of a list whose sizes are compatible are
 candidates, which is linear in a list's length however many sets it has, and every pair that can link lies in one
-connected block of candidates.  Equal sets are one.  Each block's whole sets meet in one task, or, if they
-exceed ``BLOCK_SHINGLES``, in one task per pair of its parts.  There an exact search walks from set to set
-over shared shingles and counts overlaps with sets not reached yet, so a group of g near copies costs
-about g, not g squared, comparisons.  Sets that link are joined; components follow from those links.
+connected block of candidates.  Equal sets are one.  A block's whole sets meet in one task if they are few.  There an exact
+search walks from set to set over shared shingles and counts overlaps with sets not reached yet, so a group of g
+near copies costs about g, not g squared, comparisons.
+
+A larger block is dealt to many tasks.  First each slice of it meets the same few sets of the block, its hubs, drawn by hash; the
+sets that link with the hubs that hang together most are one component and need not be compared with each other.  The
+others are compared with everything in the block, each part of them with each slice.  So a large group of near copies
+costs in proportion to its size; a block that no hubs hold together costs the square of its number of parts.
+Sets that link are joined; components follow from those links.
 
 Shingles are 64-bit hashes of word sequences (lower-cased A-Z).
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing.  Rows
 repeated with one ``doc_id`` get a row each.  A null ``doc_id`` is linked with nothing and is its own (null) component.  Other columns are not read.
+Nearly all jobs run while the query is built.
 """
 
 from __future__ import annotations
@@ -34,18 +40,21 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import partitions_for, written
+from gantry.llm.common import memory_returned, partitions_for, written
 from gantry.llm.components import Forest, components
 from gantry.llm.payloads import pack, rows_of, unpack
-from gantry.llm.textbytes import MIX, U64, lowered_bytes, mixed, word_hashes
+from gantry.llm.textbytes import MIX, U64, lowered_bytes, mixed, slices, word_hashes
 
 WORDS = 5
 MAX_LIGHT = 12
 CHUNK_SHINGLES = 1_000_000
+PART_BYTES = 16 << 20  # of text per part of the hash space
 BLOCK_SHINGLES = 2_000_000
+LEAST_BLOCK = 20_000
+HUBS = 8
 BROADCAST_NODES = 2_000_000
 Batches = Iterator[pa.RecordBatch]
 
@@ -119,7 +128,7 @@ def _chunks(parts: int):
     def rows(batches: Batches) -> Iterator[tuple]:
         number, total = TaskContext.get().partitionId() << 32, 0
         ids, sizes, keys, same, sets, seen = [], [], [], [], [], {}
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), lowered_bytes(batch.column("text")), strict=True):
                 found = shingles(text)
                 ids.append(doc_id)
@@ -141,7 +150,11 @@ def _chunks(parts: int):
         if ids:
             yield from chunk(number, ids, sizes, keys, same, sets)
 
-    return lambda batches: _batched(rows(batches))
+    def run(batches: Batches) -> Batches:
+        with memory_returned():
+            yield from _batched(rows(batches))
+
+    return run
 
 
 def _frequencies(batches: Batches) -> Iterator[tuple]:
@@ -373,45 +386,155 @@ def walk(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
                 yield whose[x], whose[y]
 
 
-def _linked(batches: Batches) -> Batches:
-    """Whole texts sorted by (block, low, high): links of each group."""
-
-    def groups():
-        now, ids, sets = None, [], []
-        for batch in batches:
-            keys = zip(*(batch.column(c).to_pylist() for c in ("block", "low", "high", "doc_id")), strict=True)
-            for (*key, doc_id), text in zip(keys, lowered_bytes(batch.column("text")), strict=True):
+def across(ids: list[int], sets: list[np.ndarray], joined: list[int], joined_sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Of each set a link with one of ``joined``, which are known to hang together, if it has any."""
+    flat, owner = np.concatenate(joined_sets), np.repeat(np.arange(len(joined)), [len(s) for s in joined_sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner, sizes = flat[order], owner[order], np.array([len(s) for s in joined_sets])
+    for x, found in zip(ids, sets, strict=True):
+        first, after = np.searchsorted(flat, found, "left"), np.searchsorted(flat, found, "right")
+        lengths = after - first
+        places = np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+        shared = np.bincount(owner[places], minlength=len(joined))
+        hit = np.flatnonzero((shared > 0) & links(shared, len(found), sizes))
+        if len(hit):
+            yield x, joined[int(hit[0])]
+
+
+def _groups(batches: Batches, keys: list[str], *columns: str) -> Iterator[tuple[list, list[tuple], list[np.ndarray]]]:
+    """Of texts sorted by ``keys``: each group's key, its other columns by row, and its sets."""
+    now, rows, sets = None, [], []
+    for batch in batches:
+        for part in slices(batch):
+            named = [list(zip(*(part.column(c).to_pylist() for c in names), strict=True)) for names in (keys, columns)]
+            for key, row, text in zip(*named, lowered_bytes(part.column("text")), strict=True):
                 if key != now:
-                    if ids:
-                        yield ids, sets
-                    now, ids, sets = key, [], []
-                ids.append(doc_id)
+                    if rows:
+                        yield now, rows, sets
+                    now, rows, sets = key, [], []
+                rows.append(row)
                 sets.append(shingles(text))
-        if ids:
-            yield ids, sets
+    if rows:
+        yield now, rows, sets
 
-    forest = Forest()
-    for ids, sets in groups():
-        for a, b in walk(ids, sets):
-            forest.join(a, b)
-        if len(forest.parent) > 10_000:
-            yield _edge_batch(forest)
-            forest = Forest()
-    yield _edge_batch(forest)
+
+def _linked(batches: Batches) -> Batches:
+    """Whole texts sorted by (block, low, high): links of each group, in which sets that are ``joined`` aren't compared with each other."""
+    with memory_returned():
+        forest = Forest()
+        for _, rows, sets in _groups(batches, ["block", "low", "high"], "doc_id", "joined"):
+            apart, joined = ([k for k, (_, j) in enumerate(rows) if j == which] for which in (False, True))
+            of = lambda which: ([rows[k][0] for k in which], [sets[k] for k in which])  # noqa: B023, E731
+            for a, b in across(*of(apart), *of(joined)) if joined else walk(*of(apart)):
+                forest.join(a, b)
+            if len(forest.parent) > 10_000:
+                yield _edge_batch(forest)
+                forest = Forest()
+        yield _edge_batch(forest)
+
+
+def _with_hubs(batches: Batches) -> Batches:
+    """Texts sorted by (block, slice, hub), hubs first: each other set's links with them, as ids and as bits."""
+    with memory_returned():
+        for (block, _), rows, sets in _groups(batches, ["block", "slice"], "hub", "doc_id"):
+            hubs = [(hub, doc_id, found) for (hub, doc_id), found in zip(rows, sets, strict=True) if hub >= 0]
+            ids, masks, linked = [], [], []
+            for (hub, doc_id), found in zip(rows, sets, strict=True):
+                if hub < 0:
+                    shared = [(h, i, len(np.intersect1d(found, other, assume_unique=True)), len(other)) for h, i, other in hubs]
+                    hit = [(h, i) for h, i, o, n in shared if o and links(o, len(found), n)]
+                    ids.append(doc_id)
+                    masks.append(sum(1 << h for h, _ in hit))
+                    linked.append([i for _, i in hit])
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "block": pa.array([block] * len(ids), pa.int64()), "mask": pa.array(masks, pa.int64()), "hubs": pa.array(linked, pa.list_(pa.int64()))})
+
+
+def _main(batches: Batches) -> Batches:
+    """Of each block, from the numbers of sets by mask: the hubs that hang together with the most sets."""
+    for batch in batches:
+        mains = []
+        for counts in batch.column("counts").to_pylist():
+            whole = [c["mask"] for c in counts]
+            for _ in range(HUBS):  # unions of masks that share a hub
+                whole = [_union(m, whole) for m in whole]
+            size = {m: sum(c["n"] for c in counts if c["mask"] & m) for m in whole}
+            mains.append(max(whole, key=lambda m: (size[m], m), default=0))
+        yield pa.RecordBatch.from_pydict({"block": batch.column("block"), "main": pa.array(mains, pa.int64())})
+
+
+def _union(mask: int, masks: list[int]) -> int:
+    for other in masks:
+        if other & mask:
+            mask |= other
+    return mask
 
 
 def gathered(docs: DataFrame) -> DataFrame:
     """Documents, list entries and ties of all chunks, once written."""
-    n = partitions_for(docs)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions_for(docs, size // PART_BYTES + 1)
     counted = docs.mapInArrow(_chunks(n), ROW).repartition(n, "part").sortWithinPartitions("part", "chunk").mapInArrow(lambda batches: _batched(_frequencies(batches)), ROW)
     return written(counted.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_together, GATHERED), "sets")
 
 
-def ngram_join(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for every row of ``docs``."""
+def _hash_of(ids: str, parts: Column | int) -> Column:
+    return F.pmod(F.xxhash64(ids), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
+
+
+def _held_together(texts: DataFrame, large: DataFrame, n: int) -> DataFrame:
+    """Of the sets of ``large`` blocks (``block, slices``) their hubs: ``doc_id, block, hubs, joined``."""
+    members = texts.join(F.broadcast(large), "block")
+    hubs = members.groupBy("block", _hash_of("doc_id", HUBS).alias("hub")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit("hub")), "doc_id"))["doc_id"].alias("doc_id"))
+    hubs = F.broadcast(hubs)  # a few for each large block, of which there are no more than parts
+    of_hubs = members.join(hubs, ["block", "doc_id"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = members.withColumn("hub", F.lit(-1)).withColumn("slice", _hash_of("doc_id", F.col("slices")))
+    columns = ["block", "slice", "hub", "doc_id", "text"]
+    dealt = rows.select(columns).unionByName(of_hubs.select(columns)).repartition(n, "block", "slice").sortWithinPartitions("block", "slice", F.desc("hub"), "doc_id")
+    met = written(dealt.mapInArrow(_with_hubs, "doc_id long, block long, mask long, hubs array<long>"), "hubs")
+    counts = met.filter("mask > 0").groupBy("block", "mask").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("block").agg(F.collect_list(F.struct("mask", "n")).alias("counts"))  # at most 2^HUBS of a block
+    mains = F.broadcast(counts.mapInArrow(_main, "block long, main long"))
+    return met.join(mains, "block", "left").select("doc_id", "block", "hubs", (F.col("mask").bitwiseAND(F.coalesce("main", F.lit(0))) != 0).alias("joined"))
+
+
+def _links_of(docs: DataFrame, nodes: DataFrame, block_shingles: int | None, broadcast_nodes: int) -> DataFrame:
+    """Links (``a, b``) that connect whatever is connected among ``nodes`` (``doc_id, block, n``), block by block."""
     n = partitions_for(docs)
+    total, sets = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    block_shingles = block_shingles or min(BLOCK_SHINGLES, max(LEAST_BLOCK, total // (4 * n)))
+    n = max(n, total // BLOCK_SHINGLES + 1)
+    with_text = lambda chosen: docs.join(F.broadcast(chosen) if sets <= broadcast_nodes else chosen, "doc_id")
+    slices_of = F.ceil(F.sum("n") / block_shingles).cast("int")
+    large = written(nodes.groupBy("block").agg(slices_of.alias("slices")).filter("slices > 1"), "large")
+    columns = ["block", "low", "high", "joined", "doc_id", "text"]
+    zero = F.lit(0)
+    meeting = with_text(nodes.join(F.broadcast(large), "block", "left_anti")).select("block", zero.alias("low"), zero.alias("high"), F.lit(False).alias("joined"), "doc_id", "text")
+    if large.isEmpty():
+        found = None
+    else:
+        held = written(_held_together(with_text(nodes.join(F.broadcast(large), "block", "left_semi")), large, n), "held")
+        found = held.select(F.col("doc_id").alias("a"), F.explode("hubs").alias("b"))
+        apart = held.filter("NOT joined").join(nodes.select("doc_id", "n"), "doc_id").groupBy("block").agg(slices_of.alias("apart"))
+        sides = F.broadcast(large.join(apart, "block"))  # blocks without sets apart are done with
+        rest = with_text(held.select("doc_id", "block", "joined").join(sides, "block"))
+        # Parts of the sets apart are numbered first, then the slices of those joined.
+        part = F.when(F.col("joined"), F.col("apart") + _hash_of("doc_id", F.col("slices"))).otherwise(_hash_of("doc_id", F.col("apart")))
+        others = F.sequence(zero, F.when(F.col("joined"), F.col("apart")).otherwise(F.col("apart") + F.col("slices")) - 1)
+        rest = rest.withColumn("part", part).withColumn("other", F.explode(others))
+        meeting = meeting.unionByName(rest.withColumns({"low": F.least("part", "other"), "high": F.greatest("part", "other")}).select(columns))
+    grouped = meeting.repartition(n, "block", "low", "high").sortWithinPartitions("block", "low", "high", "doc_id")
+    edges = grouped.mapInArrow(_linked, "a long, b long")
+    return edges if found is None else edges.unionByName(found)
+
+
+def ngram_join(docs: DataFrame, block_shingles: int | None = None, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for every row of ``docs``.
+
+    Blocks of more than ``block_shingles`` are dealt to many tasks; by default a quarter of a partition's share, within bounds.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     table = gathered(docs)
+    n = partitions_for(docs)
     rows = lambda kind, **names: table.filter(F.col("kind") == kind).select(*(F.col(c).alias(name) for c, name in names.items()))
     documents = rows(DOCUMENT, a="doc_id", b="n", c="xored", d="added", e="same_as")
     # Equal sets of different chunks: the smallest document stands for all.
@@ -428,14 +551,9 @@ def ngram_join(docs: DataFrame, block_shingles: int = BLOCK_SHINGLES, broadcast_
     # The smallest node of each block belongs to it too; then only what stands for others, in blocks that have two or more.
     nodes = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
     nodes = nodes.join(standing.filter("doc_id = stands").select(F.col("doc_id").alias("node"), "n"), "node")
-    weights = nodes.groupBy("component").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks"), F.count("*").alias("sets")).filter("sets > 1")
-    dealt = written(nodes.join(weights, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "chunks"), "dealt")
-    texts = docs.join(F.broadcast(dealt) if dealt.count() <= broadcast_nodes else dealt, "doc_id")
-    chunk = F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")
-    pairs = texts.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    grouped = pairs.select("block", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "doc_id", "text")
-    grouped = grouped.repartition(n, "block", "low", "high").sortWithinPartitions("block", "low", "high", "doc_id")
-    found = components(grouped.mapInArrow(_linked, "a long, b long"))
+    several = nodes.groupBy("component").agg(F.count("*").alias("sets")).filter("sets > 1")
+    nodes = written(nodes.join(several, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("block"), "n"), "dealt")
+    found = components(_links_of(docs, nodes, block_shingles, broadcast_nodes))
     labels = standing.join(found.withColumnRenamed("node", "stands"), "stands", "left")
     labels = labels.groupBy(F.col("doc_id").alias("same_as")).agg(F.min(F.coalesce("component", "stands")).alias("label"))
     labelled = documents.join(labels, "same_as", "left")

@@ -222,6 +222,22 @@ def test_ngram_join(spark, small):
     assert found == brute_components(rows)
 
 
+def test_ngram_join_of_a_large_group(spark):
+    """A block in many slices: most of it hangs on hubs, some of it on a chain or on one member, some on nothing."""
+    r = random.Random(31)
+    base = r.sample([f"b{k}" for k in range(400)], 100)
+    rows = [(k, " ".join(base[:j] + [f"z{k}"] + base[j + 1 :])) for k, j in enumerate(r.choices(range(100), k=150))]
+    chain = base
+    for k in range(40):  # each step like the last, soon unlike the base
+        chain = [*chain[:k], f"c{k}", *chain[k + 1 :]]
+        rows.append((500 + k, " ".join(chain)))
+    rows += [(700 + k, " ".join([*base[:30], *(f"d{k}_{j}" for j in range(70))])) for k in range(30)]
+    rows += [(800 + k, " ".join([*base[: 84 - k], *(f"e{j}" for j in range(16 + k))])) for k in range(12)]
+    want = brute_components(rows)
+    for limit in (400, 2500, None):
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_join(table(spark, rows), limit).collect()} == want
+
+
 def test_ngram_join_light_sets(spark):
     """Many small sets, so that subsets are enumerated."""
     r = random.Random(8)
