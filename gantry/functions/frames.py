@@ -35,6 +35,16 @@ def select_tolerant(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns by their new names; an error where one is missing or two would have the same name."""
+    if missing := sorted(set(names) - set(df.columns)):
+        raise KeyError(f"no columns {', '.join(missing)}")
+    after = [names.get(c, c) for c in df.columns]
+    if twice := sorted({c for c in after if after.count(c) > 1}):
+        raise ValueError(f"two columns would be named {', '.join(twice)}")
+    return df.toDF(*after)
+
+
 def vector_to_fields(vector: Column, names: list[str]) -> list[Column]:
     return [F.get(vector, F.lit(k)).alias(name) for k, name in enumerate(names)]
 

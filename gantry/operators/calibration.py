@@ -65,11 +65,14 @@ def rest_pose(joints: DataFrame, grippers: DataFrame) -> DataFrame:
 
 
 def left_with_hold(frames: DataFrame, joints: DataFrame, grippers: DataFrame, held: DataFrame, gripper_unit: str = "command") -> DataFrame:
-    """The left side mapped; the right side's held values (side, joint, value) on every frame."""
+    """The left side mapped; the right side's held values (side, joint, value; a row per joint, no more) on every frame."""
+    kept = held.limit(scalars.GRIPPER + 1).collect()
+    if len(kept) > scalars.GRIPPER:
+        raise ValueError(f"more than {scalars.GRIPPER} held values")
     mapped = to_robot(frames.filter("side = 'left'"), joints.filter("side = 'left'"), grippers.filter("side = 'left'"), gripper_unit)
     mapped = mapped.select("episode", "step", "side", "joint", F.col("robot_value").alias("value"))
     steps = mapped.select("episode", "step").distinct()
-    right = F.array(*(F.struct(F.lit(r["side"]).alias("side"), F.lit(r["joint"]).alias("joint"), F.lit(r["value"]).alias("value")) for r in held.limit(scalars.GRIPPER).collect()))
+    right = F.array(*(F.struct(F.lit(r["side"]).alias("side"), F.lit(r["joint"]).alias("joint"), F.lit(r["value"]).alias("value")) for r in kept))
     return mapped.unionByName(steps.withColumn("h", F.explode(right)).select("episode", "step", "h.side", "h.joint", "h.value"))
 
 

@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gantry.functions.scalars import is_gripper
+
 Step = Callable[..., float | None]
 
 
@@ -92,18 +94,56 @@ def smooth(alpha: float) -> Callable[[], Step]:
     return start
 
 
-def slew_limit(df: DataFrame, keys: list[str], order: list[str], target: str, limit: float, output: str = "commanded") -> DataFrame:
-    return fold(df, keys, order, [target], output, slew(limit))
+def slew_timed(shortest: float, stale: float | None = None, timeout: float | None = None) -> Callable[[], Step]:
+    """Follows its target by at most a speed times the seconds since the last command, ``shortest`` at least.
+
+    A row without a target sends no command.  After a gap above ``stale`` the last command has been sent again all along,
+    so only ``shortest`` has passed since; a gap above ``timeout`` ends the run, and the last command stays.
+    A row without a time counts as sent at the last one's.
+    """
+
+    def start() -> Step:
+        at, sent, halted = None, None, False
+
+        def step(target: float | None, time: float | None, speed: float) -> float | None:
+            nonlocal at, sent, halted
+            if target is None or halted:
+                return at
+            gap = 0.0 if sent is None or time is None else time - sent
+            halted = timeout is not None and gap > timeout
+            if not halted:
+                limit = speed * (shortest if stale is not None and gap > stale else max(gap, shortest))
+                at = target if at is None else at + max(-limit, min(limit, target - at))
+                sent = sent if time is None else time
+            return at
+
+        return step
+
+    return start
 
 
-def slew_limit_timed(df: DataFrame, keys: list[str], order: list[str], target: str, time: str, speed: float, shortest: float, output: str = "commanded") -> DataFrame:
-    """The limit is ``speed`` times the seconds since the row before, ``shortest`` at least."""
-    from pyspark.sql import Window
+def _by_channel(value: float, gripper: float | None, channel: str) -> Column:
+    return F.lit(float(value)) if gripper is None else F.when(is_gripper(F.col(channel)), float(gripper)).otherwise(float(value))
 
-    before = F.lag(time).over(Window.partitionBy(*keys).orderBy(*order))
-    limited = df.withColumn("step_limit", speed * F.greatest(F.col(time) - before, F.lit(shortest)))
+
+def slew_limit(
+    df: DataFrame, keys: list[str], order: list[str], target: str, limit: float, output: str = "commanded", gripper_limit: float | None = None, channel: str = "channel"
+) -> DataFrame:
+    """With ``gripper_limit``, which grippers go by, ``channel`` names each row's channel (and belongs to ``keys``)."""
+    if gripper_limit is None:
+        return fold(df, keys, order, [target], output, slew(limit))
+    limited = df.withColumn("step_limit", _by_channel(limit, gripper_limit, channel))
     return fold(limited, keys, order, [target, "step_limit"], output, slew_by()).drop("step_limit")
 
 
+def slew_limit_timed(
+    df: DataFrame, keys: list[str], order: list[str], target: str, time: str, speed: float, shortest: float, output: str = "commanded",
+    stale: float | None = None, timeout: float | None = None, gripper_speed: float | None = None, channel: str = "channel",
+) -> DataFrame:
+    """``speed`` a second; see ``slew_timed``.  Times are in seconds."""
+    limited = df.withColumn("step_speed", _by_channel(speed, gripper_speed, channel))
+    return fold(limited, keys, order, [target, time, "step_speed"], output, slew_timed(shortest, stale, timeout)).drop("step_speed")
+
+
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, output: str = "smoothed") -> DataFrame:
     return fold(df, keys, order, [value], output, smooth(alpha))

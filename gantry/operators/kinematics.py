@@ -18,14 +18,17 @@ GRAVITY = 9.81
 
 def joint_tree(spark, joints: DataFrame, root: str) -> DataFrame:
     """``joint, link, depth, path`` of everything below the root link."""
-    joints.createOrReplaceTempView("_joint_table")
-    spark.sql(f"SELECT '{root}' AS link").createOrReplaceTempView("_root_table")
-    return spark.sql("""
+    start = spark.createDataFrame([(root,)], "link string")
+    return spark.sql(
+        """
         WITH RECURSIVE tree(joint, link, depth, path) AS (
-          SELECT CAST(NULL AS STRING), link, 0, link FROM _root_table
+          SELECT CAST(NULL AS STRING), link, 0, link FROM {start}
           UNION ALL
-          SELECT j.name, j.child, depth + 1, concat(path, '/', j.child) FROM tree JOIN _joint_table j ON j.parent = tree.link)
-        SELECT joint, link, depth, path FROM tree WHERE joint IS NOT NULL""")
+          SELECT j.name, j.child, depth + 1, concat(path, '/', j.child) FROM tree JOIN {joints} j ON j.parent = tree.link)
+        SELECT joint, link, depth, path FROM tree WHERE joint IS NOT NULL""",
+        start=start,
+        joints=joints,
+    )
 
 
 def limit_violations(frames: DataFrame, joints: DataFrame) -> DataFrame:
@@ -46,8 +49,11 @@ class Chain:
     centres: np.ndarray | None = None
 
     @staticmethod
-    def from_joints(joints: DataFrame, base: str, tip: str) -> Chain:
-        """The path from ``base`` to ``tip``; an error where a link is missing."""
+    def from_joints(joints: DataFrame, base: str, tip: str, links: DataFrame | None = None) -> Chain:
+        """The path from ``base`` to ``tip``; an error where a link is missing.
+
+        ``links`` (``name, mass, centre``, as ``robot.read_links`` gives) has the masses; a link without one weighs nothing.
+        """
         rows = {r["child"]: r for r in joints.collect()}
         path, link = [], tip
         while link != base:
@@ -58,7 +64,13 @@ class Chain:
         path.reverse()
         before = np.stack([transform(r["rpy"] or [0.0] * 3, r["xyz"] or [0.0] * 3) for r in path])
         axes = np.array([r["axis"] or [0.0, 0.0, 1.0] for r in path], float)
-        return Chain([r["name"] for r in path], before, axes, np.array([r["type"] in ("revolute", "continuous") for r in path]))
+        chain = Chain([r["name"] for r in path], before, axes, np.array([r["type"] in ("revolute", "continuous") for r in path]))
+        if links is not None:
+            bodies = {r["name"]: r for r in links.filter(F.col("mass").isNotNull()).collect()}
+            own = [bodies.get(r["child"]) for r in path]
+            chain.masses = np.array([0.0 if b is None else b["mass"] for b in own])
+            chain.centres = np.array([[0.0] * 3 if b is None else b["centre"] or [0.0] * 3 for b in own])
+        return chain
 
     def poses(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For frames of moving-joint angles (n, m): tip transforms, and joint origins and axes in the base frame."""

@@ -100,9 +100,12 @@ def within_time(df: DataFrame, keys: list[str], time: str, seconds: float) -> Da
     return df.withColumn("_first", first).filter(F.col(time) - F.col("_first") < seconds).drop("_first")
 
 
-def staleness(df: DataFrame, keys: list[str], received: str, stale_ms: int = 150, timeout_ms: int = 1000) -> DataFrame:
-    """Adds ``gap_ms`` and ``state``: what the gap before each packet had led to.  Both bounds are strict, the longer goes first."""
-    w = Window.partitionBy(*keys).orderBy(received)
+def staleness(df: DataFrame, keys: list[str], received: str, stale_ms: int = 150, timeout_ms: int = 1000, order: list[str] | None = None) -> DataFrame:
+    """Adds ``gap_ms`` and ``state``: what the gap before each packet had led to.  Both bounds are strict, the longer goes first.
+
+    Packets received at the same time go by ``order``.
+    """
+    w = Window.partitionBy(*keys).orderBy(received, *order or [])
     micros = F.unix_micros(F.col(received).cast("timestamp"))
     gap = (micros - F.lag(micros).over(w)) / 1000
     state = F.when(F.col("gap_ms") > timeout_ms, "halt").when(F.col("gap_ms") > stale_ms, "hold").otherwise("track")

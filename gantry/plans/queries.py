@@ -394,3 +394,116 @@ def ik_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damped step for a Jacobian of one by one, where it is j d / (j j + damping squared)."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.col("embedding")[0].cast("double")).alias("jacobian"), F.array(F.col("embedding")[1].cast("double")).alias("delta"))
     return kinematics.dls(rows, 1, 1, 0.01).select("vec_id", F.round(F.col("dq")[0], 6).alias("dq"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'LJ8.pos' ELSE 'LJ1.pos' END AS channel FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id, channel ORDER BY event_id) AS rn FROM c),
+f AS (SELECT user_id, channel, event_id, rn, value AS commanded FROM o WHERE rn = 1
+      UNION ALL
+      SELECT o.user_id, o.channel, o.event_id, o.rn, f.commanded + greatest(-l, least(l, o.value - f.commanded))
+      FROM f JOIN (SELECT *, CASE WHEN channel = 'LJ8.pos' THEN 80.0::DOUBLE ELSE 5.0::DOUBLE END AS l FROM o) o ON o.user_id = f.user_id AND o.channel = f.channel AND o.rn = f.rn + 1)
+SELECT event_id, channel, round(commanded, 6) AS commanded FROM f""")
+def slew_limit_gripper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grippers follow by a limit of their own."""
+    channel = F.when(F.col("event_type").isin("click", "view"), "LJ8.pos").otherwise("LJ1.pos").alias("channel")
+    rows = events(spark, sf_dir, "user_id", "event_id", channel, "value")
+    found = folds.slew_limit(rows, ["user_id", "channel"], ["event_id"], "value", LIMIT, gripper_limit=80.0)
+    return found.select("event_id", "channel", F.round("commanded", 6).alias("commanded"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events),
+f AS (SELECT user_id, event_id, rn, t, value AS commanded, false AS halted FROM o WHERE rn = 1
+      UNION ALL
+      SELECT user_id, event_id, rn, t, CASE WHEN stop THEN was ELSE was + greatest(-l, least(l, value - was)) END, stop
+      FROM (SELECT o.user_id, o.event_id, o.rn, o.t, o.value, f.commanded AS was, f.halted OR o.t - f.t > 150000 AS stop,
+              0.001::DOUBLE * CASE WHEN o.t - f.t > 20000 THEN 1000.0::DOUBLE ELSE greatest(o.t - f.t, 1000.0::DOUBLE) END AS l
+            FROM f JOIN o ON o.user_id = f.user_id AND o.rn = f.rn + 1))
+SELECT user_id, event_id, round(commanded, 4) AS commanded FROM f""")
+def slew_limit_held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held commands restart the clock after a stale gap, and a long one ends the run."""
+    rows = events(spark, sf_dir, "user_id", "event_id", "ts", "value").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    found = folds.slew_limit_timed(rows, ["user_id"], ["event_id"], "value", "t", 0.001, 1000.0, stale=20000.0, timeout=150000.0)
+    return found.select("user_id", "event_id", F.round("commanded", 4).alias("commanded"))
+
+
+@query("""WITH c AS (SELECT user_id, 'LJ' || (event_id % 8 + 1) || '.pos' AS channel, value / 50 - 4 AS v FROM events)
+SELECT user_id, bool_and(channel = 'LJ8.pos' OR abs(v) <= 3.2) AS plausible, min(channel) FILTER (WHERE channel <> 'LJ8.pos' AND abs(v) > 3.2) AS first_bad FROM c GROUP BY user_id""")
+def plausible_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of either sign; grippers are let through."""
+    rows = events(spark, sf_dir, "user_id", scalars.channel_name(F.lit("L"), F.col("event_id") % 8 + 1).alias("channel"), (F.col("value") / 50 - 4).alias("value"))
+    return filters.plausible_frames(rows, ["user_id"], include_gripper=False)
+
+
+@query("""SELECT n_name AS side, 'sign' AS what FROM nation WHERE n_nationkey % 3 = 1
+UNION ALL SELECT n_name, 'offset_rad' FROM nation WHERE n_nationkey % 5 = 0
+UNION ALL SELECT n_name, 'gripper' FROM nation WHERE n_nationkey % 4 = n_nationkey % 2""")
+def calibration_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation")
+    key = F.col("n_nationkey")
+    joints = n.select(F.col("n_name").alias("side"), F.lit(1).alias("joint"), (key % 3 - 1).alias("sign"), F.when(key % 5 != 0, 0.5).alias("offset_rad"))
+    return calibration.violations(joints, n.select(F.col("n_name").alias("side"), (key % 4).alias("open_raw"), (key % 2).alias("closed_raw")))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id & 536870911 ELSE event_id & 2047 END AS can_id FROM events
+WHERE event_id % 9 >= 3 AND CASE WHEN event_id % 2 = 0 THEN event_id & 536870911 ELSE event_id & 2047 END BETWEEN 16 AND 31""")
+def can_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extended ids (with the flag set) keep 29 bits, standard ones 11."""
+    raw = F.col("event_id") + F.when(F.col("event_id") % 2 == 0, F.lit(filters.EXTENDED_FLAG)).otherwise(0)
+    return filters.answers(events(spark, sf_dir, "event_id", raw.alias("can_id"), (F.col("event_id") % 9).alias("dlc")), list(range(16, 32))).select("event_id", "can_id")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END || 'J' || (event_id % 10) || '.pos' AS channel,
+  CASE WHEN event_id % 10 BETWEEN 1 AND 8 THEN CASE WHEN event_id % 2 = 0 THEN 'L' ELSE 'R' END END AS side, CASE WHEN event_id % 10 BETWEEN 1 AND 8 THEN (event_id % 10)::INT END AS joint FROM events""")
+def channel_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir, "event_id", scalars.channel_name(F.when(F.col("event_id") % 2 == 0, "L").otherwise("R"), F.col("event_id") % 10).alias("channel"))
+    return rows.withColumns({"side": scalars.channel_side(F.col("channel")), "joint": scalars.channel_joint(F.col("channel"))})
+
+
+@query("SELECT event_id, round(value / -25, 9) AS gripper, round(value * 0.87 * CASE WHEN event_id % 7 = 6 THEN 0.5 ELSE 1 END, 9) AS torque FROM events")
+def leader_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    torque = scalars.leader_gravity(F.col("value"), F.col("event_id") % 7 + 1)
+    return events(spark, sf_dir, "event_id", F.round(scalars.leader_gripper(F.col("value")), 9).alias("gripper"), F.round(torque, 9).alias("torque"))
+
+
+@query(f"""WITH {DUCK_JOINTS}, h(joint, value) AS (VALUES (1, 0.25::DOUBLE), (8, -1.0::DOUBLE)),
+e AS (SELECT user_id AS episode, event_id AS step, 1 + event_id % 2 AS joint, value FROM events WHERE event_type IN ('click', 'view'))
+SELECT episode, step, 'left' AS side, e.joint::INT AS joint, round(sign * e.value + offset_rad, 6) AS value FROM e JOIN j ON j.side = 'left' AND j.joint = e.joint
+UNION ALL SELECT episode, step, 'right', h.joint, h.value FROM e, h""")
+def left_with_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joints, grippers = calibrated(spark)
+    rows = events(spark, sf_dir, F.col("user_id").alias("episode"), F.col("event_id").alias("step"), F.lit("left").alias("side"), (1 + F.col("event_id") % 2).cast("int").alias("joint"), "value", "event_type")
+    held = spark.sql("SELECT * FROM VALUES ('right', 1, 0.25D), ('right', 8, -1.0D) AS t(side, joint, value)")
+    return calibration.left_with_hold(rows.filter(F.col("event_type").isin("click", "view")).drop("event_type"), joints, grippers, held).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT event_id, event_type AS channel, value AS target, value / 2 AS actual FROM events WHERE event_id % 3 <> 0 AND event_id % 4 <> 0")
+def paired_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets without an actual value, or with a null one, stay out."""
+    rows = events(spark, sf_dir, "event_id", F.col("event_type").alias("channel"), "value")
+    actual = rows.filter("event_id % 3 <> 0").withColumn("value", F.when(F.col("event_id") % 4 != 0, F.col("value") / 2))
+    return summaries.paired(rows, actual, ["event_id"], strict=False)
+
+
+@query("SELECT vec_id, embedding[6] AS sixth, 64 AS n FROM embeddings")
+def joint_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    zipped = episodes.named_trajectory(table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "q"), [f"j{k}" for k in range(1, 65)])
+    return zipped.select("vec_id", F.col("joints")["j6"].alias("sixth"), F.size("joints").alias("n"))
+
+
+@query("SELECT c_custkey, c_nationkey::FLOAT AS one, c_acctbal::FLOAT AS two FROM customer")
+def ordered_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vector = frames.fields_to_vector(["c_nationkey", "c_acctbal"])
+    return table(spark, sf_dir, "customer").select("c_custkey", vector.alias("v")).select("c_custkey", *frames.vector_to_fields(F.col("v"), ["one", "two"]))
+
+
+@query("SELECT c_custkey AS camera1, c_name AS camera2 FROM customer")
+def renamed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.renamed(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), {"c_custkey": "camera1", "c_name": "camera2"})
+
+
+@query()
+def ik_step_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damped steps for Jacobians of 6 by 7, from the vectors' first 42 entries, and pose steps, from the next 6."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(v, 1, 42).alias("jacobian"), F.slice(v, 43, 6).alias("delta"))
+    return kinematics.dls(rows, 6, 7, 0.05).select("vec_id", F.transform("dq", lambda x: F.round(x, 6)).alias("dq"))

@@ -68,6 +68,9 @@ def preview(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+BLOCK_STEPS = 4096
+
+
 class Hdf5Trajectory(DataSource):
     """``episode, step, q`` from an HDF5 file; needs ``h5py``.  Options: ``path``, ``key``.  A partition per episode."""
 
@@ -105,8 +108,10 @@ class Hdf5Reader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         with self._file() as file:
             q = file["data"][partition.value][self.key]
-            for step in range(q.shape[0]):
-                yield partition.value, step, [float(x) for x in q[step].reshape(-1)]
+            for first in range(0, q.shape[0], BLOCK_STEPS):
+                block = q[first : first + BLOCK_STEPS]
+                for step, row in enumerate(block.reshape(len(block), -1).tolist(), first):
+                    yield partition.value, step, row
 
 
 def named_trajectory(df: DataFrame, joint_order: list[str]) -> DataFrame:

@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from gantry.functions.scalars import can_byte, can_position, can_word
 
-NUMBERS = "MAP<STRING, STRING>"
+NUMBERS = "STRUCT<" + ", ".join(f"joint{k}: DOUBLE" for k in range(1, 8)) + ">"
 SIDE = f"STRUCT<sign: {NUMBERS}, offset_rad: {NUMBERS}, gripper: STRUCT<open_raw: DOUBLE, closed_raw: DOUBLE>>"
 
 
 def read_calibration(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Joint rows (side, joint, sign, offset_rad) and gripper rows (side, open_raw, closed_raw).
 
-    All seven joints get a row: a sign that is absent or no number stays null, for the check to find.  Without an offset section offsets are 0.
+    Both sides and all seven joints get a row: what is absent or no number (a number in quotes is none) stays null, for the
+    check to find.  Without an offset section the side's offsets are 0.
     """
     text = spark.read.text(path, wholetext=True)
     parsed = text.select(F.from_json("value", f"STRUCT<left: {SIDE}, right: {SIDE}>").alias("c"))
-    sides = parsed.select(F.explode(F.create_map(F.lit("left"), "c.left", F.lit("right"), "c.right")).alias("side", "s")).filter("s IS NOT NULL")
-    rows = sides.withColumn("joint", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("key", F.format_string("joint%d", "joint"))
-    offset = F.when(F.col("s.offset_rad").isNull(), F.lit(0.0)).otherwise(F.try_element_at("s.offset_rad", "key").try_cast("double"))
-    joints = rows.select("side", "joint", F.try_element_at("s.sign", "key").try_cast("double").alias("sign"), offset.alias("offset_rad"))
+    sides = parsed.select(F.explode(F.create_map(F.lit("left"), "c.left", F.lit("right"), "c.right")).alias("side", "s"))
+    each = [F.struct(F.lit(k).alias("joint"), F.col(f"s.sign.joint{k}").alias("sign"), F.when(F.col("s.offset_rad").isNull(), 0.0).otherwise(F.col(f"s.offset_rad.joint{k}")).alias("offset_rad")) for k in range(1, 8)]
+    joints = sides.select("side", F.explode(F.array(*each)).alias("j")).select("side", "j.*")
     return joints, sides.select("side", "s.gripper.open_raw", "s.gripper.closed_raw")
 
 
@@ -44,6 +44,16 @@ def read_joints(spark: SparkSession, path: str) -> DataFrame:
     ).filter("child IS NOT NULL")
 
 
+URDF_LINK = "_name STRING, inertial STRUCT<mass: STRUCT<_value: DOUBLE>, origin: STRUCT<_xyz: STRING>>"
+
+
+def read_links(spark: SparkSession, path: str) -> DataFrame:
+    """``name, mass, centre`` of the links of a URDF file; null where the description has none."""
+    raw = spark.read.format("xml").option("rowTag", "link").schema(URDF_LINK).load(path)
+    centre = F.transform(F.split(F.trim(F.col("inertial.origin._xyz")), r"\s+"), lambda x: x.cast("double"))
+    return raw.select(F.col("_name").alias("name"), F.col("inertial.mass._value").alias("mass"), centre.alias("centre")).filter("name IS NOT NULL")
+
+
 def require_joints(joints: DataFrame, names: list[str]) -> None:
     """An error that lists the names the description lacks."""
     found = {r["name"] for r in joints.filter(F.col("name").isin(names)).select("name").collect()}

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from gantry.functions.packets import feedback, parse_packets
+from gantry.functions.scalars import GRIPPER
 
 STALE_MS, TIMEOUT_MS = 150, 1000
 OUT = "robot STRING, seq BIGINT, state STRING, commanded STRING"
@@ -29,10 +30,14 @@ def packets(stream: DataFrame, value: str = "value") -> DataFrame:
 class Latest(StatefulProcessor):
     """Of each batch's packets per robot only the newest counts; it is taken if its ``seq`` differs from the last one taken.
 
-    ``strict`` takes only larger numbers.  Commands move by ``speed`` times the seconds since the last command.
+    ``strict`` takes only larger numbers.  Commands move by ``speed`` times the seconds since the last command, grippers by
+    ``gripper_speed`` if that is given.  While packets are stale the last command is sent again all along, so after a
+    gap above ``stale_ms`` only ``shortest`` seconds have passed since.  A gap above ``timeout_ms``, told by a timer or by the next packet, ends
+    the robot's run: its packets are dropped from then on.
     """
 
     speed: float = 1.0
+    gripper_speed: float | None = None
     shortest: float = 0.02
     strict: bool = False
     stale_ms: int = STALE_MS
@@ -52,15 +57,19 @@ class Latest(StatefulProcessor):
             return
         known = self.last.get() if self.last.exists() else None
         seq, received = int(newest["seq"]), float(newest["received"])
-        if known is not None and (seq <= known[0] if self.strict else seq == known[0]):
+        if known is not None and (known[3] == "halt" or (seq <= known[0] if self.strict else seq == known[0])):
+            return
+        gap = received - known[1] if known else 0.0
+        if gap * 1000 > self.timeout_ms:
+            yield from self._to("halt", key, known)
             return
         target = json.loads(newest["joints"])
         before = json.loads(known[2]) if known else {}
-        limit = self.speed * max(received - known[1], self.shortest) if known else None
-        commanded = {
-            name: value if name not in before else before[name] + max(-limit, min(limit, value - before[name]))
-            for name, value in target.items()
-        }
+        passed = self.shortest if gap * 1000 > self.stale_ms else max(gap, self.shortest)
+        commanded = {}
+        for name, value in target.items():
+            limit = passed * (self.gripper_speed if self.gripper_speed is not None and name.endswith(f"{GRIPPER}.pos") else self.speed)
+            commanded[name] = value if name not in before else before[name] + max(-limit, min(limit, value - before[name]))
         text = json.dumps(commanded, sort_keys=True)
         self.last.update((seq, received, text, "track"))
         for timer in list(self.handle.listTimers()):
@@ -73,11 +82,14 @@ class Latest(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.last.exists():
             return
-        seq, received, text, state = self.last.get()
-        following = {"track": "hold", "hold": "halt"}.get(state)
+        known = self.last.get()
+        following = {"track": "hold", "hold": "halt"}.get(known[3])
         if following is not None:
-            self.last.update((seq, received, text, following))
-            yield pd.DataFrame({"robot": [key[0]], "seq": [seq], "state": [following], "commanded": [text]})
+            yield from self._to(following, key, known)
+
+    def _to(self, state: str, key, known) -> Iterator[pd.DataFrame]:
+        self.last.update((*known[:3], state))
+        yield pd.DataFrame({"robot": [key[0]], "seq": [known[0]], "state": [state], "commanded": [known[2]]})
 
     def close(self) -> None:
         pass

@@ -87,3 +87,18 @@ def test_maps(spark):
     with pytest.raises(Exception, match="same length"):
         one(spark, frames.vector_to_map(F.array(F.lit(1.0)), F.array(F.lit("a"), F.lit("b"))))
     assert one(spark, frames.named(F.array(F.lit(1.0)), F.array(F.lit("a")), "b")) is None
+
+
+def test_renamed(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert frames.renamed(df, {"a": "x"}).columns == ["x", "b"]
+    assert frames.renamed(df, {"a": "b", "b": "a"}).columns == ["b", "a"]
+    with pytest.raises(ValueError, match="named b"):
+        frames.renamed(df, {"a": "b"})
+    with pytest.raises(KeyError, match="z"):
+        frames.renamed(df, {"z": "y"})
+
+
+def test_image_features(spark):
+    df = spark.range(1).select(*(F.lit(1).alias(n, metadata={"dtype": d}) for n, d in (("a", "image"), ("b", "float32"), ("c", "video"))))
+    assert frames.image_features(df) == ["a", "c"]

@@ -73,6 +73,25 @@ def test_staleness_bounds(spark):
     assert [r["gap_ms"] for r in found][1:] == [149, 151, 1001, 150]
 
 
+def test_staleness_of_equal_times(spark):
+    rows = spark.createDataFrame([(1, s, m) for s, m in ((1, 0), (2, 500), (3, 500))], "k int, seq int, m long").withColumn("r", F.timestamp_millis("m"))
+    found = {r["seq"]: r["state"] for r in series.staleness(rows, ["k"], "r", order=["seq"]).collect()}
+    assert found == {1: "track", 2: "hold", 3: "track"}
+    found = {r["seq"]: r["state"] for r in series.staleness(rows, ["k"], "r", order=["seq"]).repartition(5).collect()}
+    assert found == {1: "track", 2: "hold", 3: "track"}
+
+
+def test_timed_slew_by_the_last_command(spark):
+    """A null target sends nothing; a stale gap leaves the shortest step; a long one ends the run; grippers have a speed of their own."""
+    rows = [("LJ1.pos", 0, 0.0, 0.0), ("LJ1.pos", 1, 1.0, None), ("LJ1.pos", 2, 3.0, 9.0), ("LJ1.pos", 3, 9.0, 9.0), ("LJ1.pos", 4, 9.5, 9.0), ("LJ1.pos", 5, 99.0, 9.0), ("LJ1.pos", 6, 99.1, 0.0), ("LJ8.pos", 0, 0.0, 0.0), ("LJ8.pos", 1, 1.0, 9.0)]
+    df = spark.createDataFrame(rows, "channel string, i int, t double, v double")
+    found = folds.slew_limit_timed(df, ["channel"], ["i"], "v", "t", 1.0, 0.1, stale=5.0, timeout=50.0, gripper_speed=4.0)
+    got = {(r["channel"], r["i"]): r["commanded"] for r in found.collect()}
+    assert [got["LJ1.pos", i] for i in range(7)] == pytest.approx([0.0, 0.0, 3.0, 3.1, 3.6, 3.6, 3.6]) and got["LJ8.pos", 1] == 4.0
+    both = folds.slew_limit(df.filter("v IS NOT NULL"), ["channel"], ["i"], "v", 1.0, gripper_limit=2.0)
+    assert {(r["channel"], r["i"]): r["commanded"] for r in both.collect()}["LJ8.pos", 1] == 2.0
+
+
 CALIBRATION = ([("left", 1, 1, 0.5), ("left", 2, -1, 0.0)], [("left", -1.0, 0.0)])
 
 
@@ -109,6 +128,18 @@ def test_left_with_hold(spark):
     assert [tuple(r) for r in found] == [("left", 3, 0.5), ("right", 3, 9.0)]
 
 
+def test_too_many_held_values(spark):
+    frames = spark.createDataFrame([(1, 0, "left", 1, 0.0)], "episode int, step int, side string, joint int, value double")
+    held = spark.createDataFrame([("right", k, 9.0) for k in range(11)], "side string, joint int, value double")
+    with pytest.raises(ValueError, match="more than 8"):
+        calibration.left_with_hold(frames, *calibrated(spark), held)
+
+
+def test_joint_tree_takes_any_root(spark):
+    joints = spark.createDataFrame([("a", "it's", "l1"), ("b", "l1", "l2")], "name string, parent string, child string")
+    assert {(r["joint"], r["depth"]) for r in kinematics.joint_tree(spark, joints, "it's").collect()} == {("a", 1), ("b", 2)}
+
+
 def test_handshake_ties_and_edge(spark):
     rows = [(1, 0, "a", 1.0, 0.0), (1, 1, "b", 2.0, 1.0), (2, 0, "a", 1.5, 0.0)]
     df = spark.createDataFrame(rows, "k int, ord int, channel string, target double, actual double")
@@ -173,6 +204,15 @@ def test_gravity_by_differences(spark):
         assert c.gravity(q)[0, k] == pytest.approx((energy(q + step) - energy(q - step)) / (2 * h), abs=1e-5)
 
 
+def test_gravity_torques(spark):
+    c = chain(spark)
+    df = spark.createDataFrame([(1, [0.3, -0.4, 0.5])], "k int, q array<double>")
+    with pytest.raises(Exception, match="no masses"):
+        kinematics.gravity_torques(df, c).collect()
+    c.masses, c.centres = np.array([1.0, 0.5, 2.0, 0.7]), np.zeros((4, 3))
+    assert kinematics.gravity_torques(df, c).first()["tau"] == pytest.approx(c.gravity(np.array([[0.3, -0.4, 0.5]]))[0].tolist())
+
+
 def test_ik_step_moves_the_tip(spark):
     c = chain(spark)
     df = spark.createDataFrame([([0.3, -0.4, 0.5], [0.001, 0.0, 0.0, 0.0, 0.0, 0.0])], "q array<double>, delta array<double>")

@@ -1,19 +1,25 @@
 import json
 import os
+import socket
+import sys
 import time
+import types
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from gantry.operators import calibration
-from gantry.sources import episodes, robot
+from gantry.operators import calibration, kinematics
+from gantry.sources import datagrams, episodes, robot
 from gantry.streaming import mirror
 
 URDF = """<robot name="r"><link name="l0"/>
-  <joint name="a" type="revolute"><origin rpy="0 0 0" xyz="0.0 0.0 0.0625"/><parent link="l0"/><child link="l1"/>
-    <axis xyz="0 0 1"/><limit effort="40" lower="-3.5" upper="1.4" velocity="16.7"/></joint>
+  <link name="l1"><inertial><origin xyz="0.5 0 -0.25"/><mass value="2.5"/></inertial></link><link name="l2"/>
+  <joint name="a" type="revolute"><origin rpy="0 0 0" xyz="0.25 0.0 0.75"/><parent link="l0"/><child link="l1"/>
+    <axis xyz="0 0 1"/><limit effort="11" lower="-0.7" upper="2.2" velocity="5.5"/></joint>
   <joint name="b" type="prismatic"><origin rpy="0 0.5 0" xyz="1 0 0"/><parent link="l1"/><child link="l2"/><mimic joint="a"/></joint>
-  <!-- <joint name="${p}c" type="fixed"><parent link="l2"/><child link="l3"/></joint> -->
+  <!-- <joint name="c" type="fixed"><parent link="l2"/><child link="l3"/></joint> -->
 </robot>"""
 
 
@@ -22,9 +28,14 @@ def test_urdf(spark, tmp_path):
     path.write_text(URDF)
     joints = robot.read_joints(spark, str(path))
     a, b = joints.orderBy("name").collect()
-    assert (a["lower"], a["upper"], a["xyz"], a["parent"], b["mimic"], b["rpy"]) == (-3.5, 1.4, [0.0, 0.0, 0.0625], "l0", "a", [0.0, 0.5, 0.0])
+    assert (a["lower"], a["upper"], a["xyz"], a["parent"], b["mimic"], b["rpy"]) == (-0.7, 2.2, [0.25, 0.0, 0.75], "l0", "a", [0.0, 0.5, 0.0])
     with pytest.raises(KeyError, match="c"):
         robot.require_joints(joints, ["a", "c"])
+    links = robot.read_links(spark, str(path))
+    assert {r["name"]: (r["mass"], r["centre"]) for r in links.collect()} == {"l0": (None, None), "l1": (2.5, [0.5, 0.0, -0.25]), "l2": (None, None)}
+    chain = kinematics.Chain.from_joints(joints, "l0", "l2", links)
+    assert chain.masses.tolist() == [2.5, 0.0] and chain.centres.tolist() == [[0.5, 0.0, -0.25], [0.0, 0.0, 0.0]]
+    assert chain.gravity(np.array([[0.3]]))[0] == pytest.approx([0.0])  # about an upright axis
 
 
 def write(path, content):
@@ -46,6 +57,15 @@ def test_calibration_files(spark, tmp_path):
         calibration.require_valid(joints, grippers)
 
 
+def test_defective_calibration_files(spark, tmp_path):
+    """A side that is absent, and numbers in quotes, are found."""
+    with pytest.raises(ValueError, match="right gripper, right sign"):
+        calibration.require_valid(*robot.read_calibration(spark, write(tmp_path / "c.json", {"left": side()})))
+    quoted = side(sign={f"joint{k}": "1" for k in range(1, 8)})
+    with pytest.raises(ValueError, match="left sign"):
+        calibration.require_valid(*robot.read_calibration(spark, write(tmp_path / "d.json", {"left": quoted, "right": side()})))
+
+
 def test_can_capture(spark):
     classic = bytes([0x11, 0, 0, 0, 3, 0, 0, 0]) + bytes([0x21, 0x00, 0x55, 0, 0, 0, 0, 0])
     rows = spark.createDataFrame([(bytearray(classic),), (bytearray(b"short"),)], "raw binary")
@@ -101,6 +121,138 @@ def test_hdf5_needs_its_library(spark):
             episodes.Hdf5Trajectory({"path": "x.h5"}).reader(None).partitions()
 
 
+def test_hdf5_by_a_stub(monkeypatch):
+    """Partitions, the missing episode and blocks of steps, with arrays in place of a file."""
+    steps = np.arange(2 * 5000, dtype=float).reshape(5000, 1, 2)
+    data = {"demo_1": {"states/articulation/robot/joint_position": steps}, "demo_0": {"states/articulation/robot/joint_position": steps[:3, 0]}}
+
+    class File(dict):
+        __enter__ = lambda self: self
+        __exit__ = lambda self, *_: None
+
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=lambda path, mode: File(data=data)))
+    reader = episodes.Hdf5Trajectory({"path": "x.h5"}).reader(None)
+    assert [p.value for p in reader.partitions()] == ["demo_0", "demo_1"]
+    first, second = (list(reader.read(p)) for p in reader.partitions())
+    assert first == [("demo_0", k, [2.0 * k, 2.0 * k + 1]) for k in range(3)]
+    assert len(second) == 5000 and second[4999] == ("demo_1", 4999, [9998.0, 9999.0])
+    assert [p.value for p in episodes.Hdf5Trajectory({"path": "x.h5", "episode": "demo_1"}).reader(None).partitions()] == ["demo_1"]
+    with pytest.raises(KeyError, match="demo_0, demo_1"):
+        episodes.Hdf5Trajectory({"path": "x.h5", "episode": "none"}).reader(None).partitions()
+
+
+def test_datagrams():
+    """Packets are handed out once, again on request until they are committed, and not after that."""
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as free:
+        free.bind(("127.0.0.1", 0))
+        port = free.getsockname()[1]
+    reader = datagrams.Datagrams({"port": str(port)}).simpleStreamReader(None)
+    start = reader.initialOffset()
+    assert list(reader.read(start)[0]) == []
+    with socket.socket(socket.AF_INET, socket.SOCK_DGRAM) as sender:
+        for k in range(3):
+            sender.sendto(f"p{k}".encode(), ("127.0.0.1", port))
+    rows, end = reader.read(start)
+    assert [v for v, _ in rows] == ["p0", "p1", "p2"] and end == {"packet": 3}
+    assert [v for v, _ in reader.readBetweenOffsets({"packet": 1}, end)] == ["p1", "p2"]
+    reader.commit({"packet": 2})
+    assert [v for v, _ in reader.read({"packet": 2})[0]] == ["p2"]
+    reader.commit(end)
+    assert reader.held == [] and reader.read({"packet": 7})[1] == {"packet": 7}
+    reader.socket.close()
+
+
+class Handle:
+    """State and timers of one key, as a plain object."""
+
+    def __init__(self):
+        self.value, self.timers = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def listTimers(self):
+        return list(self.timers)
+
+    def deleteTimer(self, timer):
+        self.timers.remove(timer)
+
+    def registerTimer(self, timer):
+        self.timers.append(timer)
+
+
+class Clock:
+    def getCurrentProcessingTimeInMs(self):
+        return 10_000
+
+
+def driven(processor):
+    processor.init(handle := Handle())
+
+    def take(seq, received, **joints):
+        rows = pd.DataFrame({"seq": [seq], "received": [received], "joints": [json.dumps({k.replace("_", "."): v for k, v in joints.items()})]})
+        out = [r for df in processor.handleInputRows(("r",), iter([rows]), Clock()) for r in df.to_dict("records")]
+        return (out[0]["state"], json.loads(out[0]["commanded"])) if out else None
+
+    def expire():
+        return [r["state"] for df in processor.handleExpiredTimer(("r",), Clock(), None) for r in df.to_dict("records")]
+
+    return handle, take, expire
+
+
+def test_mirror_limits_by_the_last_command():
+    _, take, _ = driven(mirror.Latest(speed=1.0, gripper_speed=10.0, shortest=0.02))
+    assert take(1, 100.0, LJ1_pos=0.0, LJ8_pos=0.0) == ("track", {"LJ1.pos": 0.0, "LJ8.pos": 0.0})
+    assert take(2, 100.1, LJ1_pos=5.0, LJ8_pos=5.0)[1] == pytest.approx({"LJ1.pos": 0.1, "LJ8.pos": 1.0})
+    # After 0.9 s the last command has been held and sent again, so only the shortest step is due.
+    assert take(3, 101.0, LJ1_pos=5.0, LJ8_pos=5.0)[1] == pytest.approx({"LJ1.pos": 0.12, "LJ8.pos": 1.2})
+    assert take(3, 101.1, LJ1_pos=9.0) is None
+
+
+def test_mirror_timers_hold_then_halt_for_good():
+    handle, take, expire = driven(mirror.Latest())
+    take(1, 100.0, a=1.0)
+    assert handle.timers == [10_151, 11_001]
+    assert [expire(), expire(), expire()] == [["hold"], ["halt"], []]
+    assert take(2, 100.1, a=2.0) is None and handle.value[3] == "halt"
+
+
+def test_mirror_held_robot_takes_up_again():
+    _, take, expire = driven(mirror.Latest())
+    take(1, 100.0, a=1.0)
+    assert expire() == ["hold"] and take(2, 100.5, a=2.0) == ("track", {"a": pytest.approx(1.02)})
+
+
+def test_mirror_long_gap_halts_without_a_timer():
+    _, take, _ = driven(mirror.Latest())
+    take(1, 100.0, a=1.0)
+    assert take(2, 101.5, a=2.0) == ("halt", {"a": 1.0}) and take(3, 101.6, a=2.0) is None
+
+
+def test_feedback_sink(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text(json.dumps({"t": 1.5, "joints": {"a": 2.0}}))
+    out = str(tmp_path / "sent")
+
+    def send(strings):
+        with open(out, "a") as file:
+            file.writelines(s + "\n" for s in strings)
+
+    stream = spark.readStream.schema("t double, joints map<string, double>").json(str(tmp_path / "in"))
+    mirror.feedback_sink(stream, send, str(tmp_path / "checkpoint")).trigger(availableNow=True).start().awaitTermination(60)
+    with open(out) as file:
+        assert [json.loads(line) for line in file] == [{"t": 1.5, "joints": {"a": 2.0}}]
+
+
 def packet(seq, **joints):
     return json.dumps({"seq": seq, "t": 0.0, "joints": joints})
 
