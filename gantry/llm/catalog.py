@@ -91,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle_sql(),
+    "op3_chat_format": chat_format.oracle_sql(),
+    "op4_ngram_join": ngram_join.ORACLE_SQL,
     "op7_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_sharding": sharding.ORACLE_SQL,
     "op9_mixing": mixing.oracle_sql(WEIGHTS),

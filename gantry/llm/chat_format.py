@@ -220,3 +220,30 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
         lambda batches: _batches(digests(batches), DIGESTS),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean",
     )
+
+
+def oracle_sql(template: Template | None = None) -> str:
+    """The digests of ``conversations`` and of one with control strings inside its texts, by SQL; for roles and texts that aren't null."""
+    t = template or Template()
+    name, colon, close = t.other
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    listed = lambda roles: "(" + ", ".join(map(quoted, sorted(roles))) + ")"
+    escaped = "[^" + "".join("\\" + c for c in t.codes) + "]"
+    size = lambda x: f"length({x}) + length(regexp_replace({x}, {quoted(escaped)}, '', 'g'))"
+    framing = " ".join(f"WHEN role = {quoted(r)} THEN {len(before) + len(after)}" for r, (before, after) in t.turns.items())
+    allowed = " OR ".join(f"(before {'IS NULL' if r == '' else '= ' + quoted(r)} AND role IN {listed(after)})" for r, after in t.moves.items())
+    return f"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+o AS (
+  SELECT *, lag(role) OVER w AS before, lead(role) OVER w IS NULL AS is_last,
+         {size("text")} + CASE {framing} ELSE {len(name) + len(colon) + len(close)} + {size("role")} END AS chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role IN {listed(t.loss)}), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role IN {listed(t.loss)}), '')) AS loss_sha256,
+       (sum(chars) + {len(t.start)})::BIGINT AS formatted_chars,
+       bool_and(({allowed}) AND (NOT is_last OR role IN {listed(t.final)})) AS valid
+FROM o GROUP BY conv_id
+"""

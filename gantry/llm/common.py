@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=16)
+def _run_dir(shared: str, application: str) -> str:
+    """The folder of this application's tables; deleted when Python ends, as results may read them until then."""
+    folder = f"{shared}/gantry-{application}"
+
+    def delete() -> None:
+        try:
+            if (session := SparkSession.getActiveSession()) is not None:
+                _delete(session, folder)
+        except Exception:  # noqa: BLE001  the JVM may have gone first
+            pass
+
+    if not shared.startswith(tempfile.gettempdir()):  # else the whole folder goes anyway
+        atexit.register(delete)
+    return folder
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -52,7 +75,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     files of the computation go once it is written.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(FREE_SHUFFLES, "false")
     spark.conf.set(FREE_SHUFFLES, "true")
     try:
@@ -66,8 +89,7 @@ def discarded(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and nothing reads any more."""
     for table in tables:
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(table.sparkSession, folder)
 
 
 def ascii_lower(text: Column) -> Column:

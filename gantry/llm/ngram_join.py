@@ -4,7 +4,7 @@ A size-aware heavy-light join.  Light sets, of at most x shingles, enumerate the
 that two sets of their sizes must share, so that a common subset is nearly a link.  Heavy sets,
 and light ones against heavy ones, meet in inverted lists; a set of n need only enter the lists of
 its n/5 + 1 first shingles in one order common to all.  The boundary x is chosen by cost: numbers of
-subsets against lengths of list scans, from the sets' actual sizes and lists.
+subsets against list entries and the candidates they make, from the sets' actual sizes and lists.
 
 The common order is by document frequency, counted over all documents: tasks gather their documents in chunks, send
 the distinct shingles of each chunk to the task that counts that part of the hash space, and get back those that
@@ -49,7 +49,8 @@ from gantry.llm.payloads import pack, rows_of, unpack
 from gantry.llm.textbytes import MIX, U64, lowered_bytes, mixed, slices, word_hashes
 
 WORDS = 5
-MAX_LIGHT = 12
+MAX_LIGHT = 16
+VERIFY = 12  # what a candidate costs, in list entries, as its whole text is sent and read
 CHUNK_SHINGLES = 1_000_000
 PART_BYTES = 16 << 20  # of text per part of the hash space
 BLOCK_SHINGLES = 2_000_000
@@ -263,11 +264,13 @@ def subset_sizes(n: int, light: int) -> list[tuple[int, int]]:
 
 
 def boundary(small: DataFrame) -> int:
-    """The size up to which enumerating subsets costs less than scanning lists; ``small`` has a row for each set and shingle."""
+    """The size up to which enumerating subsets costs less than scanning lists and verifying what meets there; ``small`` has a row for each set and shingle."""
     counts = {r["n"]: r["c"] for r in small.groupBy("n").agg(F.count_distinct("doc_id").alias("c")).collect()}
     keys = small.filter(F.col("place") <= F.expr("n div 5"))
-    lists = keys.groupBy("key").agg(*(F.count_if(F.col("n") <= x).alias(f"c{x}") for x in range(1, MAX_LIGHT + 1)))
-    scans = lists.agg(*(F.sum(F.col(f"c{x}").cast("double") * F.col(f"c{x}")).alias(f"c{x}") for x in range(1, MAX_LIGHT + 1))).first()
+    lists = keys.groupBy("key").agg(*(F.count_if(F.col("n") <= x).cast("double").alias(f"c{x}") for x in range(1, MAX_LIGHT + 1)))
+    # Entries are scanned once; those that are not alone in their list make candidates.
+    entries = lambda c: F.sum(c + F.when(c > 1, VERIFY * c).otherwise(0.0))
+    scans = lists.agg(*(entries(F.col(f"c{x}")).alias(f"c{x}") for x in range(1, MAX_LIGHT + 1))).first()
     cost = {0: 0.0}
     for x in range(1, MAX_LIGHT + 1):
         subsets = sum(c * sum(comb(n, k) for _, k in subset_sizes(n, x)) for n, c in counts.items() if n <= x)
@@ -558,3 +561,16 @@ def ngram_join(docs: DataFrame, block_shingles: int | None = None, broadcast_nod
     labels = labels.groupBy(F.col("doc_id").alias("same_as")).agg(F.min(F.coalesce("component", "stands")).alias("label"))
     labelled = documents.join(labels, "same_as", "left")
     return labelled.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(2, len(w) - 3))) t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
