@@ -96,7 +96,7 @@ def class_of(source: Column, weights: dict[str, int]) -> Column:
 
 def _begins(units: DataFrame, bits: Column) -> DataFrame:
     """``units`` (class, h, bytes) with ``begins``, the bytes of the class before them in the order of h."""
-    binned = written(units.withColumn("bin", F.call_function("shiftright", F.col("h"), (F.lit(HASH_BITS) - bits).cast("int"))), "units")
+    binned = units.withColumn("bin", F.call_function("shiftright", F.col("h"), (F.lit(HASH_BITS) - bits).cast("int")))
     span = F.call_function("shiftright", F.col("bin"), F.lit(SPAN_BITS)).alias("span")
     bins = binned.groupBy("class", "bin", span).agg(F.sum("bytes").alias("bytes"))
     spans = bins.groupBy("class", "span").agg(F.sum("bytes").alias("bytes"))

@@ -13,7 +13,7 @@ text and its stated size; all other columns stay on the JVM's side.
 Defined cases: null or empty text has no words and gets the score of its structure.  Without labelled rows
 the score is 0.5.  Contradicting labels of one id: the lowest counts.  Of rows with one id one is learnt from, that
 with the smallest hash of its text, then the smallest stated size and text.  Repeated rows are scored
-alike; null ids are scored too.  Other columns are not read.
+alike; null ids are scored too.  Other columns are not read.  The model is fitted while the query is built.
 """
 
 from __future__ import annotations
