@@ -65,7 +65,21 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# While tables are written: batches for Python of bounded bytes, and shuffle files that go at the end of a job.
+BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run within have the settings ``BOUNDED``; those of before hold again after."""
+    before = {name: spark.conf.get(name) for name in BOUNDED}
+    for name, value in BOUNDED.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -76,12 +90,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_run_dir(shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(FREE_SHUFFLES, "false")
-    spark.conf.set(FREE_SHUFFLES, "true")
-    try:
+    with bounded(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(FREE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import shared_dir
+from gantry.llm.common import bounded, shared_dir
 
 
 class Forest:
@@ -79,7 +79,8 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``edges`` (longs ``a, b``) that isn't its component's smallest."""
     shared_dir(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    edges = edges.mapInArrow(_forests, "a long, b long").distinct().checkpoint()
+    with bounded(edges.sparkSession):
+        edges = edges.mapInArrow(_forests, "a long, b long").distinct().checkpoint()
     before = None
     while True:
         edges = _star(edges, larger=True).checkpoint()  # each star reads its edges three times

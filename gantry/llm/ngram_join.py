@@ -52,7 +52,7 @@ WORDS = 5
 MAX_LIGHT = 16
 VERIFY = 12  # what a candidate costs, in list entries, as its whole text is sent and read
 CHUNK_SHINGLES = 1_000_000
-PART_BYTES = 16 << 20  # of text per part of the hash space
+PART_BYTES = 8 << 20  # of text per part of the hash space
 BLOCK_SHINGLES = 2_000_000
 LEAST_BLOCK = 20_000
 HUBS = 8
@@ -158,7 +158,12 @@ def _chunks(parts: int):
     return run
 
 
-def _frequencies(batches: Batches) -> Iterator[tuple]:
+def _frequencies(batches: Batches) -> Batches:
+    with memory_returned():
+        yield from _batched(_counted(batches))
+
+
+def _counted(batches: Batches) -> Iterator[tuple]:
     """Of each chunk's shingles of a part: those of other sets too, with the level of their frequency; and how many are not."""
     for part, rows in groupby(rows_of(batches, "part", "chunk", "payload"), itemgetter(0)):
         if part < 0:
@@ -205,42 +210,47 @@ def _gathered(kind: int, **columns: np.ndarray) -> pa.RecordBatch:
 def _together(batches: Batches) -> Batches:
     """Of each chunk: documents (id, n, the set's key in two parts, smallest document of the chunk with this set), list
     entries (key, least and largest n, document), tied documents, and small sets by shingle (id, n, key, place in the order)."""
-    for _, rows in groupby(rows_of(batches, "chunk", "part", "payload"), itemgetter(0)):
-        _, _, payload = next(rows)
-        ids, known, sizes, same, keys = unpack(payload)
-        keys = keys.view(np.int64).reshape(2, -1)
-        mine = np.flatnonzero(same >= 0)
-        first = mine[np.unique(same[mine], return_index=True)[1]]  # of each set the first document that has it
-        lowest = np.full(len(first), np.iinfo(np.int64).max)
-        np.minimum.at(lowest, same[mine], ids[mine])
-        yield _gathered(
-            DOCUMENT, a=pa.array(ids, mask=known == 0), b=sizes.astype(np.int64), c=keys[0], d=keys[1],
-            e=pa.array(np.where(same >= 0, lowest[same] if len(lowest) else 0, 0), mask=same < 0),
-        )
-        if not len(first):
-            continue
-        alone, low, level, owner = np.zeros(len(first), np.int64), [], [], []
-        for _, part, payload in rows:
-            own_low, own_level, counts, own, own_alone = unpack(payload)
-            alone += own_alone
-            low.append(np.repeat(own_low.astype(np.int64) | part << 32, counts))
-            level.append(np.repeat(own_level, counts))
-            owner.append(own.astype(np.int64))
-        low, level, owner = (np.concatenate(x) for x in (low, level, owner))
-        n = sizes[first].astype(np.int64)
-        # Places in the order: those of one set alone come first.
-        order = np.lexsort((low, level, owner))
-        low, owner = low[order], owner[order]
-        begins = np.searchsorted(owner, np.arange(len(first)))
-        place = np.arange(len(owner)) - begins[owner] + alone[owner]
-        small = n[owner] <= MAX_LIGHT
-        early = place <= n[owner] // 5
-        rest = (alone <= n // 5)[owner]
-        yield from _listings(low, owner, early & rest & ~small, n, lowest)
-        at = np.flatnonzero(small & rest)
-        if len(at):
-            # Small sets whole, in order: how they are listed depends on the boundary.
-            yield _gathered(SMALL, a=lowest[owner[at]], b=n[owner[at]], c=low[at], d=place[at])
+    with memory_returned():
+        for _, rows in groupby(rows_of(batches, "chunk", "part", "payload"), itemgetter(0)):
+            yield from _of_chunk(rows)
+
+
+def _of_chunk(rows: Iterator[tuple]) -> Batches:
+    _, _, payload = next(rows)
+    ids, known, sizes, same, keys = unpack(payload)
+    keys = keys.view(np.int64).reshape(2, -1)
+    mine = np.flatnonzero(same >= 0)
+    first = mine[np.unique(same[mine], return_index=True)[1]]  # of each set the first document that has it
+    lowest = np.full(len(first), np.iinfo(np.int64).max)
+    np.minimum.at(lowest, same[mine], ids[mine])
+    yield _gathered(
+        DOCUMENT, a=pa.array(ids, mask=known == 0), b=sizes.astype(np.int64), c=keys[0], d=keys[1],
+        e=pa.array(np.where(same >= 0, lowest[same] if len(lowest) else 0, 0), mask=same < 0),
+    )
+    if not len(first):
+        return
+    alone, low, level, owner = np.zeros(len(first), np.int64), [], [], []
+    for _, part, payload in rows:
+        own_low, own_level, counts, own, own_alone = unpack(payload)
+        alone += own_alone
+        low.append(np.repeat(own_low.astype(np.int64) | part << 32, counts))
+        level.append(np.repeat(own_level, counts))
+        owner.append(own.astype(np.int64))
+    low, level, owner = (np.concatenate(x) for x in (low, level, owner))
+    n = sizes[first].astype(np.int64)
+    # Places in the order: those of one set alone come first.
+    order = np.lexsort((low, level, owner))
+    low, owner = low[order], owner[order]
+    begins = np.searchsorted(owner, np.arange(len(first)))
+    place = np.arange(len(owner)) - begins[owner] + alone[owner]
+    small = n[owner] <= MAX_LIGHT
+    early = place <= n[owner] // 5
+    rest = (alone <= n // 5)[owner]
+    yield from _listings(low, owner, early & rest & ~small, n, lowest)
+    at = np.flatnonzero(small & rest)
+    if len(at):
+        # Small sets whole, in order: how they are listed depends on the boundary.
+        yield _gathered(SMALL, a=lowest[owner[at]], b=n[owner[at]], c=low[at], d=place[at])
 
 
 def _listings(low: np.ndarray, owner: np.ndarray, chosen: np.ndarray, n: np.ndarray, ids: np.ndarray) -> Batches:
@@ -476,7 +486,7 @@ def gathered(docs: DataFrame) -> DataFrame:
     """Documents, list entries and ties of all chunks, once written."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions_for(docs, size // PART_BYTES + 1)
-    counted = docs.mapInArrow(_chunks(n), ROW).repartition(n, "part").sortWithinPartitions("part", "chunk").mapInArrow(lambda batches: _batched(_frequencies(batches)), ROW)
+    counted = docs.mapInArrow(_chunks(n), ROW).repartition(n, "part").sortWithinPartitions("part", "chunk").mapInArrow(_frequencies, ROW)
     return written(counted.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_together, GATHERED), "sets")
 
 
