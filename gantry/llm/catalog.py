@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gantry.llm import byte_bpe, chat_format, exact_dedup, lm_scoring, mixing, ngram_join, quality_classifier, quality_rules, sharding, url_filter
+from gantry.llm import byte_bpe, chat_format, exact_dedup, fill_in_middle, importance, lm_scoring, lz_fingerprint, mixing, ngram_join
+from gantry.llm import quality_classifier, quality_rules, sharding, url_filter
 from gantry.llm.common import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -77,6 +78,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, listed, RULES)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+def op12_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.edited(table(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_bpe": op2_byte_bpe,
@@ -88,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_url_filter": op10_url_filter,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_lz_fingerprint": op12_lz_fingerprint,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.oracle_sql(),
@@ -97,4 +113,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_sharding": sharding.ORACLE_SQL,
     "op9_mixing": mixing.oracle_sql(WEIGHTS),
     "op10_url_filter": url_filter.oracle_sql(RULES, LISTED),
+    "op11_fill_in_middle": fill_in_middle.oracle_sql(),
+    "op13_importance_resampling": importance.oracle_sql(),
 }
