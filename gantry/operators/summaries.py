@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gantry.columns import fresh, named
 from gantry.functions.scalars import is_gripper
+from gantry.operators.bins import binned
 
 JOINT_TOLERANCE = 0.1
 GRIPPER_TOLERANCE = 0.005
@@ -60,11 +62,46 @@ def with_silent(ids: DataFrame, seen: DataFrame, key: str) -> DataFrame:
 
 
 def as_of(times: DataFrame, values: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """For each row of ``times`` the newest value at or before it, through one ordered union of both."""
-    tagged = values.select(*keys, time, value, F.lit(0).alias("_at")).unionByName(times.select(*keys, time, F.lit(1).alias("_at")), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(time, "_at").rowsBetween(Window.unboundedPreceding, 0)
-    newest = F.last(F.when(F.col("_at") == 0, F.struct(F.col(value).alias("v"))), ignorenulls=True).over(w)
-    return tagged.withColumn(value, newest["v"]).filter("_at = 1").drop("_at")
+    """For each row of ``times`` the newest value at or before it, through one ordered union of both.
+
+    Of values at one time the largest counts, null being the least; a null time finds nothing and is found by nothing.  ``as_of_bucketed`` spreads hot keys.
+    """
+    both, flag, newest = _tagged(times, values, time, value)
+    w = Window.partitionBy(*map(named, keys)).orderBy(named(time), flag, newest).rowsBetween(Window.unboundedPreceding, 0)
+    return _answered(both, F.last(newest, ignorenulls=True).over(w), times, time, value, flag)
+
+
+def _tagged(times: DataFrame, values: DataFrame, time: str, value: str) -> tuple[DataFrame, str, str]:
+    """Rows of both, values before times of the same moment, and the names of the columns that tell (1 a time) and hold the value in a struct."""
+    flag, newest = (fresh(name, [*times.columns, *values.columns]) for name in ("is_time", "newest"))
+    rows = times.drop(value).withColumn(flag, F.lit(1))
+    known = values.filter(named(time).isNotNull()).withColumn(newest, F.struct(named(value).alias("v"))).drop(value).withColumn(flag, F.lit(0))
+    known = known.select(*(named(c) for c in known.columns if c in times.columns or c in (flag, newest)))
+    return known.unionByName(rows, allowMissingColumns=True), flag, newest
+
+
+def _answered(both: DataFrame, newest: Column, times: DataFrame, time: str, value: str, flag: str) -> DataFrame:
+    found = both.withColumn(value, F.when(named(time).isNotNull(), newest["v"])).filter(F.col(flag) == 1)
+    return found.select(*(named(c) for c in times.columns if c != value), named(value))
+
+
+def as_of_bucketed(times: DataFrame, values: DataFrame, keys: list[str], time: str, value: str, bins: int | None = None) -> DataFrame:
+    """As ``as_of``, with keys that hold more than a ``bins``-th of all rows (four for each shuffle partition) cut into buckets of time.
+
+    The last value of each bucket is found by a plain aggregation, and carried to the buckets after it, by a window over buckets; each bucket
+    then answers for itself, beginning with what is carried in.  Two jobs run while this is built, over keys and times alone.
+    """
+    n = int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged, flag, newest = _tagged(times, values, time, value)
+    both, bucket, hot = binned(tagged, keys, time, bins or 4 * n)
+    by = [*map(named, keys), F.col(bucket)]
+    if hot is not None:
+        last = both.filter((F.col(flag) == 0) | (F.col(bucket) > 0)).groupBy(*by).agg(F.max_by(newest, F.when(F.col(flag) == 0, F.struct(named(time), F.col(newest)))).alias(newest))
+        before = Window.partitionBy(*by[:-1]).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.withColumn(newest, F.last(newest, ignorenulls=True).over(before)).filter(F.col(newest).isNotNull())
+        both = both.unionByName(carried.withColumn(flag, F.lit(-1)), allowMissingColumns=True)
+    w = Window.partitionBy(*by).orderBy(F.col(flag) >= 0, named(time), flag, newest).rowsBetween(Window.unboundedPreceding, 0)
+    return _answered(both, F.last(newest, ignorenulls=True).over(w), times, time, value, flag)
 
 
 def any_null(df: DataFrame, column: str) -> DataFrame:
