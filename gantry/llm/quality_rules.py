@@ -9,10 +9,10 @@ reject more than ``risk`` of the good with probability P(Binomial(n, risk) <= k
 is at most ``delta`` over the number of strata is taken.  So with probability 1 - ``delta`` no stratum loses more
 than ``risk`` of its good texts to the rules.
 
-The first cut is at the largest of all measurements and holds for every rule; the others are dealt to the rules in turn, so that a
-rule with m of them has the lowest cutoff that fewer than m good rows exceed.  Ties, rounding
-up to the grid and counting rows that other rules have cut already only make cutoffs higher than the bound asks for.
-A stratum with too few good rows for one cut gets no cutoffs.
+Cuts are dealt to the rules in turn, in the fixed order of ``RULES``, so that a
+rule with m of them has the lowest cutoff that fewer than m good rows exceed, and an odd text only costs the rules that it is odd
+by.  Ties, rounding up to the grid and counting rows that other rules have cut already only make cutoffs higher than the bound asks for.
+A stratum with fewer cuts than rules gets cutoffs for the first of them only, one with too few good rows for one cut gets none.
 
 The law asks for independent rows, so a trial is a distinct text: copies, and rows of one id, count once.  Near copies still count
 one by one; where they abound, deduplicate first.
@@ -169,17 +169,13 @@ def cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, delta: f
     trial = F.col("digest" if "digest" in features.columns else "doc_id").alias("trial")
     texts = features.select("doc_id", "stratum", trial, *RULES).join(labels, "doc_id").groupBy("stratum", "trial")
     good = texts.agg(*(F.min(r).alias(r) for r in RULES), F.min("quality").alias("quality")).filter("quality = 1")
-    good = good.withColumn("any", F.greatest(*RULES))
     counts = good.groupBy("stratum").agg(
         F.count("*").alias("n"),
-        *(F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in (*RULES, "any") for i, c in enumerate(GRID)),
+        *(F.count_if(F.col(r) > c).alias(f"{r}_{i}") for r in RULES for i, c in enumerate(GRID)),
     )
     lowest = lambda r, m: F.coalesce(*(F.when(F.col(f"{r}_{i}") < m, F.lit(c)) for i, c in enumerate(GRID)))
-    own = F.col("cuts") - 1
-    dealt = [F.floor((own + len(RULES) - 1 - k) / len(RULES)) for k in range(len(RULES))]
-    return allowed_cuts(counts, risk, delta).select(
-        "stratum", *(F.least(lowest("any", 1), lowest(r, m)).alias(f"max_{r}") for r, m in zip(RULES, dealt, strict=True))
-    )
+    dealt = [F.floor((F.col("cuts") + len(RULES) - 1 - k) / len(RULES)) for k in range(len(RULES))]
+    return allowed_cuts(counts, risk, delta).select("stratum", *(lowest(r, m).alias(f"max_{r}") for r, m in zip(RULES, dealt, strict=True)))
 
 
 def judge(features: DataFrame, limits: DataFrame) -> DataFrame:
@@ -207,7 +203,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
 def oracle_sql(risk: float = RISK, delta: float = DELTA) -> str:
     grid = ", ".join(f"({c}::DOUBLE)" for c in GRID)
     limits = ", ".join(
-        f"least(min(c) FILTER (rule = 'any' AND above < 1), min(c) FILTER (rule = '{r}' AND above < (cuts - 1 + {len(RULES) - 1 - k}) // {len(RULES)})) AS max_{r}"
+        f"min(c) FILTER (rule = '{r}' AND above < (cuts + {len(RULES) - 1 - k}) // {len(RULES)}) AS max_{r}"
         for k, r in enumerate(RULES)
     )
     return rf"""
@@ -240,7 +236,7 @@ cdf AS (
   FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM tried) GROUP BY stratum, strata, k),
 cuts AS (SELECT stratum, max(k) + 1 AS cuts FROM cdf WHERE p <= {delta} / strata GROUP BY stratum),
 v AS (
-  SELECT stratum, unnest([{", ".join(f"'{r}'" for r in (*RULES, "any"))}]) AS rule, unnest([{", ".join(RULES)}, greatest({", ".join(RULES)})]) AS v FROM good),
+  SELECT stratum, unnest([{", ".join(f"'{r}'" for r in RULES)}]) AS rule, unnest([{", ".join(RULES)}]) AS v FROM good),
 above AS (SELECT stratum, rule, c, count(*) FILTER (v > c) AS above FROM v, (VALUES {grid}) grid(c) GROUP BY stratum, rule, c),
 limits AS (SELECT stratum, {limits} FROM above JOIN cuts USING (stratum) GROUP BY stratum, cuts),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m LEFT JOIN limits USING (stratum))
