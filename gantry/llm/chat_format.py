@@ -195,13 +195,18 @@ DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_s
 def read_back(formatted: DataFrame, template: Template | None = None) -> DataFrame:
     """Parse what ``segments`` made, as it streams by, and digest turns and loss text.
 
-    Needs the segments in the order in which ``segments`` returns them.
+    The segments may come in any order, as from a table; one that is missing or there twice is an error.
     """
     template = template or Template()
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        reader = None
-        for first, (conv_id, segment, loss, valid) in _conversations(batches, ["conv_id", "segment", "loss", "valid"]):
+        reader, due, closed = None, 0, True
+        for first, (conv_id, seg, segment, loss, valid) in _conversations(batches, ["conv_id", "seg", "segment", "loss", "valid"]):
+            if first:
+                due = 0
+            if seg != due or first and not closed:
+                raise ValueError(f"conversation {conv_id}: segment {seg} where {due} is due, or the one before is not closed")
+            due, closed = due + 1, valid is not None
             if first:
                 reader, turns, n_turns = Reader(template), hashlib.sha256(), 0
                 under, loss_chars, chars = hashlib.sha256(), 0, 0
@@ -215,8 +220,11 @@ def read_back(formatted: DataFrame, template: Template | None = None) -> DataFra
                 turns.update(f"{role}\n{text}\n".encode())
             if valid is not None:  # the closing segment
                 yield conv_id, n_turns, turns.hexdigest(), loss_chars, under.hexdigest(), chars, valid
+        if not closed:
+            raise ValueError(f"conversation {conv_id} is not closed")
 
-    return formatted.mapInArrow(
+    rows = formatted.select("conv_id", "seg", "segment", "loss", "valid")
+    return rows.repartition(partitions_for(formatted), "conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(
         lambda batches: _batches(digests(batches), DIGESTS),
         "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean",
     )
