@@ -7,15 +7,19 @@ import ctypes
 import gc
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gantry.columns import fresh, named  # noqa: F401  as the operators' other helpers
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -24,6 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: set[str] = set()  # folders that stand in for a shared one; they go as a whole when Python ends
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
@@ -40,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
             found = tempfile.mkdtemp(prefix="gantry-")
             atexit.register(shutil.rmtree, found, ignore_errors=True)
             context.setCheckpointDir(found)
+            _made.add(context.getCheckpointDir().rstrip("/"))
     return found.rstrip("/")
 
 
@@ -55,7 +63,7 @@ def _run_dir(shared: str, application: str) -> str:
         except Exception:  # noqa: BLE001  the JVM may have gone first
             pass
 
-    if not shared.startswith(tempfile.gettempdir()):  # else the whole folder goes anyway
+    if shared not in _made:
         atexit.register(delete)
     return folder
 
@@ -67,29 +75,57 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 # While tables are written: batches for Python of bounded bytes, and shuffle files that go at the end of a job.
 BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+_bounding = threading.Lock()
+_inside: dict[str, int] = {}  # by session, how many threads are within ``bounded``
+_before: dict[str, dict[str, str]] = {}
 
 
 @contextmanager
 def bounded(spark: SparkSession) -> Iterator[None]:
-    """Jobs that run within have the settings ``BOUNDED``; those of before hold again after."""
-    before = {name: spark.conf.get(name) for name in BOUNDED}
-    for name, value in BOUNDED.items():
-        spark.conf.set(name, value)
+    """Jobs that run within have the settings ``BOUNDED``; those of before hold again once no thread of the session is within."""
+    session = str(spark._jsparkSession.hashCode())
+    with _bounding:
+        if not _inside.get(session):
+            _before[session] = {name: spark.conf.get(name) for name in BOUNDED}
+            for name, value in BOUNDED.items():
+                spark.conf.set(name, value)
+        _inside[session] = _inside.get(session, 0) + 1
     try:
         yield
     finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+        with _bounding:
+            _inside[session] -= 1
+            if not _inside[session]:
+                for name, value in _before.pop(session).items():
+                    spark.conf.set(name, value)
+
 
+_owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
-def written(df: DataFrame, name: str) -> DataFrame:
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes within are deleted at the end, so what is to last is written outside of it or ``kept``."""
+    paths: list[str] = []
+    token = _owner.set(paths)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
     Cuts lineage, survives the loss of executors, and is computed once however often it is read.  The shuffle
-    files of the computation go once it is written.
+    files of the computation go once it is written.  The table goes with its owner (``owned``), if it has one and is not ``kept``, by ``discarded``, or when Python ends.
     """
     spark = df.sparkSession
     path = f"{_run_dir(shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
+    if not kept and (paths := _owner.get()) is not None:
+        paths.append(path)
     with bounded(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -106,19 +142,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, ASCII_UPPER, ASCII_LOWER)
 
 
-def fresh(name: str, taken: list[str]) -> str:
-    """A column name like ``name`` that none of ``taken`` has, whatever its case."""
-    lowered = {t.lower() for t in taken}
-    while name.lower() in lowered:
-        name += "_"
-    return name
-
-
-def named(column: str) -> Column:
-    """The column of just this name, dots and all."""
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 def partitions_for(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 

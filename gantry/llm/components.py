@@ -3,7 +3,7 @@
 Each round joins every node's larger neighbours, then its smaller ones, to the smallest node it knows (large and small
 star); edges end up pointing from every node to the smallest of its component after about log(n)
 rounds.  Tasks first replace the edges they hold by a spanning forest.  Every star is
-checkpointed to the shared folder; no edges reach the driver.
+written to the shared folder, and deleted once the next one is; no edges reach the driver.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gantry.llm.common import bounded, shared_dir
+from gantry.llm.common import discarded, written
 
 
 class Forest:
@@ -77,14 +77,14 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` of every node of ``edges`` (longs ``a, b``) that isn't its component's smallest."""
-    shared_dir(edges.sparkSession)
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    with bounded(edges.sparkSession):
-        edges = edges.mapInArrow(_forests, "a long, b long").distinct().checkpoint()
+    edges = written(edges.mapInArrow(_forests, "a long, b long").distinct(), "forest")
     before = None
     while True:
-        edges = _star(edges, larger=True).checkpoint()  # each star reads its edges three times
-        edges = _star(edges, larger=False).checkpoint()
+        for larger in (True, False):
+            star = written(_star(edges, larger), "star")  # each star reads its edges three times
+            discarded(edges)
+            edges = star
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -32,7 +32,7 @@ Nearly all jobs run while the query is built.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations, groupby
 from math import ceil, comb
 from operator import itemgetter
@@ -494,11 +494,11 @@ def _hash_of(ids: str, parts: Column | int) -> Column:
     return F.pmod(F.xxhash64(ids), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
 
 
-def _held_together(texts: DataFrame, large: DataFrame, n: int) -> DataFrame:
-    """Of the sets of ``large`` blocks (``block, slices``) their hubs: ``doc_id, block, hubs, joined``."""
-    members = texts.join(F.broadcast(large), "block")
+def _held_together(texts: DataFrame, large: DataFrame, n: int, marked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Of the sets of ``large`` blocks (``block, slices``) their hubs: ``doc_id, block, hubs, joined``.  Tables of a few rows a block go through ``marked``."""
+    members = texts.join(marked(large), "block")
     hubs = members.groupBy("block", _hash_of("doc_id", HUBS).alias("hub")).agg(F.min(F.struct(F.xxhash64("doc_id", F.lit("hub")), "doc_id"))["doc_id"].alias("doc_id"))
-    hubs = F.broadcast(hubs)  # a few for each large block, of which there are no more than parts
+    hubs = marked(hubs)
     of_hubs = members.join(hubs, ["block", "doc_id"]).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     rows = members.withColumn("hub", F.lit(-1)).withColumn("slice", _hash_of("doc_id", F.col("slices")))
     columns = ["block", "slice", "hub", "doc_id", "text"]
@@ -506,7 +506,7 @@ def _held_together(texts: DataFrame, large: DataFrame, n: int) -> DataFrame:
     met = written(dealt.mapInArrow(_with_hubs, "doc_id long, block long, mask long, hubs array<long>"), "hubs")
     counts = met.filter("mask > 0").groupBy("block", "mask").agg(F.count("*").alias("n"))
     counts = counts.groupBy("block").agg(F.collect_list(F.struct("mask", "n")).alias("counts"))  # at most 2^HUBS of a block
-    mains = F.broadcast(counts.mapInArrow(_main, "block long, main long"))
+    mains = marked(counts.mapInArrow(_main, "block long, main long"))
     return met.join(mains, "block", "left").select("doc_id", "block", "hubs", (F.col("mask").bitwiseAND(F.coalesce("main", F.lit(0))) != 0).alias("joined"))
 
 
@@ -519,16 +519,19 @@ def _links_of(docs: DataFrame, nodes: DataFrame, block_shingles: int | None, bro
     with_text = lambda chosen: docs.join(F.broadcast(chosen) if sets <= broadcast_nodes else chosen, "doc_id")
     slices_of = F.ceil(F.sum("n") / block_shingles).cast("int")
     large = written(nodes.groupBy("block").agg(slices_of.alias("slices")).filter("slices > 1"), "large")
+    # There are more large blocks the larger the corpus, so they are counted before they are broadcast: at most HUBS rows each.
+    blocks = large.count()
+    marked = F.broadcast if blocks * HUBS <= broadcast_nodes else lambda few: few
     columns = ["block", "low", "high", "joined", "doc_id", "text"]
     zero = F.lit(0)
-    meeting = with_text(nodes.join(F.broadcast(large), "block", "left_anti")).select("block", zero.alias("low"), zero.alias("high"), F.lit(False).alias("joined"), "doc_id", "text")
-    if large.isEmpty():
+    meeting = with_text(nodes.join(marked(large), "block", "left_anti")).select("block", zero.alias("low"), zero.alias("high"), F.lit(False).alias("joined"), "doc_id", "text")
+    if not blocks:
         found = None
     else:
-        held = written(_held_together(with_text(nodes.join(F.broadcast(large), "block", "left_semi")), large, n), "held")
+        held = written(_held_together(with_text(nodes.join(marked(large), "block", "left_semi")), large, n, marked), "held")
         found = held.select(F.col("doc_id").alias("a"), F.explode("hubs").alias("b"))
         apart = held.filter("NOT joined").join(nodes.select("doc_id", "n"), "doc_id").groupBy("block").agg(slices_of.alias("apart"))
-        sides = F.broadcast(large.join(apart, "block"))  # blocks without sets apart are done with
+        sides = marked(large.join(apart, "block"))  # blocks without sets apart are done with
         rest = with_text(held.select("doc_id", "block", "joined").join(sides, "block"))
         # Parts of the sets apart are numbered first, then the slices of those joined.
         part = F.when(F.col("joined"), F.col("apart") + _hash_of("doc_id", F.col("slices"))).otherwise(_hash_of("doc_id", F.col("apart")))

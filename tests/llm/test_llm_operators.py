@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from compare import same
 from gantry.llm import byte_bpe, catalog, chat_format, components, exact_dedup, lm_scoring, mixing, ngram_join, payloads
-from gantry.llm import quality_classifier, quality_rules, sharding, url_filter
+from gantry.llm import common, quality_classifier, quality_rules, sharding, url_filter
 from gantry.llm.common import written
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -103,13 +104,33 @@ def test_windows_whose_hashes_meet(spark):
 
 
 def test_small_strata_get_cutoffs(spark):
-    """With 321 good rows two cuts hold a risk of 0.02 for one of four strata: one for all rules, one for the first."""
+    """With 321 good rows two cuts hold a risk of 0.02 for one of four strata: one for each of the first two rules."""
     r = random.Random(7)
     rows = [(s, 0.015, r.choice((0.0, 0.03, 0.14))) for s in ("de", "en", "es") for _ in range(321)] + [("xx", 0.0, 0.0)] * 200
     features = spark.createDataFrame([(k, s, v, 0.0, 0.0, c, 0.0) for k, (s, v, c) in enumerate(rows)], "doc_id long, stratum string, symbols double, dup_lines double, repeats double, capitals double, shouts double")
     labels = spark.createDataFrame([(k, 1) for k in range(len(rows))], "doc_id long, quality int")
     found = {r["stratum"]: tuple(r)[1:] for r in quality_rules.cutoffs(features, labels, risk=0.02, delta=0.05).collect()}
-    assert found == {s: (0.02, 0.15, 0.15, 0.15, 0.15) for s in ("de", "en", "es")}
+    assert found == {s: (0.02, 0.02, None, None, None) for s in ("de", "en", "es")}
+
+
+@pytest.mark.parametrize("odd", [1, 2, 3, 4])
+def test_an_odd_text_costs_only_its_own_rule(spark, odd):
+    """230 good rows allow one cut; one of them that is extreme by another rule leaves it as sharp as before."""
+    rows = [[0.0] * 5 for _ in range(230)]
+    rows[7][odd] = 0.9
+    features = spark.createDataFrame([(k, "es", *v) for k, v in enumerate(rows)], "doc_id long, stratum string, " + ", ".join(f"{r} double" for r in quality_rules.RULES))
+    (found,) = quality_rules.cutoffs(features, spark.createDataFrame([(k, 1) for k in range(230)], "doc_id long, quality int"), risk=0.02, delta=0.05).collect()
+    assert found["max_symbols"] == 0.02
+
+
+def test_small_stratum_rejects_its_bad_texts(spark):
+    """The stratum of sf0.1 with 307 good texts: all bad ones go, no good one does."""
+    base = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{base}/documents.parquet").filter("lang = 'es'")
+    labels = spark.read.parquet(f"{base}/labels.parquet")
+    judged = quality_rules.quality_rules(docs, labels, delta=quality_rules.DELTA / 4).join(labels, "doc_id").filter("NOT base_failed")
+    found = {r["quality"]: (r["n"], r["kept"]) for r in judged.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect()}
+    assert found[0][0] > 20 and found[0][1] == 0 and found[1][0] == found[1][1]
 
 
 def test_cutoffs_hold_the_joint_risk(spark):
@@ -191,6 +212,11 @@ def test_chat_format(spark):
     chars = {r["conv_id"]: r["n"] for r in formatted.groupBy("conv_id").agg(F.sum(F.length("segment")).alias("n")).collect()}
     assert chars == {c: r["formatted_chars"] for c, r in found.items()}
     assert chat_format.read_back(chat_format.segments(df.limit(0))).count() == 0
+    again = written(formatted.orderBy(F.rand(3)), "segments")  # in any order, as tables come
+    assert {r["conv_id"]: r for r in chat_format.read_back(again).collect()} == found
+    for broken in (again.filter("seg <> 1"), again.filter("valid IS NULL"), again.unionByName(again.filter("seg = 2"))):
+        with pytest.raises(Exception, match="is due|is not closed"):
+            chat_format.read_back(broken).collect()
 
 
 def brute_components(rows):
@@ -222,7 +248,7 @@ def test_ngram_join(spark, small):
     assert found == brute_components(rows)
 
 
-def test_ngram_join_of_a_large_group(spark):
+def test_ngram_join_of_a_large_group(spark, monkeypatch):
     """A block in many slices: most of it hangs on hubs, some of it on a chain or on one member, some on nothing."""
     r = random.Random(31)
     base = r.sample([f"b{k}" for k in range(400)], 100)
@@ -237,6 +263,13 @@ def test_ngram_join_of_a_large_group(spark):
     for limit in (400, None):
         assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in ngram_join.ngram_join(table(spark, rows), limit).collect()} == want
 
+    def refused(df):
+        raise AssertionError("broadcast")
+
+    monkeypatch.setattr(ngram_join.F, "broadcast", refused)
+    found = ngram_join.ngram_join(table(spark, rows), 400, broadcast_nodes=0)
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in found.collect()} == want
+
 
 def test_ngram_join_light_sets(spark):
     """Many small sets, so that subsets are enumerated."""
@@ -269,6 +302,36 @@ def test_components(spark):
     assert found == {n: c for n, c in zip(*forest.edges(), strict=True) if n != c}
 
 
+def test_stars_and_owned_tables_go(spark):
+    """Of the components only the last star is left; tables of an owner go with it, but those kept."""
+    folder = Path(common._run_dir(common.shared_dir(spark), spark.sparkContext.applicationId))
+    names = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
+    rdds = lambda: set(Path(common.shared_dir(spark).removeprefix("file:")).glob("rdd-*"))
+    before, at_first = names(), rdds()
+    components.components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long"))
+    assert len(names() - before) == 1 and rdds() == at_first
+    before = names()
+    with common.owned(spark):
+        written(spark.range(3), "gone")
+        rest = written(spark.range(4), "stays", kept=True)
+    assert [n.split("-")[0] for n in names() - before] == ["stays"] and rest.count() == 4
+    common.discarded(rest)
+    assert names() == before
+
+
+def test_settings_return_after_threads(spark):
+    """Whatever the order in which threads leave, the session's settings are those of before."""
+    before = {name: spark.conf.get(name) for name in common.BOUNDED}
+    first, second = common.bounded(spark), common.bounded(spark)
+    first.__enter__()
+    second.__enter__()
+    assert {name: spark.conf.get(name) for name in common.BOUNDED} == common.BOUNDED
+    first.__exit__(None, None, None)
+    assert {name: spark.conf.get(name) for name in common.BOUNDED} == common.BOUNDED
+    second.__exit__(None, None, None)
+    assert {name: spark.conf.get(name) for name in common.BOUNDED} == before
+
+
 def test_lm_scoring(spark):
     rows = corpus(150, seed=6) + [(3001, "twice given w1")]
     found = lm_scoring.lm_scores(table(spark, rows)).collect()
