@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -69,10 +71,15 @@ def preview(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
 
 
 BLOCK_STEPS = 4096
+RANGE_STEPS = 1 << 18
 
 
 class Hdf5Trajectory(DataSource):
-    """``episode, step, q`` from an HDF5 file; needs ``h5py``.  Options: ``path``, ``key``.  A partition per episode."""
+    """``episode, step, q`` from an HDF5 file; needs ``h5py``.  Options: ``path``, ``key``, ``episode``, ``range_steps``.
+
+    A partition is a range of an episode's steps, read as hyperslabs of ``BLOCK_STEPS`` and handed on as Arrow batches, so
+    a long episode is the work of many tasks, none of which holds more than a block.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -82,12 +89,20 @@ class Hdf5Trajectory(DataSource):
         return StructType([StructField("episode", StringType()), StructField("step", IntegerType()), StructField("q", ArrayType(DoubleType()))])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return Hdf5Reader(self.options["path"], self.options.get("key", "states/articulation/robot/joint_position"), self.options.get("episode"))
+        return Hdf5Reader(
+            self.options["path"], self.options.get("key", "states/articulation/robot/joint_position"), self.options.get("episode"),
+            int(self.options.get("range_steps", RANGE_STEPS)),
+        )
+
+
+class Steps(InputPartition):
+    def __init__(self, episode: str, first: int, after: int) -> None:
+        self.episode, self.first, self.after = episode, first, after
 
 
 class Hdf5Reader(DataSourceReader):
-    def __init__(self, path: str, key: str, episode: str | None) -> None:
-        self.path, self.key, self.episode = path, key, episode
+    def __init__(self, path: str, key: str, episode: str | None, range_steps: int = RANGE_STEPS) -> None:
+        self.path, self.key, self.episode, self.range_steps = path, key, episode, range_steps
 
     def _file(self):
         try:
@@ -97,21 +112,28 @@ class Hdf5Reader(DataSourceReader):
         return h5py.File(self.path, "r")
 
     def partitions(self) -> list[InputPartition]:
+        """Of the file only names and shapes are read here.  An episode without steps has no partition."""
         with self._file() as file:
             episodes = sorted(file["data"])
-        if self.episode is None:
-            return [InputPartition(e) for e in episodes]
-        if self.episode not in episodes:
-            raise KeyError(f"no episode {self.episode}; there are {', '.join(episodes)}")
-        return [InputPartition(self.episode)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+            if self.episode is not None and self.episode not in episodes:
+                raise KeyError(f"no episode {self.episode}; there are {', '.join(episodes)}")
+            chosen = episodes if self.episode is None else [self.episode]
+            steps = {e: file["data"][e][self.key].shape[0] for e in chosen}
+        parts = [Steps(e, a, min(a + self.range_steps, n)) for e, n in steps.items() for a in range(0, n, self.range_steps)]
+        return parts or [Steps("", 0, 0)]
+
+    def read(self, partition: Steps) -> Iterator[pa.RecordBatch]:
+        if partition.first >= partition.after:
+            return
         with self._file() as file:
-            q = file["data"][partition.value][self.key]
-            for first in range(0, q.shape[0], BLOCK_STEPS):
-                block = q[first : first + BLOCK_STEPS]
-                for step, row in enumerate(block.reshape(len(block), -1).tolist(), first):
-                    yield partition.value, step, row
+            q = file["data"][partition.episode][self.key]
+            for first in range(partition.first, partition.after, BLOCK_STEPS):
+                block = np.asarray(q[first : min(first + BLOCK_STEPS, partition.after)], np.float64)
+                rows, flat = len(block), block.reshape(len(block), -1)
+                values = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1)))
+                yield pa.RecordBatch.from_pydict(
+                    {"episode": pa.array([partition.episode] * rows, pa.string()), "step": pa.array(np.arange(first, first + rows), pa.int32()), "q": values}
+                )
 
 
 def named_trajectory(df: DataFrame, joint_order: list[str]) -> DataFrame:

@@ -122,23 +122,40 @@ def test_hdf5_needs_its_library(spark):
 
 
 def test_hdf5_by_a_stub(monkeypatch):
-    """Partitions, the missing episode and blocks of steps, with arrays in place of a file."""
+    """Ranges of steps, the missing episode and blocks as Arrow batches, with arrays in place of a file."""
     steps = np.arange(2 * 5000, dtype=float).reshape(5000, 1, 2)
-    data = {"demo_1": {"states/articulation/robot/joint_position": steps}, "demo_0": {"states/articulation/robot/joint_position": steps[:3, 0]}}
+    key = "states/articulation/robot/joint_position"
+    read = []
+
+    class Slab:
+        def __init__(self, values):
+            self.values, self.shape = values, values.shape
+
+        def __getitem__(self, where):
+            read.append(where.stop - where.start)
+            return self.values[where]
+
+    data = {"demo_1": {key: Slab(steps)}, "demo_0": {key: Slab(steps[:3, 0])}, "empty": {key: Slab(steps[:0])}}
 
     class File(dict):
         __enter__ = lambda self: self
         __exit__ = lambda self, *_: None
 
     monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=lambda path, mode: File(data=data)))
-    reader = episodes.Hdf5Trajectory({"path": "x.h5"}).reader(None)
-    assert [p.value for p in reader.partitions()] == ["demo_0", "demo_1"]
-    first, second = (list(reader.read(p)) for p in reader.partitions())
-    assert first == [("demo_0", k, [2.0 * k, 2.0 * k + 1]) for k in range(3)]
-    assert len(second) == 5000 and second[4999] == ("demo_1", 4999, [9998.0, 9999.0])
-    assert [p.value for p in episodes.Hdf5Trajectory({"path": "x.h5", "episode": "demo_1"}).reader(None).partitions()] == ["demo_1"]
+    monkeypatch.setattr(episodes, "BLOCK_STEPS", 1000)
+    rows = lambda reader, p: [tuple(r.values()) for b in reader.read(p) for r in b.to_pylist()]
+    for split, parts in ((1 << 18, 1), (1700, 3), (1000, 5)):  # an episode whole, in three and in five
+        reader = episodes.Hdf5Trajectory({"path": "x.h5", "range_steps": str(split)}).reader(None)
+        found = reader.partitions()
+        assert [p.episode for p in found] == ["demo_0"] + ["demo_1"] * parts
+        assert rows(reader, found[0]) == [("demo_0", k, [2.0 * k, 2.0 * k + 1]) for k in range(3)]
+        assert [r for p in found[1:] for r in rows(reader, p)] == [("demo_1", k, [2.0 * k, 2.0 * k + 1]) for k in range(5000)]
+    assert max(read) == 1000  # no more than a block at a time
+    assert [p.episode for p in episodes.Hdf5Trajectory({"path": "x.h5", "episode": "demo_1"}).reader(None).partitions()] == ["demo_1"]
     with pytest.raises(KeyError, match="demo_0, demo_1"):
         episodes.Hdf5Trajectory({"path": "x.h5", "episode": "none"}).reader(None).partitions()
+    nothing = episodes.Hdf5Trajectory({"path": "x.h5", "episode": "empty"}).reader(None)
+    assert [rows(nothing, p) for p in nothing.partitions()] == [[]]
 
 
 def test_datagrams():
