@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_classifier
-from gantry.llm.common import fresh, named, table, written
+from gantry.llm.common import discarded, fresh, named, owned, table, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Target weights of the mix; sources without an entry share the last one.
@@ -67,8 +67,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written to the shared folder and read by the next.
+
+    What a stage has written for itself goes once its result is there, and a result once the next one is.
+    """
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.split()[0])
+        with owned(spark):
+            docs = written(stage(spark, docs, sf_dir), name.split()[0], kept=True)
+        if last is not None:
+            discarded(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

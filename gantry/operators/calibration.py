@@ -1,25 +1,35 @@
 """Mapping between simulated and robot joint values through a calibration table.
 
 The table has one row per side and joint 1 to 7 (``sign``, ``offset_rad``) and the side's gripper ends
-(``open_raw``, ``closed_raw``): at most 16 rows, so it is always broadcast.
+(``open_raw``, ``closed_raw``).  Spark broadcasts it by its size.  A side and joint there twice is a defect, and an error for the frames it concerns.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gantry.columns import fresh
 from gantry.functions import scalars
 
 SIDE_OF = {"L": "left", "R": "right"}
 
 
 def violations(joints: DataFrame, grippers: DataFrame) -> DataFrame:
-    """One row per defect: joints need a sign of 1 or -1 and an offset, grippers two different ends."""
+    """One row per defect: joints need a sign of 1 or -1 and an offset, grippers two different ends, and each of them one row (``repeated``)."""
     bad_sign = joints.filter(F.col("sign").isNull() | ~F.col("sign").isin(1, -1)).select("side", F.lit("sign").alias("what"))
     bad_offset = joints.filter("offset_rad IS NULL").select("side", F.lit("offset_rad").alias("what"))
     ends = F.col("open_raw").isNull() | F.col("closed_raw").isNull() | (F.col("open_raw") == F.col("closed_raw"))
-    return bad_sign.unionByName(bad_offset).unionByName(grippers.filter(ends).select("side", F.lit("gripper").alias("what")))
+    bad_ends = grippers.filter(ends).select("side", F.lit("gripper").alias("what"))
+    twice = [df.groupBy(*keys).count().filter("count > 1").select("side", F.lit("repeated").alias("what")) for df, keys in ((joints, ["side", "joint"]), (grippers, ["side"]))]
+    return reduce(DataFrame.unionByName, [bad_sign, bad_offset, bad_ends, *twice])
+
+
+def _once(df: DataFrame, keys: list[str], columns: list[str], count: str) -> DataFrame:
+    """A row for each key, and how many there are of it."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count), *(F.first(c).alias(c) for c in columns))
 
 
 def require_valid(joints: DataFrame, grippers: DataFrame) -> None:
@@ -30,10 +40,14 @@ def require_valid(joints: DataFrame, grippers: DataFrame) -> None:
 
 def _joined(frames: DataFrame, joints: DataFrame, grippers: DataFrame) -> DataFrame:
     """Frames (long, with ``side`` and ``joint``) with their calibration; a row that finds none is an error."""
-    both = frames.join(F.broadcast(joints), ["side", "joint"], "left").join(F.broadcast(grippers), "side", "left")
-    missing = F.when(F.col("joint") == scalars.GRIPPER, F.col("open_raw").isNull()).otherwise(F.col("sign").isNull())
-    error = F.raise_error(F.format_string("no calibration for side %s joint %s", F.col("side"), F.col("joint").cast("string")))
-    return both.withColumn("side", F.when(missing, error).otherwise(F.col("side")))
+    n_arm, n_ends = (fresh(name, frames.columns) for name in ("arm_rows", "end_rows"))
+    arms = _once(joints, ["side", "joint"], ["sign", "offset_rad"], n_arm)
+    both = frames.join(arms, ["side", "joint"], "left").join(_once(grippers, ["side"], ["open_raw", "closed_raw"], n_ends), "side", "left")
+    gripper = F.col("joint") == scalars.GRIPPER
+    missing = F.when(gripper, F.col("open_raw").isNull()).otherwise(F.col("sign").isNull())
+    twice = F.when(gripper, F.col(n_ends) > 1).otherwise(F.col(n_arm) > 1)
+    error = lambda what: F.raise_error(F.format_string(f"{what} for side %s joint %s", F.col("side"), F.col("joint").cast("string")))
+    return both.withColumn("side", F.when(missing, error("no calibration")).when(twice, error("more than one calibration")).otherwise(F.col("side")))
 
 
 def to_robot(frames: DataFrame, joints: DataFrame, grippers: DataFrame, gripper_unit: str = "sim") -> DataFrame:

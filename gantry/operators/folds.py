@@ -16,6 +16,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gantry.columns import fresh
 from gantry.functions.scalars import is_gripper
@@ -135,7 +136,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], ou
     ``output`` replaces a column of that name.  Nulls in keys are a key of their own.
     """
     kept = df.drop(output)
-    schema = kept.schema.add(output, "double")
+    schema = StructType([*kept.schema.fields, StructField(output, DoubleType())])
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gantry.columns import fresh, named, same_keys
 from gantry.operators.bins import binned
@@ -270,7 +271,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], ou
         begins = sums.repartition(n, *by[:-1] or [F.lit(0)]).sortWithinPartitions(*by, nth).mapInArrow(carried, small)
         all_rows = all_rows.unionByName(begins.drop(nth), allowMissingColumns=True)
     dealt = all_rows.repartition(n, *by).sortWithinPartitions(*by, F.col(state).isNull(), *map(named, order))
-    return dealt.mapInArrow(folded, kept.schema.add(output, "double"))
+    return dealt.mapInArrow(folded, StructType([*kept.schema.fields, StructField(output, DoubleType())]))
 
 
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float, output: str = "smoothed", bins: int | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gantry.columns import fresh
 from gantry.functions.scalars import clip_keep_nan, lerp
 
 
@@ -21,30 +22,64 @@ def hysteresis(df: DataFrame, keys: list[str], order: list[str], value: str, thr
 
 
 def stalls(df: DataFrame, keys: list[str], order: list[str], target: str, actual: str, moved: float = 0.15, still: float = 0.02, hits: int = 3) -> DataFrame:
-    """Adds ``hit`` and ``fired``: the target moved but the actual value did not, ``hits`` times in a row, then anew."""
+    """Adds ``hit`` and ``fired``: the target moved but the actual value did not, ``hits`` times in a row, then anew.
+
+    A row without target or actual value (null or NaN) is a read that failed: it is passed over.  ``steps.Stall`` is the same a row at a time.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    hit = F.coalesce(
-        (F.abs(F.col(target) - F.lag(target).over(w)) >= moved) & (F.abs(F.col(actual) - F.lag(actual).over(w)) < still), F.lit(False)
-    )
-    runs = df.withColumn("hit", hit).withColumn("run", F.sum((~F.col("hit")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    within = Window.partitionBy(*keys, "run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    read = F.coalesce(~F.isnan(target) & ~F.isnan(actual) & F.col(target).isNotNull() & F.col(actual).isNotNull(), F.lit(False))
+    before = lambda c: F.last(F.when(read, F.col(c)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    hit = read & F.coalesce((F.abs(F.col(target) - before(target)) >= moved) & (F.abs(F.col(actual) - before(actual)) < still), F.lit(False))
+    run = fresh("run", [*df.columns, "hit", "fired"])
+    runs = df.withColumn("hit", hit).withColumn(run, F.sum((read & ~F.col("hit")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    within = Window.partitionBy(*keys, run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     place = F.sum(F.col("hit").cast("int")).over(within)
-    return runs.withColumn("fired", F.col("hit") & (place % hits == 0)).drop("run")
+    return runs.withColumn("fired", F.col("hit") & (place % hits == 0)).drop(run)
+
+
+MAX_ATTEMPTS = 8
+
 
+def _first_attempts(df: DataFrame, keys: list[str], attempt: str, max_attempts: int | None) -> DataFrame:
+    if max_attempts is None:
+        return df
+    nth = fresh("nth", df.columns)
+    return df.withColumn(nth, place(keys, [attempt])).filter(F.col(nth) <= max_attempts).drop(nth)
 
-def first_plausible(df: DataFrame, keys: list[str], attempt: str, plausible: Column, frame: str) -> DataFrame:
-    """Of each key's attempts the first plausible one's frame; null where none is (the caller's error)."""
+
+def _refused(found: Column, keys: list[str], max_attempts: int | None, raising: bool) -> Column:
+    """``found``, or an error that names the key if there must be one."""
+    if not raising:
+        return found
+    text = F.concat(F.lit(f"no trustworthy read within {max_attempts or 'all'} attempts: "), F.to_json(F.struct(*keys)) if keys else F.lit(""))
+    return F.when(found.isNull(), F.raise_error(text)).otherwise(found)
+
+
+def first_plausible(df: DataFrame, keys: list[str], attempt: str, plausible: Column, frame: str, max_attempts: int | None = None, raising: bool = False) -> DataFrame:
+    """Of each key's attempts (the first ``max_attempts``) the first plausible one's frame; null where none is, or an error if ``raising``."""
     ordered = F.min_by(F.when(plausible, F.col(frame)), F.when(plausible, F.col(attempt)))
-    return df.groupBy(*keys).agg(ordered.alias(frame), F.min(F.when(plausible, F.col(attempt))).alias(attempt))
+    found = _first_attempts(df, keys, attempt, max_attempts).groupBy(*keys).agg(ordered.alias(frame), F.min(F.when(plausible, F.col(attempt))).alias(attempt))
+    return found.withColumn(attempt, _refused(F.col(attempt), keys, max_attempts, raising))
 
 
-def first_stable(df: DataFrame, keys: list[str], attempt: str, channels: list[str], tolerance: float = 0.01, plausible: Column | None = None) -> DataFrame:
-    """The first attempt within ``tolerance`` of the one before on all channels, and plausible; the one before need not be."""
+def first_stable(
+    df: DataFrame, keys: list[str], attempt: str, channels: list[str], tolerance: float = 0.01, plausible: Column | None = None,
+    max_attempts: int | None = None, raising: bool = False,
+) -> DataFrame:
+    """The first attempt (of the first ``max_attempts``) within ``tolerance`` of the one before on all channels, and plausible; the one before need not be.
+
+    A read that lacks a channel, or has a NaN, agrees with none.  Null where no attempt is stable, or an error if ``raising``.
+    """
     w = Window.partitionBy(*keys).orderBy(attempt)
-    apart = F.greatest(*(F.abs(F.col(c) - F.lag(c).over(w)) for c in channels), F.lit(0.0))
-    compared = df.withColumn("apart", F.when(F.lag(attempt).over(w).isNotNull(), apart))
-    good = (F.col("apart") <= tolerance) & (F.lit(True) if plausible is None else plausible)
-    return compared.groupBy(*keys).agg(F.min(F.when(good, F.col(attempt))).alias(attempt), F.max("apart").alias("worst"))
+    each = [F.abs(F.col(c) - F.lag(c).over(w)) for c in channels]
+    all_there = F.lit(True)
+    for e in each:
+        all_there = all_there & e.isNotNull()
+    apart = fresh("apart", df.columns)
+    compared = _first_attempts(df, keys, attempt, max_attempts).withColumn(apart, F.when(all_there, F.greatest(*each, F.lit(0.0))))
+    good = (F.col(apart) <= tolerance) & (F.lit(True) if plausible is None else plausible)
+    found = compared.groupBy(*keys).agg(F.min(F.when(good, F.col(attempt))).alias(attempt), F.max(apart).alias("worst"))
+    return found.withColumn(attempt, _refused(F.col(attempt), keys, max_attempts, raising))
 
 
 def ramp_steps(duration: Column, hz: Column) -> Column:
@@ -74,14 +109,16 @@ def place(keys: list[str], order: list[str]) -> Column:
 
 
 def skip_warm_up(df: DataFrame, keys: list[str], order: list[str], n: int = 1) -> DataFrame:
-    return df.withColumn("_place", place(keys, order)).filter(F.col("_place") > n).drop("_place")
+    nth = fresh("nth", df.columns)
+    return df.withColumn(nth, place(keys, order)).filter(F.col(nth) > n).drop(nth)
 
 
 def head(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """The first ``n`` frames; a negative ``n`` is refused, as it would mean another thing."""
     if n < 0:
         raise ValueError("n must not be negative")
-    return df.withColumn("_place", place(keys, order)).filter(F.col("_place") <= n).drop("_place")
+    nth = fresh("nth", df.columns)
+    return df.withColumn(nth, place(keys, order)).filter(F.col(nth) <= n).drop(nth)
 
 
 def hold(df: DataFrame, constants: dict[str, float]) -> DataFrame:
@@ -96,8 +133,8 @@ def executed(df: DataFrame, model_time: str = "model_time", budget: float = 0.02
 
 def within_time(df: DataFrame, keys: list[str], time: str, seconds: float) -> DataFrame:
     """Rows less than ``seconds`` after their episode's first."""
-    first = F.min(time).over(Window.partitionBy(*keys))
-    return df.withColumn("_first", first).filter(F.col(time) - F.col("_first") < seconds).drop("_first")
+    first = fresh("first", df.columns)
+    return df.withColumn(first, F.min(time).over(Window.partitionBy(*keys))).filter(F.col(time) - F.col(first) < seconds).drop(first)
 
 
 def staleness(df: DataFrame, keys: list[str], received: str, stale_ms: int = 150, timeout_ms: int = 1000, order: list[str] | None = None) -> DataFrame:

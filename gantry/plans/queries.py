@@ -6,14 +6,16 @@ channel; ``embeddings.embedding`` is a state vector; ``labels`` marks episodes t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.functions import frames, packets, scalars
-from gantry.operators import calibration, filters, folds, kinematics, series, summaries
-from gantry.sources import episodes, robot
+from gantry.operators import calibration, filters, folds, kinematics, scans, series, steps, summaries
+from gantry.scratch import shared_dir
+from gantry.sources import dataset, episodes, robot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -179,9 +181,13 @@ def joint_map_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("event_id", "side", "joint", F.coalesce("finger", F.lit(0)).alias("finger"), F.round("sim_value", 9).alias("sim_value"))
 
 
-@query(f"WITH {DUCK_JOINTS}, {DUCK_GRIPPERS} SELECT side, joint, offset_rad AS value FROM j UNION ALL SELECT side, 8, open_raw FROM g")
+@query("""SELECT c_mktsegment AS side, c_custkey AS joint, c_acctbal AS value FROM customer
+UNION ALL SELECT s_name, 8, s_acctbal FROM supplier""")
 def rest_pose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibration.rest_pose(*calibrated(spark))
+    """Customers stand for joints with offsets, suppliers for sides with grippers."""
+    joints = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("side"), F.col("c_custkey").alias("joint"), F.lit(1).alias("sign"), F.col("c_acctbal").alias("offset_rad"))
+    grippers = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("side"), F.col("s_acctbal").alias("open_raw"), F.lit(0.0).alias("closed_raw"))
+    return calibration.rest_pose(joints, grippers)
 
 
 @query("""SELECT user_id, bool_and(value <= 480) AS plausible, min(CASE WHEN value > 480 THEN event_type END) AS first_bad FROM events GROUP BY user_id""")
@@ -371,15 +377,23 @@ def can_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", "code", F.round("position", 9).alias("position"), "error", "motor")
 
 
-JOINT_TREE = "VALUES ('base', 'l0', 'l1'), ('shoulder', 'l1', 'l2'), ('elbow', 'l2', 'l3'), ('finger_a', 'l3', 'f1'), ('finger_b', 'l3', 'f2')"
+TREE_LINKS = """SELECT 'r' || r_regionkey AS name, 'world' AS parent, r_name AS child FROM region
+UNION ALL SELECT 'n' || n_nationkey, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT 'c' || c_custkey, n_name, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
 
-@query(f"""WITH RECURSIVE j(name, parent, child) AS ({JOINT_TREE}),
-t AS (SELECT NULL::VARCHAR AS joint, 'l0' AS link, 0 AS depth, 'l0' AS path
+@query(f"""WITH RECURSIVE j AS ({TREE_LINKS}),
+t AS (SELECT NULL::VARCHAR AS joint, 'world' AS link, 0 AS depth, 'world' AS path
       UNION ALL SELECT j.name, j.child, depth + 1, path || '/' || j.child FROM t JOIN j ON j.parent = t.link)
 SELECT joint, link, depth, path FROM t WHERE joint IS NOT NULL""")
 def urdf_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kinematics.joint_tree(spark, spark.sql(f"SELECT * FROM {JOINT_TREE} AS t(name, parent, child)"), "l0")
+    """Regions, nations and customers stand for a branching description."""
+    region, nation, customer = (table(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    joint = lambda df, letter, key, parent, child: df.select(F.concat(F.lit(letter), F.col(key).cast("string")).alias("name"), parent.alias("parent"), F.col(child).alias("child"))
+    links = joint(region, "r", "r_regionkey", F.lit("world"), "r_name")
+    links = links.unionByName(joint(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), "n", "n_nationkey", F.col("r_name"), "n_name"))
+    links = links.unionByName(joint(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")), "c", "c_custkey", F.col("n_name"), "c_name"))
+    return kinematics.joint_tree(spark, links, "world")
 
 
 @query("SELECT event_id, event_type AS channel, value FROM events WHERE (event_type = 'click' AND (value < 50 OR value > 100)) OR (event_type = 'view' AND (value < 0 OR value > 300))")
@@ -389,11 +403,14 @@ def joint_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinematics.limit_violations(rows, limits).select("event_id", "channel", "value")
 
 
-@query("""SELECT vec_id, round(embedding[1] / (embedding[1]::DOUBLE * embedding[1] + 0.0001) * embedding[2], 6) AS dq FROM embeddings""")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+SELECT vec_id, k::INT AS joint, round(e[k + 1] * e[64] / (list_sum(list_transform(e[1:63], lambda y: y * y)) + 0.0001), 6) AS dq FROM v, range(63) t(k)""")
 def ik_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The damped step for a Jacobian of one by one, where it is j d / (j j + damping squared)."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.array(F.col("embedding")[0].cast("double")).alias("jacobian"), F.array(F.col("embedding")[1].cast("double")).alias("delta"))
-    return kinematics.dls(rows, 1, 1, 0.01).select("vec_id", F.round(F.col("dq")[0], 6).alias("dq"))
+    """The damped step for a Jacobian of one row, where it is the row times d / (row squared + damping squared)."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(v, 1, 63).alias("jacobian"), F.slice(v, 64, 1).alias("delta"))
+    found = kinematics.dls(rows, 1, 63, 0.01)
+    return found.select("vec_id", F.posexplode("dq").alias("joint", "dq")).withColumn("dq", F.round("dq", 6))
 
 
 @query("""WITH RECURSIVE c AS (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'LJ8.pos' ELSE 'LJ1.pos' END AS channel FROM events),
@@ -434,14 +451,17 @@ def plausible_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.plausible_frames(rows, ["user_id"], include_gripper=False)
 
 
-@query("""SELECT n_name AS side, 'sign' AS what FROM nation WHERE n_nationkey % 3 = 1
-UNION ALL SELECT n_name, 'offset_rad' FROM nation WHERE n_nationkey % 5 = 0
-UNION ALL SELECT n_name, 'gripper' FROM nation WHERE n_nationkey % 4 = n_nationkey % 2""")
+@query("""SELECT c_name AS side, 'sign' AS what FROM customer WHERE c_custkey % 3 = 1
+UNION ALL SELECT c_name, 'offset_rad' FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT c_name, 'gripper' FROM customer WHERE c_custkey % 4 = c_custkey % 2
+UNION ALL SELECT c_mktsegment, 'repeated' FROM customer GROUP BY c_mktsegment, c_nationkey HAVING count(*) > 1 AND c_nationkey < 5""")
 def calibration_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    key = F.col("n_nationkey")
-    joints = n.select(F.col("n_name").alias("side"), F.lit(1).alias("joint"), (key % 3 - 1).alias("sign"), F.when(key % 5 != 0, 0.5).alias("offset_rad"))
-    return calibration.violations(joints, n.select(F.col("n_name").alias("side"), (key % 4).alias("open_raw"), (key % 2).alias("closed_raw")))
+    """A side for each customer, and sides (segments) with a joint for each nation, some there more than once."""
+    c = table(spark, sf_dir, "customer")
+    key = F.col("c_custkey")
+    joints = c.select(F.col("c_name").alias("side"), F.lit(1).cast("long").alias("joint"), (key % 3 - 1).alias("sign"), F.when(key % 5 != 0, 0.5).alias("offset_rad"))
+    several = c.filter("c_nationkey < 5").select(F.col("c_mktsegment").alias("side"), F.col("c_nationkey").cast("long").alias("joint"), F.lit(1).cast("long").alias("sign"), F.lit(0.5).alias("offset_rad"))
+    return calibration.violations(joints.unionByName(several), c.select(F.col("c_name").alias("side"), (key % 4).alias("open_raw"), (key % 2).alias("closed_raw")))
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id & 536870911 ELSE event_id & 2047 END AS can_id FROM events
@@ -507,3 +527,113 @@ def ik_step_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(v, 1, 42).alias("jacobian"), F.slice(v, 43, 6).alias("delta"))
     return kinematics.dls(rows, 6, 7, 0.05).select("vec_id", F.transform("dq", lambda x: F.round(x, 6)).alias("dq"))
+
+
+def of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their type as the channel: a handful of keys that hold all rows, each far too many for one task at scale."""
+    return events(spark, sf_dir, "event_type", "event_id", "ts", "value")
+
+
+BY_TYPE = "o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events)"
+
+
+@query(f"""WITH RECURSIVE {BY_TYPE},
+f AS (SELECT event_type, event_id, rn, value AS commanded FROM o WHERE rn = 1
+      UNION ALL
+      SELECT o.event_type, o.event_id, o.rn, f.commanded + greatest(-{LIMIT}, least({LIMIT}, o.value - f.commanded)) FROM f JOIN o ON o.event_type = f.event_type AND o.rn = f.rn + 1)
+SELECT event_type, event_id, round(commanded, 6) AS commanded FROM f""")
+def slew_limit_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slew limits of keys too long for one task."""
+    found = scans.slew_limit(of_type(spark, sf_dir), ["event_type"], ["event_id"], "value", LIMIT)
+    return found.select("event_type", "event_id", F.round("commanded", 6).alias("commanded"))
+
+
+@query(f"""WITH RECURSIVE {BY_TYPE},
+f AS (SELECT event_type, event_id, rn, {ALPHA} * value AS smoothed FROM o WHERE rn = 1
+      UNION ALL SELECT o.event_type, o.event_id, o.rn, {ALPHA} * o.value + (1 - {ALPHA}) * f.smoothed FROM f JOIN o ON o.event_type = f.event_type AND o.rn = f.rn + 1)
+SELECT event_type, event_id, round(smoothed, 6) AS smoothed FROM f""")
+def ema_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothing of keys too long for one task."""
+    found = scans.ema(of_type(spark, sf_dir), ["event_type"], ["event_id"], "value", ALPHA)
+    return found.select("event_type", "event_id", F.round("smoothed", 6).alias("smoothed"))
+
+
+@query("""WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events),
+f AS (SELECT event_type, event_id, rn, t, value AS commanded, false AS halted FROM o WHERE rn = 1
+      UNION ALL
+      SELECT event_type, event_id, rn, t, CASE WHEN stop THEN was ELSE was + greatest(-l, least(l, value - was)) END, stop
+      FROM (SELECT o.event_type, o.event_id, o.rn, o.t, o.value, f.commanded AS was, f.halted OR o.t - f.t > 150000 AS stop,
+              0.001::DOUBLE * CASE WHEN o.t - f.t > 2000 THEN 100.0::DOUBLE ELSE greatest(o.t - f.t, 100.0::DOUBLE) END AS l
+            FROM f JOIN o ON o.event_type = f.event_type AND o.rn = f.rn + 1))
+SELECT event_type, event_id, round(commanded, 4) AS commanded FROM f""")
+def slew_limit_timed_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slew limits by time, with stale gaps and an end, of keys too long for one task."""
+    rows = of_type(spark, sf_dir).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    found = scans.slew_limit_timed(rows, ["event_type"], ["event_id"], "value", "t", 0.001, 100.0, stale=2000.0, timeout=150000.0)
+    return found.select("event_type", "event_id", F.round("commanded", 4).alias("commanded"))
+
+
+@query("""SELECT e.user_id % 3 AS shard, e.event_id, v.value AS value
+FROM (SELECT *, user_id % 3 AS shard FROM events WHERE event_type <> 'click') e
+ASOF LEFT JOIN (SELECT user_id % 3 AS shard, event_id, value FROM events WHERE event_type = 'click') v ON v.shard = e.shard AND e.event_id >= v.event_id""")
+def as_of_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest click at or before each other event, in three keys with a third of all rows each."""
+    rows = events(spark, sf_dir, (F.col("user_id") % 3).alias("shard"), "event_id", "event_type", "value")
+    clicks = rows.filter("event_type = 'click'").select("shard", "event_id", "value")
+    return summaries.as_of_bucketed(rows.filter("event_type <> 'click'").select("shard", "event_id"), clicks, ["shard"], "event_id", "value")
+
+
+@query("""WITH h AS (SELECT user_id, event_id, value, event_id % 7 AS actual,
+  coalesce(abs(value - lag(value) OVER w) >= 5 AND abs(event_id % 7 - lag(event_id % 7) OVER w) < 4, false) AS hit
+  FROM events WHERE event_id % 11 <> 0 WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum((NOT hit)::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM h),
+p AS (SELECT *, sum(hit::INT) OVER (PARTITION BY user_id, run ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS place FROM r)
+SELECT user_id, event_id, 'recover' AS event FROM p WHERE hit AND place % 3 = 0""")
+def stall_recoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the watchdog asks for, by the step that also runs in streams; reads that failed (every eleventh) are passed over."""
+    actual = F.when(F.col("event_id") % 11 != 0, (F.col("event_id") % 7).cast("double"))
+    rows = events(spark, sf_dir, "user_id", "event_id", "value").withColumn("actual", actual)
+    watched = steps.over_table(rows, ["user_id"], ["event_id"], ["value", "actual"], steps.Stall(5.0, 4.0))
+    return steps.recoveries(watched, ["user_id"], "event_id")
+
+
+@query("""WITH a AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS attempt FROM events)
+SELECT user_id, min(event_id) FILTER (WHERE value <= 100) AS event_id, arg_min(value, event_id) FILTER (WHERE value <= 100) AS value FROM a WHERE attempt <= 8 GROUP BY user_id""")
+def retry_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight attempts and no more; null where none is plausible."""
+    rows = events(spark, sf_dir, "user_id", "event_id", "value")
+    return series.first_plausible(rows, ["user_id"], "event_id", F.col("value") <= 100, "value", max_attempts=series.MAX_ATTEMPTS)
+
+
+@query("""WITH p AS (SELECT vec_id, unnest(range(0, 32)) AS pair, embedding AS e FROM embeddings),
+q AS (SELECT vec_id, pair::INT AS pair, e[2 * pair + 1]::DOUBLE AS a, e[2 * pair + 2]::DOUBLE AS d FROM p)
+SELECT vec_id, pair, round(-9.81 * cos(a) * (2.0 * 0.5 + 1.5 * (1.0 + d) + 0.25 * (1.2 + 3 * d)), 6) AS turning, round(-9.81 * sin(a) * (1.5 + 0.25 * 3), 6) AS sliding FROM q""")
+def gravity_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holding torque and force of an arm that turns about y and slides out, with a mimic joint that slides on by twice as much."""
+    at = lambda x: [x, 0.0, 0.0]
+    joints = spark.createDataFrame(
+        [
+            ("turn", "revolute", "base", "arm", None, None, [0.0, 1.0, 0.0], None, None, None),
+            ("slide", "prismatic", "arm", "rod", None, at(1.0), at(1.0), None, None, None),
+            ("more", "prismatic", "rod", "tip", None, at(0.2), at(1.0), "slide", 2.0, None),
+        ],
+        "name string, type string, parent string, child string, rpy array<double>, xyz array<double>, axis array<double>, mimic string, multiplier double, offset double",
+    )
+    links = spark.createDataFrame([("arm", 2.0, at(0.5)), ("rod", 1.5, at(0.0)), ("tip", 0.25, at(0.0))], "name string, mass double, centre array<double>")
+    tree = kinematics.Tree.from_joints(joints, "base", links)
+    pairs = table(spark, sf_dir, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("pair"), "embedding")
+    q = F.array(*(F.get("embedding", 2 * F.col("pair") + k).cast("double") for k in (0, 1)))
+    found = kinematics.gravity_torques(pairs.select("vec_id", "pair", q.alias("q")), tree)
+    return found.select("vec_id", "pair", F.round(F.col("tau")[0], 6).alias("turning"), F.round(F.col("tau")[1], 6).alias("sliding"))
+
+
+@query("""SELECT user_id AS episode_index, event_id AS frame_index, CASE WHEN user_id % 10 = 0 THEN value * 2 ELSE value END AS value,
+  CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS task FROM events WHERE user_id < 70 AND user_id % 10 <> 5""")
+def dataset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a versioned episode dataset: written, some episodes replaced, a value replaced in place, and read by a pushed filter."""
+    root = f"{shared_dir(spark)}/episodes-{uuid.uuid4().hex}"
+    rows = events(spark, sf_dir, F.col("user_id").alias("episode_index"), F.col("event_id").alias("frame_index"), "value", F.col("event_type").alias("task"))
+    dataset.write(rows, root)
+    dataset.write(rows.filter("episode_index % 10 = 0").withColumn("value", 2 * F.col("value")), root, mode="replace")
+    dataset.replace_value(spark, root, "task", "click", "tap")
+    return dataset.read(spark, root).filter("episode_index < 70 AND episode_index % 10 <> 5")

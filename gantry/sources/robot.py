@@ -28,7 +28,7 @@ def read_calibration(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 URDF_JOINT = """
 _name STRING, _type STRING, parent STRUCT<_link: STRING>, child STRUCT<_link: STRING>,
 origin STRUCT<_rpy: STRING, _xyz: STRING>, axis STRUCT<_xyz: STRING>,
-limit STRUCT<_lower: DOUBLE, _upper: DOUBLE, _effort: DOUBLE, _velocity: DOUBLE>, mimic STRUCT<_joint: STRING>
+limit STRUCT<_lower: DOUBLE, _upper: DOUBLE, _effort: DOUBLE, _velocity: DOUBLE>, mimic STRUCT<_joint: STRING, _multiplier: DOUBLE, _offset: DOUBLE>
 """
 
 
@@ -40,7 +40,7 @@ def read_joints(spark: SparkSession, path: str) -> DataFrame:
         F.col("_name").alias("name"), F.col("_type").alias("type"), F.col("parent._link").alias("parent"), F.col("child._link").alias("child"),
         triple(F.col("origin._rpy")).alias("rpy"), triple(F.col("origin._xyz")).alias("xyz"), triple(F.col("axis._xyz")).alias("axis"),
         F.col("limit._lower").alias("lower"), F.col("limit._upper").alias("upper"), F.col("limit._effort").alias("effort"),
-        F.col("limit._velocity").alias("velocity"), F.col("mimic._joint").alias("mimic"),
+        F.col("limit._velocity").alias("velocity"), F.col("mimic._joint").alias("mimic"), F.col("mimic._multiplier").alias("multiplier"), F.col("mimic._offset").alias("offset"),
     ).filter("child IS NOT NULL")
 
 
