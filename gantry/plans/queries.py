@@ -16,6 +16,7 @@ from gantry.functions import frames, packets, scalars
 from gantry.operators import calibration, filters, folds, kinematics, scans, series, steps, summaries
 from gantry.scratch import shared_dir
 from gantry.sources import dataset, episodes, robot
+from gantry.streaming import mirror
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -300,9 +301,9 @@ def bounded_episode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, epoch_us(time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01')) AS start_us, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL""")
 def throttle_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir, "user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    found = rows.groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
-    return found.select("user_id", F.unix_micros("w.start").alias("start_us"), "value")
+    rows = events(spark, sf_dir, "user_id", "event_id", "ts", "value")
+    found = mirror.throttled(rows, "ts", ["user_id"], "value", every="1 hour", order=["event_id"])
+    return found.select("user_id", F.unix_micros("window.start").alias("start_us"), "value")
 
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS seq, value AS joint FROM events WHERE props->>'k' IS NOT NULL")
@@ -404,7 +405,7 @@ def joint_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
-SELECT vec_id, k::INT AS joint, round(e[k + 1] * e[64] / (list_sum(list_transform(e[1:63], lambda y: y * y)) + 0.0001), 6) AS dq FROM v, range(63) t(k)""")
+SELECT vec_id, k::INT AS joint, round(e[k + 1] * e[64] / (list_sum(list_transform(e[1:63], lambda y: y * y)) + 0.0001), 6) + 0.0 AS dq FROM v, range(63) t(k)""")
 def ik_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damped step for a Jacobian of one row, where it is the row times d / (row squared + damping squared)."""
     v = F.transform("embedding", lambda x: x.cast("double"))
@@ -637,3 +638,17 @@ def dataset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     dataset.write(rows.filter("episode_index % 10 = 0").withColumn("value", 2 * F.col("value")), root, mode="replace")
     dataset.replace_value(spark, root, "task", "click", "tap")
     return dataset.read(spark, root).filter("episode_index < 70 AND episode_index % 10 <> 5")
+
+
+@query("""SELECT event_id, (user_id % 2048)::BIGINT AS can_id, CASE WHEN event_id % 4 = 0 THEN 12 ELSE event_id % 9 END::INT AS dlc,
+  CASE WHEN event_id % 4 = 0 THEN 12 ELSE event_id % 9 END::BIGINT AS bytes, lpad(hex(event_id % 256), 2, '0') AS first
+FROM events WHERE event_id % 5 <> 0 AND (event_id % 4 = 0 OR event_id % 9 > 0)""")
+def capture_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Socket frames of 16 and 72 bytes, made from events, taken apart; frames of other sizes (every fifth) drop out."""
+    key, long = F.col("event_id"), F.col("event_id") % 4 == 0
+    dlc = F.when(long, 12).otherwise(key % 9).cast("int")
+    head = F.concat(F.format_string("%02X%02X0000", F.col("user_id") % 256, (F.col("user_id") % 2048 / 256).cast("int")), F.format_string("%02X", dlc), F.when(long, "04").otherwise("00"), F.lit("0000"))
+    data = F.rpad(F.format_string("%02X", key % 256), F.when(long, 128).otherwise(16).cast("int"), F.lit("AB"))
+    raw = F.unhex(F.concat(head, data, F.when(key % 5 == 0, "00").otherwise("")))
+    found = robot.split_frames(events(spark, sf_dir, "event_id", raw.alias("raw"))).filter("dlc > 0")
+    return found.select("event_id", "can_id", "dlc", F.length("data").cast("long").alias("bytes"), F.hex(F.substring("data", 1, 1)).alias("first"))

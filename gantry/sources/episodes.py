@@ -129,7 +129,7 @@ class Hdf5Reader(DataSourceReader):
             q = file["data"][partition.episode][self.key]
             for first in range(partition.first, partition.after, BLOCK_STEPS):
                 block = np.asarray(q[first : min(first + BLOCK_STEPS, partition.after)], np.float64)
-                rows, flat = len(block), block.reshape(len(block), -1)
+                rows, flat = len(block), block[:, 0] if block.ndim == 3 else block.reshape(len(block), -1)  # one robot of an environment
                 values = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * flat.shape[1], pa.int32()), pa.array(flat.reshape(-1)))
                 yield pa.RecordBatch.from_pydict(
                     {"episode": pa.array([partition.episode] * rows, pa.string()), "step": pa.array(np.arange(first, first + rows), pa.int32()), "q": values}

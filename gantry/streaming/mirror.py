@@ -106,10 +106,14 @@ def mirror(parsed: DataFrame, processor: Latest | None = None) -> DataFrame:
     )
 
 
-def throttled(stream: DataFrame, time: str, keys: list[str], value: str, every: str = "500 milliseconds", late: str = "2 seconds") -> DataFrame:
-    """The last value of each tumbling window; windows begin at whole multiples of their length."""
-    seen = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    return seen.groupBy(F.window(time, every), *keys).agg(F.max_by(value, time).alias(value))
+def throttled(stream: DataFrame, time: str, keys: list[str], value: str, every: str = "500 milliseconds", late: str = "2 seconds", order: list[str] | None = None) -> DataFrame:
+    """The last value of each tumbling window; windows begin at whole multiples of their length.  Values of one time go by ``order``.
+
+    A table is throttled like a stream.
+    """
+    seen = stream.withColumn(time, F.col(time).cast("timestamp"))
+    seen = seen.withWatermark(time, late) if stream.isStreaming else seen
+    return seen.groupBy(F.window(time, every), *keys).agg(F.max_by(value, F.struct(time, *order or [])).alias(value))
 
 
 def feedback_sink(stream: DataFrame, send, checkpoint: str):
