@@ -13,14 +13,17 @@ score of a text is the sum of their log10 over its tokens.
 
 How it is spread:
 
-1. One pass counts the training tokens.
+1. One pass counts the training tokens of every word.  Heavy words, of more than ``HEAVY_TOKENS`` (and a 2^18th of all), have their
+   customers dealt by context to shards, which are dishes of their own in buckets of their own: the pairs of the most frequent word are the
+   work of many tasks.  A shard's share of the word's customers at the root is added up over all shards in each sweep, and the word's tables at the
+   root, one number for each of at most 2^18 words, are drawn on the driver.
 2. One pass turns texts into chunks: the documents as numbers of the chunk's own vocabulary, and per bucket of the
    hash space the chunk's distinct (word, context) pairs with training counts.  Per bucket the counts of all chunks are summed.
    A dish with one customer has one table for good, so only pairs met more often are kept as such; each chunk's pairs
    are marked as unseen, single, or the number of such a pair.
 3. A context's restaurant is owned by its word's bucket.  Owners sum customers and tables over all buckets and tell those that
    have repeated pairs.  So a sweep is a pass over the buckets and one over the owners, over repeated pairs alone; seatings
-   are written, not drawn again.  Only the root's totals go through the driver.
+   are written, not drawn again.  Only the root's totals, and those of heavy words, go through the driver.
 4. Per bucket, each chunk's words are answered with counts, root probabilities and restaurants' totals, and its repeated pairs with their
    tables; per chunk, these are put together and summed by document.
 
@@ -37,7 +40,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import groupby
 from operator import itemgetter
 
@@ -49,12 +52,14 @@ from pyspark.sql import functions as F
 
 from gantry.llm.common import discarded, memory_returned, partitions_for, written
 from gantry.llm.payloads import pack, rows_of, unpack
-from gantry.llm.textbytes import U64, lowered_bytes, slices, word_hashes
+from gantry.llm.textbytes import BASE, U64, lowered_bytes, mixed, slices, word_hashes
 
 HELD_OUT = (7, 2)  # held out where crc32(doc_id) mod 7 is 2
 CHUNK_TOKENS = 2_500_000
 BUCKET_TOKENS = 2_000_000
 LEAST_BUCKETS = 64
+HEAVY_TOKENS = 1_000_000
+HEAVY_WORDS = 1 << 18
 SWEEPS = 4
 BURN_IN = 1
 STRENGTH = 1.0
@@ -88,10 +93,84 @@ def buckets_for(training: int) -> int:
     return max(LEAST_BUCKETS, 1 << max(0, training // BUCKET_TOKENS).bit_length())
 
 
-def _training(batches: Batches) -> Batches:
-    for batch in batches:
-        pairs = zip(batch.column("doc_id").to_pylist(), lowered_bytes(batch.column("text")), strict=True)
-        yield pa.RecordBatch.from_pydict({"n": pa.array([sum(len(tokens(t)) for i, t in pairs if not held_out(i))], pa.int64())})
+COUNTED_WORDS = 1_000_000  # of a task, before they are handed on
+
+
+def _counted(parts: int):
+    """Of each part of the hash space the words of training texts, with counts."""
+
+    def out(words: np.ndarray, counts: np.ndarray) -> Batches:
+        of = bucket_of(context_of(words), parts)
+        for part in np.unique(of).tolist():
+            a, b = np.searchsorted(of, [part, part + 1])
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "payload": pa.array([pack(words[a:b], counts[a:b])], pa.binary())})
+
+    def run(batches: Batches) -> Batches:
+        with memory_returned():
+            words, counts = np.empty(0, U64), np.empty(0, np.int64)
+            for batch in batches:
+                for part in slices(batch):
+                    pairs = zip(part.column("doc_id").to_pylist(), lowered_bytes(part.column("text")), strict=True)
+                    new, times = np.unique(np.concatenate([np.empty(0, U64), *(tokens(t) for i, t in pairs if not held_out(i))]), return_counts=True)
+                    words, where = np.unique(np.concatenate((words, new)), return_inverse=True)
+                    counts = np.bincount(where, np.concatenate((counts, times)), len(words)).astype(np.int64)
+                    if len(words) > COUNTED_WORDS:
+                        yield from out(words, counts)
+                        words, counts = words[:0], counts[:0]
+            yield from out(words, counts)
+
+    return run
+
+
+def _frequent(least: int):
+    """Of each part the number of tokens (as word null), and its words with more than ``least``."""
+
+    def run(batches: Batches) -> Batches:
+        with memory_returned():
+            for _, rows in groupby(rows_of(batches, "part", "payload"), itemgetter(0)):
+                words, where, counts = np.empty(0, U64), None, np.empty(0, np.int64)
+                for _, payload in rows:
+                    new, times = unpack(payload)
+                    words, where = np.unique(np.concatenate((words, new)), return_inverse=True)
+                    counts = np.bincount(where, np.concatenate((counts, times)), len(words)).astype(np.int64)
+                many = counts > least
+                yield pa.RecordBatch.from_pydict({
+                    "word": pa.array([None, *words[many].view(np.int64).tolist()], pa.int64()), "n": pa.array([int(counts.sum()), *counts[many].tolist()], pa.int64()),
+                })
+
+    return run
+
+
+@dataclass
+class Heavy:
+    """Words whose customers are dealt to shards, ascending, with their counts and numbers of shards."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    shards: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[int, int]], tokens_each: int) -> Heavy:
+        words = np.array([w for w, _ in rows], np.int64).view(U64)
+        counts = np.array([n for _, n in rows], np.int64)
+        order = np.argsort(words)
+        shards = np.array([1 << int(n // max(1, tokens_each)).bit_length() for n in counts.tolist()], np.int64)
+        return Heavy(words[order], counts[order], shards[order])
+
+    def index(self, words: np.ndarray) -> np.ndarray:
+        """Which of the heavy words each is, -1 for others."""
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        return np.where(self.words[at] == words, at, -1)
+
+    def dishes(self, which: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Names of the shards that customers of these heavy words go to, by their contexts."""
+        shard = mixed(contexts) % self.shards[which].astype(U64)
+        return mixed(self.words[which] + (shard + U64(1)) * U64(BASE))
+
+
+NO_HEAVY = Heavy(np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 # Rows of all steps: ``bucket`` says who gets them, ``kind`` and ``other`` in which order.
@@ -128,7 +207,10 @@ def pairs_of(place: np.ndarray, start: int, lengths: np.ndarray) -> np.ndarray:
     return place.astype(np.int64) << 32 | before
 
 
-def _chunks(buckets: int):
+LOW = 0xFFFFFFFF
+
+
+def _chunks(buckets: int, heavy):
     def chunk(ids: list[int | None], texts: list[np.ndarray], number: int) -> Batches:
         lengths = np.array([len(t) for t in texts], np.int64)
         words, place = np.unique(np.concatenate([*texts, [START]]), return_inverse=True)
@@ -136,20 +218,39 @@ def _chunks(buckets: int):
         pairs, where = np.unique(pairs_of(place, start, lengths), return_inverse=True)
         counts = np.bincount(where, np.repeat(np.array([not held_out(i) for i in ids]), lengths), len(pairs)).astype(np.uint32)
         del where
+        # Shards of heavy words stand among the words; their pairs are the shards'.
+        which = heavy.value.index(words)
+        of_heavy = np.flatnonzero(which[pairs >> 32] >= 0)
+        names = heavy.value.dishes(which[pairs[of_heavy] >> 32], context_of(words)[pairs[of_heavy] & LOW])
+        every = np.union1d(words, names)
+        at = np.searchsorted(every, words)
+        dish = at[pairs >> 32]
+        dish[of_heavy] = np.searchsorted(every, names)
+        whose = np.full(len(every), -1, np.int32)
+        whose[dish[of_heavy]] = which[pairs[of_heavy] >> 32]
         # Frequent words get small numbers, which compress well.
         order = np.argsort(-np.bincount(place, minlength=len(words)), kind="stable")
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        yield _row(-1 - number, DOCUMENTS, number, payload=pack(rank[place], lengths, order.astype(np.uint32), np.array([len(words), start])), ids=ids)
-        del rank, place
-        contexts = context_of(words)
+        shards = np.setdiff1d(np.arange(len(every)), at, assume_unique=True)
+        asked = pack(
+            rank[place], lengths, order.astype(np.uint32), np.array([len(words), start]), shards.astype(np.uint32),
+            np.flatnonzero(which >= 0).astype(np.uint32), dish[of_heavy].astype(np.uint32),
+        )
+        yield _row(-1 - number, DOCUMENTS, number, payload=asked, ids=ids)
+        del rank, place, asked
+        pairs = dish.astype(np.int64) << 32 | at[pairs & LOW]
+        if len(shards):
+            by_dish = np.argsort(pairs, kind="stable")
+            pairs, counts = pairs[by_dish], counts[by_dish]
+        contexts = context_of(every)
         of_word = bucket_of(contexts, buckets)
         of_pair = of_word[pairs >> 32]
         for bucket in np.unique(of_word).tolist():
             a, b = np.searchsorted(of_word, [bucket, bucket + 1])
             c, d = np.searchsorted(of_pair, [bucket, bucket + 1])
             each = np.bincount((pairs[c:d] >> 32) - a, minlength=b - a).astype(np.uint32)
-            yield _row(bucket, BUCKET, number, payload=pack(words[a:b], each, contexts[pairs[c:d] & 0xFFFFFFFF], counts[c:d]))
+            yield _row(bucket, BUCKET, number, payload=pack(every[a:b], each, contexts[pairs[c:d] & LOW], counts[c:d], whose[a:b]))
 
     def run(batches: Batches) -> Batches:
         with memory_returned():
@@ -172,7 +273,13 @@ def _chunks(buckets: int):
 UNSEEN, SINGLE, REPEATED = range(3)
 
 
-def _summed(buckets: int):
+def _shares(whose: np.ndarray, customers: np.ndarray) -> list[int]:
+    """Heavy words and their shards' customers at the root, one after the other."""
+    here = np.flatnonzero(whose >= 0)
+    return np.stack((whose[here], customers[here]), 1).reshape(-1).astype(np.int64).tolist()
+
+
+def _summed(buckets: int, heavy):
     """Of each bucket: all words asked for, with counts and single pairs; repeated pairs; each chunk's marks; and, for their owners, customers and dishes by context."""
 
     def run(bucket: int, rows: Iterator[tuple]) -> Batches:
@@ -181,15 +288,16 @@ def _summed(buckets: int):
                 yield _row(other, kind, other, payload=payload, ids=ids)
             return
         held = [(other, unpack(payload)) for _, other, payload, *_ in rows]
-        words = np.unique(np.concatenate([own for _, (own, *_) in held]))
+        words, first = np.unique(np.concatenate([own for _, (own, *_) in held]), return_index=True)
+        whose = np.concatenate([of for *_, (*_, of) in held])[first].astype(np.int64)
         if len(words) >> 63 - CONTEXT_BITS:
             raise ValueError("a bucket has too many words")
         places = [np.searchsorted(words, own) for _, (own, *_) in held]
-        keys = np.concatenate([np.repeat(at, each) << CONTEXT_BITS | ctx.astype(np.int64) for at, (_, (_, each, ctx, _)) in zip(places, held, strict=True)])
-        ends = np.cumsum([len(ctx) for _, (_, _, ctx, _) in held]).tolist()
+        keys = np.concatenate([np.repeat(at, each) << CONTEXT_BITS | ctx.astype(np.int64) for at, (_, (_, each, ctx, *_)) in zip(places, held, strict=True)])
+        ends = np.cumsum([len(ctx) for _, (_, _, ctx, *_) in held]).tolist()
         pairs, where = np.unique(keys, return_inverse=True)
         del keys
-        total = np.bincount(where, np.concatenate([count for _, (*_, count) in held]), len(pairs)).astype(np.int64)
+        total = np.bincount(where, np.concatenate([count for _, (*_, count, _) in held]), len(pairs)).astype(np.int64)
         chunks = [other for other, _ in held]
         del held
         mark = np.minimum(total, 2).astype(np.uint8)
@@ -201,15 +309,18 @@ def _summed(buckets: int):
             marks.append(pack(np.diff(at, prepend=0).astype(np.uint32), mark[own], np.diff(repeated, prepend=0).astype(np.int32)))
         del where
         word, context = pairs >> CONTEXT_BITS, (pairs & (1 << CONTEXT_BITS) - 1).astype(U64)
-        counts = np.bincount(word, total, len(words)).astype(np.int64)
+        counts = np.where(whose < 0, np.bincount(word, total, len(words)), 0).astype(np.int64)
+        which = heavy.value.index(words)
+        counts[which >= 0] = heavy.value.counts[which[which >= 0]]
         single, repeated = mark == SINGLE, mark == REPEATED
         singles = np.bincount(word[single], minlength=len(words))
         sums = [total.sum(), len(pairs[total > 0]), (counts > 0).sum(), single.sum(), (total == 2).sum(), (counts == 1).sum(), (counts == 2).sum()]
         here, at = np.unique(context[repeated], return_inverse=True)  # contexts of repeated pairs
-        kept = pack(word[repeated].astype(np.uint32), at.astype(np.uint32), total[repeated].astype(np.uint32), here, singles.astype(np.uint32))
+        kept = pack(word[repeated].astype(np.uint32), at.astype(np.uint32), total[repeated].astype(np.uint32), here, singles.astype(np.uint32), whose.astype(np.int32))
+        at_root = singles + np.bincount(word[repeated], minlength=len(words))
         yield _row(
-            bucket, BUCKET, 0, payload=pack(words, counts.astype(np.uint32), singles.astype(np.uint32)), pairs=kept,
-            chunks=chunks, marks=marks, sums=[int(x) for x in sums],
+            bucket, BUCKET, 0, payload=pack(words, counts, singles.astype(np.uint32)), pairs=kept,
+            ids=_shares(whose, at_root), chunks=chunks, marks=marks, sums=[int(x) for x in sums],
         )
         seen = total > 0
         every, at = np.unique(context[seen], return_inverse=True)
@@ -256,7 +367,7 @@ def _extras(step: int):
 
 @dataclass
 class Settings:
-    """``customers`` and ``tables`` are the root's, after each sweep."""
+    """``customers`` and ``tables`` are the root's, after each sweep, those of heavy words apart too."""
 
     training: int
     types: int
@@ -264,6 +375,18 @@ class Settings:
     root_discount: float
     customers: list[int]
     tables: list[int]
+    heavy: Heavy = field(default_factory=lambda: NO_HEAVY)
+    heavy_customers: list[np.ndarray] = field(default_factory=list)
+    heavy_tables: list[np.ndarray] = field(default_factory=list)
+
+    def reseat_heavy(self, customers: np.ndarray, step: int) -> None:
+        """After sweep ``step`` (0 before all) the heavy words have so many customers at the root; draws their tables there."""
+        tables = np.minimum(customers, 1)
+        if step:
+            others = self.tables[step - 1] - self.heavy_tables[step - 1]
+            tables = reseated(customers, np.full(len(customers), self.base()), others, ROOT_STRENGTH, self.root_discount, np.random.default_rng((1 << 40, step)))
+        self.heavy_customers.append(customers)
+        self.heavy_tables.append(tables)
 
     def base(self) -> float:
         return 1.0 / (self.types + 1)
@@ -317,7 +440,7 @@ class Seating:
     """The repeated pairs of a bucket's words and its words at the root, with their tables."""
 
     def __init__(self, payload: bytes) -> None:
-        self.word, self.at, self.customers, self.contexts, self.singles = (x.astype(np.int64) if x.dtype != U64 else x for x in unpack(payload))
+        self.word, self.at, self.customers, self.contexts, self.singles, self.whose = (x.astype(np.int64) if x.dtype != U64 else x for x in unpack(payload))
         self.tables = np.ones(len(self.word), np.int64)
         self.root_tables = np.minimum(self.root_customers(), 1)
 
@@ -326,13 +449,18 @@ class Seating:
 
     def sweep(self, settings: Settings, all_tables: np.ndarray, step: int, rng: np.random.Generator) -> None:
         """Every dish taken out and seated again; ``all_tables`` of the restaurants ``contexts``, after sweep ``step``."""
-        out = self.tables
-        left = self.root_customers()[self.word] - out
-        p = settings.root(left, np.minimum(self.root_tables[self.word], left), step, out)
+        out, shard = self.tables, self.whose >= 0
+        customers, root_tables = self.root_customers(), self.root_tables.copy()
+        if shard.any():
+            customers[shard] = settings.heavy_customers[step][self.whose[shard]]
+            root_tables[shard] = settings.heavy_tables[step][self.whose[shard]]
+        left = customers[self.word] - out
+        p = settings.root(left, np.minimum(root_tables[self.word], left), step, out)
         self.tables = reseated(self.customers, p, all_tables[self.at] - out, STRENGTH, settings.discount, rng)
         others = settings.tables[step] - self.root_tables
         customers = self.root_customers()
         self.root_tables = reseated(customers, np.full(len(customers), settings.base()), others, ROOT_STRENGTH, settings.root_discount, rng)
+        self.root_tables[shard] = 0  # these are the heavy word's
 
     def extras(self) -> np.ndarray:
         return np.bincount(self.at, self.tables - 1, len(self.contexts)).astype(np.int64)
@@ -357,7 +485,8 @@ def _swept(settings, step: int, buckets: int):
         dishes, more = (known, 0) if dishes is None else (dishes, known)
         seating.sweep(settings.value, dishes + more, step - 1, np.random.default_rng((bucket, step)))
         sums = [int(seating.root_customers().sum()), int(seating.root_tables.sum())]
-        yield _row(bucket, SEATED, step, payload=pack(seating.tables.astype(np.uint32), seating.root_tables.astype(np.uint32), dishes.astype(np.uint32)), sums=sums)
+        shares = _shares(seating.whose, seating.root_customers())
+        yield _row(bucket, SEATED, step, payload=pack(seating.tables.astype(np.uint32), seating.root_tables.astype(np.uint32), dishes.astype(np.uint32)), ids=shares, sums=sums)
         yield from _to_owners(PARTIAL, bucket, buckets, seating.contexts, seating.extras().astype(np.uint32))
 
     return _grouped(run)
@@ -382,12 +511,17 @@ def _answered(settings):
             if kind == BUCKET:
                 words, counts, _ = unpack(payload)
                 seating, chunks, marks = Seating(pairs), own_chunks, own_marks
+                which = s.heavy.index(words)
             elif kind == OWNED:
                 owned = unpack(payload)
             elif kind == SEATED and other > BURN_IN:
                 seating.tables, root_tables, _ = (x.astype(np.int64) for x in unpack(payload))
                 tables.append(seating.tables.astype(np.uint32))
-                roots.append(s.root(seating.root_customers(), root_tables, other).astype(np.float32))
+                at_root = seating.root_customers()
+                if (which >= 0).any():
+                    at_root[which >= 0] = s.heavy_customers[other][which[which >= 0]]
+                    root_tables[which >= 0] = s.heavy_tables[other][which[which >= 0]]
+                roots.append(s.root(at_root, root_tables, other).astype(np.float32))
             elif kind == EXTRA and other > BURN_IN:
                 at, more = unpack(payload)
                 totals.append((other, np.searchsorted(owned[0], at), more))
@@ -433,12 +567,18 @@ def _scored(settings):
     def run(number: int, rows: Iterator[tuple]) -> Batches:
         s: Settings = settings.value
         _, _, payload, _, ids, *_ = next(rows)
-        ranks, lengths, order, (_, start) = unpack(payload)
+        ranks, lengths, order, (n_words, start), shards, heavy, dishes = unpack(payload)
         columns = [np.concatenate(x) for x in zip(*(unpack(p) for _, _, p, *_ in rows), strict=True)]
         place = order[ranks].astype(np.int64)
-        pairs, each = np.unique(pairs_of(place, int(start), lengths), return_inverse=True)  # in the order in which the pairs were asked
-        logs = np.log10(probabilities(s, pairs >> 32, pairs & 0xFFFFFFFF, columns))
-        starts, counts = np.cumsum(lengths) - lengths, columns[0]
+        pairs, each = np.unique(pairs_of(place, int(start), lengths), return_inverse=True)
+        at = np.delete(np.arange(n_words + len(shards)), shards)  # places of the words among words and shards
+        word, context = at[pairs >> 32], at[pairs & LOW]
+        dish = word.copy()
+        dish[np.isin(pairs >> 32, heavy)] = dishes
+        asked = np.argsort(dish << 32 | context, kind="stable") if len(shards) else slice(None)  # the order in which the pairs were asked
+        logs = np.empty(len(pairs))
+        logs[asked] = np.log10(probabilities(s, word[asked], context[asked], columns))
+        starts, counts = np.cumsum(lengths) - lengths, columns[0][at]
         base = np.log10((counts.astype(np.int64) + 1) / (s.training + s.types + 1))
         yield pa.RecordBatch.from_pydict({
             "doc_id": pa.array(ids, pa.int64()), "held_out": pa.array([held_out(i) for i in ids]), "n_tokens": pa.array(lengths),
@@ -450,19 +590,36 @@ def _scored(settings):
     return _grouped(run)
 
 
+def _heavy_customers(rows: DataFrame, n: int) -> np.ndarray:
+    """Customers of the heavy words at the root, added up over their shards."""
+    out = np.zeros(n, np.int64)
+    if n:
+        each = F.explode(F.expr("transform(sequence(0, size(ids) div 2 - 1), k -> struct(ids[2 * k] AS word, ids[2 * k + 1] AS n))")).alias("share")
+        for word, customers in rows.filter("size(ids) > 0").select(each).groupBy("share.word").agg(F.sum("share.n")).collect():
+            out[word] = customers
+    return out
+
+
 def lm_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row of ``docs``."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    training = docs.mapInArrow(_training, "n long").agg(F.sum("n")).first()[0] or 0
+    n = partitions_for(docs)
+    counted = docs.mapInArrow(_counted(n), "part long, payload binary").repartition(n, "part").sortWithinPartitions("part").mapInArrow(_frequent(HEAVY_TOKENS), "word long, n long")
+    counted = written(counted, "frequent")
+    training = counted.filter("word IS NULL").agg(F.sum("n")).first()[0] or 0
     buckets = buckets_for(training)
+    # At most HEAVY_WORDS words can have more than that share of all tokens.
+    heavy = Heavy.of([tuple(r) for r in counted.filter((F.col("word").isNotNull()) & (F.col("n") > training // HEAVY_WORDS)).collect()], HEAVY_TOKENS)
+    sharded = spark.sparkContext.broadcast(heavy)
     parts = max(partitions_for(docs), training // BUCKET_TOKENS + 1)
     dealt = lambda rows: rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind", "other")
     only = lambda rows, *kinds: rows.filter(F.col("kind").isin(*kinds))
-    table = written(dealt(docs.mapInArrow(_chunks(buckets), ROW)).mapInArrow(_summed(buckets), ROW), "buckets")
+    table = written(dealt(docs.mapInArrow(_chunks(buckets, sharded), ROW)).mapInArrow(_summed(buckets, sharded), ROW), "buckets")
     names = ["training", "dishes", "types", "once", "twice", "word_once", "word_twice"]
     sums = only(table, BUCKET).agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)).alias(n) for k, n in enumerate(names))).first()
-    settings = Settings(training, sums.types, _discount(sums.once, sums.twice), _discount(sums.word_once, sums.word_twice), [sums.dishes], [sums.types])
+    settings = Settings(training, sums.types, _discount(sums.once, sums.twice), _discount(sums.word_once, sums.word_twice), [sums.dishes], [sums.types], heavy)
+    settings.reseat_heavy(_heavy_customers(only(table, BUCKET), len(heavy.words)), 0)
     owned = written(dealt(only(table, PARTIAL)).mapInArrow(_grouped(_owners), ROW), "owned")
     empty = F.lit(None)
     pairs = only(table, BUCKET).select("bucket", "kind", "other", empty.cast("binary").alias("payload"), "pairs", *(empty.cast(t).alias(c) for c, t in (("ids", "array<long>"), ("chunks", "array<long>"), ("marks", "array<binary>"), ("sums", "array<long>"))))
@@ -473,8 +630,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
             now = now.unionByName(only(seatings[-1], SEATED))
         swept = written(dealt(now).mapInArrow(_swept(spark.sparkContext.broadcast(settings), step, buckets), ROW), "seated")
         root = only(swept, SEATED).agg(*(F.coalesce(F.sum(F.col("sums")[k]), F.lit(0)) for k in range(2))).first()
+        settings.reseat_heavy(_heavy_customers(only(swept, SEATED), len(heavy.words)), step)
         settings.customers.append(root[0])
-        settings.tables.append(root[1])
+        settings.tables.append(root[1] + int(settings.heavy_tables[step].sum()))
         told_by = written(dealt(only(swept, PARTIAL)).mapInArrow(_extras(step), ROW), "extras")
         if step <= BURN_IN + 1 and seatings:  # not among the samples, and no sweep needs it any more
             discarded(seatings.pop(), extras.pop())

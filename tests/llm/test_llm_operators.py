@@ -369,6 +369,123 @@ def test_lm_scores_follow_from_the_corpus_alone(spark):
     assert {(r["doc_id"], r["n_tokens"]): r["score"] for r in again} == pytest.approx(first, abs=1e-9)
 
 
+def frequent_corpus(n=120, seed=9):
+    """A few words make up most of the tokens, as in any language; some texts are repeated."""
+    r = random.Random(seed)
+    rows = [(k, " ".join(r.choices(WORDS, weights=[1000 / (j + 1) for j in range(40)], k=r.choice((5, 30, 80))))) for k in range(n)]
+    return rows + [(500 + k, rows[k][1]) for k in range(0, n, 6)] + [(900, None), (901, "")]
+
+
+def test_lm_heavy_words_are_split(spark, monkeypatch):
+    """With words of more than 40 tokens dealt to shards: the same counts, nearly the same scores, whatever the layout; no bucket has all pairs of a word."""
+    docs = table(spark, frequent_corpus())
+    key = lambda r: (r["doc_id"], r["n_tokens"])
+    exact = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+    whole = {key(r): r for r in lm_scoring.lm_scores(docs).collect()}
+    monkeypatch.setattr(lm_scoring, "HEAVY_TOKENS", 40)
+    split = {key(r): r for r in lm_scoring.lm_scores(docs).collect()}
+    again = {key(r): r for r in lm_scoring.lm_scores(docs.repartition(7)).collect()}
+    assert split.keys() == whole.keys()
+    for k, r in split.items():
+        assert [r[c] for c in exact[:-1]] == [whole[k][c] for c in exact[:-1]] and r["base_score"] == pytest.approx(whole[k]["base_score"])
+        assert r["score"] == pytest.approx(again[k]["score"], abs=1e-9)
+        assert r["score"] == pytest.approx(whole[k]["score"], rel=0.03, abs=0.05)
+    total = [sum(r["score"] for r in x.values()) for x in (whole, split)]
+    assert total[1] == pytest.approx(total[0], rel=0.003)
+
+
+def test_lm_shards():
+    heavy = lm_scoring.Heavy.of([(-5, 100), (7, 1000), (9, 10)], 10)
+    assert heavy.words.tolist() == [7, 9, 2**64 - 5] and heavy.shards.tolist() == [128, 2, 16]
+    assert heavy.index(np.array([9, 8, 2**64 - 5], np.uint64)).tolist() == [1, -1, 2]
+    names = heavy.dishes(np.zeros(5000, np.int64), np.arange(5000, dtype=np.uint64))
+    assert len(np.unique(names)) == 128 and np.bincount(np.unique(names, return_inverse=True)[1]).max() < 80
+    assert lm_scoring.NO_HEAVY.index(np.array([1], np.uint64)).tolist() == [-1]
+
+
+class PlainGibbs:
+    """One customer after the other, with the sizes of all tables; the model of ``lm_scoring`` written down anew."""
+
+    def __init__(self, texts, d, root_d, seed):
+        self.r, self.d, self.root_d = random.Random(seed), d, root_d
+        self.pairs = [(u, w) for t in texts for u, w in zip(["<s>", *t[:-1]], t, strict=True)]
+        self.types = len({w for _, w in self.pairs})
+        self.rooms, self.root = {}, {}
+        self.root_tables = self.root_customers = 0
+        for u, w in self.pairs:
+            self.sit(u, w)
+
+    def at_root(self, w):
+        tables = self.root.get(w, [])
+        pull = lm_scoring.ROOT_STRENGTH + self.root_d * self.root_tables
+        return (sum(tables) - self.root_d * len(tables) + pull / (self.types + 1)) / (lm_scoring.ROOT_STRENGTH + self.root_customers)
+
+    def probability(self, u, w):
+        room = self.rooms.get(u, {})
+        customers, tables = sum(sum(t) for t in room.values()), sum(len(t) for t in room.values())
+        own = room.get(w, [])
+        return (sum(own) - self.d * len(own) + (lm_scoring.STRENGTH + self.d * tables) * self.at_root(w)) / (lm_scoring.STRENGTH + customers)
+
+    def seat(self, tables, d, new):
+        at = self.r.random() * (sum(tables) - d * len(tables) + new)
+        for k, n in enumerate(tables):
+            at -= n - d
+            if at < 0:
+                tables[k] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def leave(self, tables):
+        at = self.r.randrange(sum(tables))
+        for k, n in enumerate(tables):
+            at -= n
+            if at < 0:
+                tables[k] -= 1
+                if not tables[k]:
+                    del tables[k]
+                    return True
+                return False
+
+    def sit(self, u, w):
+        room = self.rooms.setdefault(u, {})
+        new = (lm_scoring.STRENGTH + self.d * sum(len(t) for t in room.values())) * self.at_root(w)
+        if self.seat(room.setdefault(w, []), self.d, new):
+            pull = (lm_scoring.ROOT_STRENGTH + self.root_d * self.root_tables) / (self.types + 1)
+            self.root_customers += 1
+            self.root_tables += self.seat(self.root.setdefault(w, []), self.root_d, pull)
+
+    def sweep(self):
+        for u, w in self.pairs:
+            if self.leave(self.rooms[u][w]):
+                self.root_customers -= 1
+                self.root_tables -= self.leave(self.root[w])
+            self.sit(u, w)
+
+
+def test_lm_against_a_plain_gibbs_sampler(spark):
+    """On a toy corpus the scores are those of a sampler that moves one customer at a time, averaged over many sweeps."""
+    rows = frequent_corpus(60)
+    texts = {i: [*words(t), None] for i, t in rows}
+    training = [t for i, t in texts.items() if not lm_scoring.held_out(i)]
+    pairs = Counter(p for t in training for p in zip(["<s>", *t[:-1]], t, strict=True))
+    singles = Counter(w for t in training for w in t)
+    of = lambda c: lm_scoring._discount(sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values()))
+    sampler = PlainGibbs(training, of(pairs), of(singles), 3)
+    asked = {p for t in texts.values() for p in zip(["<s>", *t[:-1]], t, strict=True)}
+    total, sweeps = dict.fromkeys(asked, 0.0), 30
+    for k in range(10 + sweeps):
+        sampler.sweep()
+        if k >= 10:
+            for p in asked:
+                total[p] += sampler.probability(*p)
+    want = {i: sum(math.log10(total[p] / sweeps) for p in zip(["<s>", *t[:-1]], t, strict=True)) for i, t in texts.items()}
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.lm_scores(table(spark, rows)).collect()}
+    assert found.keys() == want.keys()
+    assert sum(found.values()) == pytest.approx(sum(want.values()), rel=0.005)
+    assert all(found[i] == pytest.approx(want[i], rel=0.04, abs=0.1) for i in want)
+
+
 def dealt(batches):
     """Rows as a shuffle would bring them, one batch each."""
     return iter(sorted(batches, key=lambda b: tuple(b.column(c)[0].as_py() for c in ("bucket", "kind", "other"))))
@@ -386,7 +503,8 @@ def test_lm_probabilities_sum_to_one(monkeypatch):
     texts = [" ".join(r.choices(WORDS, weights=range(1, 41), k=r.randrange(1, 60))) for _ in range(60)]
     docs = pa.RecordBatch.from_pydict({"doc_id": pa.array([k for k in range(400) if not lm_scoring.held_out(k)][:60], pa.int64()), "text": texts})
     kinds = lambda rows, *which: [b for b in rows if b.column("kind")[0].as_py() in which]
-    rows = list(lm_scoring._summed(buckets)(dealt(lm_scoring._chunks(buckets)(iter([docs])))))
+    none = Held(lm_scoring.NO_HEAVY)
+    rows = list(lm_scoring._summed(buckets, none)(dealt(lm_scoring._chunks(buckets, none)(iter([docs])))))
     added = lambda rows, n: [sum(x) for x in zip(*(b.column("sums")[0].as_py()[:n] for b in rows), strict=True)]
     sums = added(kinds(rows, lm_scoring.BUCKET), 7)
     s = lm_scoring.Settings(sums[0], sums[2], 0.6, 0.4, [sums[1]], [sums[2]])
@@ -403,7 +521,7 @@ def test_lm_probabilities_sum_to_one(monkeypatch):
         all_rows += seated + kinds(extras, lm_scoring.EXTRA)
     answers = sorted(lm_scoring._answered(Held(s))(dealt(all_rows)), key=lambda b: b.column("other")[0].as_py())
     columns = [np.concatenate(x) for x in zip(*(payloads.unpack(b.column("payload")[0].as_py()) for b in answers), strict=True)]
-    _, lengths, order, (n_words, start) = payloads.unpack(kinds(rows, lm_scoring.DOCUMENTS)[0].column("payload")[0].as_py())
+    _, lengths, order, (n_words, start), *_ = payloads.unpack(kinds(rows, lm_scoring.DOCUMENTS)[0].column("payload")[0].as_py())
     ranks = payloads.unpack(kinds(rows, lm_scoring.DOCUMENTS)[0].column("payload")[0].as_py())[0]
     place = order[ranks].astype(np.int64)
     pairs, counts = np.unique(lm_scoring.pairs_of(place, int(start), lengths), return_counts=True)
