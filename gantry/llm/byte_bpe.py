@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gantry.llm.common import memory_returned
+from gantry.llm.payloads import spread
 from gantry.llm.textbytes import slices
 
 MAX_STATES = 20_000
@@ -63,12 +64,6 @@ def compile_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(spelled)
 
 
-def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places starts[0], starts[0] + 1, ... of each run in turn."""
-    before = np.cumsum(lengths) - lengths
-    return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
-
-
 class Transducer:
     """Bytes in, token ids out; deterministic states are built when first needed."""
 

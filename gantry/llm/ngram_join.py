@@ -8,7 +8,7 @@ subsets against list entries and the candidates they make, from the sets' actual
 
 The common order is by document frequency, counted over all documents: tasks gather their documents in chunks, send
 the distinct shingles of each chunk to the task that counts that part of the hash space, and get back those that
-other sets have too.  Shingles of one set alone come first in the order and lie in no list but their own, so
+other sets have too (beyond ``RELAY_PARTS`` parts through relays, so that rows don't dwindle).  Shingles of one set alone come first in the order and lie in no list but their own, so
 they are never listed: a set with more than n/5 of them links with nothing and is done with.
 
 Lists hold, per chunk and run of compatible sizes, one entry; entries of a list whose sizes are compatible are
@@ -33,8 +33,9 @@ Nearly all jobs run while the query is built.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import combinations, groupby
-from math import ceil, comb
+from math import ceil, comb, isqrt
 from operator import itemgetter
 
 import numpy as np
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 
 from gantry.llm.common import memory_returned, partitions_for, written
 from gantry.llm.components import Forest, components
-from gantry.llm.payloads import pack, rows_of, unpack
+from gantry.llm.payloads import Block, pack, relayed, rows_of, unpack
 from gantry.llm.textbytes import MIX, U64, lowered_bytes, mixed, slices, word_hashes
 
 WORDS = 5
@@ -53,6 +54,7 @@ MAX_LIGHT = 16
 VERIFY = 12  # what a candidate costs, in list entries, as its whole text is sent and read
 CHUNK_SHINGLES = 1_000_000
 PART_BYTES = 8 << 20  # of text per part of the hash space
+RELAY_PARTS = 1024
 BLOCK_SHINGLES = 2_000_000
 LEAST_BLOCK = 20_000
 HUBS = 8
@@ -79,15 +81,14 @@ def links(o: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
 
 # Steps 1 to 3: document frequencies.  Rows of chunks go to parts of the hash space and back.
 
-ROW = "chunk long, part int, payload binary"
+ROW = "unit long, other long, payload binary"  # documents have other -1
 
 
 def _batched(rows: Iterator[tuple[int, int, bytes]], limit: int = 2 << 20) -> Batches:
     held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        chunk, part, payload = zip(*held, strict=True)
-        return pa.RecordBatch.from_pydict({"chunk": pa.array(chunk, pa.int64()), "part": pa.array(part, pa.int32()), "payload": pa.array(payload, pa.binary())})
+        return pa.RecordBatch.from_pydict({name: pa.array(x, kind) for name, x, kind in zip(("unit", "other", "payload"), zip(*held, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)})
 
     for row in rows:
         held.append(row)
@@ -99,8 +100,41 @@ def _batched(rows: Iterator[tuple[int, int, bytes]], limit: int = 2 << 20) -> Ba
         yield out()
 
 
-def _chunks(parts: int):
-    """Per chunk its documents (in a part below 0), and per part the distinct shingles with the sets that have them.
+@dataclass(frozen=True)
+class Routes:
+    """Parts of the hash space, and how rows get to them and back: straight, or beyond ``RELAY_PARTS`` through relays.
+
+    A relay serves a group of receivers and a band of senders, so that it holds about as much as a chunk.
+    """
+
+    parts: int
+    part_groups: int
+    chunk_bands: int
+    chunk_groups: int
+    part_bands: int
+    relays: bool
+
+    @staticmethod
+    def of(parts: int, chunks: int, straight: int) -> Routes:
+        """``straight``: up to so many parts without relays."""
+        groups, back = isqrt(parts), max(1, isqrt(chunks))
+        return Routes(parts, groups, max(1, chunks // groups), back, max(1, parts // back), parts > straight)
+
+    def to_parts(self, parts: np.ndarray, chunk: int) -> np.ndarray:
+        if not self.relays:
+            return parts
+        return parts * self.part_groups // self.parts * self.chunk_bands + _banded(np.array([chunk]), self.chunk_bands)
+
+    def to_chunks(self, chunks: np.ndarray, part: int) -> np.ndarray:
+        return _banded(chunks, self.chunk_groups) * self.part_bands + part % self.part_bands if self.relays else chunks
+
+
+def _banded(numbers: np.ndarray, bands: int) -> np.ndarray:
+    return (mixed(numbers.astype(U64)) % U64(bands)).astype(np.int64)
+
+
+def _chunks(routes: Routes):
+    """Per chunk its documents, and per part the shingles with the sets that have them.
 
     Equal sets of a chunk enter once.  Within a part shingles are known by 32 of their bits; sets that
     meet by chance in those become candidates and no more.
@@ -108,7 +142,7 @@ def _chunks(parts: int):
 
     def chunk(number: int, ids: list, sizes: list[int], keys: list, same: list[int], sets: list[np.ndarray]) -> Iterator[tuple]:
         known = [i is not None for i in ids]
-        yield number, -1 - (number >> 32), pack(
+        yield number, -1, pack(
             np.array([i or 0 for i in ids], np.int64), np.array(known, np.uint8), np.array(sizes, np.int32),
             np.array(same, np.int32), np.array(keys, U64).reshape(-1, 2).T.copy().reshape(-1),
         )
@@ -116,17 +150,17 @@ def _chunks(parts: int):
             return
         flat = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-        part_of = ((flat >> U64(32)) * U64(parts) >> U64(32)).astype(np.int32)
+        part_of = ((flat >> U64(32)) * U64(routes.parts) >> U64(32)).astype(np.int32)
         # By part, then by the other 32 bits, then by set: the stable sort keeps sets in order.
         order = np.argsort(part_of.astype(np.int64) << 32 | (flat & U64(0xFFFFFFFF)).astype(np.int64), kind="stable")
         part_of, low, owner = part_of[order], flat[order].astype(np.uint32), owner[order]
-        cuts = np.searchsorted(part_of, np.arange(parts + 1))
-        for part in np.flatnonzero(np.diff(cuts)).tolist():
-            a, b = cuts[part], cuts[part + 1]
-            starts = np.flatnonzero(np.concatenate(([True], low[a + 1 : b] != low[a : b - 1])))
-            yield number, part, pack(low[a:b][starts], np.diff(starts, append=b - a).astype(np.uint32), owner[a:b], np.array([len(sets)]))
+        del flat, order
+        parts, first = np.unique(part_of, return_index=True)
+        block = Block(parts.astype(np.int64), np.full(len(parts), number), np.diff(first, append=len(part_of)), [low, owner])
+        for unit, own in block.dealt(routes.to_parts(block.targets, number)):
+            yield unit, number, own.pack()
 
-    def rows(batches: Batches) -> Iterator[tuple]:
+    def rows(batches: Batches) -> Iterator[tuple[int, int, bytes]]:
         number, total = TaskContext.get().partitionId() << 32, 0
         ids, sizes, keys, same, sets, seen = [], [], [], [], [], {}
         for batch in (part for whole in batches for part in slices(whole)):
@@ -158,31 +192,52 @@ def _chunks(parts: int):
     return run
 
 
-def _frequencies(batches: Batches) -> Batches:
+def _relayed(batches: Batches) -> Batches:
     with memory_returned():
-        yield from _batched(_counted(batches))
+        yield from _batched(relayed(rows_of(batches, "unit", "other", "payload")))
 
 
-def _counted(batches: Batches) -> Iterator[tuple]:
-    """Of each chunk's shingles of a part: those of other sets too, with the level of their frequency; and how many are not."""
-    for part, rows in groupby(rows_of(batches, "part", "chunk", "payload"), itemgetter(0)):
-        if part < 0:
-            for _, chunk, payload in rows:
-                yield chunk, part, payload
+def _frequencies(routes: Routes):
+    def run(batches: Batches) -> Batches:
+        with memory_returned():
+            yield from _batched(_counted(batches, routes))
+
+    return run
+
+
+ALONE = 0
+
+
+def _counted(batches: Batches, routes: Routes) -> Iterator[tuple[int, int, bytes]]:
+    """To each chunk its shingles of a part that other sets have too, with the level of their frequency; and by set how many are not, with the level ``ALONE``."""
+    for part, rows in groupby(rows_of(batches, "unit", "other", "payload"), itemgetter(0)):
+        held = []
+        for unit, other, payload in rows:
+            if other < 0:
+                yield unit, other, payload
+            else:
+                held.append(payload)
+        if not held:
             continue
-        held = [(chunk, payload) for _, chunk, payload in rows]
-        first = [unpack(payload)[:2] for _, payload in held]
-        values, place = np.unique(np.concatenate([low for low, _ in first]), return_inverse=True)
-        frequency = np.bincount(place, np.concatenate([counts for _, counts in first]), len(values))
-        at = 0
-        for chunk, payload in held:
-            low, counts, owner, n_sets = unpack(payload)
-            df = frequency[place[at : at + len(low)]]
-            at += len(low)
-            common = df > 1
-            alone = np.bincount(owner[np.repeat(~common, counts)], minlength=int(n_sets[0])).astype(np.uint32)
-            levels = np.minimum(np.ceil(np.log2(df[common])), 255).astype(np.uint8)
-            yield chunk, part, pack(low[common], levels, counts[common], owner[np.repeat(common, counts)], alone)
+        block = Block.joined(held)
+        del held
+        (low, owner), entry = block.values, block.entries()
+        _, place, frequency = np.unique(low, return_inverse=True, return_counts=True)
+        df = frequency[place]
+        del place, frequency
+        common = df > 1
+        levels = np.minimum(np.ceil(np.log2(df[common])), 255).astype(np.uint8)
+        sets, alone = np.unique(entry[~common] << 32 | owner[~common].astype(np.int64), return_counts=True)
+        entry = np.concatenate((entry[common], sets >> 32))
+        order = np.argsort(entry, kind="stable")
+        values = [
+            np.concatenate((low[common], alone.astype(np.uint32)))[order],
+            np.concatenate((levels, np.full(len(sets), ALONE, np.uint8)))[order],
+            np.concatenate((owner[common], sets.astype(np.uint32)))[order],
+        ]
+        back = Block(block.sources, np.full(len(block.sources), part), np.bincount(entry, minlength=len(block.sources)), values)
+        for unit, own in back.dealt(routes.to_chunks(back.targets, part)):
+            yield unit, part, own.pack()
 
 
 def _runs(key: np.ndarray, n: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -211,7 +266,7 @@ def _together(batches: Batches) -> Batches:
     """Of each chunk: documents (id, n, the set's key in two parts, smallest document of the chunk with this set), list
     entries (key, least and largest n, document), tied documents, and small sets by shingle (id, n, key, place in the order)."""
     with memory_returned():
-        for _, rows in groupby(rows_of(batches, "chunk", "part", "payload"), itemgetter(0)):
+        for _, rows in groupby(rows_of(batches, "unit", "other", "payload"), itemgetter(0)):
             yield from _of_chunk(rows)
 
 
@@ -229,14 +284,12 @@ def _of_chunk(rows: Iterator[tuple]) -> Batches:
     )
     if not len(first):
         return
-    alone, low, level, owner = np.zeros(len(first), np.int64), [], [], []
-    for _, part, payload in rows:
-        own_low, own_level, counts, own, own_alone = unpack(payload)
-        alone += own_alone
-        low.append(np.repeat(own_low.astype(np.int64) | part << 32, counts))
-        level.append(np.repeat(own_level, counts))
-        owner.append(own.astype(np.int64))
-    low, level, owner = (np.concatenate(x) for x in (low, level, owner))
+    block = Block.joined([payload for _, _, payload in rows])
+    (low, level, owner), part = block.values, np.repeat(block.sources, block.sizes)
+    counted = level == ALONE
+    alone = np.bincount(owner[counted], low[counted], minlength=len(first)).astype(np.int64)
+    low, level, owner = low[~counted].astype(np.int64) | part[~counted] << 32, level[~counted], owner[~counted].astype(np.int64)
+    del block, part, counted
     n = sizes[first].astype(np.int64)
     # Places in the order: those of one set alone come first.
     order = np.lexsort((low, level, owner))
@@ -486,8 +539,11 @@ def gathered(docs: DataFrame) -> DataFrame:
     """Documents, list entries and ties of all chunks, once written."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = partitions_for(docs, size // PART_BYTES + 1)
-    counted = docs.mapInArrow(_chunks(n), ROW).repartition(n, "part").sortWithinPartitions("part", "chunk").mapInArrow(_frequencies, ROW)
-    return written(counted.repartition(n, "chunk").sortWithinPartitions("chunk", "part").mapInArrow(_together, GATHERED), "sets")
+    routes = Routes.of(n, size // (6 * CHUNK_SHINGLES) + 1, RELAY_PARTS)  # a word and the blank after it are some six bytes
+    dealt = lambda rows: rows.repartition(n, "unit").sortWithinPartitions("unit", "other")
+    through = lambda rows: dealt(rows).mapInArrow(_relayed, ROW) if routes.relays else rows
+    counted = dealt(through(docs.mapInArrow(_chunks(routes), ROW))).mapInArrow(_frequencies(routes), ROW)
+    return written(dealt(through(counted)).mapInArrow(_together, GATHERED), "sets")
 
 
 def _hash_of(ids: str, parts: Column | int) -> Column:

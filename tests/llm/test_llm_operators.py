@@ -281,9 +281,11 @@ def test_ngram_join_light_sets(spark):
     assert keys.num_rows == 45 + 10 + 1  # for larger sets of 10, 11 and 12 shingles; 13 are too many to link with
 
 
-@pytest.mark.parametrize("size", [40, 700])
-def test_ngram_join_in_many_chunks(spark, size, monkeypatch):
-    """Equal and similar sets that lie in different chunks, with few shingles of their own."""
+@pytest.mark.parametrize(("size", "relay"), [(40, 1024), (700, 1024), (40, 1), (700, 1)])
+def test_ngram_join_in_many_chunks(spark, size, relay, monkeypatch):
+    """Equal and similar sets that lie in different chunks, with few shingles of their own; straight and through relays."""
+    monkeypatch.setattr(ngram_join, "RELAY_PARTS", relay)
+    monkeypatch.setattr(ngram_join, "PART_BYTES", 2000)
     r = random.Random(10)
     pool = [" ".join(r.choices(WORDS, k=30)) for _ in range(12)]
     rows = [(k, " ".join(r.sample(pool, 4))) for k in range(150)] + [(500 + k, " ".join([*pool[:5], f"y{k % 20}"])) for k in range(40)]
@@ -292,6 +294,32 @@ def test_ngram_join_in_many_chunks(spark, size, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(table(spark, rows)).collect()} == brute_components(rows)
 
 
+def test_blocks_and_relays():
+    """What every sender has for every receiver arrives once, whatever the routes; and the rows are fewer than pairs."""
+    r = np.random.default_rng(3)
+    for parts, chunks in ((4, 3), (50, 30), (2000, 900)):
+        routes = ngram_join.Routes.of(parts, chunks, 0)
+        sent, rows = Counter(), []
+        for chunk in r.choice(1 << 40, chunks, replace=False).tolist():
+            own = np.sort(r.choice(parts, min(parts, 40), replace=False))
+            sizes = r.integers(1, 4, len(own))
+            values = r.integers(0, 1 << 30, sizes.sum())
+            sent.update(zip(np.repeat(own, sizes).tolist(), [chunk] * len(values), values.tolist(), strict=True))
+            block = payloads.Block(own, np.full(len(own), chunk), sizes, [values])
+            rows += [(unit, chunk, b.pack()) for unit, b in block.dealt(routes.to_parts(own, chunk))]
+        first = len(rows)
+        out = list(payloads.relayed(iter([*sorted([*rows, (-3, -1, b"kept")], key=lambda x: x[:2])])))
+        assert out.pop(0) == (-3, -1, b"kept")
+        got = Counter()
+        for part, _, payload in out:
+            b = payloads.Block.joined([payload])
+            assert set(b.targets.tolist()) == {part}
+            got.update(zip([part] * len(b.values[0]), np.repeat(b.sources, b.sizes).tolist(), b.values[0].tolist(), strict=True))
+        assert got == sent
+        if parts == 2000:
+            assert first <= chunks * 40 and len(out) < chunks * 40
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1100)]
