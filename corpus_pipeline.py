@@ -45,9 +45,9 @@ def near_deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their places in the mix: ``class, block, phase, slot``, and ``in_mix``, false once a class has run out.
 
-    Rows are written in this order, but only ``slot`` keeps it: files are not read back in turn.
+    ``slot`` is the order; rows are not sorted by it here, as files are not read back in turn and texts would be shuffled once more.
     """
-    return mixing.placed(docs, WEIGHTS).repartitionByRange("slot", "doc_id").sortWithinPartitions("slot", "doc_id")
+    return mixing.placed(docs, WEIGHTS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
