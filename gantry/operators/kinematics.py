@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAVITY = 9.81
@@ -284,6 +284,20 @@ def dls(df: DataFrame, rows: int, columns: int, damping: float, output: str = "d
     return df.withColumn(output, step("jacobian", "delta"))
 
 
+def tips(df: DataFrame, chain: Chain, q: str = "q") -> DataFrame:
+    """Adds ``tip`` (x, y, z) and ``jacobian`` (6 rows, flattened), both null where ``q`` is null, has a null or NaN, or is of the wrong length."""
+
+    def found(value) -> Column:
+        @F.pandas_udf("array<double>")
+        def each(q: pd.Series) -> pd.Series:
+            good, (at,) = _rows(q, sizes=[len(chain.coordinates)])
+            return _spread(good, value(at))
+
+        return each(q)
+
+    return df.withColumns({"tip": found(lambda at: chain.poses(at)[0][:, :3, 3]), "jacobian": found(lambda at: chain.jacobian(at).reshape(len(at), -1))})
+
+
 def gravity_torques(df: DataFrame, tree: Tree, q: str = "q", output: str = "tau") -> DataFrame:
     """Adds what holds the links still, by coordinate.  Null where ``q`` is null, has a null or NaN, or is of the wrong length."""
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gantry.functions import frames, packets, scalars
 from gantry.operators import calibration, filters, folds, kinematics, scans, series, steps, summaries
-from gantry.scratch import shared_dir
+from gantry.scratch import run_dir
 from gantry.sources import dataset, episodes, robot
 from gantry.streaming import mirror
 
@@ -632,7 +632,7 @@ def gravity_arm(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS task FROM events WHERE user_id < 70 AND user_id % 10 <> 5""")
 def dataset_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a versioned episode dataset: written, some episodes replaced, a value replaced in place, and read by a pushed filter."""
-    root = f"{shared_dir(spark)}/episodes-{uuid.uuid4().hex}"
+    root = f"{run_dir(spark)}/episodes-{uuid.uuid4().hex}"
     rows = events(spark, sf_dir, F.col("user_id").alias("episode_index"), F.col("event_id").alias("frame_index"), "value", F.col("event_type").alias("task"))
     dataset.write(rows, root)
     dataset.write(rows.filter("episode_index % 10 = 0").withColumn("value", 2 * F.col("value")), root, mode="replace")

@@ -1,14 +1,15 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and what this application keeps in it."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import SparkSession
 
-_made: set[str] = set()
+_made: set[str] = set()  # folders that stand in for a shared one; they go as a whole when Python ends
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,6 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stands_in(folder: str) -> bool:
-    """Whether the folder was made here, and goes as a whole when Python ends."""
-    return folder in _made
+@lru_cache(maxsize=16)
+def _run_dir(shared: str, application: str) -> str:
+    folder = f"{shared}/gantry-{application}"
+
+    def delete() -> None:
+        try:
+            if (session := SparkSession.getActiveSession()) is not None:
+                deleted(session, folder)
+        except Exception:  # noqa: BLE001  the JVM may have gone first
+            pass
+
+    if shared not in _made:  # else the whole folder goes anyway
+        atexit.register(delete)
+    return folder
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables; deleted when Python ends, as results may read them until then."""
+    return _run_dir(shared_dir(spark), spark.sparkContext.applicationId)
+
+
+def deleted(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
