@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import shutil
-import tempfile
 import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gantry.columns import fresh, named  # noqa: F401  as the operators' other helpers
+from gantry.scratch import deleted, run_dir
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -28,51 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_made: set[str] = set()  # folders that stand in for a shared one; they go as a whole when Python ends
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary folder takes its place on a local master, as in tests; on a cluster,
-    whose executors would not see it, that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        context = spark.sparkContext
-        found = context.getCheckpointDir()
-        if not found:
-            if not context.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir is not set")
-            found = tempfile.mkdtemp(prefix="gantry-")
-            atexit.register(shutil.rmtree, found, ignore_errors=True)
-            context.setCheckpointDir(found)
-            _made.add(context.getCheckpointDir().rstrip("/"))
-    return found.rstrip("/")
-
-
-@lru_cache(maxsize=16)
-def _run_dir(shared: str, application: str) -> str:
-    """The folder of this application's tables; deleted when Python ends, as results may read them until then."""
-    folder = f"{shared}/gantry-{application}"
-
-    def delete() -> None:
-        try:
-            if (session := SparkSession.getActiveSession()) is not None:
-                _delete(session, folder)
-        except Exception:  # noqa: BLE001  the JVM may have gone first
-            pass
-
-    if shared not in _made:
-        atexit.register(delete)
-    return folder
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 # While tables are written: batches for Python of bounded bytes, and shuffle files that go at the end of a job.
 BOUNDED = {"spark.sql.execution.arrow.maxBytesPerBatch": "8m", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 _bounding = threading.Lock()
@@ -113,7 +65,7 @@ def owned(spark: SparkSession) -> Iterator[None]:
     finally:
         _owner.reset(token)
         for path in paths:
-            _delete(spark, path)
+            deleted(spark, path)
 
 
 def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
@@ -123,7 +75,7 @@ def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     files of the computation go once it is written.  The table goes with its owner (``owned``), if it has one and is not ``kept``, by ``discarded``, or when Python ends.
     """
     spark = df.sparkSession
-    path = f"{_run_dir(shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if not kept and (paths := _owner.get()) is not None:
         paths.append(path)
     with bounded(spark):
@@ -135,7 +87,7 @@ def discarded(*tables: DataFrame) -> None:
     """Delete tables that ``written`` made and nothing reads any more."""
     for table in tables:
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            _delete(table.sparkSession, folder)
+            deleted(table.sparkSession, folder)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from compare import same
 from gantry.llm import byte_bpe, catalog, chat_format, components, exact_dedup, lm_scoring, mixing, ngram_join, payloads
 from gantry.llm import common, quality_classifier, quality_rules, sharding, url_filter
+from gantry import scratch
 from gantry.llm.common import written
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -332,9 +333,9 @@ def test_components(spark):
 
 def test_stars_and_owned_tables_go(spark):
     """Of the components only the last star is left; tables of an owner go with it, but those kept."""
-    folder = Path(common._run_dir(common.shared_dir(spark), spark.sparkContext.applicationId))
+    folder = Path(scratch.run_dir(spark).removeprefix("file:"))
     names = lambda: {p.name for p in folder.iterdir()} if folder.exists() else set()
-    rdds = lambda: set(Path(common.shared_dir(spark).removeprefix("file:")).glob("rdd-*"))
+    rdds = lambda: set(Path(scratch.shared_dir(spark).removeprefix("file:")).glob("**/rdd-*"))
     before, at_first = names(), rdds()
     components.components(spark.createDataFrame([(k, k + 1) for k in range(60)], "a long, b long"))
     assert len(names() - before) == 1 and rdds() == at_first
