@@ -55,8 +55,8 @@ from gantry.llm.payloads import pack, rows_of, unpack
 from gantry.llm.textbytes import BASE, U64, lowered_bytes, mixed, slices, word_hashes
 
 HELD_OUT = (7, 2)  # held out where crc32(doc_id) mod 7 is 2
-CHUNK_TOKENS = 2_500_000
-BUCKET_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_500_000
+BUCKET_TOKENS = 1_000_000
 LEAST_BUCKETS = 64
 HEAVY_TOKENS = 1_000_000
 HEAVY_WORDS = 1 << 18
