@@ -664,6 +664,17 @@ def test_url_filter(spark):
     assert url_filter.url_filter(pages, listed.limit(0), catalog.RULES).filter("listed").count() == 0
 
 
+def test_very_long_urls(spark):
+    """Hosts, paths and queries of 300,000 characters, with and without a scheme, listed or ruled upon."""
+    long = 300_000
+    urls = ["x" * long, "http://" + "h" * long + ".com/en/" + "p" * long, "http://a.io/" + "q/" * (long // 2), "http://b.io/p?" + "&".join(f"k{k}=v" for k in range(long // 10)), "http://b.io/?" + "utm_a=1&" * (long // 10) + "id=1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([(urls[2],), ("http://www.b.io?id=1",)], "url string")
+    found = {r["page_id"]: r for r in url_filter.url_filter(pages, listed, catalog.RULES).collect()}
+    assert {k: (r["rule"], r["verdict"]) for k, r in found.items()} == {0: (None, "allow"), 1: ("com/en/", "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "block")}
+    assert (found[0]["host"], len(found[1]["host"]), len(found[1]["path"]), found[3]["path"]) == ("", long + 4, long + 4, "/p")
+
+
 def test_bloom_has_no_false_negatives(spark):
     many = spark.range(3000).select(F.concat(F.lit("http://h/"), F.col("id").cast("string")).alias("url"), F.col("id").alias("page_id"))
     found = url_filter.url_filter(many, many.filter("page_id % 3 = 0").select("url"), [url_filter.Rule("z", "/", "block")])
