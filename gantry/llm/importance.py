@@ -8,8 +8,8 @@ to whole arrays, a bit of the length at a time.
 
 1. ``hashed``: one pass over the texts computes every word's CRC once and composes the runs' from them.  The
    buckets are written to the shared folder; the steps after read only these.
-2. ``gains``: the occurrences of each bucket are counted in each task, then summed.  At most ``buckets`` rows reach
-   the driver, and go back to the tasks.
+2. ``gains``: the occurrences of each bucket are counted in each task, then summed.  At most ``buckets`` counts reach
+   the driver, and as many gains go back to the tasks.
 3. A document's weight is the mean gain of its features, its score the weight plus Gumbel noise drawn from its id.
 4. ``ranked``: a histogram of scores by hundreds tells which rows can be drawn; only these are dealt by ranges of score and id,
    counted by range, and numbered.  Ids break ties, so equal scores are spread too.
@@ -21,6 +21,7 @@ follow from counts of 0.  Other columns are not read, so their names cannot clas
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -152,15 +153,19 @@ def bucket_counts(features: DataFrame, buckets: int) -> DataFrame:
     return features.select("features").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def gains(source: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFrame:
-    """``bucket, gain`` of all buckets, from ``hashed`` tables: thousandths of the log of how much likelier the target makes it."""
-    of_source, of_target = (bucket_counts(x, buckets).withColumnRenamed("n", name) for x, name in ((source, "s"), (target, "t")))
-    # A row for every bucket, counted or not: `buckets` is a parameter, so one sum over these rows is bounded.
-    rows = source.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(of_source, "bucket", "left").join(of_target, "bucket", "left")
-    s, t = (F.coalesce(c, F.lit(0)).cast("double") for c in ("s", "t"))
-    totals = rows.agg(F.sum(s).alias("all_s"), F.sum(t).alias("all_t"))
-    ratio = (t + 1) * (F.col("all_s") + buckets) / ((s + 1) * (F.col("all_t") + buckets))
-    return rows.join(F.broadcast(totals)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))  # one row of totals
+def gains(source: DataFrame, target: DataFrame, buckets: int = 10_000) -> np.ndarray:
+    """Of each bucket, from ``hashed`` tables: thousandths of the log of how much likelier the target makes it, counted or not.
+
+    ``buckets`` bounds what reaches the driver, where the logarithms are taken.
+    """
+    counts = np.zeros((2, buckets), np.int64)
+    for row, features in zip(counts, (source, target), strict=True):
+        for bucket, n in bucket_counts(features, buckets).collect():
+            row[bucket] = n
+    (all_s, all_t), out = counts.sum(1).tolist(), np.zeros(buckets, np.int64)
+    for k, (s, t) in enumerate(counts.T.tolist()):
+        out[k] = math.floor(1000 * math.log(float(t + 1) * float(all_s + buckets) / (float(s + 1) * float(all_t + buckets))))
+    return out
 
 
 def weighed(features: DataFrame, gain: np.ndarray) -> DataFrame:
@@ -220,10 +225,7 @@ def resampled(docs: DataFrame, target: DataFrame, max_words: int = 1, buckets: i
     Drawn are ``percent`` of the documents with at least ``min_words`` words.  Jobs run while this is built.
     """
     features = written(hashed(docs, "doc_id", max_words, buckets), "features")
-    of_target = hashed(target, None, max_words, buckets)
-    gain = np.zeros(buckets, np.int64)
-    for bucket, value in gains(features, of_target, buckets).collect():
-        gain[bucket] = value
+    gain = gains(features, hashed(target, None, max_words, buckets), buckets)
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
     drawn = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     noise = F.floor(-1000 * F.log(-F.log((drawn + 0.5) / 4294967296)))
