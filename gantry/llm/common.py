@@ -52,6 +52,8 @@ def bounded(spark: SparkSession) -> Iterator[None]:
                     spark.conf.set(name, value)
 
 
+ROW_GROUP_BYTES = 16 << 20  # what a writing task holds in memory
+
 _owner: ContextVar[list[str] | None] = ContextVar("owner", default=None)
 
 
@@ -79,7 +81,7 @@ def written(df: DataFrame, name: str, kept: bool = False) -> DataFrame:
     if not kept and (paths := _owner.get()) is not None:
         paths.append(path)
     with bounded(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -98,15 +100,21 @@ def partitions_for(df: DataFrame, at_least: int = 1) -> int:
     return max(at_least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+M_MMAP_THRESHOLD, MAPPED_BYTES = -3, 1 << 20
+
+
 @contextmanager
 def memory_returned() -> Iterator[None]:
-    """Around a task's Python work: what it has freed goes back to the system at the end, as its worker lives on."""
+    """Around a task's Python work: arrays beyond ``MAPPED_BYTES`` go back to the system as they are freed, and the rest at the end, as the worker lives on."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(M_MMAP_THRESHOLD, MAPPED_BYTES)
+    except (AttributeError, OSError):  # not this C library
+        libc = None
     try:
         yield
     finally:
         gc.collect()
         pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not this C library
-            pass
+        if libc is not None:
+            libc.malloc_trim(0)

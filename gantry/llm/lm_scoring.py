@@ -55,8 +55,8 @@ from gantry.llm.payloads import pack, rows_of, unpack
 from gantry.llm.textbytes import BASE, U64, lowered_bytes, mixed, slices, word_hashes
 
 HELD_OUT = (7, 2)  # held out where crc32(doc_id) mod 7 is 2
-CHUNK_TOKENS = 1_500_000
-BUCKET_TOKENS = 1_000_000
+CHUNK_TOKENS = 2_000_000
+BUCKET_TOKENS = 2_000_000
 LEAST_BUCKETS = 64
 HEAVY_TOKENS = 1_000_000
 HEAVY_WORDS = 1 << 18
@@ -213,8 +213,11 @@ LOW = 0xFFFFFFFF
 def _chunks(buckets: int, heavy):
     def chunk(ids: list[int | None], texts: list[np.ndarray], number: int) -> Batches:
         lengths = np.array([len(t) for t in texts], np.int64)
-        words, place = np.unique(np.concatenate([*texts, [START]]), return_inverse=True)
-        start, place = int(place[-1]), place[:-1]
+        flat = np.concatenate([*texts, [START]])
+        texts.clear()
+        words, place = np.unique(flat, return_inverse=True)
+        del flat
+        start, place = int(place[-1]), place[:-1].astype(np.int32)
         pairs, where = np.unique(pairs_of(place, start, lengths), return_inverse=True)
         counts = np.bincount(where, np.repeat(np.array([not held_out(i) for i in ids]), lengths), len(pairs)).astype(np.uint32)
         del where
@@ -644,4 +647,6 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     for swept, told_by in zip(seatings, extras, strict=True):
         answering = answering.unionByName(only(swept, SEATED)).unionByName(only(told_by, EXTRA))
     answers = dealt(answering).mapInArrow(_answered(final), ROW)
-    return dealt(only(table, DOCUMENTS).unionByName(answers)).mapInArrow(_scored(final), SCORES)
+    scores = written(dealt(only(table, DOCUMENTS).unionByName(answers)).mapInArrow(_scored(final), SCORES), "scores")
+    discarded(table, owned, counted, *seatings, *extras)
+    return scores
