@@ -88,7 +88,7 @@ def latch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id AS episode_index, event_id AS step, round(CASE WHEN user_id % 4 = 0 THEN -value ELSE value END, 6) AS value FROM events WHERE user_id IN (3, 4, 8, 11, 12)""")
 def episode_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Episodes committed as folders, some committed anew, and five of them scanned."""
+    """Episodes committed, some committed anew, and five of them scanned."""
     root = place(spark, "episodes")
     rows = events(spark, sf_dir, F.col("user_id").alias("episode_index"), F.col("event_id").alias("step"), "value")
     episodes.commit_episodes(rows, root)

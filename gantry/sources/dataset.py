@@ -15,7 +15,7 @@ manifest alone; other files are not opened.  Replaced episodes stay in their fil
 Manifests are created exclusively by a hard link on local and mounted folders and by a rename that does not overwrite elsewhere; a store that has neither (plain object
 stores) needs its writers to take turns.
 
-Defined cases: a dataset without a version has no rows and needs a schema; an episode may lie in many files; a null episode is kept and matches no
+Defined cases: a dataset without a version has no rows and needs a schema; an episode may lie in many files; null episodes are kept, are replaced as one, and match no
 filter but IS NULL; a write without rows is a version too.
 """
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import os
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from typing import Any
@@ -148,7 +149,7 @@ class Staging:
         self.base = int(options.get("base", data.version().number))
         self.mode = options.get("mode", "append")  # append, overwrite, or replace
         self.replaced = set(json.loads(options.get("files", "[]")))
-        self.query = options.get("query")
+        self.query, self.batch = options.get("query"), options.get("batch")
         if self.mode not in ("append", "overwrite", "replace"):
             raise ValueError(f"mode {self.mode}: append, overwrite and replace are known")
         data.fs.create_dir(f"{data.root}/data/{self.job}")  # here alone: a task that outlives its aborted job finds no place
@@ -166,7 +167,7 @@ class Staging:
                 ends = pc.min_max(batch.column(self.episode)) if self.episode in batch.schema.names else {"min": pa.scalar(None), "max": pa.scalar(None)}
                 groups.append([ends["min"].as_py(), ends["max"].as_py(), batch.num_rows])
                 if self.mode == "replace" and not self.replaced:
-                    episodes |= set(pc.unique(batch.column(self.episode)).to_pylist()) - {None}
+                    episodes |= set(pc.unique(batch.column(self.episode)).to_pylist())
         except BaseException:
             if writer is not None:
                 writer.close()
@@ -176,7 +177,7 @@ class Staging:
         if writer is None:
             return Written(None, [])
         writer.close()
-        return Written({"path": path, "groups": groups, "without": []}, sorted(episodes))
+        return Written({"path": path, "groups": groups, "without": []}, list(episodes))
 
     def _groups(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, rows = [], 0
@@ -191,21 +192,22 @@ class Staging:
         if held:
             yield pa.Table.from_batches(held)
 
-    def publish(self, messages: Iterable[Written | None], batch: int | None = None) -> None:
+    def publish(self, messages: Iterable[Written | None], batch: int | None = None, alone: bool = True) -> None:
+        """``alone``: the job's folder is of this write only, not of a stream's other batches as well."""
         data = Dataset(self.root)
         written = [m for m in messages if m is not None and m.file is not None]
-        new, episodes = [m.file for m in written], sorted({e for m in written for e in m.episodes})
+        new, episodes = [m.file for m in written], {e for m in written for e in m.episodes}
         for _ in range(TRIES):
             now = data.version()
             if self.mode != "append" and now.number != self.base:
                 data.drop_job(self.job)
                 raise Conflict(f"{self.root}: planned on version {self.base}, but the last is {now.number}")
             if batch is not None and now.batches.get(self.query or "", -1) >= batch:
-                self.forget(new)  # committed before
+                data.drop_job(self.job) if alone else self.forget(new)  # committed before
                 return
             try:
                 data.publish(self._next(data, now, new, episodes, batch))
-                if batch is None:
+                if alone:
                     data.drop_strays(self.job, {f["path"] for f in new})
                 return
             except Conflict:
@@ -215,13 +217,14 @@ class Staging:
         data.drop_job(self.job)
         raise Conflict(f"{self.root}: {TRIES} times another writer came first")
 
-    def _next(self, data: Dataset, now: Version, new: list[dict], episodes: list, batch: int | None) -> Version:
+    def _next(self, data: Dataset, now: Version, new: list[dict], episodes: set, batch: int | None) -> Version:
         old = [] if self.mode == "overwrite" else [f for f in now.files if f["path"] not in self.replaced]
         if now.schema is not None and self.mode != "overwrite" and _fields(now.schema) != _fields(self.schema):
             data.drop_job(self.job)
             raise ValueError(f"{self.root} has columns {_fields(now.schema)}, not {_fields(self.schema)}")
         if self.mode == "replace" and not self.replaced:
-            old = [_without(f, episodes) for f in old]
+            known = sorted(episodes - {None})
+            old = [_without(f, known, None in episodes) for f in old]
         batches = now.batches if batch is None else now.batches | {self.query or "": batch}
         return Version(now.number + 1, self.schema, tuple([f for f in old if f["groups"]] + new), batches)
 
@@ -240,14 +243,15 @@ def _fields(schema: str) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in StructType.fromJson(json.loads(schema)).fields]
 
 
-def _without(file: dict, episodes: list) -> dict:
-    """The file without these episodes, as far as its row groups can have them."""
-    touched = [e for e in episodes if any(low is not None and low <= e <= high for low, high, _ in file["groups"])]
-    gone = set(file["without"]) | set(touched)
-    whole = [g for g in file["groups"] if not (g[0] is not None and g[0] == g[1] and g[0] in gone)]
+def _without(file: dict, episodes: list, nulls: bool) -> dict:
+    """The file without these episodes (sorted), and without null ones, as far as its row groups can have them."""
+    spans = [(low, high) for low, high, _ in file["groups"] if low is not None]
+    touched = {e for low, high in spans for e in episodes[bisect_left(episodes, low) : bisect_right(episodes, high)]}
+    gone = set(file["without"]) | touched | ({None} if nulls else set())
+    whole = [g for g in file["groups"] if not (g[0] == g[1] and g[0] in gone)]
     if not whole:
         return file | {"groups": [], "without": []}
-    return file | {"without": sorted(gone)}
+    return file | {"without": sorted(gone - {None}) + [None] * (None in gone)}
 
 
 class BatchWriter(DataSourceArrowWriter):
@@ -258,7 +262,7 @@ class BatchWriter(DataSourceArrowWriter):
         return self.staging.stage(iterator)
 
     def commit(self, messages: list) -> None:
-        self.staging.publish(messages)
+        self.staging.publish(messages, None if self.staging.batch is None else int(self.staging.batch))
 
     def abort(self, messages: list) -> None:
         self.staging.drop()
@@ -274,7 +278,7 @@ class StreamWriter(DataSourceStreamArrowWriter):
         return self.staging.stage(iterator)
 
     def commit(self, messages: list, batchId: int) -> None:
-        self.staging.publish(messages, batchId)
+        self.staging.publish(messages, batchId, alone=False)
 
     def abort(self, messages: list, batchId: int) -> None:
         self.staging.forget([m.file for m in messages if m is not None and m.file is not None])
@@ -355,7 +359,8 @@ def _narrowed(old: Range, f: Filter) -> Range:
 
 class Episodes(DataSource):
     """Options: ``path``; ``episode`` (its column); for reads ``version``, ``columns`` (JSON) and ``groups`` (row groups a task);
-    for writes ``mode``, ``base`` and ``files`` (JSON: replaced ones), for streams ``query``, a name that stays over restarts."""
+    for writes ``mode``, ``base`` and ``files`` (JSON: replaced ones), for streams ``query``, a name that stays over restarts,
+    and where a stream's batches are written as tables ``batch``, their number."""
 
     @classmethod
     def name(cls) -> str:
@@ -403,15 +408,18 @@ def read(spark: SparkSession, root: str, episodes: list[int] | None = None, colu
     return df if episodes is None else df.filter(F.col(EPISODE).isin(episodes))
 
 
-def write(df: DataFrame, root: str, mode: str = "append", order: str = STEP) -> None:
+def write(df: DataFrame, root: str, mode: str = "append", order: str = STEP, batch: tuple[str, int] | None = None) -> None:
     """Frames dealt by ranges of episode and step, so that a file holds few episodes and a long one is many tasks' work.
 
-    ``replace`` takes the place of the episodes that ``df`` has.
+    ``replace`` takes the place of the episodes that ``df`` has.  ``batch``, a stream's name and the batch's number, is written once.
     """
     registered(df.sparkSession)
     by = [EPISODE, *([order] if order in df.columns else [])]
     dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
-    dealt.write.format("episodes").option("path", root).option("mode", mode).mode("overwrite" if mode == "overwrite" else "append").save()
+    out = dealt.write.format("episodes").option("path", root).option("mode", mode)
+    if batch is not None:
+        out = out.option("query", batch[0]).option("batch", batch[1])
+    out.mode("overwrite" if mode == "overwrite" else "append").save()
 
 
 def write_stream(stream: DataFrame, root: str, checkpoint: str, query: str):

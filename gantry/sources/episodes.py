@@ -13,12 +13,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from gantry.functions.frames import named
+from gantry.sources import dataset
 
 
 def read_episodes(spark: SparkSession, root: str, episodes: list[int] | None = None) -> DataFrame:
-    """A dataset written by ``commit_episodes``; the filter prunes whole folders."""
-    df = spark.read.parquet(root)
-    return df if episodes is None else df.filter(F.col("episode_index").isin(episodes))
+    """A dataset written by ``commit_episodes`` or ``commit_stream``; files and row groups without these episodes are not opened."""
+    return dataset.read(spark, root, episodes)
 
 
 def feature_schema(spark: SparkSession, path: str) -> DataFrame:
@@ -41,8 +41,15 @@ def hub_trajectory(df: DataFrame, features: DataFrame, expected: list[str], grip
 
 
 def commit_episodes(df: DataFrame, root: str) -> None:
-    """Writes each episode as a folder of its own, and replaces only the episodes that ``df`` has."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("episode_index").parquet(root)
+    """Writes the episodes as one version, and replaces only the episodes that ``df`` has.
+
+    A file is a range of episodes and steps, not an episode, so that the number of files follows the rows, however many episodes they are.
+    """
+    dataset.write(df, root, "replace", _order(df))
+
+
+def _order(df: DataFrame) -> str:
+    return next((c for c in (dataset.STEP, "step") if c in df.columns), dataset.STEP)
 
 
 def without_discarded(df: DataFrame, discarded: DataFrame, key: str = "episode_index") -> DataFrame:
@@ -50,11 +57,13 @@ def without_discarded(df: DataFrame, discarded: DataFrame, key: str = "episode_i
 
 
 def commit_stream(stream: DataFrame, root: str, checkpoint: str):
-    """A streaming sink: every batch is added to its episodes' folders, once even if the batch is run again."""
+    """A streaming sink: every batch is added to its episodes as a version, once even if the batch is run again.
+
+    Batches are told apart by the checkpoint's path and their number.
+    """
 
     def add(batch: DataFrame, number: int) -> None:
-        tagged = batch.withColumn("batch", F.lit(number))
-        tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("episode_index", "batch").parquet(root)
+        dataset.write(batch, root, "append", _order(batch), (checkpoint, number))
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gantry.operators import calibration, kinematics
-from gantry.sources import datagrams, episodes, robot
+from gantry.sources import datagrams, dataset, episodes, robot
 from gantry.streaming import mirror
 
 URDF = """<robot name="r"><link name="l0"/>
@@ -85,6 +85,37 @@ def test_episode_commit_replaces_only_its_episodes(spark, tmp_path):
     assert [r["v"] for r in left.collect()] == [9]
 
 
+def test_files_follow_rows_not_episodes(spark, tmp_path):
+    """Many short episodes lie in few files, also once some are committed anew, and batches of a stream."""
+    root = str(tmp_path / "d")
+    rows = spark.range(0, 2000, 1, 4).select((F.col("id") % 400).cast("int").alias("episode_index"), F.col("id").alias("step"), F.lit(1).alias("v"))
+    episodes.commit_episodes(rows, root)
+    episodes.commit_episodes(rows.filter("episode_index % 4 = 0").withColumn("v", F.lit(9)), root)
+    found = episodes.read_episodes(spark, root).groupBy("episode_index").agg(F.count("*"), F.min("v"), F.max("v")).collect()
+    assert {tuple(r) for r in found} == {(e, 5, v, v) for e in range(400) for v in [1 if e % 4 else 9]}
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    episodes.commit_stream(stream, str(tmp_path / "s"), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert episodes.read_episodes(spark, str(tmp_path / "s"), [3, 399]).count() == 10
+    for folder in ("d", "s"):
+        assert len(list((tmp_path / folder).rglob("*.parquet"))) <= 16
+
+
+def test_null_episodes_are_replaced_as_one(spark, tmp_path):
+    root, schema = str(tmp_path / "d"), "episode_index int, frame_index int, v int"
+    episodes.commit_episodes(spark.createDataFrame([(None, 0, 1), (None, 1, 1), (1, 0, 1)], schema), root)
+    episodes.commit_episodes(spark.createDataFrame([(None, 0, 9), (2, 0, 9)], schema), root)
+    assert {tuple(r) for r in episodes.read_episodes(spark, root).collect()} == {(None, 0, 9), (1, 0, 1), (2, 0, 9)}
+
+
+def test_batch_of_a_stream_run_again_adds_nothing(spark, tmp_path):
+    root, rows = str(tmp_path / "d"), spark.createDataFrame([(1, 0, 1), (2, 0, 2)], "episode_index int, frame_index int, v int")
+    for number in (0, 0, 1):
+        dataset.write(rows, root, batch=("q", number))
+    assert dataset.read(spark, root).count() == 4 and dataset.Dataset(root).numbers() == [1, 2]
+    assert len(list((tmp_path / "d" / "data").iterdir())) == 2  # nothing is left of the one that was dropped
+
+
 def test_hub_trajectory(spark, tmp_path):
     names = [f"j{k}" for k in range(7)]
     meta = {"features": {"observation.state": {"dtype": "float32", "shape": [7], "names": names}, "action": {"dtype": "float32", "shape": [2], "names": ["x", "left_gripper"]}}}
