@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,11 +39,17 @@ class EpisodeBuffer(StatefulProcessor):
         self.last = handle.getValueState("last", "seq BIGINT, episode BIGINT")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows), ignore_index=True)  # a recorder's rows of one batch
-        batch = batch[batch["seq"].notna()].sort_values("seq", kind="stable")
-        known = self.last.get() if self.last.exists() else None
+        """Each call to the state goes to the JVM and back, and each table handed on is an Arrow batch, so there are few of both, however many
+        episodes a batch has: the list is only read and cleared when it holds frames, and a table has frames of many episodes."""
+        tables = list(rows)
+        batch = tables[0] if len(tables) == 1 else pd.concat(tables, ignore_index=True)  # a recorder's rows of one batch
+        batch = batch[batch["seq"].notna()] if batch["seq"].hasnans else batch
+        batch = batch if batch["seq"].is_monotonic_increasing else batch.sort_values("seq", kind="stable")
+        known = self.last.get()
         seen, episode = (int(known[0]), int(known[1])) if known else (None, 0)
+        stored = known is not None and self.frames.exists()
         held: list[tuple] = []  # frames not yet in the store
+        out: list[tuple] = []  # saved frames not yet handed on
         for seq, kind, payload in zip(batch["seq"].tolist(), batch["kind"].tolist(), batch["payload"].tolist(), strict=True):
             seq = int(seq)
             if seen is not None and seq <= seen:
@@ -52,17 +59,21 @@ class EpisodeBuffer(StatefulProcessor):
                 held.append((seq, payload))
                 if len(held) >= BLOCK_FRAMES:
                     self.frames.appendList(held)
-                    held = []
-            elif kind == SAVE:
-                any_frame = False
-                for block in self._saved(key[0], episode, held):
-                    any_frame = True
-                    yield block
-                self.frames.clear()
-                held, episode = [], episode + any_frame
-            elif kind == DISCARD:
-                self.frames.clear()
-                held = []
+                    held, stored = [], True
+            elif kind in (SAVE, DISCARD):
+                if kind == SAVE:
+                    number = 0
+                    for number, (at, frame) in enumerate(chain(self.frames.get() if stored else (), held), 1):
+                        out.append((key[0], episode, number - 1, int(at), frame))
+                        if len(out) >= BLOCK_FRAMES:
+                            yield self._table(out)
+                            out = []
+                    episode += number > 0
+                if stored:
+                    self.frames.clear()
+                held, stored = [], False
+        if out:
+            yield self._table(out)
         if held:
             self.frames.appendList(held)
         if seen is not None:
@@ -70,24 +81,9 @@ class EpisodeBuffer(StatefulProcessor):
         if self.abandoned_ms is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            if self.frames.exists():
+            if held or stored:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.abandoned_ms)
 
-    def _saved(self, recorder, episode: int, held: list[tuple]) -> Iterator[pd.DataFrame]:
-        """The frames of the store, then those held, in blocks."""
-        block: list[tuple] = []
-        number = 0
-        stored = self.frames.get() if self.frames.exists() else iter(())
-        for frames in (stored, iter(held)):
-            for seq, payload in frames:
-                block.append((recorder, episode, number, int(seq), payload))
-                number += 1
-                if len(block) >= BLOCK_FRAMES:
-                    yield self._table(block)
-                    block = []
-        if block:
-            yield self._table(block)
-
     def _table(self, block: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(block, columns=["recorder", "episode_index", "frame_index", "seq", "payload"])
 

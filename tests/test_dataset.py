@@ -284,6 +284,34 @@ def test_buffer_against_plain_python(seed, monkeypatch):
     assert list(processor.handleExpiredTimer(("a",), clock, None)) == [] and not store.list
 
 
+def test_buffer_calls_do_not_follow_episodes():
+    """Calls to the state and tables handed on stay few, however many episodes a recorder's batch has."""
+    import pandas as pd
+
+    calls, store = [], Store()
+
+    class Counted:
+        def __init__(self, state):
+            self.state = state
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.state, name)
+
+    lists, values = store.getListState, store.getValueState
+    store.getListState, store.getValueState = lambda *a: Counted(lists(*a)), lambda *a: Counted(values(*a))
+    processor = buffer.EpisodeBuffer()
+    processor.init(store)
+    rows = [(k, ("frame", "frame", "save", "frame", "discard")[k % 5], f"p{k}") for k in range(501)]
+    found = []
+    for part in (rows[:251], rows[251:]):  # the first frame of the second part's first episode is in the store
+        calls.clear()
+        tables = list(processor.handleInputRows(("a",), iter([pd.DataFrame(part, columns=["seq", "kind", "payload"])]), None))
+        assert len(tables) == 1 and len(calls) <= 6, calls
+        found += [tuple(x)[1:] for x in tables[0].itertuples(index=False)]
+    assert found == plain_buffer(rows) and len(found) == 200
+
+
 def bus(seed, n):
     """Frames of both kinds, with lengths and contents that look like frames themselves; damage between some."""
     r = random.Random(seed)
