@@ -69,9 +69,12 @@ def commit_stream(stream: DataFrame, root: str, checkpoint: str):
 
 
 def write_tracking_log(df: DataFrame, path: str, channels: list[str]) -> None:
-    """One CSV row per step, in order, missing values blank; a log is one episode's, so one file holds it."""
+    """One CSV row per step, in order, missing values blank.
+
+    A short log is one file.  A long one is several, each a range of steps under a header of its own; in the order of their names they are the log.
+    """
     columns = ["step", "t", *(f"{c}_{kind}" for kind in ("target", "commanded", "actual") for c in channels)]
-    chosen = df.select(*(F.col(f"`{c}`") for c in columns)).repartitionByRange(1, "step").sortWithinPartitions("step")
+    chosen = df.select(*(F.col(f"`{c}`") for c in columns)).repartitionByRange("step").sortWithinPartitions("step")
     chosen.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").csv(path)
 
 

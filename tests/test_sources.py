@@ -136,6 +136,28 @@ def test_tracking_log(spark, tmp_path):
     assert lines[0] == "step,t,a.pos_target,a.pos_commanded,a.pos_actual" and lines[1] == "0,0.0,1.0,0.5," and len(lines) == 4
 
 
+def test_long_tracking_log(spark, tmp_path):
+    """Ranges of steps are tasks of their own, and their files, in order of names, the whole log."""
+    rows = spark.range(0, 3000, 1, 3).select((2999 - F.col("id")).alias("step"), F.lit(0.5).alias("t"), *(F.lit(1.0).alias(f"a_{kind}") for kind in ("target", "commanded", "actual")))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"  # else a log of this size is one file
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        episodes.write_tracking_log(rows, str(tmp_path / "log"), ["a"])
+    finally:
+        spark.conf.set(name, before)
+    parts = [p.read_text().splitlines() for p in sorted((tmp_path / "log").glob("part-*.csv"))]
+    assert len(parts) == 4 and max(map(len, parts)) < 1500
+    assert {p[0] for p in parts} == {"step,t,a_target,a_commanded,a_actual"}
+    assert [line for p in parts for line in p[1:]] == [f"{step},0.5,1.0,1.0,1.0" for step in range(3000)]
+
+
+def test_tracking_log_without_steps(spark, tmp_path):
+    rows = spark.createDataFrame([], "step int, t double, a_target double, a_commanded double, a_actual double")
+    episodes.write_tracking_log(rows, str(tmp_path / "log"), ["a"])
+    assert [p.read_text() for p in (tmp_path / "log").glob("part-*.csv")] == ["step,t,a_target,a_commanded,a_actual\n"]
+
+
 def test_named_trajectory(spark, tmp_path):
     order = episodes.read_joint_order(spark, write(tmp_path / "o.json", {"joint_order": ["a", "b"]}))
     df = spark.createDataFrame([("e", 0, [1.0, 2.0])], "episode string, step int, q array<double>")
